@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, chat, line_rules, mixing
+from . import bpe, chat, langid, line_rules, minhash, mixing, simhash
 from .common import cut, n_words, read
 
 #: The vocabulary file of the queries.
@@ -18,7 +18,12 @@ VOCABULARY = public_tokenizers.path("byte_bpe_50k.json")
 def op1_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = cut(read(spark, sf_dir, "documents").select("doc_id", "source", n_words(F.col("text")).alias("words")))
     out = mixing.assign(docs, size=F.col("words")).select("doc_id", "size", "source_size", "target", "taken", "first_position")
-    return out.orderBy("first_position").drop("first_position")
+    return out.orderBy("first_position", "doc_id").drop("first_position")
+
+
+def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    return langid.identify(docs).select("doc_id", langid.held_out(F.col("doc_id")).alias("held_out"), "lang_pred", "score")
 
 
 def op5_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -26,6 +31,10 @@ def op5_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode(docs, VOCABULARY, ids=False, digests=True).drop("text")
 
 
+def op7_simhash_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.groups(read(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 def op8_line_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read(spark, sf_dir, "documents").select("doc_id", "text")
     return line_rules.apply_rules(docs).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
@@ -39,11 +48,18 @@ def op9_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.digest(chat.format_turns(turns, VOCABULARY).drop("formatted"), VOCABULARY)
 
 
+def op10_minhash_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minhash.compare_with_next(read(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_mix_sources": op1_mix_sources,
+    "op3_language_id": op3_language_id,
     "op5_bpe_round_trip": op5_bpe_round_trip,
+    "op7_simhash_groups": op7_simhash_groups,
     "op8_line_rules": op8_line_rules,
     "op9_chat_format": op9_chat_format,
+    "op10_minhash_fingerprints": op10_minhash_fingerprints,
 }
 ORACLES: dict[str, str] = {
     "op1_mix_sources": mixing.ORACLE_SQL,
