@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, chat, langid, line_rules, minhash, mixing, simhash
+from . import bpe, chat, html_extract, langid, line_rules, minhash, mixing, simhash, token_counts
 from .common import cut, n_words, read
 
 #: The vocabulary file of the queries.
@@ -21,6 +21,10 @@ def op1_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.orderBy("first_position", "doc_id").drop("first_position")
 
 
+def op2_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_extract.extract(read(spark, sf_dir, "pages").select("page_id", "url", "html")).drop("html")
+
+
 def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read(spark, sf_dir, "documents").select("doc_id", "text", "lang")
     return langid.identify(docs).select("doc_id", langid.held_out(F.col("doc_id")).alias("held_out"), "lang_pred", "score")
@@ -31,6 +35,10 @@ def op5_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode(docs, VOCABULARY, ids=False, digests=True).drop("text")
 
 
+def op6_unigram_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_counts.count_tokens(read(spark, sf_dir, "documents").select("doc_id", "text"), VOCABULARY).drop("text")
+
+
 def op7_simhash_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.groups(read(spark, sf_dir, "documents").select("doc_id", "text"))
 
@@ -54,8 +62,10 @@ def op10_minhash_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_mix_sources": op1_mix_sources,
+    "op2_main_text": op2_main_text,
     "op3_language_id": op3_language_id,
     "op5_bpe_round_trip": op5_bpe_round_trip,
+    "op6_unigram_counts": op6_unigram_counts,
     "op7_simhash_groups": op7_simhash_groups,
     "op8_line_rules": op8_line_rules,
     "op9_chat_format": op9_chat_format,
