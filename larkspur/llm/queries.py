@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, chat, html_extract, langid, line_rules, minhash, mixing, simhash, token_counts
+from . import bpe, chat, html_extract, langid, line_rules, minhash, mixing, quality_lm, simhash, token_counts
 from .common import cut, n_words, read
 
 #: The vocabulary file of the queries.
@@ -30,6 +30,11 @@ def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.identify(docs).select("doc_id", langid.held_out(F.col("doc_id")).alias("held_out"), "lang_pred", "score")
 
 
+def op4_quality_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents").select("doc_id", "lang", "text")
+    return quality_lm.classify(docs, quality_lm.trusted_ids(read(spark, sf_dir, "labels")))
+
+
 def op5_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read(spark, sf_dir, "documents").select("doc_id", "text")
     return bpe.encode(docs, VOCABULARY, ids=False, digests=True).drop("text")
@@ -64,6 +69,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_mix_sources": op1_mix_sources,
     "op2_main_text": op2_main_text,
     "op3_language_id": op3_language_id,
+    "op4_quality_lm": op4_quality_lm,
     "op5_bpe_round_trip": op5_bpe_round_trip,
     "op6_unigram_counts": op6_unigram_counts,
     "op7_simhash_groups": op7_simhash_groups,
