@@ -1,15 +1,75 @@
-"""The corpus pipeline: documents in, training tokens out. Stages are written and read again one after another."""
+"""The corpus pipeline: documents in, training tokens out.
+
+Stages are written and read again one after another. Each takes (spark, docs, sf_dir) and works on all
+rows that the one before has kept; all but the last return the columns of documents.
+"""
 
 from __future__ import annotations
 
+import zlib
+
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from larkspur.llm import bpe, langid, mixing, quality_lm, simhash
+from larkspur.llm.common import cut, shared_dir
+
+#: Least score of a language prediction: below, no language is much better than the others.
+MIN_LANGUAGE_SCORE = 0.3
+#: The last stage takes the whole text of each document in the mix.
+VOCABULARY = public_tokenizers.path("byte_bpe_50k.json")
+
+
+def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents whose language is found, which becomes their lang; undetermined ones go."""
+    found = langid.identify(docs)
+    return found.where((F.col("lang_pred") != langid.UNDETERMINED) & (F.col("score") >= MIN_LANGUAGE_SCORE)).withColumn("lang", F.col("lang_pred")).select(docs.columns)
+
+
+def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that a language model of the trusted ones finds likely enough for their language."""
+    labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
+    judged = quality_lm.classify(docs, quality_lm.trusted_ids(labels))
+    refused = cut(judged.where(~F.col("kept")).select("doc_id").distinct())
+    return quality_lm.joined(docs, refused, "doc_id", "left_anti").select(docs.columns)
+
+
+def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document, that of the smallest id, of each group of near copies."""
+    grouped = simhash.groups(docs)
+    copies = cut(grouped.where("doc_id != component_id").select("doc_id").distinct())
+    return quality_lm.joined(docs, copies, "doc_id", "left_anti").select(docs.columns)
+
+
+def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The training order: documents as often as the mix takes them, sorted by their training position."""
+    return mixing.mix(docs).select(docs.columns)
+
+
+def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Token ids of each document."""
+    return bpe.encode(docs.select("doc_id", "text", "lang", "source"), VOCABULARY).drop("text")
+
 
-STAGES: list = []
+STAGES = [
+    ("language ID", language_id),
+    ("quality classifier", quality),
+    ("SimHash near-dedup", near_dedup),
+    ("mixing sources", mix_sources),
+    ("BPE encoding", encode),
+]
+#: Language ID and the language model have no SQL form; tests hold the stages against brute force.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages over documents, each written to the shared folder and read again by the next."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for _, stage in STAGES:
+    at = f"{shared_dir(spark)}/pipeline-{spark.sparkContext.applicationId}-{zlib.crc32(sf_dir.encode())}"
+    for k, (_, stage) in enumerate(STAGES):
         docs = stage(spark, docs, sf_dir)
+        if k < len(STAGES) - 1:
+            docs.write.mode("overwrite").parquet(f"{at}/{k}")
+            docs = spark.read.parquet(f"{at}/{k}")
     return docs

@@ -199,5 +199,6 @@ def classify(docs: DataFrame, trusted: DataFrame, *, id_col: str = "doc_id", tex
 
 
 def joined(docs: DataFrame, ids: DataFrame, id_col: str, how: str, most_rows: int = 4_000_000) -> DataFrame:
-    """Semi or anti join by id. The ids are broadcast while there are at most so many (8 bytes each), and shuffled beyond."""
-    return docs.join(F.broadcast(ids) if ids.count() <= most_rows else ids, id_col, how)
+    """Semi or anti join by id, null ids alike. The ids are broadcast while there are at most so many (8 bytes each), and shuffled beyond."""
+    other = ids.select(F.col(id_col).alias("_id"))
+    return docs.join(F.broadcast(other) if ids.count() <= most_rows else other, docs[id_col].eqNullSafe(other["_id"]), how)
