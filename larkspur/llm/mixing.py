@@ -12,7 +12,8 @@ over many tasks. The only table of a row per source is that of the targets.
 
 Edge cases: a null source is a source of its own (last in order); null and empty texts have size 0
 and are never taken; rows that repeat are separate rows; documents of a source without words have
-target 0; an empty table gives an empty result; input columns named as a result column are replaced.
+target 0; an empty table gives an empty result; input columns named as a result column are replaced, those
+named with an underscore ahead are dropped.
 """
 
 from __future__ import annotations
@@ -21,7 +22,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import cut, n_words
+from .common import cut, n_words, plain
 
 #: Density of a source's demand at progress 0, 1/2 and 1, by the class of its weight.
 CURRICULUM = ((1.5, 1.0, 0.5), (0.75, 1.0, 1.25), (0.5, 1.0, 1.5))
@@ -32,7 +33,9 @@ def targets(sizes: DataFrame, weights: tuple[float, ...], cap: float) -> DataFra
     """Target of each source: shares by weight, held to cap times its size, the excess shared again by weight.
 
     The fixed point of that resharing is a common level: every source gets level * weight or its cap,
-    whichever is less. With the sources in order of cap / weight, the level is found from running sums.
+    whichever is less. With the sources in order of cap / weight, the level that holds if all before one are
+    capped comes from running sums; it is right for the first source that does not exceed its cap by it, and
+    falls from there on, so that it is the greatest of those that fit.
     """
     order = W.orderBy(F.col("_null"), F.col("_source"))
     weight = F.element_at(F.array(*map(F.lit, weights)), F.col("_class") + 1)
@@ -45,7 +48,7 @@ def targets(sizes: DataFrame, weights: tuple[float, ...], cap: float) -> DataFra
         "_level",
         (F.sum("source_size").over(whole) - F.coalesce(F.sum("_cap").over(below), zero)) / (F.sum("_weight").over(whole) - F.coalesce(F.sum("_weight").over(below), zero)),
     )
-    s = s.withColumn("_level", F.min(F.when(F.col("_level") <= F.col("_ratio"), F.struct(F.col("_ratio"), F.col("_level")))).over(whole)["_level"])
+    s = s.withColumn("_level", F.max(F.when(F.col("_level") <= F.col("_ratio"), F.col("_level"))).over(whole))
     return s.select("_null", "_source", "_class", "source_size", F.least("_cap", F.coalesce(F.col("_level"), zero) * F.col("_weight")).alias("target"))
 
 
@@ -85,6 +88,7 @@ def assign(
     of a source ends inside one document, of which only the words that are missing are taken.
     """
     size = n_words(F.col(text_col)) if size is None else size
+    docs = plain(docs)
     base = docs.withColumn("_size", size.cast("long")).drop(*(c for c in MADE if c not in (id_col, source_col, text_col)))
     buckets = -(-base.count() // rows_each) or 1
     hashed = F.md5(F.concat_ws(":", F.lit(seed), F.coalesce(F.col(id_col).cast("string"), F.lit(""))))
@@ -111,9 +115,9 @@ def assign(
     most = -(-cap // 1)
     passes = [F.struct(F.lit(k).alias("pass"), words(k).alias("words"), F.when(F.col("target") > 0, place(k)).alias("position")) for k in range(int(most))]
     out = out.withColumn("passes", F.filter(F.array(*passes), lambda x: x["words"] > 0))
-    own = [c for c in base.columns if c[0] != "_" or c in docs.columns]
+    own = [c for c in base.columns if c[0] != "_"]
     return out.select(
-        *(c for c in own if c != "_size"),
+        *own,
         F.col("_size").alias("size"),
         "source_size",
         "target",
@@ -125,7 +129,9 @@ def assign(
 
 def mix(docs: DataFrame, **how) -> DataFrame:
     """The training order: docs' own columns, a row for each pass, with pass, words and position, sorted by position."""
-    taken = assign(docs, **how).select(*docs.columns, F.explode("passes").alias("_p")).select(*(F.col(c) for c in docs.columns), F.col("_p.pass").alias("mix_pass"), F.col("_p.words").alias("mix_words"), F.col("_p.position").alias("mix_position"))
+    rows = assign(docs, **how)
+    own = [c for c in docs.columns if c in rows.columns and c not in ("mix_pass", "mix_words", "mix_position")]
+    taken = rows.select(*own, F.explode("passes").alias("_p")).select(*own, F.col("_p.pass").alias("mix_pass"), F.col("_p.words").alias("mix_words"), F.col("_p.position").alias("mix_position"))
     return taken.orderBy("mix_position")
 
 
@@ -136,7 +142,7 @@ c AS (SELECT *, ((row_number() OVER (ORDER BY nul, src)) - 1) % 3 AS cls FROM s)
 w AS (SELECT *, [5.0::DOUBLE, 2.0::DOUBLE, 1.0::DOUBLE][cls + 1] AS weight FROM c),
 r AS (SELECT *, 3.0::DOUBLE * source_size AS cap, 3.0::DOUBLE * source_size / weight AS ratio FROM w),
 l AS (SELECT *, (sum(source_size) OVER ()::DOUBLE - coalesce(sum(cap) OVER (ORDER BY ratio, nul, src ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)) / (sum(weight) OVER () - coalesce(sum(weight) OVER (ORDER BY ratio, nul, src ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)) AS lev FROM r),
-t AS (SELECT *, least(cap, coalesce((SELECT arg_min(lev, ratio) FROM l WHERE lev <= ratio), 0) * weight) AS target FROM l),
+t AS (SELECT *, least(cap, coalesce((SELECT max(lev) FROM l WHERE lev <= ratio), 0) * weight) AS target FROM l),
 o AS (SELECT d.doc_id, d.size, t.source_size, t.target, t.cls, (sum(d.size) OVER (PARTITION BY d.nul, d.src ORDER BY h, doc_id, size ROWS UNBOUNDED PRECEDING) - d.size)::BIGINT AS start FROM d JOIN t ON d.nul = t.nul AND d.src = t.src)
 SELECT doc_id, size, source_size, target,
   (greatest(0, least(size, round(target)::BIGINT - start)) + greatest(0, least(size, round(target)::BIGINT - source_size - start)) + greatest(0, least(size, round(target)::BIGINT - 2 * source_size - start)))::BIGINT AS taken
