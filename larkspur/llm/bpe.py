@@ -197,8 +197,8 @@ def slices(texts: list[str | None], chars: int = CHARS) -> Iterator[tuple[int, i
 
 def map_columns(docs: DataFrame, columns: T.StructType, make: Callable[[pa.RecordBatch], Iterator[list]]) -> DataFrame:
     """docs with columns that make derives from each Arrow batch, a slice after another: lists of the new columns' values with the slice's range."""
-    made = set(columns.names)
-    own = [f for f in docs.schema.fields if f.name not in made]
+    made = {n.lower() for n in columns.names}
+    own = [f for f in docs.schema.fields if f.name.lower() not in made]
     kept, schema = [f.name for f in own], T.StructType([*own, *columns.fields])
     types = [(f.name, _arrow(f.dataType)) for f in columns.fields]
 

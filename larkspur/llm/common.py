@@ -47,3 +47,8 @@ def cut(df: DataFrame) -> DataFrame:
 def size_class(spark: SparkSession, rows: int, rows_each: int, least: int = 1) -> int:
     """Number of partitions that holds about rows_each rows each."""
     return max(least, -(-rows // rows_each))
+
+
+def plain(docs: DataFrame) -> DataFrame:
+    """docs without the columns whose names begin with an underscore, as those of an operator's own steps do."""
+    return docs.select(*(F.col(f"`{c}`") for c in docs.columns if not c.startswith("_")))

@@ -4,7 +4,7 @@ Built from DataFrame functions only; no shuffle, one pass over the texts.
 
 Edge cases: a null text counts as empty (no words, base_failed); repeated rows are judged each for
 itself; an empty table gives an empty result; columns of the input that carry the name of a result
-column are replaced by it.
+column are replaced by it, and those whose name begins with an underscore are dropped.
 """
 
 from __future__ import annotations
@@ -15,7 +15,7 @@ from operator import or_
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import WORD, words
+from .common import WORD, plain, words
 
 #: Words in a window of the repetition measure.
 WINDOW = 8
@@ -93,7 +93,7 @@ def apply_rules(
 ) -> DataFrame:
     """All rows and columns of docs, with the measures, clean_text, kept_chars, base_failed and kept."""
     made = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "clean_text", "kept_chars", "line_chars", "kept")
-    base = docs.drop(*(c for c in made if c != text_col))
+    base = plain(docs).drop(*(c for c in made if c != text_col))
     text = F.coalesce(F.col(text_col), F.lit(""))
     rule = {"title_words": title_words, "notice_words": notice_words, "max_symbols_per_word": max_symbols_per_word, "max_marks_per_word": max_marks_per_word, "max_separators": max_separators}
     step = base.select(

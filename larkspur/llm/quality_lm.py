@@ -114,7 +114,7 @@ def kneser_ney(counts: DataFrame) -> tuple[DataFrame, float]:
             level = level.groupBy(F.col("gram").bitwiseAND(F.lit(mask)).alias("gram")).agg(F.count("*").alias("c"))
         else:
             whole = level.agg(F.sum("c").alias("s"), F.sum(cut_by).alias("held")).first()
-            floor = (whole.held or 0.0) / (whole.s or 1) / (seen["types"] + 1)
+            floor = whole.held / whole.s / (seen["types"] + 1) if whole.s else 1.0
             parts.append(level.select("gram", ((F.col("c") - cut_by) / F.lit(whole.s or 1)).alias("p"), F.lit(None).cast("double").alias("back")))
     table = parts[0]
     for part in parts[1:]:
