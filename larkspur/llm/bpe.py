@@ -7,7 +7,8 @@ updated. A vocabulary whose merges are in training order (each part is made befo
 the same tokens in this way as merging every pre-token by itself; others are refused.
 
 The partition's texts come as Arrow batches, of which some characters are worked on at a time; the
-tokens of the pre-tokens seen are kept from batch to batch, up to a number of words.
+tokens of the pre-tokens seen are kept from batch to batch, up to a number of words, until the
+partition ends.
 
 Edge cases: null texts count as empty; the special token's string in a text is the special token, as
 in the public library; a text is never cut; repeated rows are encoded each; an empty table gives an
@@ -195,8 +196,8 @@ def slices(texts: list[str | None], chars: int = CHARS) -> Iterator[tuple[int, i
         yield at, len(texts)
 
 
-def map_columns(docs: DataFrame, columns: T.StructType, make: Callable[[pa.RecordBatch], Iterator[list]]) -> DataFrame:
-    """docs with columns that make derives from each Arrow batch, a slice after another: lists of the new columns' values with the slice's range."""
+def map_columns(docs: DataFrame, columns: T.StructType, make: Callable[[pa.RecordBatch], Iterator[list]], done: Callable[[], None] = lambda: None) -> DataFrame:
+    """docs with columns that make derives from each Arrow batch, a slice after another: lists of the new columns' values with the slice's range. done is called at a partition's end."""
     made = {n.lower() for n in columns.names}
     own = [f for f in docs.schema.fields if f.name.lower() not in made]
     kept, schema = [f.name for f in own], T.StructType([*own, *columns.fields])
@@ -207,6 +208,7 @@ def map_columns(docs: DataFrame, columns: T.StructType, make: Callable[[pa.Recor
             for (a, b), values in make(batch):
                 part = batch.slice(a, b - a)
                 yield pa.RecordBatch.from_arrays([*(part.column(c) for c in kept), *(pa.array(v, t) for v, (_, t) in zip(values, types, strict=True))], names=[*kept, *(n for n, _ in types)])
+        done()
 
     return docs.mapInArrow(run, schema)
 
@@ -236,7 +238,7 @@ def encode(docs: DataFrame, vocab_path: str, *, text_col: str = "text", ids: boo
                 out.append([hashlib.sha256(own.decode(x).encode()).hexdigest() for x in found])
             yield (a, b), out
 
-    return map_columns(docs, T.StructType(fields), make)
+    return map_columns(docs, T.StructType(fields), make, lambda: codec(held.value).forget())
 
 
 def decode(docs: DataFrame, vocab_path: str, *, ids_col: str = "token_ids", text_col: str = "decoded") -> DataFrame:

@@ -35,6 +35,8 @@ from pyspark.sql import types as T
 from .bpe import map_columns, slices
 
 CHARS, PIECE, BLOCK, LETTERS = 32_768, 1024, 512, 200
+#: Characters of texts worked on at a time.
+SLICE = 1_000_000
 UNDETERMINED = "und"
 
 
@@ -176,7 +178,7 @@ def predict(docs: DataFrame, samples: dict[str, tuple[str, int]], *, text_col: s
 
     def make(batch: pa.RecordBatch) -> Iterator:
         texts = batch.column(text_col).to_pylist()
-        for a, b in slices(texts):
+        for a, b in slices(texts, SLICE):
             yield (a, b), model(held.value).predict(texts[a:b]) if held.value else ([UNDETERMINED] * (b - a), [0.0] * (b - a))
 
     return map_columns(docs, T.StructType([T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())]), make)

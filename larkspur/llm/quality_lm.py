@@ -38,6 +38,8 @@ from .common import cut
 ORDER, BITS = 4, 16
 #: Documents of a block; characters added to a document's score; the threshold.
 ROWS, PRIOR, QUANTILE, SLACK = 8192, 200, 0.999, 1.1
+#: Characters worked on at a time.
+CHARS = 1_000_000
 #: Symbol ahead of a text, first stand-in of characters that need more than 16 bits.
 START, BEYOND = 1, 0xE000
 
@@ -71,7 +73,7 @@ def count(docs: DataFrame, text_col: str) -> DataFrame:
         codes, counts, waiting = np.zeros(0, np.uint64), np.zeros(0, np.int64), []
         for batch in batches:
             texts = batch.column(0).to_pylist()
-            for a, b in slices(texts):
+            for a, b in slices(texts, CHARS):
                 waiting.append(np.unique(grams(texts[a:b])[0], return_counts=True))
                 if sum(len(w[0]) for w in waiting) > 500_000:
                     codes, counts = merged([(codes, counts), *waiting])
@@ -143,7 +145,7 @@ def score(docs: DataFrame, table: DataFrame, floor: float, *, id_col: str, text_
 
     def ask(part: pd.DataFrame) -> pd.DataFrame:
         full, texts = np.zeros(0, np.uint64), part["_text"].tolist()
-        for a, b in slices(texts):
+        for a, b in slices(texts, CHARS):
             full = pd.unique(np.concatenate([full, pd.unique(grams(texts[a:b])[0])]))
         wanted = [full, *(pd.unique(lower(full, k)) for k in range(1, ORDER)), *(pd.unique(lower(full, k) >> np.uint64(BITS)) for k in range(2, ORDER + 1))]
         wanted = pd.unique(np.concatenate(wanted))
@@ -154,7 +156,7 @@ def score(docs: DataFrame, table: DataFrame, floor: float, *, id_col: str, text_
         part = part[list(names)].assign(bits=0.0, chars=0)
         full, bits_of, index = np.zeros(0, np.uint64), np.zeros(0), None
         bits, chars = [], []
-        for a, b in slices(texts):
+        for a, b in slices(texts, CHARS):
             codes, owner = grams(texts[a:b])
             new = pd.unique(codes)
             new = new if index is None else new[index.get_indexer(new.view(np.int64)) < 0]
