@@ -58,7 +58,7 @@ def after_watermark(source: DataFrame, column: str, mark, lookback=None) -> Data
 def unseen(rows: DataFrame, keys_state: DataFrame, key: list[str]) -> DataFrame:
     """Rows of which no row with the same key and hash is in the key state (key columns and _hash)."""
     values = [c for c in rows.columns if c not in key]
-    return rows.withColumn("_hash", row_hash(values)).join(keys_state, [*key, "_hash"], "left_anti")
+    return rows.withColumn("_hash", row_hash(values)).join(keys_state, [*key, "_hash"], "left_anti").select(rows.columns)
 
 
 def soft_deletes(rows: DataFrame, flag: str) -> DataFrame:
