@@ -30,7 +30,7 @@ def csv_table(spark: SparkSession, path: str, schema: str | None = None, *, enco
     if not skip:
         reader = spark.read.options(**options)
         return (reader.schema(schema) if schema else reader).csv(path)
-    lines = spark.read.option("wholetext", True).option("encoding", encoding).text(path)
+    lines = spark.read.option("encoding", encoding).text(path, wholetext=True)  # each an upload, so that one fits a task
     kept = lines.select(F.explode(F.slice(F.split("value", "\r?\n"), skip + (2 if header else 1), 10**9)).alias("line")).where("line != ''")
     if schema is None:
         raise ValueError("a table with notes ahead needs its schema")
