@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-import os
-import tempfile
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from larkspur.functions.checkpoints import cut, shared_dir
+
+__all__ = ["WORD", "cut", "n_words", "plain", "read", "shared_dir", "words"]
+
 #: A word is a run without ASCII white space.
 WORD = r"[^\x20\x09-\x0D]+"
 
@@ -25,30 +26,6 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share. Only a local master may do without the setting."""
-    sc = spark.sparkContext
-    at = sc.getCheckpointDir() or spark.conf.get("spark.checkpoint.dir", None)
-    if at is None:
-        if not sc.master.startswith("local"):
-            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
-        at = os.path.join(tempfile.gettempdir(), "larkspur-checkpoints")
-    if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(at)
-    return at
-
-
-def cut(df: DataFrame) -> DataFrame:
-    """Write df to the shared folder and go on from there, so that a lost executor costs no recomputation."""
-    shared_dir(df.sparkSession)
-    return df.checkpoint()
-
-
-def size_class(spark: SparkSession, rows: int, rows_each: int, least: int = 1) -> int:
-    """Number of partitions that holds about rows_each rows each."""
-    return max(least, -(-rows // rows_each))
-
-
 def plain(docs: DataFrame) -> DataFrame:
     """docs without the columns whose names begin with an underscore, as those of an operator's own steps do."""
     return docs.select(*(F.col(f"`{c}`") for c in docs.columns if not c.startswith("_")))

@@ -30,12 +30,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from larkspur.operators.components import components
+
 from .bpe import map_columns, slices
 from .common import cut
 
 LOWER = bytes(range(65)) + bytes(range(97, 123)) + bytes(range(91, 256))
-#: Rows of a tile, least and most rows of a slice, and slices beyond which slices grow.
-TILE, SLICE, SLICE_MOST, SLICES = 256, 32_768, 4_000_000, 64
+#: Rows of a tile, usual and most rows of a slice, least slices, and slices beyond which slices grow.
+TILE, SLICE, SLICE_MOST, SLICES_LEAST, SLICES = 256, 32_768, 4_000_000, 8, 64
 
 
 def shingle_hashes(words: list[bytes], size: int, seed: int, first: int = 0) -> np.ndarray:
@@ -126,7 +128,7 @@ def forest(a: np.ndarray, b: np.ndarray, radius: int, tile: int = TILE) -> tuple
 def links(distinct: DataFrame, *, radius: int = 4, name: str = "fp") -> DataFrame:
     """Links (u, v) between distinct fingerprints whose components are those of all links within the radius."""
     rows = distinct.count()
-    g = max(1, -(-rows // min(SLICE_MOST, max(SLICE, rows // SLICES))))
+    g = max(SLICES_LEAST, -(-rows // min(SLICE_MOST, max(SLICE, rows // SLICES))))
     s = F.pmod(F.xxhash64(name), F.lit(g))
     cells = distinct.select(F.col(name), s.cast("int").alias("s")).select(name, "s", F.explode(F.sequence(F.lit(0), F.lit(g - 1))).alias("o"))
     cells = cells.select(name, (F.least("s", "o") * g + F.greatest("s", "o")).cast("long").alias("cell"), (F.col("s") > F.col("o")).alias("second"))
@@ -139,25 +141,6 @@ def links(distinct: DataFrame, *, radius: int = 4, name: str = "fp") -> DataFram
     return cells.groupBy("cell").applyInPandas(compare, "u long, v long")
 
 
-def components(edges: DataFrame) -> DataFrame:
-    """(node, root) of every node that is not its component's smallest, by alternating large and small stars."""
-    oriented = lambda e: e.where("u != v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct()
-    state = lambda e: tuple(e.agg(F.count("*"), F.sum(F.xxhash64("u", "v").bitwiseAND(0xFFFFFFFF))).first())
-    now = cut(oriented(edges))
-    seen = state(now)
-    while seen[0]:
-        both = now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
-        least = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(least.select("u", F.col("m").alias("v")))
-        now = cut(oriented(small))
-        before, seen = seen, state(now)
-        if before == seen:
-            break
-    return now.select(F.col("u").alias("node"), F.col("v").alias("root"))
-
-
 def groups(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", radius: int = 4, size: int = 4, seed: int = 42) -> DataFrame:
     """id, fingerprint (16 hexadecimal digits) and component_id, the smallest id of the document's group."""
     marked = cut(fingerprints(docs.select(F.col(id_col), F.col(text_col).alias("_text")), text_col="_text", size=size, seed=seed, name="_fp").drop("_text"))
