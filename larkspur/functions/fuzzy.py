@@ -3,9 +3,11 @@
 from __future__ import annotations
 
 import pandas as pd
-from pyspark.sql import Column
+from pyspark.sql import Column, SparkSession
 from pyspark.sql import functions as F
 
+from .shipping import ship
+
 
 def similarity(a: str, b: str, boost: float = 0.1) -> float:
     """Jaro's share of matching characters, raised for a common beginning of up to four, from 0 to 1."""
@@ -35,4 +37,5 @@ def jaro_winkler(a: Column | str, b: Column | str) -> Column:
     def batch(x: pd.Series, y: pd.Series) -> pd.Series:
         return pd.Series([None if p is None or q is None else similarity(p, q) for p, q in zip(x, y, strict=True)])
 
+    ship(SparkSession.active())
     return F.pandas_udf(batch, "double")(a, b)
