@@ -31,29 +31,67 @@ FILTERS = {
 
 @dataclass(frozen=True)
 class Path:
-    """A dimension reached over many-to-one relations: (table, own key, its key) for each hop, then the column."""
+    """A column reached over many-to-one relations: (table, own key, its key) for each hop, then the column. A key may be several columns."""
 
     column: str
-    hops: tuple[tuple[str, str, str], ...] = ()
+    hops: tuple[tuple[str, str | tuple[str, ...], str | tuple[str, ...]], ...] = ()
 
 
 @dataclass(frozen=True)
 class Metric:
+    """agg is count, count_distinct, sum, avg, min, max, latest, earliest, days_since or ratio.
+
+    measure and the fields of filters are columns of the base or paths from it. A ratio has a numerator
+    and a denominator, of which only agg, measure and filters count.
+    """
+
     base: str
     agg: str
-    measure: str | None = None
+    measure: str | Path | None = None
     time: str | None = None
     days: int | None = None
-    filters: tuple[tuple[str, str, object], ...] = ()
+    filters: tuple[tuple[str | Path, str, object], ...] = ()
     dimensions: dict[str, Path] = field(default_factory=dict)
     numerator: Metric | None = None
     denominator: Metric | None = None
 
 
+def link_consumers(rows: DataFrame, identities: DataFrame, *, source: str = "_customer_source", owners: DataFrame | None = None) -> DataFrame:
+    """rows with consumer_id, by data source and customer; rows of nobody known are left out.
+
+    owners (device_id, consumer_id): a row without a customer belongs to its device's owner. A customer
+    that is not linked is not replaced by the device.
+    """
+    links = identities.select(F.col("_source").alias(source), "customer_id", "consumer_id")
+    if owners is None:
+        return rows.join(links, [source, "customer_id"])
+    own = owners.select("device_id", F.col("consumer_id").alias("_owner"))
+    both = rows.join(links, [source, "customer_id"], "left").join(own, "device_id", "left")
+    found = F.coalesce("consumer_id", F.when(F.col("customer_id").isNull(), F.col("_owner")))
+    return both.withColumn("consumer_id", found).drop("_owner").where("consumer_id IS NOT NULL")
+
+
+def reach(df: DataFrame, tables: dict[str, DataFrame], paths: dict[str, Path]) -> DataFrame:
+    """df with a column for each path, null where a hop finds nothing. Paths that begin alike share their joins."""
+    columns = lambda c: (c,) if isinstance(c, str) else c
+    joined: dict[tuple, str] = {}
+    own_columns = df.columns
+    for path in paths.values():
+        for k in range(1, len(path.hops) + 1):
+            if path.hops[:k] in joined:
+                continue
+            table, own, key = path.hops[k - 1]
+            ahead, alias = joined.get(path.hops[: k - 1]), f"_j{len(joined)}"
+            keys = {f"{alias}_{c}": c for c in columns(key)}
+            right = tables[table].select(*(F.col(c).alias(n) for n, c in keys.items()), F.struct("*").alias(alias))
+            on = [F.col(f"{ahead}.{a}" if ahead else a) == F.col(n) for a, n in zip(columns(own), keys, strict=True)]
+            df = df.join(right, on, "left").drop(*keys)
+            joined[path.hops[:k]] = alias
+    return df.select(*own_columns, *(F.col(f"{joined[p.hops]}.{p.column}" if p.hops else p.column).alias(n) for n, p in paths.items()))
+
+
 def filtered(df: DataFrame, metric: Metric, as_of: date) -> DataFrame:
-    """Rows of the metric: its filters (a null never passes a comparison) and its window (as_of - days, as_of] of UTC dates."""
-    for column, op, value in metric.filters:
-        df = df.where(FILTERS[op](F.col(column), value))
+    """Rows in the metric's window (as_of - days, as_of] of UTC dates."""
     if metric.time:
         day = F.to_date(metric.time)
         df = df.where(day <= F.lit(as_of))
@@ -62,8 +100,18 @@ def filtered(df: DataFrame, metric: Metric, as_of: date) -> DataFrame:
     return df
 
 
-def measure(metric: Metric, as_of: date) -> Column:
-    m = F.col(metric.measure) if metric.measure else F.lit(1)
+def condition(metric: Metric, names: dict[Path, str]) -> Column | None:
+    """All of the metric's filters; a null never passes a comparison."""
+    out = None
+    for f, op, value in metric.filters:
+        c = FILTERS[op](F.col(names.get(f, f)), value)
+        out = c if out is None else out & c
+    return out
+
+
+def measure(metric: Metric, as_of: date, names: dict[Path, str], only: Column | None = None) -> Column:
+    m = F.lit(1) if metric.measure is None else F.col(names.get(metric.measure, metric.measure))
+    m = m if only is None else F.when(only, m)
     match metric.agg:
         case "count":
             return F.count(m)
@@ -78,43 +126,32 @@ def measure(metric: Metric, as_of: date) -> Column:
         case "max":
             return F.max(m)
         case "latest":
-            return F.max_by(m, F.struct(metric.time, metric.measure))
+            return F.max_by(m, F.struct(F.col(metric.time), m))
         case "earliest":
-            return F.min_by(m, F.struct(metric.time, metric.measure))
+            return F.min_by(m, F.struct(F.col(metric.time), m))
         case "days_since":
             return F.datediff(F.lit(as_of), F.max(F.to_date(metric.time))).cast("long")
+        case "ratio":
+            part = lambda p: measure(p, as_of, names, condition(p, names))
+            top = F.coalesce(part(metric.numerator), F.lit(0)).cast("double")
+            return F.try_divide(top, F.nullif(part(metric.denominator).cast("double"), F.lit(0.0)))
     raise ValueError(f"unknown aggregate {metric.agg}")
 
 
-def with_dimensions(df: DataFrame, tables: dict[str, DataFrame], dimensions: dict[str, Path]) -> DataFrame:
-    """df with a column for each dimension. Paths that begin alike share their joins; a missing value is UNLINKED."""
-    joined: dict[tuple, str] = {}
-    for path in dimensions.values():
-        for k in range(1, len(path.hops) + 1):
-            if path.hops[:k] in joined:
-                continue
-            table, own, key = path.hops[k - 1]
-            ahead = joined.get(path.hops[: k - 1])
-            alias = f"_j{len(joined)}"
-            right = tables[table].select(F.col(key).alias(f"{alias}_key"), F.struct("*").alias(alias))
-            df = df.join(right, (F.col(f"{ahead}.{own}") if ahead else F.col(own)) == F.col(f"{alias}_key"), "left").drop(f"{alias}_key")
-            joined[path.hops[:k]] = alias
-    for name, path in dimensions.items():
-        at = F.col(f"{joined[path.hops]}.{path.column}" if path.hops else path.column).cast("string")
-        df = df.withColumn(name, F.coalesce(F.nullif(at, F.lit("")), F.lit(UNLINKED)))
-    return df
-
-
 def evaluate(metric: Metric, tables: dict[str, DataFrame], as_of: date, by: tuple[str, ...] = ()) -> DataFrame:
-    """by, the metric's dimensions, and value. A ratio divides its parts, a missing numerator counting as 0."""
-    keys = [*by, *metric.dimensions]
-    if metric.agg == "ratio":
-        part = lambda m, name: evaluate(Metric(**{**m.__dict__, "dimensions": metric.dimensions}), tables, as_of, by).withColumnRenamed("value", name)
-        top, bottom = part(metric.numerator, "_n"), part(metric.denominator, "_d")
-        both = bottom.join(top, keys, "left") if keys else bottom.crossJoin(top)
-        return both.select(*keys, F.try_divide(F.coalesce("_n", F.lit(0)).cast("double"), F.nullif("_d", F.lit(0))).alias("value"))
-    rows = with_dimensions(filtered(tables[metric.base], metric, as_of), tables, metric.dimensions)
-    return rows.groupBy(*keys).agg(measure(metric, as_of).alias("value"))
+    """by, the metric's dimensions (a missing value is UNLINKED), and value, in one aggregate.
+
+    A ratio divides aggregates of the same rows: a numerator without rows counts as 0, a denominator of 0 gives null.
+    """
+    parts = [m for m in (metric, metric.numerator, metric.denominator) if m]
+    wanted = {f for m in parts for f, _, _ in m.filters} | {m.measure for m in parts}
+    names = {p: f"_p{k}" for k, p in enumerate(sorted((x for x in wanted if isinstance(x, Path)), key=repr))}
+    rows = reach(filtered(tables[metric.base], metric, as_of), tables, {n: p for p, n in names.items()} | {f"_d{k}": p for k, p in enumerate(metric.dimensions.values())})
+    rule = condition(metric, names)
+    rows = rows if rule is None else rows.where(rule)
+    for k, name in enumerate(metric.dimensions):
+        rows = rows.withColumn(name, F.coalesce(F.nullif(F.col(f"_d{k}").cast("string"), F.lit("")), F.lit(UNLINKED)))
+    return rows.groupBy(*by, *metric.dimensions).agg(measure(metric, as_of, names).alias("value"))
 
 
 @dataclass(frozen=True)
@@ -150,6 +187,14 @@ def impact(before: DataFrame, after: DataFrame, key: str, value: str) -> DataFra
     return b.join(a, key, "full").groupBy("before", "after").agg(F.count("*").alias("n"))
 
 
+def changed_keys(before: DataFrame, after: DataFrame, key: str, value: str = "value") -> DataFrame:
+    """One row (changed, added, removed): keys whose values differ as multisets, or that only one result has."""
+    values = lambda df, name: df.groupBy(key).agg(F.array_sort(F.collect_list(F.coalesce(F.col(value).cast("string"), F.lit("\0")))).alias(name))
+    both = values(before, "_b").join(values(after, "_a"), key, "full")
+    gone, new = F.col("_a").isNull(), F.col("_b").isNull()
+    return both.agg(F.count_if(~gone & ~new & (F.col("_a") != F.col("_b"))).alias("changed"), F.count_if(new).alias("added"), F.count_if(gone).alias("removed"))
+
+
 def may_sum(metric: Metric) -> bool:
     """Whether values of groups may be added to that of their union."""
     return metric.agg in ADDITIVE

@@ -42,12 +42,14 @@ def per_consumer(q: DataFrame, as_of: date) -> DataFrame:
 def rfm(q: DataFrame, as_of: date, segments: list[tuple[str, str]], thresholds: dict[str, list[float]] | None = None, otherwise: str = "other") -> DataFrame:
     """consumer_id, recency_days, frequency, monetary, r, f, m (1 to 5) and segment: the first condition over r, f and m that holds.
 
-    Fifths by rank, or by thresholds: four ascending bounds a measure, of which a value passes those it reaches.
+    Fifths by rank, or by thresholds: four ascending bounds a measure. Frequency and money gain a step at each
+    bound that they reach, recency loses one at each that it exceeds.
     """
     c = per_consumer(q, as_of).select("consumer_id", "recency_days", F.col("orders").alias("frequency"), "monetary")
     if thresholds:
         reach = lambda name: 1 + sum((F.col(name) >= x).cast("long") for x in thresholds[name])
-        scored = c.withColumns({"r": 6 - reach("recency_days"), "f": reach("frequency"), "m": reach("monetary")})
+        late = sum((F.col("recency_days") > x).cast("long") for x in thresholds["recency_days"])
+        scored = c.withColumns({"r": 5 - late, "f": reach("frequency"), "m": reach("monetary")})
     else:
         fifth = lambda name, lead, *ties: ranks.ranked(c, lead, *ties).select("consumer_id", ranks.ntile(5).alias(name))
         scored = c.join(fifth("r", "recency_days", "consumer_id"), "consumer_id").withColumn("r", 6 - F.col("r"))

@@ -141,6 +141,8 @@ def test_templates(spark, q):
     assert rows(templates.churn(q, as_of, multiplier=0.99), "at_risk") == [(True,)]
     r = templates.rfm(q, as_of, [("top", "r >= 4 AND f >= 3")], {"recency_days": [7, 25, 60, 90], "frequency": [2, 3, 4, 5], "monetary": [50, 100, 150, 500]})
     assert rows(r, "consumer_id", "r", "f", "m", "segment") == [("c1", 3, 3, 4, "other"), ("c2", 4, 1, 1, "other")]
+    edge = templates.rfm(q, D("2024-03-10"), [], {"recency_days": [0, 9, 60, 90], "frequency": [2, 3, 4, 5], "monetary": [50, 100, 150, 500]})
+    assert rows(edge, "consumer_id", "r") == [("c1", 4), ("c2", 5)]
     c = templates.clv(q, as_of).where("consumer_id = 'c2'").first()
     assert (c.orders, c.tenure_days, c.freq_per_year) == (1, 21, 12.1667)
     people = spark.createDataFrame([("c1",), ("c2",), ("c3",)], "consumer_id string")
@@ -158,21 +160,121 @@ def test_qualifying_orders(spark):
     assert rows(templates.qualifying(orders, links, ["paid"], D("2024-01-31"), 30), "order_id") == [("o1",)]
 
 
-def test_metrics(spark):
-    tables = {
-        "order": spark.createDataFrame([("o1", "s1", "paid", 10.0, "2024-01-31"), ("o2", "s1", None, 20.0, "2024-01-01"), ("o3", "s2", "paid", 5.0, "2023-12-01"), ("o4", None, "open", 7.0, "2024-02-01")], "id string, store string, status string, amount double, t string").withColumn("t", F.to_timestamp("t")),
-        "store": spark.createDataFrame([("s1", "north"), ("s2", "")], "store_id string, region string"),
+@pytest.fixture(scope="session")
+def shop(spark):
+    """Two consumers, c1 with a customer in each of two sources; worked out by hand."""
+
+    def table(columns, *data):
+        return spark.createDataFrame([tuple(r) for r in data], columns)
+
+    orders = table(
+        "order_id string, customer_id string, status string, amount double, at string, store_id string, _source string",
+        ("o1", "1", "paid", 100.0, "2024-06-30 10:00:00", "st1", "s1"),
+        ("o2", "10", "completed", 50.0, "2024-06-20 10:00:00", "st2", "s2"),
+        ("o3", "1", "paid", 30.0, "2024-06-02 00:00:00", "st3", "s1"),
+        ("o4", "2", "paid", 70.0, "2024-07-01 23:00:00", "st1", "s1"),
+        ("o5", "2", "paid", 5.0, "2024-06-15 10:00:00", "gone", "s1"),
+        ("o6", "2", "paid", 6.0, "2024-06-15 10:00:00", None, "s1"),
+        ("o7", "2", "paid", 7.0, "2024-06-15 10:00:00", "st4", "s1"),
+        ("o8", "x", "paid", 999.0, "2024-06-15 10:00:00", "st1", "s2"),
+        ("o9", "1", "paid", 1000.0, "2024-06-01 23:00:00", "st1", "s1"),
+        ("o10", "1", "refunded", 2000.0, "2024-06-15 10:00:00", "st1", "s1"),
+    ).withColumns({"created_at": F.to_timestamp("at"), "_customer_source": F.col("_source")})
+    events = table(
+        "event_id string, customer_id string, device_id string, _customer_source string",
+        *[("e1", "1", "d1", "s1"), ("e2", None, "d1", "s1"), ("e3", None, "d1", "s1"), ("e4", "2", "d1", "s1"), ("e5", None, "d3", "s1"), ("e6", "x", "d2", "s2"), ("e7", None, "d2", "s1")],
+    )
+    identities = table("_source string, customer_id string, consumer_id string", ("s1", "1", "c1"), ("s2", "10", "c1"), ("s1", "2", "c2"))
+    owners = table("device_id string, consumer_id string", ("d1", "c2"), ("d2", "c1"))
+    items = table(
+        "item string, order_id string, product_id string, amount double",
+        *[("i1", "o1", "p1", 60.0), ("i2", "o1", "p2", 40.0), ("i3", "o2", "p1", 50.0), ("i4", "o4", "p2", 70.0), ("i5", "o8", "p1", 999.0), ("i6", "gone", "p1", 500.0), ("i7", "o10", "p1", 2000.0), ("i8", "o9", "p1", 1000.0), ("i9", "o3", "p9", 30.0)],
+    )
+    through = items.join(orders.select("order_id", "customer_id", "status", "created_at", "_customer_source"), "order_id")
+    return {
+        "order": metrics.link_consumers(orders, identities),
+        "event": metrics.link_consumers(events, identities, owners=owners),
+        "known event": metrics.link_consumers(events, identities),
+        "item": metrics.link_consumers(through, identities),
+        "store": table("store_id string, region_id string, name string, area double", ("st1", "r1", "one", 10.5), ("st2", "r2", "two", 20.0), ("st3", "r1", "three", 30.0), ("st4", None, "four", None)),
+        "region": table("region_id string, name string", ("r1", "east"), ("r2", "north")),
+        "customer": table("customer_id string, city string, _source string", ("1", "Shanghai", "s1"), ("10", "Beijing", "s2"), ("2", None, "s1")),
+        "consumer": table("consumer_id string, city string", ("c1", "Beijing"), ("c2", None)),
+        "product": table("product_id string, category string", ("p1", "milk"), ("p2", "diapers")),
     }
-    by = {"region": metrics.Path("region", (("store", "store", "store_id"),))}
-    m = metrics.Metric("order", "sum", "amount", dimensions=by)
-    assert rows(metrics.evaluate(m, tables, D("2024-01-31")), "region", "value") == [("north", 30.0), (metrics.UNLINKED, 12.0)]
-    month = metrics.Metric("order", "count", time="t", days=30)
-    assert rows(metrics.evaluate(month, tables, D("2024-01-31")), "value") == [(1,)]
-    not_paid = metrics.Metric("order", "count", filters=(("status", "ne", "paid"),))
-    assert rows(metrics.evaluate(not_paid, tables, D("2024-01-31")), "value") == [(1,)]
-    assert not metrics.may_sum(metrics.Metric("order", "ratio")) and metrics.may_sum(m)
+
+
+BOUGHT = ("status", "in", ["paid", "shipped", "completed"])
+STORE = (("store", "store_id", "store_id"),)
+REGION = metrics.Path("name", (*STORE, ("region", "region_id", "region_id")))
+
+
+def result(shop, metric, as_of="2024-07-01"):
+    return rows(metrics.evaluate(metric, shop, D(as_of), ("consumer_id",)), "consumer_id", *metric.dimensions, "value")
+
+
+def test_metric_by_path_and_window(shop):
+    m = metrics.Metric("order", "sum", "amount", "created_at", 30, (BOUGHT,), {"region": REGION})
+    assert result(shop, m) == [("c1", "east", 130.0), ("c1", "north", 50.0), ("c2", "east", 70.0), ("c2", metrics.UNLINKED, 18.0)]
+    assert result(shop, metrics.Metric("order", "count", filters=(("amount", "gte", 30),))) == [("c1", 5), ("c2", 1)]
+
+
+def test_metric_ratio(shop):
+    one = lambda agg, measure=None, *filters: metrics.Metric("order", agg, measure, filters=filters)
+    ratio = lambda a, b, *filters, **more: metrics.Metric("order", "ratio", numerator=a, denominator=b, filters=filters, **more)
+    refunded = ("status", "eq", "refunded")
+    assert result(shop, ratio(one("count"), one("count", None, refunded))) == [("c1", 5.0), ("c2", None)]
+    assert result(shop, ratio(one("sum", "amount", refunded), one("sum", "amount"))) == [("c1", 2000 / 3180), ("c2", 0.0)]
+    assert result(shop, ratio(one("sum", "amount"), one("count"), ("status", "eq", "paid"), time="created_at", days=30)) == [("c1", 65.0), ("c2", 22.0)]
+
+
+def test_metric_first_last_and_days(shop):
+    big = ("amount", "gte", 30)
+    assert result(shop, metrics.Metric("order", "latest", "amount", "created_at")) == [("c1", 100.0), ("c2", 70.0)]
+    assert result(shop, metrics.Metric("order", "earliest", "amount", "created_at", filters=(big,))) == [("c1", 1000.0), ("c2", 70.0)]
+    days = metrics.Metric("order", "days_since", None, "created_at")
+    assert result(shop, days) == [("c1", 1), ("c2", 0)] and result(shop, days, "2024-07-11") == [("c1", 11), ("c2", 10)]
+
+
+def test_metric_of_devices_and_items(shop):
+    assert result(shop, metrics.Metric("event", "count")) == [("c1", 2), ("c2", 3)]
+    assert result(shop, metrics.Metric("known event", "count")) == [("c1", 1), ("c2", 1)]
+    city = {"city": metrics.Path("city", (("consumer", "consumer_id", "consumer_id"),))}
+    assert result(shop, metrics.Metric("event", "count", dimensions=city)) == [("c1", "Beijing", 2), ("c2", metrics.UNLINKED, 3)]
+    of_customer = {"city": metrics.Path("city", (("customer", ("_customer_source", "customer_id"), ("_source", "customer_id")),))}
+    assert result(shop, metrics.Metric("event", "count", dimensions=of_customer)) == [("c1", "Shanghai", 1), ("c1", metrics.UNLINKED, 1), ("c2", metrics.UNLINKED, 3)]
+    category = {"category": metrics.Path("category", (("product", "product_id", "product_id"),))}
+    m = metrics.Metric("item", "sum", "amount", "created_at", 365, (BOUGHT,), category)
+    assert result(shop, m) == [("c1", "diapers", 40.0), ("c1", "milk", 1110.0), ("c1", metrics.UNLINKED, 30.0), ("c2", "diapers", 70.0)]
+
+
+def test_metric_filters_and_measures_by_path(shop):
+    count = lambda op, v=None: result(shop, metrics.Metric("order", "count", filters=((REGION, op, v),)))
+    assert count("eq", "east") == [("c1", 4), ("c2", 1)] and count("ne", "east") == [("c1", 1)] and count("is_null") == [("c2", 3)]
+    area = metrics.Path("area", STORE)
+    assert result(shop, metrics.Metric("order", "sum", area)) == [("c1", 81.5), ("c2", 10.5)]
+    m = metrics.Metric("order", "sum", area, filters=((REGION, "eq", "east"),), dimensions={"store": metrics.Path("name", STORE)})
+    assert result(shop, m) == [("c1", "one", 31.5), ("c1", "three", 30.0), ("c2", "one", 10.5)]
     with pytest.raises(ValueError):
-        metrics.evaluate(metrics.Metric("order", "mode"), tables, D("2024-01-31"))
+        metrics.evaluate(metrics.Metric("order", "mode"), shop, D("2024-01-31"))
+    assert metrics.may_sum(m) and not metrics.may_sum(metrics.Metric("order", "ratio"))
+
+
+def test_tags(spark):
+    orders = spark.createDataFrame([("c1", 100.0), ("c1", 900.0), ("c2", 150.0), ("c3", 20.0), ("c4", None)], "consumer_id string, amount double")
+    views = spark.createDataFrame([("c5",)] * 5 + [("c2",)] * 5 + [("c3",)], "consumer_id string")
+    people = spark.createDataFrame([(f"c{k}",) for k in range(1, 7)], "consumer_id string")
+    tables = {"order": orders, "view": views}
+    of = {"revenue": (metrics.Metric("order", "sum", "amount"), "consumer_id"), "orders": (metrics.Metric("order", "count"), "consumer_id"), "views": (metrics.Metric("view", "count"), "consumer_id"), "top": (metrics.Metric("order", "max", "amount"), "consumer_id")}
+    tag = lambda *rules, otherwise="no": [r[1] for r in rows(metrics.tag(people, "consumer_id", of, list(rules), tables, D("2024-07-01"), otherwise), "consumer_id", "tag")]
+    rule = metrics.Rule
+    assert tag(rule("high", (("revenue", "gte", 1000),)), rule("mid", (("revenue", "gte", 100),)), otherwise="low") == ["high", "mid", "low", "low", "low", "low"]
+    assert tag(rule("looked", (("orders", "eq", 0), ("views", "gte", 1)))) == ["no", "no", "no", "no", "looked", "no"]
+    assert tag(rule("active", (("views", "gte", 5), ("revenue", "gte", 1000)), any=True)) == ["active", "active", "no", "no", "active", "no"]
+    assert tag(rule("small", (("top", "lt", 100),))) == ["no", "no", "small", "no", "no", "no"]
+    value = lambda *r: spark.createDataFrame(list(r), "consumer_id string, value double")
+    assert rows(metrics.changed_keys(value(("a", 1.0), ("b", 2.0), ("c", 3.0)), value(("a", 1.0), ("b", 5.0), ("d", 3.0)), "consumer_id"), "changed", "added", "removed") == [(1, 1, 1)]
+    assert rows(metrics.impact(value(("a", 1.0), ("b", 2.0)), value(("a", 1.0), ("c", 2.0)), "consumer_id", "value"), "before", "after", "n") == [(1.0, 1.0, 1), (2.0, None, 1), (None, 2.0, 1)]
 
 
 def test_quality(spark):
