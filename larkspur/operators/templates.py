@@ -82,7 +82,7 @@ def repurchase(q: DataFrame, window_days: int) -> DataFrame:
     return c.withColumn("repurchased", F.coalesce(F.col("days_to_second") <= window_days, F.lit(False)))
 
 
-def churn(q: DataFrame, as_of: date, multiplier: float = 2.0, min_gap: float = 7.0, min_orders: int = 2) -> DataFrame:
+def churn(q: DataFrame, as_of: date, multiplier: float = 2.0, min_gap: float = 7.0, min_orders: int = 3) -> DataFrame:
     """consumer_id, orders, avg_gap_days, recency_days, silence_ratio (2 places) and at_risk: silent for more than multiplier usual gaps."""
     c = per_consumer(q, as_of).where(F.col("orders") >= min_orders)
     gap = F.datediff("last_order_date", "first_order_date") / (F.col("orders") - 1)
@@ -92,14 +92,14 @@ def churn(q: DataFrame, as_of: date, multiplier: float = 2.0, min_gap: float = 7
 
 
 def clv(q: DataFrame, as_of: date, horizon_days: int = 365, min_tenure_days: int = 30, decay: float = 2.0) -> DataFrame:
-    """Expected value over the horizon: mean order, orders a year, and the chance that the consumer is still active."""
+    """Expected value over the horizon: mean order, orders a year, and the chance that the consumer is still active. A tenure is min_tenure_days at least."""
     c = per_consumer(q, as_of)
     tenure = F.greatest("tenure_days", F.lit(min_tenure_days))
     mean = F.col("monetary").cast("double") / F.col("orders")
     alive = F.exp(-F.col("recency_days") / F.greatest(tenure / F.col("orders"), F.lit(30.0)) / decay)
     per_year = F.col("orders") * 365.0 / tenure
     value = mean * F.col("orders") * horizon_days / tenure * alive
-    return c.select("consumer_id", "orders", "monetary", F.round(mean, 2).alias("avg_order_value"), "recency_days", "tenure_days", F.round(per_year, 4).alias("freq_per_year"), F.round(alive, 4).alias("p_alive"), F.round(value.cast("decimal(18,6)"), 2).alias("clv"))
+    return c.select("consumer_id", "orders", "monetary", mean.alias("avg_order_value"), "recency_days", tenure.cast("long").alias("tenure_days"), per_year.alias("freq_per_year"), alive.alias("p_alive"), F.round(value.cast("decimal(28,10)"), 2).cast("decimal(18,2)").alias("clv"))
 
 
 def user_360(consumers: DataFrame, q: DataFrame, consents: DataFrame, as_of: date, channels: tuple[str, ...] = ("sms", "email", "push", "wechat", "app", "other")) -> DataFrame:

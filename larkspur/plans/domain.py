@@ -316,14 +316,14 @@ def d49_repurchase_template(spark, sf_dir):
     return templates.repurchase(shop(spark, sf_dir), 90)
 
 
-@query(f"WITH {SHOP_SQL}, c AS (SELECT consumer_id, count(*) AS orders, date_diff('day', min(day), max(day)) / (count(*) - 1) AS gap, date_diff('day', max(day), DATE '2002-01-01')::BIGINT AS recency_days FROM q GROUP BY 1 HAVING count(*) >= 2) SELECT consumer_id, orders, round(gap, 2) AS avg_gap_days, recency_days, round((recency_days / greatest(gap, 7.0::DOUBLE))::DECIMAL(18,6), 2)::DOUBLE AS silence_ratio, round((recency_days / greatest(gap, 7.0::DOUBLE))::DECIMAL(18,6), 2)::DOUBLE > 2 AS at_risk FROM c")
+@query(f"WITH {SHOP_SQL}, c AS (SELECT consumer_id, count(*) AS orders, date_diff('day', min(day), max(day)) / (count(*) - 1) AS gap, date_diff('day', max(day), DATE '2002-01-01')::BIGINT AS recency_days FROM q GROUP BY 1 HAVING count(*) >= 3) SELECT consumer_id, orders, round(gap, 2) AS avg_gap_days, recency_days, round((recency_days / greatest(gap, 7.0::DOUBLE))::DECIMAL(18,6), 2)::DOUBLE AS silence_ratio, round((recency_days / greatest(gap, 7.0::DOUBLE))::DECIMAL(18,6), 2)::DOUBLE > 2 AS at_risk FROM c")
 def d50_churn_template(spark, sf_dir):
     return templates.churn(shop(spark, sf_dir), AS_OF)
 
 
-@query(f"WITH {SHOP_SQL}, c AS (SELECT consumer_id, count(*) AS orders, sum(amount) AS s, date_diff('day', max(day), DATE '2002-01-01')::BIGINT AS recency_days, date_diff('day', min(day), DATE '2002-01-01')::BIGINT AS tenure_days FROM q GROUP BY 1) SELECT consumer_id, orders, recency_days, tenure_days, round(orders * 365.0::DOUBLE / greatest(tenure_days, 30), 4) AS freq_per_year, round(exp(-recency_days / greatest(greatest(tenure_days, 30) / orders, 30.0::DOUBLE) / 2), 4) AS p_alive FROM c")
+@query(f"WITH {SHOP_SQL}, c AS (SELECT consumer_id, count(*) AS orders, sum(amount) AS s, date_diff('day', max(day), DATE '2002-01-01')::BIGINT AS recency_days, date_diff('day', min(day), DATE '2002-01-01')::BIGINT AS tenure_days FROM q GROUP BY 1) SELECT consumer_id, orders, recency_days, greatest(tenure_days, 30)::BIGINT AS tenure_days, round(orders * 365.0::DOUBLE / greatest(tenure_days, 30), 4) AS freq_per_year, round(exp(-recency_days / greatest(greatest(tenure_days, 30) / orders, 30.0::DOUBLE) / 2), 4) AS p_alive FROM c")
 def d51_clv_template(spark, sf_dir):
-    return templates.clv(shop(spark, sf_dir), AS_OF).select("consumer_id", "orders", "recency_days", "tenure_days", "freq_per_year", "p_alive")
+    return templates.clv(shop(spark, sf_dir), AS_OF).select("consumer_id", "orders", "recency_days", "tenure_days", F.round("freq_per_year", 4).alias("freq_per_year"), F.round("p_alive", 4).alias("p_alive"))
 
 
 @query(f"WITH {SHOP_SQL}, c AS (SELECT DISTINCT c_custkey % 1300 AS consumer_id FROM customer), o AS (SELECT consumer_id, count(*) AS orders, max(day) AS last_order_date FROM q GROUP BY 1), g AS (SELECT user_id AS consumer_id, bool_or(event_type = 'click') AS consent_push FROM events GROUP BY 1) SELECT consumer_id, coalesce(orders, 0) AS orders, last_order_date, coalesce(consent_push, false) AS consent_push FROM c LEFT JOIN o USING (consumer_id) LEFT JOIN g USING (consumer_id)")

@@ -137,14 +137,14 @@ def test_templates(spark, q):
     assert rows(templates.repurchase(q, 30), "consumer_id", "orders", "days_to_second", "repurchased") == [("c1", 3, 30, True), ("c2", 1, None, False)]
     assert rows(templates.cohort(q, as_of), "consumer_id", "cohort_start", "active_periods") == [("c1", D("2024-01-01"), [0, 2]), ("c2", D("2024-03-01"), [0])]
     assert rows(templates.cohort(q, as_of, "week", 20), "consumer_id", "active_periods") == [("c1", [0, 4, 8]), ("c2", [0])]
-    assert rows(templates.churn(q, as_of), "consumer_id", "avg_gap_days", "recency_days", "silence_ratio", "at_risk") == [("c1", 30.0, 30, 1.0, False)]
-    assert rows(templates.churn(q, as_of, multiplier=0.99), "at_risk") == [(True,)]
+    assert rows(templates.churn(q, as_of, min_orders=2), "consumer_id", "avg_gap_days", "recency_days", "silence_ratio", "at_risk") == [("c1", 30.0, 30, 1.0, False)]
+    assert rows(templates.churn(q, as_of, multiplier=0.99, min_orders=2), "at_risk") == [(True,)]
     r = templates.rfm(q, as_of, [("top", "r >= 4 AND f >= 3")], {"recency_days": [7, 25, 60, 90], "frequency": [2, 3, 4, 5], "monetary": [50, 100, 150, 500]})
     assert rows(r, "consumer_id", "r", "f", "m", "segment") == [("c1", 3, 3, 4, "other"), ("c2", 4, 1, 1, "other")]
     edge = templates.rfm(q, D("2024-03-10"), [], {"recency_days": [0, 9, 60, 90], "frequency": [2, 3, 4, 5], "monetary": [50, 100, 150, 500]})
     assert rows(edge, "consumer_id", "r") == [("c1", 4), ("c2", 5)]
     c = templates.clv(q, as_of).where("consumer_id = 'c2'").first()
-    assert (c.orders, c.tenure_days, c.freq_per_year) == (1, 21, 12.1667)
+    assert (c.orders, c.tenure_days, round(c.freq_per_year, 4)) == (1, 30, 12.1667)
     people = spark.createDataFrame([("c1",), ("c2",), ("c3",)], "consumer_id string")
     consent = spark.createDataFrame([("c3", "sms", "granted"), ("c1", "sms", "revoked")], "consumer_id string, channel string, status string")
     got = templates.user_360(people, q, consent, as_of)
@@ -160,6 +160,71 @@ def test_qualifying_orders(spark):
     assert rows(templates.qualifying(orders, links, ["paid"], D("2024-01-31"), 30), "order_id") == [("o1",)]
 
 
+def orders_of(spark, links, data):
+    """Qualifying orders from (customer, source, status, amount, created, paid); links: source and customer to consumer."""
+    o = spark.createDataFrame([(f"o{k}", c, st_, a, cr, pd_, src) for k, (c, src, st_, a, cr, pd_) in enumerate(data, 1)], "order_id string, customer_id string, status string, amount double, created string, paid string, _customer_source string")
+    o = o.withColumns({"created_at": F.to_timestamp("created"), "paid_at": F.to_timestamp("paid")})
+    people = spark.createDataFrame([(s_, c, who) for (s_, c), who in links.items()], "_source string, customer_id string, consumer_id string")
+    return lambda lookback, statuses=("paid", "shipped", "completed"): templates.qualifying(o, people, list(statuses), D("2024-07-01"), lookback)
+
+
+LINKS = {("s1", "1"): "c1", ("s2", "10"): "c1", ("s1", "2"): "c2", ("s1", "3"): "c3", ("s1", "4"): "c4"}
+
+
+def test_churn_worked_out(spark):
+    one = lambda c, day, status="paid", src="s1", paid=True: (c, src, status, 10.0, f"2024-{day} 10:00:00", f"2024-{day} 10:00:00" if paid else None)
+    data = [one("10", "03-01", "completed", "s2", False), one("1", "04-15"), one("1", "06-30"), one("2", "06-01"), one("2", "06-02"), one("2", "06-03", "shipped"), one("3", "05-01"), one("3", "05-11"), one("4", "05-01"), one("4", "05-02"), one("4", "05-03", "refunded"), one("x", "06-15", src="s2")]
+    q = orders_of(spark, LINKS, data)(365)
+    at = lambda **how: {r.consumer_id: (r.orders, r.avg_gap_days, r.recency_days, r.silence_ratio, r.at_risk) for r in templates.churn(q, D("2024-07-01"), **how).collect()}
+    assert at() == {"c1": (3, 60.5, 1, 0.02, False), "c2": (3, 1.0, 28, 4.0, True)}
+    assert not at(multiplier=4)["c2"][4] and at(multiplier=3)["c2"][4]
+    two = at(min_orders=2)
+    assert set(two) == {"c1", "c2", "c3", "c4"} and two["c3"] == (2, 10.0, 51, 5.1, True)
+    assert at(min_gap=14)["c2"][3:] == (2.0, False)
+
+
+def test_lifetime_value_worked_out(spark):
+    links = {k: v for k, v in LINKS.items() if v != "c4"}
+    data = [("1", "s1", "paid", 800.0, "2022-01-01", "2022-01-01"), ("10", "s2", "completed", 200.0, "2024-03-01", None), ("1", "s1", "paid", 100.0, "2024-04-15", "2024-04-15"), ("1", "s1", "paid", 100.0, "2024-06-30", "2024-06-30")]
+    data += [("2", "s1", "shipped", 50.0, "2024-06-21", "2024-06-21"), ("3", "s1", "refunded", 90.0, "2024-06-01", "2024-06-01"), ("3", "s1", "paid", 90.0, "2024-07-02", "2024-07-02"), ("x", "s2", "paid", 999.0, "2024-06-15", "2024-06-15")]
+    q = orders_of(spark, links, data)
+    at = lambda lookback=365, **how: {r.consumer_id: r for r in templates.clv(q(lookback), D("2024-07-01"), **how).collect()}
+    got = at()
+    assert set(got) == {"c1", "c2"}
+    assert (got["c1"].orders, got["c1"].monetary, got["c1"].tenure_days, str(got["c1"].clv)) == (3, 400.0, 122, "1182.10")
+    assert [got["c1"].avg_order_value, got["c1"].freq_per_year, got["c1"].p_alive] == pytest.approx([133.3333, 8.97541, 0.98778], abs=1e-4)
+    assert (got["c2"].tenure_days, str(got["c2"].clv)) == (30, "514.94") and got["c2"].p_alive == pytest.approx(0.84648, abs=1e-4)
+    assert at(decay=1)["c2"].p_alive == pytest.approx(0.71653, abs=1e-4) and str(at(horizon_days=730)["c2"].clv) == "1029.89"
+    assert at(min_tenure_days=60)["c2"].p_alive == pytest.approx(0.92004, abs=1e-4)
+    assert (at(1000)["c1"].orders, at(1000)["c1"].tenure_days) == (4, 912)
+
+
+def test_repurchase_worked_out(spark):
+    data = [("1", "s1", "paid", 800.0, "2023-06-01", "2023-06-01"), ("10", "s2", "completed", 200.0, "2024-03-01", None), ("1", "s1", "paid", 100.0, "2024-04-15", "2024-04-15"), ("1", "s1", "paid", 100.0, "2024-06-30", "2024-06-30")]
+    data += [("2", "s1", "shipped", 50.0, "2024-05-01 08:00:00", "2024-05-01 08:00:00"), ("2", "s1", "paid", 50.0, "2024-05-01 20:00:00", "2024-05-01 20:00:00"), ("3", "s1", "paid", 70.0, "2024-06-01", "2024-06-01"), ("4", "s1", "refunded", 90.0, "2024-06-01", "2024-06-01")]
+    q = orders_of(spark, LINKS, data)
+    got = rows(templates.repurchase(q(365), 45), "consumer_id", "orders", "first_order_date", "days_to_second", "repurchased")
+    assert got == [("c1", 3, D("2024-03-01"), 45, True), ("c2", 2, D("2024-05-01"), 0, True), ("c3", 1, D("2024-06-01"), None, False)]
+    assert not rows(templates.repurchase(q(365), 44), "consumer_id", "repurchased")[0][1]
+    assert rows(templates.repurchase(q(400), 90), "consumer_id", "orders", "days_to_second")[0] == ("c1", 4, 274)
+
+
+def test_rfm_worked_out(spark):
+    links = {**{("s1", str(k)): f"c{k}" for k in range(1, 8)}, ("s2", "40"): "c4"}
+    one = lambda c, status, amount, created, paid="same", src="s1": (c, src, status, amount, created, created if paid == "same" else paid)
+    data = [one("1", "paid", 500.0, "2024-06-29", "2024-06-30"), one("1", "refunded", 900.0, "2024-06-20"), one("2", "paid", 100.0, "2024-04-01"), one("2", "shipped", 100.0, "2024-05-01"), one("2", "completed", 100.0, "2024-06-01"), one("2", "paid", 700.0, "2024-07-02"), one("3", "paid", 40.0, "2024-01-01"), one("3", "paid", 60.0, "2024-03-01"), one("3", "paid", 800.0, "2023-06-01")]
+    data += [one("4", "paid", 250.0, "2024-05-01"), one("4", "paid", 250.0, "2024-06-01"), one("40", "paid", 250.0, "2024-06-10", src="s2"), one("40", "paid", 250.0, "2024-06-25 10:00:00", "2024-06-25 23:30:00", "s2"), one("5", "completed", 50.0, "2023-12-01", None), one("x", "paid", 999.0, "2024-06-15", src="s2"), one("7", "cancelled", 80.0, "2024-06-05", None), one("6", "cancelled", 80.0, "2024-06-05", None)]
+    q = orders_of(spark, links, data)
+    as_of = D("2024-07-01")
+    got = rows(templates.rfm(q(365), as_of, []), "consumer_id", "recency_days", "frequency", "monetary", "r", "f", "m")
+    assert got == [("c1", 1, 1, 500.0, 5, 2, 4), ("c2", 30, 3, 300.0, 3, 4, 3), ("c3", 122, 2, 100.0, 2, 3, 2), ("c4", 6, 4, 1000.0, 4, 5, 5), ("c5", 213, 1, 50.0, 1, 1, 1)]
+    bounds = {"recency_days": [7, 30, 90, 180], "frequency": [2, 3, 4, 5], "monetary": [100, 200, 500, 1000]}
+    got = rows(templates.rfm(q(365), as_of, [("high", "m >= 4"), ("near", "r BETWEEN 4 AND 5")], bounds), "consumer_id", "r", "f", "m", "segment")
+    assert got == [("c1", 5, 1, 4, "high"), ("c2", 4, 3, 3, "near"), ("c3", 2, 2, 2, "other"), ("c4", 5, 4, 5, "high"), ("c5", 1, 1, 1, "other")]
+    tied = rows(templates.rfm(q(365, ("cancelled",)), as_of, []), "consumer_id", "recency_days", "r", "f", "m")
+    assert tied == [("c6", 26, 5, 1, 1), ("c7", 26, 4, 2, 2)]
+
+
 @pytest.fixture(scope="session")
 def shop(spark):
     """Two consumers, c1 with a customer in each of two sources; worked out by hand."""
