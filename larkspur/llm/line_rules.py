@@ -84,7 +84,7 @@ def apply_rules(
     text_col: str = "text",
     min_words: int = 20,
     max_repeat_percent: int = 30,
-    max_lost_percent: int = 50,
+    max_lost_percent: int = 65,
     title_words: int = 8,
     notice_words: int = 40,
     max_symbols_per_word: float = 0.5,
@@ -147,6 +147,6 @@ m AS (
     (len(ls) - len(list_distinct(ls)))::BIGINT AS n_dup_lines, coalesce(rep.n, 0)::BIGINT AS n_repeat_words, coalesce(kept_chars, 0) AS kept_chars, coalesce(line_chars, 0) AS line_chars
   FROM w LEFT JOIN rep USING (rid) LEFT JOIN judged USING (rid))
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, n_words < 20 OR 100 * n_repeat_words > 30 * n_words AS base_failed,
-  NOT (n_words < 20 OR 100 * n_repeat_words > 30 * n_words) AND 100 * kept_chars >= 50 * line_chars AS kept
+  NOT (n_words < 20 OR 100 * n_repeat_words > 30 * n_words) AND 100 * kept_chars >= 35 * line_chars AS kept
 FROM m
 """
