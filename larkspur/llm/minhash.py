@@ -23,6 +23,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from larkspur.functions.shipping import ship
+
 from .bpe import map_columns, slices
 from .simhash import LOWER, shingle_hashes
 
@@ -104,21 +106,25 @@ def with_next(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text"
     ranges = min(RANGES, max(1, -(-n // ROWS)))
     cuts = ids.agg(F.percentile_approx(id_col, [k / ranges for k in range(1, ranges)] or [0.5], 20 * ranges).alias("q")).first()["q"] or []
     cuts = np.unique(np.array(cuts if ranges > 1 else [], np.int64))
-    make_range = T.StructType([T.StructField("_range", T.LongType())])
+    long = [T.StructField(c, T.LongType()) for c in ("_range", "_back")]
 
-    def place(batch: pa.RecordBatch) -> Iterator:
+    def ranges_of(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         column = batch.column(id_col)
-        at = np.searchsorted(cuts, column.fill_null(0).to_numpy(zero_copy_only=False), side="right")
-        yield (0, batch.num_rows), [np.where(column.is_null().to_numpy(zero_copy_only=False), len(cuts) + 1, at)]
-
-    firsts = sorted((r["_range"], r["first"]) for r in map_columns(ids, make_range, place).groupBy("_range").agg(F.min(id_col).alias("first")).collect())
-    held = {first: (at, firsts[k - 1][0]) for k, (at, first) in enumerate(firsts)}
-    rows = map_columns(docs.select(id_col, text_col), make_range, place)
-    before = F.create_map(*(F.lit(x) for first, (_, b) in held.items() if first is not None for x in (first, b))) if any(f is not None for f in held) else F.lit(None)
-    back = F.element_at(before, F.col(id_col)) if any(f is not None for f in held) else F.lit(None).cast("long")
-    if None in held:
-        back = F.when(F.col(id_col).isNull(), F.lit(held[None][1])).otherwise(back)
-    both = F.array(F.struct(F.col("_range"), F.lit(0).alias("_copy")), F.struct(back.cast("long").alias("_range"), F.lit(1).alias("_copy")))
+        keys, null = column.fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64), column.is_null().to_numpy(zero_copy_only=False)
+        return keys, null, np.where(null, len(cuts) + 1, np.searchsorted(cuts, keys, side="right"))
+
+    def place(batch: pa.RecordBatch) -> Iterator:
+        yield (0, batch.num_rows), [ranges_of(batch)[2]]
+
+    firsts = sorted((r["_range"], r["first"]) for r in map_columns(ids, T.StructType(long[:1]), place).groupBy("_range").agg(F.min(id_col).alias("first")).collect())
+    before = {first: firsts[k - 1][0] for k, (_, first) in enumerate(firsts)}  # at most a few thousand numbers
+
+    def place_twice(batch: pa.RecordBatch) -> Iterator:
+        keys, null, at = ranges_of(batch)
+        yield (0, batch.num_rows), [at, [before.get(None if n else k) for k, n in zip(keys.tolist(), null.tolist(), strict=True)]]
+
+    rows = map_columns(docs.select(id_col, text_col), T.StructType(long), place_twice)
+    both = F.array(F.struct(F.col("_range"), F.lit(0).alias("_copy")), F.struct(F.col("_back").alias("_range"), F.lit(1).alias("_copy")))
     rows = rows.select(id_col, text_col, F.explode(F.filter(both, lambda x: x["_range"].isNotNull())).alias("_at")).select("_at._range", "_at._copy", id_col, text_col)
     return rows.repartition(max(12, min(ranges, 4096)), "_range").sortWithinPartitions("_range", "_copy", F.col(id_col).asc_nulls_last(), text_col)
 
@@ -149,4 +155,5 @@ def compare_with_next(docs: DataFrame, *, id_col: str = "doc_id", text_col: str
                     held = None if copy else (at, key, text, own, hashes, mine)
                 yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*out, strict=True) if out else [[]] * len(names), types.types, strict=True)], schema=types)
 
+    ship(docs.sparkSession)
     return with_next(docs, id_col=id_col, text_col=text_col).mapInArrow(run, schema)
