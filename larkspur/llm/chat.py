@@ -26,6 +26,8 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
+from larkspur.functions.shipping import ship
+
 from .bpe import codec, map_columns, slices, vocabulary
 
 TURN, CONTENT, END = "<|turn|>", "<|content|>", "<|end|>"
@@ -119,6 +121,7 @@ def digest(formatted: DataFrame, vocab_path: str, *, conv_col: str = "conv_id",
         if open_:
             yield pa.RecordBatch.from_pylist([dict(zip(schema.names, (conv, n, turns.hexdigest(), loss_chars, loss.hexdigest(), chars), strict=True))], schema=_types(batch, conv_col, schema))
 
+    ship(formatted.sparkSession)
     ordered = formatted.select(conv_col, turn_col, role_col, text_col, "token_ids", "loss_mask").repartition(conv_col).sortWithinPartitions(conv_col, turn_col, role_col, text_col)
     return ordered.select(conv_col, "token_ids", "loss_mask").mapInArrow(run, schema)
 

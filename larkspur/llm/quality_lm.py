@@ -32,6 +32,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from larkspur.functions.shipping import ship
+
 from .bpe import slices
 from .common import cut
 
@@ -82,6 +84,7 @@ def count(docs: DataFrame, text_col: str) -> DataFrame:
         for a in range(0, len(codes), 100_000):
             yield pa.RecordBatch.from_arrays([pa.array(codes[a : a + 100_000].view(np.int64)), pa.array(counts[a : a + 100_000])], names=["gram", "n"])
 
+    ship(docs.sparkSession)
     return docs.select(text_col).mapInArrow(run, "gram long, n long").groupBy("gram").agg(F.sum("n").alias("n"))
 
 
@@ -143,12 +146,15 @@ def score(docs: DataFrame, table: DataFrame, floor: float, *, id_col: str, text_
     names = tuple(dict.fromkeys((id_col, *keep)))
     base = docs.select(*names, F.col(text_col).alias("_text"), block.alias("_block")).repartition(blocks, "_block")
 
+    ship(docs.sparkSession)
+
     def ask(part: pd.DataFrame) -> pd.DataFrame:
         full, texts = np.zeros(0, np.uint64), part["_text"].tolist()
         for a, b in slices(texts, CHARS):
             full = pd.unique(np.concatenate([full, pd.unique(grams(texts[a:b])[0])]))
         wanted = [full, *(pd.unique(lower(full, k)) for k in range(1, ORDER)), *(pd.unique(lower(full, k) >> np.uint64(BITS)) for k in range(2, ORDER + 1))]
         wanted = pd.unique(np.concatenate(wanted))
+        pa.default_memory_pool().release_unused()
         return pd.DataFrame({"_block": np.full(len(wanted), part["_block"].iloc[0], np.int32), "gram": wanted.view(np.int64)})
 
     def answer(part: pd.DataFrame, known: pd.DataFrame) -> pd.DataFrame:
@@ -165,6 +171,7 @@ def score(docs: DataFrame, table: DataFrame, floor: float, *, id_col: str, text_
                 index = pd.Index(full.view(np.int64))
             bits.append(np.bincount(owner, bits_of[index.get_indexer(codes.view(np.int64))], minlength=b - a) if len(codes) else np.zeros(b - a))
             chars.append(np.bincount(owner, minlength=b - a))
+        pa.default_memory_pool().release_unused()
         return part.assign(bits=np.concatenate(bits) if bits else 0.0, chars=np.concatenate(chars) if chars else 0)
 
     asked = base.groupBy("_block").applyInPandas(ask, "_block int, gram long")

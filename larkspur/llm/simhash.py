@@ -30,6 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from larkspur.functions.shipping import ship
 from larkspur.operators.components import components
 
 from .bpe import map_columns, slices
@@ -138,6 +139,7 @@ def links(distinct: DataFrame, *, radius: int = 4, name: str = "fp") -> DataFram
         u, v = forest(x[~second], x[second], radius) if second.any() or key[0] // g == key[0] % g else (x[:0], x[:0])
         return pd.DataFrame({"u": u.view(np.int64), "v": v.view(np.int64)})
 
+    ship(distinct.sparkSession)
     return cells.groupBy("cell").applyInPandas(compare, "u long, v long")
 
 
