@@ -11,6 +11,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from larkspur.functions.checkpoints import cut
+
 from . import ranks
 
 
@@ -51,6 +53,7 @@ def rfm(q: DataFrame, as_of: date, segments: list[tuple[str, str]], thresholds:
         late = sum((F.col("recency_days") > x).cast("long") for x in thresholds["recency_days"])
         scored = c.withColumns({"r": 5 - late, "f": reach("frequency"), "m": reach("monetary")})
     else:
+        c = cut(c)  # one row a consumer, ranked three times
         fifth = lambda name, lead, *ties: ranks.ranked(c, lead, *ties).select("consumer_id", ranks.ntile(5).alias(name))
         scored = c.join(fifth("r", "recency_days", "consumer_id"), "consumer_id").withColumn("r", 6 - F.col("r"))
         scored = scored.join(fifth("f", "frequency", "monetary", "consumer_id"), "consumer_id").join(fifth("m", "monetary", "consumer_id"), "consumer_id")

@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from larkspur.functions.checkpoints import cut
 from larkspur.operators import asof, geo, ranks, sessions, topn
 
 from .registry import query
@@ -132,7 +133,7 @@ def d7_cohort_retention(spark, sf_dir):
 
 
 def rfm(spark, sf_dir) -> DataFrame:
-    c = clean(spark, sf_dir).groupBy("o_custkey").agg(days(as_of(), F.max("day")).alias("recency"), F.count("*").alias("frequency"), F.round(F.sum("o_totalprice"), 2).alias("monetary"))
+    c = cut(clean(spark, sf_dir).groupBy("o_custkey").agg(days(as_of(), F.max("day")).alias("recency"), F.count("*").alias("frequency"), F.round(F.sum("o_totalprice"), 2).alias("monetary")))
     fifth = lambda name, lead, *ties: ranks.ranked(c, lead, *ties).select("o_custkey", ranks.ntile(5).alias(name))
     r = fifth("_r", "recency", "o_custkey")
     f = fifth("f", "frequency", "monetary", "o_custkey")
@@ -189,7 +190,7 @@ def d10_churn(spark, sf_dir):
     SELECT o_custkey, round(100 * (0.35::DOUBLE * a + 0.35::DOUBLE * b + 0.2::DOUBLE * c + 0.1::DOUBLE * d), 4) AS score FROM p"""
 )
 def d11_loyalty_score(spark, sf_dir):
-    v = value(spark, sf_dir).withColumn("fresh", -F.col("recency"))
+    v = cut(value(spark, sf_dir).withColumn("fresh", -F.col("recency")))
     out = v.select("o_custkey")
     for name, lead in (("a", "n"), ("b", "s"), ("c", "fresh"), ("d", "tenure")):
         out = out.join(ranks.ranked(v.select("o_custkey", lead), lead).select("o_custkey", ranks.percent_rank().alias(name)), "o_custkey")
