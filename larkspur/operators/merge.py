@@ -48,6 +48,17 @@ def overlap(a: DataFrame, b: DataFrame, key: str, attribute: str, same: float =
     return n.withColumns({"agreement": F.round(share, 6), "advice": advice})
 
 
+def refresh(winners: DataFrame, records: DataFrame, touched: DataFrame, key: list[str], order: list[str]) -> DataFrame:
+    """winners after a batch: those of the touched keys are picked afresh from all current records, the others stay.
+
+    records hold every mapping's current rows and not the winners alone, so that the runner-up comes
+    forward when a winner is deleted, and a key without records disappears.
+    """
+    keys = touched.select(*key).distinct()
+    fresh = latest(records.join(keys, key, "left_semi"), key, order)
+    return winners.join(keys, key, "left_anti").unionByName(fresh.select(winners.columns))
+
+
 def by_priority(rows: DataFrame, key: list[str], priority: str, order: list[str]) -> DataFrame:
     """The whole row of the source with the least priority number, then the last by order."""
     return latest(rows.withColumn("_p", -F.col(priority)), key, ["_p", *order]).drop("_p")

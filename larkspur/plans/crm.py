@@ -124,8 +124,8 @@ def d6_contribution_bands(spark, sf_dir):
     SELECT cohort, m, active, round(active / max(active) FILTER (m = 0) OVER (PARTITION BY cohort), 6) AS retention FROM n"""
 )
 def d7_cohort_retention(spark, sf_dir):
-    paid = clean(spark, sf_dir).select("o_custkey", F.trunc("day", "month").alias("month")).distinct()
-    paid = paid.withColumn("cohort", F.min("month").over(W.partitionBy("o_custkey")))
+    month = F.trunc("day", "month")  # a customer's months are few, so that one shuffle brings them together
+    paid = clean(spark, sf_dir).groupBy("o_custkey").agg(F.min(month).alias("cohort"), F.collect_set(month).alias("_m")).select("cohort", F.explode("_m").alias("month"))
     m = (F.year("month") - F.year("cohort")) * 12 + F.month("month") - F.month("cohort")
     n = paid.select("cohort", m.cast("long").alias("m")).where("m <= 12").groupBy("cohort", "m").agg(F.count("*").alias("active"))
     first = F.max(F.when(F.col("m") == 0, F.col("active"))).over(W.partitionBy("cohort"))
@@ -272,6 +272,18 @@ def d16_basket_lift(spark, sf_dir):
     return p.select("a", "b", "both", F.round(both / F.col("n"), 8).alias("support"), F.round(both / F.col("ca"), 8).alias("confidence"), F.round(both * F.col("n") / (F.col("ca") * F.col("cb")), 8).alias("lift"))
 
 
+@query(
+    f"""WITH {RFM_SQL}, v AS (SELECT n_name, p_brand, round(sum(l_extendedprice), 2) AS revenue FROM lineitem JOIN part ON l_partkey = p_partkey JOIN orders ON l_orderkey = orders.o_orderkey JOIN rfm ON rfm.o_custkey = orders.o_custkey JOIN customer ON c_custkey = orders.o_custkey JOIN nation ON c_nationkey = n_nationkey WHERE segment IN ('champion', 'loyal') GROUP BY ALL)
+    SELECT n_name, p_brand, revenue FROM v QUALIFY row_number() OVER (PARTITION BY n_name ORDER BY revenue DESC, p_brand) <= 3"""
+)
+def d18_brands_of_loyal_customers(spark, sf_dir):
+    loyal = rfm(spark, sf_dir).where(F.col("segment").isin("champion", "loyal")).select("o_custkey")
+    people = t(spark, sf_dir, "customer").join(small(t(spark, sf_dir, "nation")), F.expr("c_nationkey = n_nationkey")).select(F.col("c_custkey").alias("o_custkey"), "n_name").join(loyal, "o_custkey")
+    bought = t(spark, sf_dir, "orders").select("o_orderkey", "o_custkey").join(people, "o_custkey").join(t(spark, sf_dir, "lineitem").select("l_orderkey", "l_partkey", "l_extendedprice"), F.expr("o_orderkey = l_orderkey"))
+    by = bought.join(t(spark, sf_dir, "part").select("p_partkey", "p_brand"), F.expr("l_partkey = p_partkey")).groupBy("n_name", "p_brand").agg(F.round(F.sum("l_extendedprice"), 2).alias("revenue"))
+    return topn.top_rows(by, ["n_name"], [F.desc("revenue"), F.asc("p_brand")], 3)
+
+
 @query(
     f"""WITH {CLEAN_SQL}, w AS (SELECT o_custkey, o_orderkey, o_orderdate, sum(o_totalprice) OVER (x RANGE BETWEEN INTERVAL 30 DAYS PRECEDING AND CURRENT ROW) AS s30, sum(o_totalprice) OVER (x RANGE BETWEEN INTERVAL 365 DAYS PRECEDING AND CURRENT ROW) AS s365,
     row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey) AS k FROM clean WINDOW x AS (PARTITION BY o_custkey ORDER BY o_orderdate))

@@ -184,3 +184,12 @@ def r19_schema_changes(spark, sf_dir):
     after = before.drop("c_name").withColumns({"note": F.lit(""), "c_nationkey": F.col("c_nationkey").cast("long"), "c_acctbal": F.col("c_acctbal").cast("int")})
     found = [(kind, column, breaks) for column, kind, breaks in changes.schema_diff(before.schema, after.schema)]
     return spark.createDataFrame(found, "change string, column_name string, breaking boolean")
+
+
+@query("SELECT DISTINCT user_id FROM events")
+def r8_stream_first_seen(spark, sf_dir):
+    """Each user once, by a stream's state within the watermark."""
+    at = folder(spark, "first")
+    seen = incremental.first_seen(streamed(spark, sf_dir).withColumn("ts", F.col("ts").cast("timestamp")), ["user_id"], "ts", late="3650 days")
+    incremental.append(seen.select("user_id"), f"{at}/data", f"{at}/state").awaitTermination()
+    return spark.read.parquet(f"{at}/data")

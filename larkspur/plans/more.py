@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from larkspur.functions import expressions as X
 from larkspur.functions.shipping import ship
 from larkspur.operators import changes, geo, metrics, quality, topn
+from larkspur.sources import readers
 
 from .crm import SESSIONS_SQL, sessionized
 from .domain import AS_OF, lake, shop
@@ -328,3 +329,36 @@ def v5_keyword_recall(spark, sf_dir):
     low = F.lower("text")
     hits = F.expr("cast((length(lower(text)) - length(replace(lower(text), 'the', ''))) div 3 AS BIGINT)")
     return t(spark, sf_dir, "documents").where(low.contains("the")).select("doc_id", hits.alias("hits"))
+
+
+@query("SELECT user_id, event_type, ts, event_id FROM events WHERE event_id % 13 != 0 QUALIFY row_number() OVER (PARTITION BY user_id, event_type ORDER BY ts DESC, event_id DESC) = 1")
+def r16_incremental_merge(spark, sf_dir):
+    """Rows are deleted and added after a first merge; only the keys that they touch are merged again."""
+    from larkspur.operators import merge
+
+    e = t(spark, sf_dir, "events").select("user_id", "event_type", "ts", "event_id")
+    key, order = ["user_id", "event_type"], ["ts", "event_id"]
+    first, now = e.where("event_id % 10 != 0"), e.where("event_id % 13 != 0")
+    touched = e.where("event_id % 10 = 0 OR event_id % 13 = 0")
+    return merge.refresh(topn.latest(first, key, order), now, touched, key, order)
+
+
+@query()
+def v4_cell_index_search(spark, sf_dir):
+    """An index of k-means cells over all vectors; every row whose id is divisible by 20 asks for its ten nearest."""
+    from larkspur.operators import search
+
+    e = t(spark, sf_dir, "embeddings").select("vec_id", "embedding")
+    indexed, centres = search.cells(e, "embedding", 16)
+    return search.probe(e.where("vec_id % 20 = 0"), indexed, centres, "vec_id", "embedding", 10, probes=12)
+
+
+@query("SELECT 'customer' AS name UNION ALL SELECT 'orders' UNION ALL SELECT 'events'")
+def s14_prefix_tables(spark, sf_dir):
+    found = readers.prefix_tables(spark, sf_dir)
+    return spark.createDataFrame([(n,) for n in found if n in ("customer", "orders", "events")], "name string")
+
+
+@query("SELECT count(*) AS rows FROM lineitem")
+def s20_file_listing(spark, sf_dir):
+    return readers.files_of(readers.parquet(spark, f"{sf_dir}/lineitem.parquet")).agg(F.sum("rows").alias("rows"))

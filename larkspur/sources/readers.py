@@ -97,6 +97,27 @@ def paged(spark: SparkSession, fetch: Callable[[int, int, int], list[dict]], sch
     return ranges.mapInPandas(pull, schema)
 
 
+def prefix_tables(spark: SparkSession, root: str) -> dict[str, str]:
+    """(table, path) of a store's folder: each folder below it, and each file at its top, is a table. No rows are read."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(root)
+    found = at.getFileSystem(spark._jsc.hadoopConfiguration()).listStatus(at)
+    return {s.getPath().getName().split(".")[0]: str(s.getPath()) for s in found if not s.getPath().getName().startswith(("_", "."))}
+
+
+def files_of(df: DataFrame) -> DataFrame:
+    """(path, bytes, rows) of the files behind a DataFrame."""
+    return df.groupBy(F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_size").alias("bytes")).agg(F.count("*").alias("rows"))
+
+
+def excel(spark: SparkSession, path: str, sheet: str | int = 0) -> DataFrame:
+    """A sheet of a workbook, read on the driver: for small uploads, and only where openpyxl is installed."""
+    try:
+        import openpyxl  # noqa: F401
+    except ImportError as e:
+        raise RuntimeError("reading workbooks needs openpyxl") from e
+    return spark.createDataFrame(pd.read_excel(path, sheet_name=sheet))
+
+
 def flatten(df: DataFrame, sep: str = "_") -> DataFrame:
     """Nested structs as columns named by their path; arrays stay."""
     while any(isinstance(f.dataType, T.StructType) for f in df.schema.fields):

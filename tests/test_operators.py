@@ -348,3 +348,22 @@ def test_quality(spark):
     good, bad = quality.split_rows(df, {"sign": F.col("v") >= 0, "key": F.col("k").isNotNull()})
     assert rows(good, "k", "v") == [(1, 5.0)] and rows(bad, "broken") == [("key",), ("sign",)]
     assert rows(quality.check_rows(df, {"key": F.col("k") > 0}), "rule", "rows", "failed", "passed") == [("key", 3, 1, False)]
+
+
+def test_cell_index_recall(spark):
+    from larkspur.operators import search
+
+    e = spark.read.parquet("/root/testdata/sf0.001/embeddings.parquet").select("vec_id", "embedding")
+    asked = e.where("vec_id % 20 = 0")
+    exact = {(r["query"], r.vec_id) for r in search.k_nearest_of_each(asked, e, "vec_id", "embedding", 10).collect()}
+    indexed, centres = search.cells(e, "embedding", 16)
+    found = {(r["query"], r.vec_id) for r in search.probe(asked, indexed, centres, "vec_id", "embedding", 10, probes=12).collect()}
+    assert indexed.count() == e.count() and len(exact & found) / len(exact) >= 0.9
+
+
+def test_refresh_brings_the_runner_up(spark):
+    records = spark.createDataFrame([("k1", 1, "old"), ("k1", 2, "new"), ("k2", 1, "only"), ("k3", 1, "stays")], "k string, t int, v string")
+    winners = spark.createDataFrame([("k1", 2, "new"), ("k2", 1, "only"), ("k3", 1, "stays")], "k string, t int, v string")
+    left = records.where("NOT (k = 'k1' AND t = 2) AND k != 'k2'")
+    got = merge.refresh(winners, left, records.where("k != 'k3'"), ["k"], ["t"])
+    assert rows(got, "k", "v") == [("k1", "old"), ("k3", "stays")]
