@@ -57,7 +57,9 @@ def fingerprint(text: str | None, size: int = 4, seed: int = 42) -> int:
     if not words:
         return 0
     h = shingle_hashes(words, size, seed)
-    ones = np.unpackbits(h.astype(">u8").view(np.uint8).reshape(-1, 8), axis=1).sum(0, dtype=np.int64)
+    ones = np.zeros(64, np.int64)
+    for k in range(0, len(h), 50_000):
+        ones += np.unpackbits(h[k : k + 50_000].astype(">u8").view(np.uint8).reshape(-1, 8), axis=1).sum(0, dtype=np.int64)
     return int.from_bytes(np.packbits(2 * ones > len(h)).tobytes(), "big")
 
 
