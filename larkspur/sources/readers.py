@@ -24,9 +24,16 @@ def json_lines(spark: SparkSession, path: str, schema: T.StructType | str) -> Da
     return spark.read.schema(schema).json(path)
 
 
+def allow_encoding(spark: SparkSession, encoding: str) -> None:
+    """Let the session read texts in any of Java's encodings, where it is not one that Spark always takes."""
+    if encoding.upper() not in ("UTF-8", "UTF-16", "UTF-32", "US-ASCII", "ISO-8859-1"):
+        spark.conf.set("spark.sql.legacy.javaCharsets", "true")
+
+
 def csv_table(spark: SparkSession, path: str, schema: str | None = None, *, encoding: str = "UTF-8", delimiter: str = ",", header: bool = True, skip: int = 0) -> DataFrame:
     """CSV files by a declared schema, or as text columns. skip: leading lines that are notes, left out of every file."""
     options = {"encoding": encoding, "sep": delimiter, "header": str(header).lower()}
+    allow_encoding(spark, encoding)
     if not skip:
         reader = spark.read.options(**options)
         return (reader.schema(schema) if schema else reader).csv(path)

@@ -20,10 +20,13 @@ def test_rejects(spark, tmp_path):
 def test_sniff_and_skip(spark, tmp_path):
     found = readers.sniff("编号;姓名\n1;张三\n2;李四\n".encode("gb18030"))
     assert (found["encoding"], found["delimiter"], found["header"], found["skip"]) == ("GB18030", ";", True, 0)
+    (tmp_path / "g").mkdir()
+    (tmp_path / "g/a.csv").write_bytes("编号;姓名\n1;张三\n".encode("gb18030"))
+    assert readers.csv_table(spark, str(tmp_path / "g"), "id int, name string", encoding="GB18030", delimiter=";").first().name == "张三"
     (tmp_path / "b.csv").write_text("made by hand\nid;name\n1;a\n2;b\n")
     found = readers.sniff((tmp_path / "b.csv").read_bytes())
     assert found["skip"] == 1 and found["rows"] == [["1", "a"], ["2", "b"]]
-    df = readers.csv_table(spark, str(tmp_path), "id int, name string", delimiter=";", skip=1)
+    df = readers.csv_table(spark, str(tmp_path / "b.csv"), "id int, name string", delimiter=";", skip=1)
     assert sorted(map(tuple, df.collect())) == [(1, "a"), (2, "b")]
 
 
