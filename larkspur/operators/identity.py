@@ -39,6 +39,7 @@ def match_edges(records: DataFrame, node: str, fields: list[str]) -> DataFrame:
 
 def resolve(records: DataFrame, node: str, fields: list[str]) -> DataFrame:
     """(node, consumer): the smallest record of each record's group."""
+    records = cut(records.select(node, *fields))  # read by each pair of classes
     roots = components(match_edges(records, node, fields))
     return records.select(F.col(node).alias("node")).join(roots, "node", "left").select(F.col("node").alias(node), F.coalesce("root", "node").alias("consumer"))
 

@@ -81,6 +81,8 @@ def test_stream_totals_once(spark, tmp_path):
     table = tables.VersionedTable(spark, str(tmp_path / "t"))
     for _ in range(2):  # the second run finds nothing new
         incremental.merge_totals(stream(), table, ["key"], {"n": "count(*)", "s": "sum(v)"}, ["v"], str(tmp_path / "state")).awaitTermination()
+    again = incremental.merge_totals(stream(), table, ["key"], {"n": "count(*)", "s": "sum(v)"}, ["v"], str(tmp_path / "lost"))
+    again.awaitTermination()  # the same batches once more, as after a lost state
     assert sorted(tuple(r)[:4] for r in table.read().select("key", "n", "s", "v").collect()) == [("a", 3, 3, 2), ("b", 3, 3, 1)]
 
 
