@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from itertools import combinations, combinations_with_replacement
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -20,26 +20,30 @@ def match_edges(records: DataFrame, node: str, fields: list[str]) -> DataFrame:
     Two records are linked if they agree on a field and do not conflict on any field ahead of it. Null
     matches nothing and conflicts with nothing. No pairs are formed: records of a value are split by
     which of the earlier fields they have; two such classes are linked as wholes where the fields they
-    share agree, so that a star around the smallest record stands for all their links.
+    share agree, so that a star around the smallest record stands for all their links. Every record goes out
+    once for each pair of classes that it is in (at most 7 times for three fields), in one shuffle.
     """
-    out = None
+    rules = []
     for k, field in enumerate(fields):
         ahead = fields[:k]
-        rows = records.where(F.col(field).isNotNull()).select(F.col(node).alias("n"), F.col(field).alias("f"), *ahead)
         masks = [m for r in range(k + 1) for m in combinations(ahead, r)]
-        has = lambda m: F.lit(True) if not ahead else F.array(*(F.col(c).isNotNull() for c in ahead)) == F.array(*(F.lit(c in m) for c in ahead))  # noqa: B023, E731
-        for one, two in combinations_with_replacement(masks, 2):
-            key = ["f", *(c for c in one if c in two)]
-            both = rows.where(has(one) | has(two))
-            stars = both.groupBy(*key).agg(F.min("n").alias("_hub"), F.count("*").alias("_n"), F.count_if(has(one)).alias("_a"), F.count_if(has(two)).alias("_b"))
-            edges = both.join(stars.where("_n > 1 AND _a > 0 AND _b > 0"), key).select(F.col("n").alias("u"), F.col("_hub").alias("v")).where("u != v")
-            out = edges if out is None else out.unionByName(edges)
-    return out.distinct()
+
+        def has(mask: tuple[str, ...], field: str = field, ahead: list[str] = ahead) -> Column:
+            out = F.col(field).isNotNull()
+            for c in ahead:
+                out = out & (F.col(c).isNotNull() if c in mask else F.col(c).isNull())
+            return out
+
+        for p, (one, two) in enumerate(combinations_with_replacement(masks, 2)):
+            key = F.array(F.lit(f"{k}.{p}"), *(F.col(c).cast("string") for c in (field, *(c for c in one if c in two))))
+            rules.append(F.when(has(one) | has(two), F.struct(key.alias("key"), has(one).alias("a"), has(two).alias("b"))))
+    rows = records.select(F.col(node).alias("n"), F.inline(F.filter(F.array(*rules), lambda x: x.isNotNull())))
+    stars = rows.groupBy("key").agg(F.min("n").alias("_hub"), F.count("*").alias("_n"), F.bool_or("a").alias("_a"), F.bool_or("b").alias("_b"))
+    return rows.join(stars.where("_n > 1 AND _a AND _b"), "key").select(F.col("n").alias("u"), F.col("_hub").alias("v")).where("u != v").distinct()
 
 
 def resolve(records: DataFrame, node: str, fields: list[str]) -> DataFrame:
     """(node, consumer): the smallest record of each record's group."""
-    records = cut(records.select(node, *fields))  # read by each pair of classes
     roots = components(match_edges(records, node, fields))
     return records.select(F.col(node).alias("node")).join(roots, "node", "left").select(F.col("node").alias(node), F.coalesce("root", "node").alias("consumer"))
 

@@ -12,12 +12,15 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 
-def ranked(df: DataFrame, lead: str, *ties: str, ranges: int = 64) -> DataFrame:
+def ranked(df: DataFrame, lead: str, *ties: str, ranges: int = 64, alone: int = 100_000) -> DataFrame:
     """df with _row (row number), _rank (by the leading key alone) and _n (rows), ascending by lead, then ties; lead holds numbers or times, without nulls.
 
-    df is read three times, so that a dear one should be cut first. ranges: tasks that share the work; a
+    Up to `alone` rows are few enough for one task and are ranked there. df is read several times, so that a dear one should be cut first. ranges: tasks that share the work; a
     value of lead that very many rows have stays in one of them.
     """
+    if df.limit(alone + 1).count() <= alone:
+        whole = W.partitionBy()
+        return df.select(*df.columns, F.row_number().over(W.orderBy(lead, *ties)).alias("_row"), F.rank().over(W.orderBy(lead)).alias("_rank"), F.count("*").over(whole).alias("_n"))
     cuts = df.agg(F.percentile_approx(lead, [k / ranges for k in range(1, ranges)], 20 * ranges).alias("q")).select(F.array_sort(F.array_distinct("q")).alias("_cuts"))
     at = df.crossJoin(F.broadcast(cuts)).withColumn("_range", F.when(F.col("_cuts").isNull(), 0).otherwise(F.size(F.filter("_cuts", lambda x: x <= F.col(lead))))).drop("_cuts")
     sizes = at.groupBy("_range").agg(F.count("*").alias("_size"))

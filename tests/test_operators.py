@@ -31,12 +31,12 @@ def test_asof(spark, slice_seconds):
     assert rows(near, "k", "s", "v") == [(1, 100, "b"), (1, 5, "a")]
 
 
-@settings(max_examples=6, deadline=None)
-@given(st.integers(0, 10**6), st.integers(0, 40))
-def test_global_ranks(spark, seed, n):
+@settings(max_examples=10, deadline=None)
+@given(st.integers(0, 10**6), st.integers(0, 40), st.sampled_from([0, 100]))
+def test_global_ranks(spark, seed, n, alone):
     r = random.Random(seed)
     data = [(i, r.randint(0, 6)) for i in range(n)]
-    got = ranks.ranked(spark.createDataFrame(data, "id long, v long"), "v", "id", ranges=4).select("id", ranks.ntile(5).alias("t"), ranks.percent_rank().alias("p")).collect()
+    got = ranks.ranked(spark.createDataFrame(data, "id long, v long"), "v", "id", ranges=4, alone=alone).select("id", ranks.ntile(5).alias("t"), ranks.percent_rank().alias("p")).collect()
     order = sorted(data, key=lambda x: (x[1], x[0]))
     for row in got:
         k = order.index((row.id, dict(data)[row.id]))
