@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 import os
 import tempfile
 import zipfile
 from pathlib import Path
 
+import pyarrow as pa
 from pyspark.sql import SparkSession
 
 #: Bytes of an Arrow batch to a Python worker: texts have any length, so that rows alone bound nothing.
@@ -14,6 +17,13 @@ BATCH_BYTES = "8m"
 DEFAULT = "67108864b"
 
 
+def release() -> None:
+    """Give a worker's freed memory back, which stays with it else while Spark keeps it for later tasks."""
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # only some C libraries can
+        ctypes.CDLL(None).malloc_trim(0)
+
+
 def ship(spark: SparkSession) -> None:
     """Send the package to the executors, once for a context, and bound the Arrow batches unless the session already does."""
     sc = spark.sparkContext
