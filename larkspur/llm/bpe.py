@@ -29,7 +29,7 @@ import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
 
-from larkspur.functions.shipping import ship
+from larkspur.functions.shipping import release, ship
 
 #: Fixed value: the pre-token pattern of the public byte-level vocabularies.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
@@ -211,7 +211,7 @@ def map_columns(docs: DataFrame, columns: T.StructType, make: Callable[[pa.Recor
                 part = batch.slice(a, b - a)
                 yield pa.RecordBatch.from_arrays([*(part.column(c) for c in kept), *(pa.array(v, t) for v, (_, t) in zip(values, types, strict=True))], names=[*kept, *(n for n, _ in types)])
         done()
-        pa.default_memory_pool().release_unused()
+        release()
 
     ship(docs.sparkSession)
     return docs.mapInArrow(run, schema)

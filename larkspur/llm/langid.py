@@ -91,7 +91,7 @@ def automaton(text: list[int], letters: int) -> np.ndarray:
                     p = links[p]
                 links[q] = links[now] = clone
         last = now
-    out = np.zeros((len(edges), letters), np.int64)
+    out = np.zeros((len(edges), letters), np.int32)
     for k, e in enumerate(edges):
         if e:
             out[k, list(e)] = list(e.values())
@@ -115,15 +115,20 @@ class Model:
         self.width = len(letters) + 2
         self.bits = np.array([math.log2(max(2, len(v))) for _, v in samples])
         self.roots, tables, at = [], [], 0
+        kind = np.int32 if 8 * self.width * sum(len(v) + 1 for _, v in samples) < 1 << 31 else np.int64
         for _, sample in samples:
             step = automaton(self.of[np.frombuffer(sample.encode("utf-32-le"), np.uint32)].tolist(), self.width)
             step[:, 1] = 0
-            root = step[0]
+            root = step[0].copy()
             missing = step == 0
-            again = np.broadcast_to(root, step.shape)
-            ended = np.where(missing, 1 + (again == 0), 0)  # a phrase, and the letter by itself if it is unknown
+            ended = missing.astype(np.int8) * (1 + (root == 0)).astype(np.int8)  # a phrase, and the letter by itself if it is unknown
             ended[0] = missing[0]
-            tables.append(((np.where(missing, again, step) + at) * self.width << 2 | ended).astype(np.int32 if (at + len(step)) * self.width < 1 << 28 else np.int64).ravel())
+            step = np.where(missing, root, step).astype(kind)
+            step += at
+            step *= self.width
+            step <<= 2
+            step |= ended
+            tables.append(step.ravel())
             self.roots.append(at * self.width)
             at += len(step)
         self.table = np.concatenate(tables)
@@ -167,7 +172,7 @@ class Model:
         return [self.langs[b] if ok else UNDETERMINED for b, ok in zip(best, lettered, strict=True)], np.where(lettered, score, 0.0).tolist()
 
 
-@lru_cache(2)
+@lru_cache(1)
 def model(learned: tuple[tuple[str, tuple[str, int]], ...]) -> Model:
     return Model(learned)
 

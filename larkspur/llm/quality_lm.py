@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from larkspur.functions.shipping import ship
+from larkspur.functions.shipping import release, ship
 
 from .bpe import slices
 from .common import cut
@@ -41,7 +41,7 @@ ORDER, BITS = 4, 16
 #: Documents of a block; characters added to a document's score; the threshold.
 ROWS, PRIOR, QUANTILE, SLACK = 8192, 200, 0.999, 1.1
 #: Characters worked on at a time.
-CHARS = 1_000_000
+CHARS = 400_000
 #: Symbol ahead of a text, first stand-in of characters that need more than 16 bits.
 START, BEYOND = 1, 0xE000
 
@@ -81,6 +81,7 @@ def count(docs: DataFrame, text_col: str) -> DataFrame:
                     codes, counts = merged([(codes, counts), *waiting])
                     waiting = []
         codes, counts = merged([(codes, counts), *waiting])
+        release()
         for a in range(0, len(codes), 100_000):
             yield pa.RecordBatch.from_arrays([pa.array(codes[a : a + 100_000].view(np.int64)), pa.array(counts[a : a + 100_000])], names=["gram", "n"])
 
@@ -154,7 +155,7 @@ def score(docs: DataFrame, table: DataFrame, floor: float, *, id_col: str, text_
             full = pd.unique(np.concatenate([full, pd.unique(grams(texts[a:b])[0])]))
         wanted = [full, *(pd.unique(lower(full, k)) for k in range(1, ORDER)), *(pd.unique(lower(full, k) >> np.uint64(BITS)) for k in range(2, ORDER + 1))]
         wanted = pd.unique(np.concatenate(wanted))
-        pa.default_memory_pool().release_unused()
+        release()
         return pd.DataFrame({"_block": np.full(len(wanted), part["_block"].iloc[0], np.int32), "gram": wanted.view(np.int64)})
 
     def answer(part: pd.DataFrame, known: pd.DataFrame) -> pd.DataFrame:
@@ -171,7 +172,7 @@ def score(docs: DataFrame, table: DataFrame, floor: float, *, id_col: str, text_
                 index = pd.Index(full.view(np.int64))
             bits.append(np.bincount(owner, bits_of[index.get_indexer(codes.view(np.int64))], minlength=b - a) if len(codes) else np.zeros(b - a))
             chars.append(np.bincount(owner, minlength=b - a))
-        pa.default_memory_pool().release_unused()
+        release()
         return part.assign(bits=np.concatenate(bits) if bits else 0.0, chars=np.concatenate(chars) if chars else 0)
 
     asked = base.groupBy("_block").applyInPandas(ask, "_block int, gram long")
