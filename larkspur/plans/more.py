@@ -152,7 +152,7 @@ def o14_latest_per_key(spark, sf_dir):
     return topn.latest(t(spark, sf_dir, "events").select("user_id", "event_type", "ts", "event_id"), ["user_id"], ["ts", "event_id"]).select("user_id", F.col("event_type").alias("last_type"))
 
 
-@query("SELECT 'archived' AS side, count(*) AS n, sum(event_id)::BIGINT AS ids FROM (SELECT event_id FROM events ORDER BY ts, event_id LIMIT 1000) UNION ALL SELECT 'left', count(*), sum(event_id)::BIGINT FROM (SELECT event_id FROM events ORDER BY ts, event_id OFFSET 1000)")
+@query("SELECT CASE WHEN k <= 1000 THEN 'archived' ELSE 'left' END AS side, count(*) AS n, sum(event_id)::BIGINT AS ids FROM (SELECT event_id, row_number() OVER (ORDER BY ts, event_id) AS k FROM events) GROUP BY 1")
 def k12_dequeue(spark, sf_dir):
     """The first thousand rows of a queue, and the rest: both from one pinned input."""
     e = t(spark, sf_dir, "events").select("event_id", "ts")
