@@ -12,7 +12,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from larkspur.llm import bpe, langid, mixing, quality_lm, simhash
+from larkspur.llm import bpe, langid, mixing, near_copies, quality_lm
 from larkspur.llm.common import cut, shared_dir
 
 #: Least score of a language prediction: below, no language is much better than the others.
@@ -36,10 +36,8 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document, that of the smallest id, of each group of near copies."""
-    grouped = simhash.groups(docs)
-    copies = cut(grouped.where("doc_id != component_id").select("doc_id").distinct())
-    return quality_lm.joined(docs, copies, "doc_id", "left_anti").select(docs.columns)
+    """One row, that of the smallest id, of each group of copies: 5-word shingles alike by 0.8 or more, checked exactly."""
+    return near_copies.deduplicate(docs).select(docs.columns)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -56,7 +56,11 @@ def fingerprint(text: str | None, size: int = 4, seed: int = 42) -> int:
     words = (text or "").encode("utf-8", "surrogatepass").translate(LOWER).split()
     if not words:
         return 0
-    h = shingle_hashes(words, size, seed)
+    return majority(shingle_hashes(words, size, seed))
+
+
+def majority(h: np.ndarray) -> int:
+    """The bits that are set in over half of the hashes."""
     ones = np.zeros(64, np.int64)
     for k in range(0, len(h), 50_000):
         ones += np.unpackbits(h[k : k + 50_000].astype(">u8").view(np.uint8).reshape(-1, 8), axis=1).sum(0, dtype=np.int64)

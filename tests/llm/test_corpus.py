@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 import corpus_pipeline
-from larkspur.llm import bpe, chat, html_extract, langid, line_rules, minhash, mixing, quality_lm, queries, simhash, token_counts
+from larkspur.llm import bpe, chat, html_extract, langid, line_rules, minhash, mixing, near_copies, quality_lm, queries, simhash, token_counts
 
 SF = "/root/testdata/sf0.001"
 LONG = "Long words here stay. " * 6000
@@ -358,6 +358,51 @@ def test_components_of_a_chain(spark):
     assert got == {**{i: 0 for i in range(1, 61)}, 101: 100}
 
 
+def one_of_each(rows):
+    """Ids that stay of (id, text): groups of likeness 0.8 or more of 5-word shingles, by brute force."""
+    sets = [set(shingles(text, 5)) or {""} for _, text in rows]
+    pairs = ((i, j) for i, a in enumerate(sets) for j, b in enumerate(sets[:i]) if len(a & b) * 5 >= len(a | b) * 4)
+    root = union(range(len(rows)), pairs)
+    groups = collections.defaultdict(list)
+    for k, (i, _) in enumerate(rows):
+        groups[root[k]].append((i is None, i or 0))
+    return sorted(min(g) for g in groups.values())
+
+
+def test_near_copies_brute(spark, docs):
+    r = np.random.default_rng(3)
+    base = [f"w{x}" for x in r.integers(0, 300, 400)]
+    rows = list(zip(docs.doc_id.tolist(), docs.text, strict=True))
+    for k, n in enumerate((0, 1, 4, 7, 9, 11, 14, 20, 30)):  # edits of words, the likeness falls below 0.8
+        changed = list(base)
+        for at in r.choice(400, n, replace=False):
+            changed[at] = f"x{k}"
+        rows += [(9000 + k, " ".join(changed)), (9100 + k, " ".join(changed[: 25 + k])), (None, " ".join(changed).upper())]
+    rows += [(9000, rows[200][1])] * 3 + [(9500, "only twice"), (9500, "only twice"), (None, "no id"), (None, "no id"), (None, ""), (9600, None)]
+    given = spark.createDataFrame(rows, "doc_id long, text string").withColumn("lang", F.lit("en"))
+    got = corpus_pipeline.near_dedup(spark, given, SF).collect()
+    assert sorted((x.doc_id is None, x.doc_id or 0) for x in got) == one_of_each(rows)
+
+
+def test_near_copies_all_links_found(spark):
+    """Every candidate step lets all pairs through whose likeness is just above 0.8, and no pair of unlike texts stays linked."""
+    r = np.random.default_rng(5)
+    rows = []
+    for k in range(150):
+        own = [f"w{x}" for x in r.integers(0, 100_000, 300)]
+        at = r.choice(60, 6, replace=False) * 5  # 6 edits change 30 of 296 shingles: 266 of 326 are shared, 0.816
+        rows += [(2 * k, " ".join(own)), (2 * k + 1, " ".join(f"{w}y" if j in at else w for j, w in enumerate(own)))]
+    got = near_copies.deduplicate(spark.createDataFrame(rows, "doc_id long, text string"))
+    assert sorted((False, r.doc_id) for r in got.collect()) == one_of_each(rows)
+
+
+def test_near_copies_messy(spark, messy):
+    got = near_copies.deduplicate(messy)
+    assert got.columns == messy.columns
+    assert sorted((x is None, x or 0) for (x,) in got.select("doc_id").collect()) == one_of_each([(m[0], m[1]) for m in MESSY])
+    assert near_copies.deduplicate(messy.limit(0)).count() == 0
+
+
 def test_simhash_messy(messy):
     got = simhash.groups(messy).collect()
     assert len(got) == len(MESSY)
