@@ -289,16 +289,16 @@ def d58_table_verification(spark, sf_dir):
     return back.agg(F.count("*").alias("records"), F.count("phone").alias("phones"), F.count("email").alias("emails"))
 
 
-#: Words in the names of columns that hold personal data.
-PERSONAL = ("name", "phone", "mobile", "email", "mail", "address", "birth")
+#: Forms of the names of columns that hold personal data.
+PERSONAL = r"(?i)phone|mobile|tel|mail|name|addr|id_?card|id_?no|passport|cert|birth|ssn|contact|手机|电话|邮箱|姓名|名字|地址|身份证|证件|生日"
 
 
-def personal(df: DataFrame, sample: int = 100) -> list[str]:
-    """Columns that hold personal data, by their names, or by the form of the first values."""
-    by_name = [c for c in df.columns if any(w in c.lower() for w in PERSONAL)]
+def personal(df: DataFrame) -> list[str]:
+    """Columns that hold personal data, by their names, or by the form of over half of all their values."""
+    by_name = [c for c in df.columns if re.search(PERSONAL, c)]
     texts = [c for c, k in df.dtypes if k == "string" and c not in by_name]
     form = r"^(\+?\d[\d -]{8,}\d|[^@\s]+@[^@\s]+\.[^@\s]+)$"
-    found = df.select(*texts).limit(sample).agg(*(F.avg(F.col(c).rlike(form).cast("int")).alias(c) for c in texts)).first() if texts else {}
+    found = df.agg(*(F.avg(F.col(c).rlike(form).cast("int")).alias(c) for c in texts)).first() if texts else {}
     return by_name + [c for c in texts if (found[c] or 0) > 0.5]
 
 

@@ -367,3 +367,12 @@ def test_refresh_brings_the_runner_up(spark):
     left = records.where("NOT (k = 'k1' AND t = 2) AND k != 'k2'")
     got = merge.refresh(winners, left, records.where("k != 'k3'"), ["k"], ["t"])
     assert rows(got, "k", "v") == [("k1", "old"), ("k3", "stays")]
+
+
+def test_personal_data_in_later_rows(spark):
+    """Mails that begin behind the first 100 rows count, and so do the reference's names."""
+    from larkspur.plans.rest import personal
+
+    rows = spark.range(0, 400, 1, 1).select("id", F.when(F.col("id") >= 150, F.concat(F.lit("u"), F.col("id"), F.lit("@mail.test"))).alias("note"), F.lit("x").alias("remark"))
+    rows = rows.withColumns({c: F.lit("x") for c in ("home_tel", "addr_line", "id_card", "passport", "ssn")})
+    assert personal(rows) == ["home_tel", "addr_line", "id_card", "passport", "ssn", "note"]
