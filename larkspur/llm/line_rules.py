@@ -2,7 +2,8 @@
 
 Built from DataFrame functions only; no shuffle, one pass over the texts.
 
-Edge cases: a null text counts as empty (no words, base_failed); repeated rows are judged each for
+White space is what parts words (ASCII's), at a line's end too; only \\n ends a line, so that \\r stands at
+the end of one. Edge cases: a null text counts as empty (no words, base_failed); repeated rows are judged each for
 itself; an empty table gives an empty result; columns of the input that carry the name of a result
 column are replaced by it, and those whose name begins with an underscore are dropped.
 """
@@ -15,7 +16,7 @@ from operator import or_
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import WORD, plain, words
+from .common import plain, words
 
 #: Words in a window of the repetition measure.
 WINDOW = 8
@@ -33,9 +34,9 @@ BOILERPLATE = (
     "licensed under",
     "spdx-license-identifier",
 )
-SYMBOLS = r"[#*$%&|<>]"
-TERMINAL = r"""[.!?…。！？:;]["'”’»)\]]*$"""
-SEPARATOR = r"(?:^|[\x20\x09])[|>»•·/](?=[\x20\x09]|$)"
+SEPARATORS = ("|", ">", "»", "•", "·", "/")
+#: A terminal mark, closing marks and white space at the very end of a line.
+TERMINAL = r"""[.!?…。！？:;]["'”’»)\]]*[\x20\x09-\x0D]*\z"""
 
 
 def repeated_words(hashes: Column, windows: Column, ordered: Column) -> Column:
@@ -59,18 +60,17 @@ def repeated_words(hashes: Column, windows: Column, ordered: Column) -> Column:
 
 
 def line_passes(line: Column, *, title_words: int, notice_words: int, max_symbols_per_word: float, max_marks_per_word: float, max_separators: float) -> Column:
-    """Whether a line (l, with n words) is prose by the punctuation, navigation and boilerplate rules.
+    """Whether a line (l, with its words w) is prose by the punctuation, navigation and boilerplate rules.
 
     Punctuation: a line of fewer than title_words words must end in a terminal mark, and exclamation
-    and question marks may not outnumber max_marks_per_word a word. Navigation: separators standing
-    alone (three or more) may not exceed their share of the words. Boilerplate: none of the phrases in a
-    line of up to notice_words words,
-    and not more than max_symbols_per_word symbols a word.
+    and question marks may not outnumber max_marks_per_word a word. Navigation: words that are nothing
+    but a separator (three or more) may not exceed their share of the words. Boilerplate: none of the
+    phrases in a line of up to notice_words words, and not more than max_symbols_per_word symbols a word.
     """
-    line, n = line["l"], line["n"]
+    line, found, n = line["l"], line["w"], F.size(line["w"])
     count = lambda kept: F.length(F.regexp_replace(line, kept, ""))
-    separators = F.size(F.regexp_extract_all(line, F.lit(SEPARATOR), F.lit(0)))
-    punctuated = F.substring(F.rtrim(line), -6, 6).rlike(TERMINAL) | (n >= title_words)
+    separators = F.size(F.filter(found, lambda w: w.isin(*SEPARATORS)))
+    punctuated = (n >= title_words) | line.rlike(TERMINAL)
     shouting = count(r"[^!?]+") > n * max_marks_per_word
     navigation = line.rlike("[|>»•·/]") & (separators >= 3) & (separators > n * max_separators)
     notice = (n <= notice_words) & reduce(or_, (F.lower(line).contains(x) for x in BOILERPLATE))
@@ -98,10 +98,10 @@ def apply_rules(
     rule = {"title_words": title_words, "notice_words": notice_words, "max_symbols_per_word": max_symbols_per_word, "max_marks_per_word": max_marks_per_word, "max_separators": max_separators}
     step = base.select(
         "*",
-        words(text).alias("_words"),
-        F.filter(F.transform(F.split(text, "\n", -1), lambda x: F.struct(x.alias("l"), F.size(F.regexp_extract_all(x, F.lit(WORD), F.lit(0))).alias("n"))), lambda x: x["n"] > 0).alias("_counted"),
+        F.filter(F.transform(F.split(text, "\n", -1), lambda x: F.struct(x.alias("l"), words(x).alias("w"))), lambda x: F.size(x["w"]) > 0).alias("_read"),
     )
-    step = step.select("*", F.transform("_words", lambda w: F.xxhash64(w)).alias("_hash"), F.col("_counted.l").alias("_lines"), F.filter("_counted", lambda x: line_passes(x, **rule))["l"].alias("_good"))
+    step = step.select("*", F.flatten("_read.w").alias("_words"), F.col("_read.l").alias("_lines"), F.filter("_read", lambda x: line_passes(x, **rule))["l"].alias("_good"))
+    step = step.withColumn("_hash", F.transform("_words", lambda w: F.xxhash64(w)))
     for span in (1, 2, 4):  # hashes of 2, 4, then 8 words, each from two of half the length
         step = step.withColumn("_hash", F.transform("_hash", lambda x, i: F.xxhash64(x, F.get(F.col("_hash"), i + span))))
     step = step.withColumn("_windows", F.when(F.size("_hash") >= WINDOW, F.slice("_hash", 1, F.size("_hash") - (WINDOW - 1))))
@@ -133,13 +133,13 @@ win AS (SELECT rid, i, array_to_string(ws[i:i + 7], ' ') AS k FROM (SELECT rid,
 dup AS (SELECT rid, i FROM (SELECT rid, i, count(*) OVER (PARTITION BY rid, k) AS n FROM win) WHERE n > 1),
 rep AS (SELECT rid, count(DISTINCT i + o) AS n FROM dup, range(0, 8) r(o) GROUP BY rid),
 lines AS (
-  SELECT rid, l, length(l) AS n_chars, len(regexp_extract_all(l, '[^\x20\x09-\x0D]+')) AS n,
+  SELECT rid, l, length(l) AS n_chars, regexp_extract_all(l, '[^\x20\x09-\x0D]+') AS w, len(w) AS n,
     length(regexp_replace(l, '[^!?]+', '', 'g')) AS marks, length(regexp_replace(l, '[^#*$%&|<>]+', '', 'g')) AS symbols,
-    len(list_filter(regexp_extract_all(l, '[^\x20\x09]+'), lambda x: x IN ('|', '>', '»', '•', '·', '/'))) AS seps
+    len(list_filter(w, lambda x: x IN ('|', '>', '»', '•', '·', '/'))) AS seps
   FROM (SELECT rid, unnest(ls) AS l FROM w)),
 judged AS (
   SELECT rid, sum(n_chars) AS line_chars, coalesce(sum(n_chars) FILTER (
-    (regexp_matches(right(rtrim(l, ' '), 6), '[.!?…。！？:;]["''”’»)\]]*$') OR n >= 8) AND marks <= n * 0.5 AND NOT (seps >= 3 AND seps > n * 0.2)
+    (n >= 8 OR regexp_matches(l, '[.!?…。！？:;]["''”’»)\]]*[\x20\x09-\x0D]*\z')) AND marks <= n * 0.5 AND NOT (seps >= 3 AND seps > n * 0.2)
     AND symbols <= n * 0.5 AND NOT (n <= 40 AND regexp_matches(lower(l), 'all rights reserved|cookie policy|privacy policy|terms of use|terms of service|subscribe to our newsletter|click here|enable javascript|lorem ipsum|licensed under|spdx-license-identifier'))), 0) AS kept_chars
   FROM lines GROUP BY rid),
 m AS (

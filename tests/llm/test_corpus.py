@@ -56,12 +56,15 @@ def shingles(text, n):
     return [" ".join(w[i : i + n]) for i in range(max(1, len(w) - n + 1))] if w else []
 
 
-def oracle(sql):
+def oracle(sql, **own):
     import duckdb
 
     c = duckdb.connect()
     for t in os.listdir(SF):
-        c.execute(f"CREATE VIEW {t.split('.')[0]} AS SELECT * FROM '{SF}/{t}'")
+        if t.split(".")[0] not in own:
+            c.execute(f"CREATE VIEW {t.split('.')[0]} AS SELECT * FROM '{SF}/{t}'")
+    for name, rows in own.items():
+        c.register(name, rows)
     return c.sql(sql).df()
 
 
@@ -464,6 +467,20 @@ def test_rules_repeats(spark, some):
         assert r.n_repeat_words == len(inside)
 
 
+@pytest.mark.parametrize("end", ["", "\r", "\t", " ", "\x0b\x0c \r", "\u0085", "\u2028", "\u00a0", " \t\r"])
+def test_rules_white_space_like_sql(spark, end):
+    """Lines that end in any white space, and in characters that only some engines take for it."""
+    marked = ["one two three four.", "say (eight nine).", 'quiet "ten eleven."', "no mark here now", "a | b | c | d", "see\x0b|\x0c>\r/ all of this"]
+    rows = [(10 * k + n, "\n".join(f"{line} {j}{line[-2:]}{end}" for j in range(3 * n))) for k, line in enumerate(marked) for n in range(1, 5)]
+    rows += [(900, "\n".join([marked[0] + end] * 12)), (901, "\n".join(f"one {j} three four.{end}" for j in range(12)))]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = line_rules.apply_rules(docs)
+    want = oracle(line_rules.ORACLE_SQL, documents=docs.toPandas()).sort_values("doc_id").reset_index(drop=True)
+    got = got.select(*want.columns).toPandas().sort_values("doc_id").reset_index(drop=True)
+    assert got.equals(want.astype(got.dtypes))
+    assert got.kept[got.doc_id == 901].item() == (end not in ("\u0085", "\u2028", "\u00a0"))
+
+
 def test_rules_messy(messy):
     got = line_rules.apply_rules(messy).collect()
     assert len(got) == len(MESSY) and all(r.n_words == len(words(r.text)) for r in got)
