@@ -31,9 +31,11 @@ from .bpe import map_columns, slices
 
 TAG = re.compile(r"""<!--.*?(?:-->|\Z)|<[!?][^>]*+>|<(/?)([a-zA-Z][^\s/>]*+)((?:[^>"']|"[^"]*+"|'[^']*+')*+)>|<(/?)([a-zA-Z][^\s/>]*+)([^>]*+)>""", re.S)
 ATTRIBUTE = re.compile(r"""(?:^|\s)(?:class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
-#: HTML's elements without an end tag, without text of the page, and inside of lines.
+#: HTML's elements without an end tag, whose content is no markup and no text of the page, and inside of lines.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-RAW = frozenset("script style title template noscript textarea iframe svg math object".split())
+RAW = {t: re.compile(rf"</{t}(?=[\s/>])", re.I | re.A) for t in ("script", "style", "title", "textarea")}
+#: Marks what a template element holds, which is no part of the page.
+HIDDEN_TAG = "template"
 INLINE = frozenset("a abbr acronym b bdi bdo big br cite code data del dfn em font i img ins kbd label mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr".split())
 #: An opening tag that ends an open one of these kinds.
 ENDS = {"p": {"p"}, "li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
@@ -62,13 +64,12 @@ def blocks(page: str | None) -> list[tuple[tuple[int, ...], str, int]]:
     open_: list[tuple[str, tuple[int, ...]]] = []
     held: list[str] = []
     linked = at = in_link = 0
-    lower = None
 
     def flush() -> None:
         nonlocal linked
         if held:
             text = " ".join("".join(held).split())
-            if text:
+            if text and all(t != HIDDEN_TAG for t, _ in open_):
                 out.append((tuple(x for _, e in open_ for x in e), text, linked))
             held.clear()
         linked = 0
@@ -103,10 +104,8 @@ def blocks(page: str | None) -> list[tuple[tuple[int, ...], str, int]]:
         flush()
         in_link = 0
         if tag in RAW:
-            if not attributes.endswith("/"):
-                lower = page.lower() if lower is None else lower
-                close = lower.find(f"</{tag}", pos)
-                at = pos = len(page) if close < 0 else close
+            close = RAW[tag].search(page, pos)
+            at = pos = close.start() if close else len(page)
             continue
         if tag in VOID:
             continue
@@ -130,8 +129,8 @@ def features(leaves: list[tuple[tuple[int, ...], str, int]], from_start: bool =
     for k, (path, text, linked) in enumerate(leaves):
         x[k, list(path)] = 1
         words = text.split(" ")
-        for w in words[:40]:  # of the labeller's view only; the text stays whole
-            x[k, PATHS + hashed(w.lower(), WORDS)] += 1 / min(len(words), 40)
+        found = np.fromiter((hashed(w.lower(), WORDS) for w in words), np.int64, len(words))
+        x[k, PATHS : PATHS + WORDS] = np.bincount(found, minlength=WORDS) / len(words)
         n = len(text)
         x[k, PATHS + WORDS :] = (np.log1p(n) / 8, np.log1p(len(words)) / 6, linked / n, text[-1] in ".!?…\"'”»", len(words) < 4, from_start and k == 0, to_end and k == len(leaves) - 1, 1)
     return x
@@ -240,16 +239,16 @@ class Labeller:
         return self
 
 
-def made_page(r: np.random.Generator) -> tuple[str, list[tuple[str, int]]]:
-    """A page made by rule, and its blocks with 1 for main text."""
+def made_page(r: np.random.Generator) -> tuple[str, dict[str, int]]:
+    """A page made by rule, and 1 for each block text that is main text, 0 for the others."""
     pick = lambda *x: x[r.integers(len(x))]
     syllables = [a + b for a in "bdfgklmnprstvz" for b in ("a", "e", "i", "o", "u", "an", "er", "in")]
     word = lambda: "".join(r.choice(syllables, r.integers(1, 4)))
     line = lambda a, b: " ".join(word() for _ in range(r.integers(a, b))).capitalize()
-    truth: list[tuple[str, int]] = []
+    truth: dict[str, int] = {}
 
     def leaf(tag: str, text: str, main: int, attributes: str = "") -> str:
-        truth.append((text, main))
+        truth[text] = main
         inner = pick(text, text, f"<b>{text}</b>", f"<span>{text}</span>")
         return f"<{tag}{attributes}>{inner}</{tag}>"
 
@@ -257,14 +256,33 @@ def made_page(r: np.random.Generator) -> tuple[str, list[tuple[str, int]]]:
         out = []
         for _ in range(n):
             text = line(1, 4)
-            truth.append((text, 0))
+            truth[text] = 0
             out.append(f'<{item}><a href="/{word()}">{text}</a></{item}>')
         return "".join(out)
 
     def named(*names: str) -> str:
+        if r.random() < 0.1:  # sites have words of their own, too
+            return f' {pick("class", "id")}="{word()}"'
         return pick(f' class="{pick(*names)}"', f' class="{pick(*names)} {word()}"', f' id="{pick(*names)}"')
 
     prose = lambda: ". ".join(line(4, 14) for _ in range(r.integers(1, 5))) + pick(".", ".", ".", "!", "?", "")
+
+    def remark(told: bool) -> str:
+        """A reader's comment. Without a telling name, its author, date or reply link tell."""
+        who = lambda: pick(leaf(pick("p", "div", "h4"), line(1, 4), 0, pick("", named("author", "user", "name"))), links(1, "div"))
+        about = "".join(who() for _ in range(r.integers(0 if told else 1, 3)))
+        said = "".join(leaf("p", prose(), 0) for _ in range(1 + (r.random() < 0.2)))
+        answer = links(1, pick("p", "div")) if r.random() < 0.4 else ""
+        t = pick("div", "div", "li", "section")
+        return f"<{t}{pick('', named('comment', 'reply', 'response'))}>{about}{said}{answer}</{t}>"
+
+    def comments() -> str:
+        t, told = pick("div", "section", "ol", "aside"), r.random() < 0.6
+        known = ("comments", "comment-list", "comment", "replies", "discussion", "responses", "respond", "reactions", "disqus", "reader-comments", "feedback")
+        name = named(*known) if told else pick("", f' class="{word()}"', f' id="{word()}"')
+        title = leaf(pick("h2", "h3", "p"), line(1, 4), 0) if r.random() < 0.4 else ""
+        return f"<{t}{name}>{title}{''.join(remark(told) for _ in range(r.integers(1 if told else 2, 5)))}</{t}>"
+
     boiler = {
         "menu": lambda: (f"<nav><ul>{links(r.integers(2, 7))}</ul></nav>" if r.random() < 0.5 else f"<{(t := pick('div', 'ul'))}{named('menu', 'nav', 'navigation', 'navbar', 'topnav', 'breadcrumb', 'breadcrumbs', 'tabs', 'toc')}>{links(r.integers(2, 7), 'li' if t == 'ul' else pick('div', 'li'))}</{t}>"),
         "header": lambda: f"<{(t := pick('header', 'div'))}{'' if t == 'header' else named('header', 'masthead', 'banner', 'top', 'site-header', 'logo')}>{leaf(pick('h1', 'div', 'p'), line(1, 6), 0)}{links(r.integers(0, 3), 'div')}</{t}>",
@@ -273,7 +291,7 @@ def made_page(r: np.random.Generator) -> tuple[str, list[tuple[str, int]]]:
         "bare ad": lambda: leaf("div", pick(prose(), line(2, 9)), 0, named("ad", "ads", "advert", "advertisement", "sponsored", "promo", "sponsor")),
         "notice": lambda: f"<div{named('cookie', 'cookies', 'notice', 'consent', 'cookie-banner', 'gdpr', 'alert', 'newsletter', 'subscribe', 'paywall', 'popup', 'modal', 'disclaimer', 'banner')}>{leaf('p', prose(), 0)}</div>",
         "form": lambda: f"<form{pick('', named('search', 'login', 'signup', 'contact'))}>{leaf(pick('label', 'p', 'div', 'legend'), line(1, 8), 0)}<input type='text'></form>",
-        "comments": lambda: f"<{(t := pick('div', 'section', 'ol', 'aside'))}{named('comments', 'comment-list', 'comment', 'replies', 'discussion', 'responses', 'disqus', 'reader-comments')}>{''.join(f'<div{pick(str(), named(chr(99) + chr(111) + 'mment', 'reply'))}>' + leaf('p', prose(), 0) + '</div>' for _ in range(r.integers(1, 4)))}</{t}>",
+        "comments": comments,
         "share": lambda: f"<div{named('share', 'social', 'sharing', 'tags', 'byline-tools', 'toolbar', 'pagination', 'pager', 'buttons')}>{links(r.integers(1, 5), pick('li', 'div'))}</div>",
         "footer": lambda: f"<{(t := pick('footer', 'div'))}{'' if t == 'footer' else named('footer', 'site-footer', 'copyright', 'bottom', 'legal', 'colophon')}>{pick(lambda: leaf('p', '© ' + line(2, 9) + pick('.', ''), 0), lambda: leaf('div', prose(), 0), lambda: links(r.integers(1, 5)))()}</{t}>",
         "bare footer": lambda: leaf("footer", pick("© ", "") + line(2, 4) + " · " + prose(), 0),
@@ -305,8 +323,8 @@ def made_page(r: np.random.Generator) -> tuple[str, list[tuple[str, int]]]:
     top = parts(["menu", "header", "ad", "bare ad", "notice", "form"], 0, 4)
     wrap = pick("article", "article", "article", "main", "div-named", "section-named", "div", "bare", "both")
     inner = article()
-    if r.random() < 0.2 and wrap in ("article", "main", "both"):
-        inner += boiler["comments"]()
+    if r.random() < 0.25 and wrap in ("article", "main", "both"):
+        inner += comments()
     if wrap in ("article", "main"):
         body = f"<{wrap}>{inner}</{wrap}>"
     elif wrap == "both":
@@ -316,6 +334,10 @@ def made_page(r: np.random.Generator) -> tuple[str, list[tuple[str, int]]]:
         body = f"<{t}{named('content', 'post-content', 'entry-content', 'article-body', 'story', 'main', 'post', 'body', 'text', 'article')}>{inner}</{t}>"
     else:
         body = f"<div>{inner}</div>" if wrap == "div" else inner
+    if r.random() < 0.12:  # laid out by a table, the menu in a cell of its own
+        side = f"<td{pick('', named('menu', 'left', 'nav', 'sidebar'))}>{links(r.integers(2, 7), pick('p', 'div', 'li'))}</td>"
+        cell = f"<td{pick('', named('content', 'main', 'right'))}>{body}</td>"
+        body = f"<table><tr>{side}{cell}</tr></table>"
     bottom = parts(["footer", "bare footer", "comments", "sidebar", "share", "ad", "form", "menu", "notice"], 0, 4)
     whole = top + body + bottom
     whole = f"<div{pick('', named('wrapper', 'page', 'container', 'layout'))}>{whole}</div>" if r.random() < 0.3 else whole
@@ -330,9 +352,8 @@ def trained(pages: int = 700, seed: int = 3) -> Labeller:
     for _ in range(pages):
         page, truth = made_page(r)
         leaves = blocks(page)
-        if [t for _, t, _ in leaves] == [t for t, _ in truth]:
-            x.append(features(leaves))
-            y.append(np.array([m for _, m in truth], np.float32))
+        x.append(features(leaves))
+        y.append(np.array([truth[t] for _, t, _ in leaves], np.float32))
     return Labeller().fit(x, y)
 
 
