@@ -260,6 +260,39 @@ def test_cross_parsing(sample, text):
     assert abs(phrases[0, 0] - max(n, 1)) <= 1
 
 
+def test_walker_transitions():
+    r = np.random.default_rng(4)
+    for letters, n in ((3, 200), (400, 900), (5, 1)):
+        sample = r.integers(0, letters, n)
+        edges, own = langid.automaton(sample.tolist()), langid.Walker(sample, letters)
+        state, letter = (x.ravel() for x in np.meshgrid(np.arange(len(edges)), np.arange(letters), indexing="ij"))
+        to, ended = own.step(state, letter)
+        for s, c, t, e in zip(state.tolist(), letter.tolist(), to.tolist(), ended.tolist(), strict=True):
+            assert t == edges[s].get(c, edges[0].get(c, 0)) and e == (c not in edges[s]) + (s > 0 and c not in edges[s] and c not in edges[0])
+
+
+def test_language_large_scripts(spark):
+    """Two languages of 3,000 letters each beside one of few, and texts of unseen scripts."""
+    r = np.random.default_rng(2)
+    say = lambda first, n: "".join(chr(first + x % 3000) for x in r.zipf(1.2, n).clip(max=10**6).tolist())
+    rows = [(k, lang, say(first, n) if first else " ".join(r.choice(["the", "of", "and", "tion", "ing", "ment"], n))) for k, (lang, first, n) in enumerate([("x", 0x4E00, 200), ("y", 0x4E00 + 3000, 200), ("en", 0, 60)] * 120)]
+    rows += [(9000, None, "Жили были дед да баба"), (9001, None, "12 + 3"), (9002, "x", "一二")]
+    got = langid.identify(spark.createDataFrame(rows, "doc_id long, lang string, text string")).toPandas()
+    held = got[[zlib.crc32(str(i).encode()) % 5 == 0 and i < 9000 for i in got.doc_id]]
+    assert len(held) > 50 and (held.lang == held.lang_pred).mean() >= 0.95
+    assert got.lang_pred[got.doc_id == 9001].item() == "und" and got.score[got.doc_id == 9000].item() < 0.5
+
+
+def test_language_many_labels(spark):
+    """More labels than are learned: those of the most documents are; samples share their bound."""
+    rows = [(k, f"l{k % 40}", f"word{chr(97 + k % 20)} " * (5 + k % 7)) for k in range(400)] + [(1000 + k, f"rare{k}", "seldom said") for k in range(30)]
+    docs = spark.createDataFrame(rows, "doc_id long, lang string, text string")
+    found = langid.references(docs, languages=40, total=80_000, piece=1024)
+    assert set(found) == {f"l{k}" for k in range(40)} and all(len(t) <= 2000 for t, _ in found.values())
+    same = docs.select(F.lit(None).cast("long").alias("doc_id"), "lang", "text")
+    assert langid.references(same, languages=40, total=80_000, piece=1024).keys() == found.keys()  # without ids
+
+
 def test_language_messy(spark, messy):
     got = langid.identify(messy).collect()
     assert len(got) == len(MESSY)
