@@ -14,6 +14,7 @@ result; input columns named as a result column are replaced by it.
 from __future__ import annotations
 
 import hashlib
+from bisect import bisect_right
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -30,8 +31,8 @@ from .simhash import LOWER, shingle_hashes
 
 SHINGLE, BITS, SEED = 5, 8, 42
 BINS = 256
-#: Rows of a range of ids, and the most ranges.
-ROWS, RANGES = 4096, 10_000
+#: Characters of a range of ids, and the number of ranges beyond which they grow (800 GB of text).
+RANGE_CHARS, RANGES = 8_000_000, 100_000
 
 
 @lru_cache(1)
@@ -97,36 +98,32 @@ def measure(text: str, own: list[bytes], hashes: np.ndarray, mine: np.ndarray, o
 def with_next(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Rows (_range, _copy, id, text), dealt and sorted so that behind each row stands the next document.
 
-    The ids are cut into ranges at approximate quantiles. Each range's first document is repeated, as a
-    copy, at the end of the range before (the last range's next is the first's), so that every range is
-    read by itself as a stream.
+    The order is (id, hash of the text, text), null ids last. It is cut into ranges, each a partition. Each
+    range's first document is repeated, as a copy, at the end of the range before (the last range's next is the
+    first's), so that every range is read by itself as a stream. The cuts, the first keys of a range
+    partitioning of the ids and hashes alone, are one key for each range on the driver.
     """
-    ids = docs.select(id_col)
-    n = ids.count()
-    ranges = min(RANGES, max(1, -(-n // ROWS)))
-    cuts = ids.agg(F.percentile_approx(id_col, [k / ranges for k in range(1, ranges)] or [0.5], 20 * ranges).alias("q")).first()["q"] or []
-    cuts = np.unique(np.array(cuts if ranges > 1 else [], np.int64))
-    long = [T.StructField(c, T.LongType()) for c in ("_range", "_back")]
-
-    def ranges_of(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        column = batch.column(id_col)
-        keys, null = column.fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64), column.is_null().to_numpy(zero_copy_only=False)
-        return keys, null, np.where(null, len(cuts) + 1, np.searchsorted(cuts, keys, side="right"))
+    key = [F.col(id_col).isNull().alias("_none"), F.col(id_col).alias("_id"), F.xxhash64(text_col).alias("_hash")]
+    keys = docs.select(*key, F.length(text_col).alias("_chars"))
+    total = keys.agg(F.sum("_chars").alias("c"), F.count("*").alias("n")).first()
+    ranges = min(RANGES, max(1, -(-(total["c"] or 0) // RANGE_CHARS), total["n"] // 1_000_000))
+    spread = keys.drop("_chars").repartitionByRange(ranges, "_none", "_id", "_hash").select(F.spark_partition_id().alias("_p"), F.struct("_none", "_id", "_hash").alias("_key"))
+    cuts = sorted(tuple(r["k"]) for r in spread.groupBy("_p").agg(F.min("_key").alias("k")).collect())
+    orders = [(none, 0 if i is None else i, h) for none, i, h in cuts]  # null is compared by _none alone
+    held = docs.sparkSession.sparkContext.broadcast(orders)
 
     def place(batch: pa.RecordBatch) -> Iterator:
-        yield (0, batch.num_rows), [ranges_of(batch)[2]]
+        cuts = held.value
+        found = list(zip(batch.column("_none").to_pylist(), (0 if i is None else i for i in batch.column("_id").to_pylist()), batch.column("_hash").to_pylist(), strict=True))
+        at = [max(0, bisect_right(cuts, k) - 1) for k in found]
+        yield (0, len(found)), [at, [(a - 1) % len(cuts) if k == cuts[a] else None for a, k in zip(at, found, strict=True)]]
 
-    firsts = sorted((r["_range"], r["first"]) for r in map_columns(ids, T.StructType(long[:1]), place).groupBy("_range").agg(F.min(id_col).alias("first")).collect())
-    before = {first: firsts[k - 1][0] for k, (_, first) in enumerate(firsts)}  # at most a few thousand numbers
-
-    def place_twice(batch: pa.RecordBatch) -> Iterator:
-        keys, null, at = ranges_of(batch)
-        yield (0, batch.num_rows), [at, [before.get(None if n else k) for k, n in zip(keys.tolist(), null.tolist(), strict=True)]]
-
-    rows = map_columns(docs.select(id_col, text_col), T.StructType(long), place_twice)
+    rows = docs.select(*key, F.col(text_col).alias("_text"))
+    rows = map_columns(rows, T.StructType([T.StructField(c, T.IntegerType()) for c in ("_range", "_back")]), place)
     both = F.array(F.struct(F.col("_range"), F.lit(0).alias("_copy")), F.struct(F.col("_back").alias("_range"), F.lit(1).alias("_copy")))
-    rows = rows.select(id_col, text_col, F.explode(F.filter(both, lambda x: x["_range"].isNotNull())).alias("_at")).select("_at._range", "_at._copy", id_col, text_col)
-    return rows.repartition(max(12, min(ranges, 4096)), "_range").sortWithinPartitions("_range", "_copy", F.col(id_col).asc_nulls_last(), text_col)
+    rows = rows.select("_none", "_id", "_hash", "_text", F.explode(F.filter(both, lambda x: x["_range"].isNotNull())).alias("_at")).select("_at._range", "_at._copy", "_none", "_id", "_hash", "_text")
+    rows = rows.repartitionById(max(1, len(cuts)), "_range").sortWithinPartitions("_copy", "_none", "_id", "_hash", "_text")
+    return rows.select("_range", "_copy", F.col("_id").alias(id_col), F.col("_text").alias(text_col))
 
 
 def compare_with_next(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

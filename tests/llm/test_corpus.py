@@ -534,6 +534,28 @@ def test_minhash_likeness(spark, docs):
     assert list(plain[got.doc_id]) == list(got.fingerprint)
 
 
+@pytest.mark.parametrize("kind", ["string", "date", "decimal(20, 3)", "int"])
+def test_minhash_next_of_any_id(spark, kind, monkeypatch):
+    """Many ranges, ids of several types, repeated and null ids: every row once, in one order over all ranges."""
+    monkeypatch.setattr(minhash, "RANGE_CHARS", 200)
+    rows = [(None if k % 9 == 0 else k % 80, f"text number {k % 50} of words " * 2) for k in range(300)]
+    docs = spark.createDataFrame(rows, "k int, text string").repartition(7)
+    made = {"date": F.date_add(F.lit("2020-01-01"), F.col("k"))}.get(kind, F.col("k").cast(kind))
+    docs = docs.select(made.alias("doc_id"), "text")
+    got = minhash.with_next(docs).collect()
+    own = [r for r in got if not r["_copy"]]
+    assert sorted((str(r.doc_id), r.text) for r in own) == sorted((str(r.doc_id), r.text) for r in docs.collect())
+    ranges = sorted({r["_range"] for r in own})
+    assert len(ranges) > 5
+    order = [r.doc_id for k in ranges for r in own if r["_range"] == k]
+    assert order == sorted(order, key=lambda x: (x is None, x if x is not None else 0))
+    for k in ranges:  # behind the last row of each range stands the first of the next
+        copies, after = [r for r in got if r["_range"] == k and r["_copy"]], [r for r in own if r["_range"] == (k + 1) % len(ranges)]
+        assert (copies[0].doc_id, copies[0].text) == (after[0].doc_id, after[0].text)
+    compared = minhash.compare_with_next(docs)
+    assert compared.count() == 300 and compared.schema["doc_id"].dataType == docs.schema["doc_id"].dataType
+
+
 def test_minhash_messy(spark, messy):
     got = minhash.compare_with_next(messy).collect()
     assert len(got) == len(MESSY)
