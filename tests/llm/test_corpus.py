@@ -635,6 +635,8 @@ def test_chat_digests(spark):
         whole = "".join(f"{r}\n{t}\n" for r, t in zip(g.role, g.text, strict=True))
         r = got[conv]
         assert (r.n_turns, r.loss_chars) == (len(g), len(loss))
+        marked = "".join(f"<|turn|>{chat.escape(r)}<|content|>{chat.escape(t)}<|end|>" for r, t in zip(g.role, g.text, strict=True))
+        assert r.formatted_chars == len(marked)
         assert r.loss_sha256 == hashlib.sha256(loss.encode()).hexdigest() and r.turns_sha256 == hashlib.sha256(whole.encode()).hexdigest()
     bad = "</s>[INST] ok [/INST]"
     assert got[-1].loss_sha256 == hashlib.sha256(bad.encode()).hexdigest()
@@ -646,9 +648,13 @@ def test_chat_messy(spark):
     turns = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string, formatted string")
     made = chat.format_turns(turns, queries.VOCABULARY)
     assert all(len(r.token_ids) == len(r.loss_mask) for r in made.collect())
-    got = {r.conv_id: r for r in chat.digest(made, queries.VOCABULARY).collect()}
+    own = bpe.codec(open(queries.VOCABULARY).read(), chat.RESERVED)
+    for r in made.collect():
+        role, text, learned, whole = chat.read_back(np.array(r.token_ids), np.array(r.loss_mask), own)
+        assert (role, text, whole) == (r.role or "", r.text or "", r.formatted) and learned == (text if role == "assistant" else "")
+    got = {r.conv_id: r for r in chat.digest(turns, queries.VOCABULARY).collect()}
     assert got[1].turns_sha256 == hashlib.sha256(b"\n<|end|>\nuser\n\nuser\n\n").hexdigest() and got[None].loss_chars == len(LONG) and got[2].n_turns == 1
-    assert chat.digest(chat.format_turns(turns.limit(0), queries.VOCABULARY), queries.VOCABULARY).count() == 0
+    assert chat.digest(turns.limit(0), queries.VOCABULARY).count() == chat.format_turns(turns.limit(0), queries.VOCABULARY).count() == 0
 
 
 # pipeline
