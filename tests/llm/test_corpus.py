@@ -3,6 +3,7 @@
 import collections
 import hashlib
 import html
+import itertools
 import math
 import os
 import re
@@ -398,8 +399,9 @@ def test_bpe_refuses_other_orders():
 
 def test_counts_brute(spark, docs, messy):
     own = bpe.codec(open(queries.VOCABULARY).read())
-    scores = token_counts.zipf_scores(own)
-    assert sum(map(math.exp, scores.values())) == pytest.approx(1)
+    rows = spark.read.parquet(f"{SF}/documents.parquet")
+    scores = token_counts.fitted_scores(own, token_counts.sampled_words(rows, queries.VOCABULARY))
+    assert sum(map(math.exp, token_counts.zipf_scores(own).values())) == pytest.approx(1) and sum(map(math.exp, scores.values())) == pytest.approx(1)
     got = queries.op6_unigram_counts(spark, SF).toPandas().set_index("doc_id")
     for r in docs[::10].itertuples():
         found = own.pattern.findall(r.text)
@@ -407,6 +409,36 @@ def test_counts_brute(spark, docs, messy):
         assert got.n_tokens[r.doc_id] == sum(token_counts.brute_count(w.encode(), scores) for w in found)
     rows = token_counts.count_tokens(messy, queries.VOCABULARY).collect()
     assert len(rows) == len(MESSY) and all(r.n_tokens == 0 for r in rows if not r.text)
+    assert token_counts.count_tokens(messy.limit(0), queries.VOCABULARY).count() == 0
+
+
+def test_counts_fit(docs):
+    """Each round makes the sample likelier, and held-out documents are likelier than under the law."""
+    own = bpe.codec(open(queries.VOCABULARY).read())
+    tally = lambda some: sorted((w.encode(), n) for w, n in collections.Counter(w for t in some for w in own.pattern.findall(t)).items())
+    mine, other = tally(docs.text[::2][:40]), tally(docs.text[1::2][:40])
+    words = {w.decode(): n for w, n in mine}
+    law = token_counts.zipf_scores(own)
+    likely = [token_counts.expected(s, mine)[1] for s in (law, *(token_counts.fitted_scores(own, words, rounds=k, prior=1) for k in (1, 2, 3)))]
+    assert likely == sorted(likely) and likely[1] > likely[0]
+    assert token_counts.expected(token_counts.fitted_scores(own, words), other)[1] > token_counts.expected(law, other)[1]
+
+
+def test_counts_expected():
+    """Forward and backward scores against all segmentations."""
+    scores = {b"a": -1.0, b"b": -2.0, b"ab": -1.5, b"ba": -2.5, b"aba": -3.0}
+    words = sorted((w, n) for w, n in ((b"aba", 2), (b"abab", 1), (b"b", 5)))
+    want, total = collections.Counter(), 0.0
+    for word, n in words:
+        ways = [[word[a:b] for a, b in zip((0, *cut), (*cut, len(word)), strict=True)] for k in range(len(word)) for cut in itertools.combinations(range(1, len(word)), k)]
+        ways = [w for w in ways if all(x in scores for x in w)]
+        p = [math.exp(sum(scores[x] for x in w)) for w in ways]
+        total += n * math.log(sum(p))
+        for w, q in zip(ways, p, strict=True):
+            for x in w:
+                want[x] += n * q / sum(p)
+    got, likelihood = token_counts.expected(scores, words)
+    assert likelihood == pytest.approx(total) and got == pytest.approx(dict(want))
 
 
 # near copies
