@@ -309,8 +309,10 @@ def test_quality_brute(spark, docs):
     labels = spark.read.parquet(f"{SF}/labels.parquet")
     got = queries.op4_quality_lm(spark, SF).toPandas().set_index("doc_id")
     good = {r.doc_id for r in labels.collect() if r.quality == 1 and r.toxic == 0}
+    held_out = {r.doc_id for r in labels.where(quality_lm.only_threshold(F.col("doc_id"))).collect()} & good
+    assert 2 < len(held_out) < len(good) / 4
     c = [None, *(collections.Counter() for _ in range(4))]
-    for text in docs.text[docs.doc_id.isin(good)]:
+    for text in docs.text[docs.doc_id.isin(good - held_out)]:
         z = "\x01" * 3 + text
         c[4].update(z[i - 3 : i + 1] for i in range(3, len(z)))
     for k in (3, 2, 1):
@@ -331,11 +333,46 @@ def test_quality_brute(spark, docs):
         n = c[k][g]
         return ((n - cut[k][min(n, 3) - 1] if n else 0) + held[k][h] * less) / total[k][h] if total[k][h] else less
 
-    for r in docs[::9].itertuples():
-        z = "\x01" * 3 + r.text
-        bits = -sum(math.log2(p(z[i - 3 : i + 1])) for i in range(3, len(z))) / len(r.text)
-        assert 2**bits == pytest.approx(got.perplexity[r.doc_id])
-    assert got.kept[[i for i in docs.doc_id if i in good]].all()
+    def bits(text):
+        z = "\x01" * 3 + text
+        return -sum(math.log2(p(z[i - 3 : i + 1])) for i in range(3, len(z)))
+
+    some = {r.doc_id: (r.lang, r.text, bits(r.text)) for r in docs.itertuples() if r.doc_id in held_out or r.Index % 9 == 0}
+    groups = collections.defaultdict(list)
+    for i in held_out:
+        groups[some[i][0]].append(i)
+    mean = {lang: sum(some[i][2] for i in ids) / sum(len(some[i][1]) for i in ids) for lang, ids in groups.items()}
+    overall = sum(some[i][2] for i in held_out) / sum(len(some[i][1]) for i in held_out)
+    score = {i: (b + 200 * mean.get(lang, overall)) / (len(text) + 200) for i, (lang, text, b) in some.items()}
+    far = max(score[i] - mean[some[i][0]] for i in held_out)  # the quantile of a few is the greatest
+    for i, (lang, text, b) in some.items():
+        assert 2 ** (b / len(text)) == pytest.approx(got.perplexity[i], rel=1e-5) and score[i] == pytest.approx(got.score[i], rel=1e-5)
+        assert got.threshold[i] == pytest.approx(1.15 * (mean.get(lang, overall) + far), rel=1e-5)
+        assert got.kept[i] == (score[i] <= got.threshold[i] * (1 + 1e-7))
+
+
+def test_quality_verdict(spark):
+    """Trusted documents that the counts have not seen stay, as good as all; most labelled as bad go."""
+    sf = "/root/testdata/sf0.01"
+    labels = spark.read.parquet(f"{sf}/labels.parquet")
+    got = queries.op4_quality_lm(spark, sf).join(labels, "doc_id").withColumn("held", quality_lm.only_threshold(F.col("doc_id")))
+    rates = {(r.quality, r.toxic, r.held): (r.k, r.n) for r in got.groupBy("quality", "toxic", "held").agg(F.avg(F.col("kept").cast("int")).alias("k"), F.count("*").alias("n")).collect()}
+    assert rates[1, 0, True][0] == 1 and rates[1, 0, False][0] > 0.99 and rates[1, 0, True][1] > 20
+    bad = [v for k, v in rates.items() if k[0] == 0]
+    assert sum(k * n for k, n in bad) / sum(n for _, n in bad) < 0.3
+
+
+def test_quality_blocks(spark, docs, monkeypatch):
+    """Blocks change nothing, and equal rows are spread over them."""
+    rows = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "lang", "text")
+    trusted = quality_lm.trusted_ids(spark.read.parquet(f"{SF}/labels.parquet"))
+    rows = rows.unionByName(rows.where("doc_id = 5").crossJoin(spark.range(40)).drop("id"))
+    want = {(r.doc_id, round(r.score, 9), r.kept) for r in quality_lm.classify(rows, trusted).collect()}
+    monkeypatch.setattr(quality_lm, "BLOCK_CHARS", 20_000)
+    got = quality_lm.classify(rows, trusted).collect()
+    assert len(got) == len(docs) + 40 and {(r.doc_id, round(r.score, 9), r.kept) for r in got} == want
+    dealt = quality_lm.packed(rows.where("doc_id = 5").select("doc_id", "text"), 8, "doc_id", "text")
+    assert dealt.select("_block").distinct().count() == 8
 
 
 def test_quality_messy(spark, messy):
