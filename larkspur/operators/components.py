@@ -8,6 +8,19 @@ from pyspark.sql import functions as F
 from larkspur.functions.checkpoints import cut
 
 
+#: Rows of a side that is broadcast, at most: two numbers each, some 40 bytes as hashed.
+MOST = 1_000_000
+
+
+def meet(rows: DataFrame, few: DataFrame, key: str, bound: int, how: str = "inner") -> DataFrame:
+    """rows joined with few, which has one row for each key and no more rows than the bound.
+
+    A small few is broadcast. Beyond, it is written first, so that both sides of the join are plain exchanges,
+    of which adaptive execution splits those of a hot key.
+    """
+    return rows.join(F.broadcast(few) if bound <= MOST else cut(few), key, how)
+
+
 def components(edges: DataFrame) -> DataFrame:
     """(node, root) of every node of edges (u, v) that is not its component's smallest.
 
@@ -23,9 +36,9 @@ def components(edges: DataFrame) -> DataFrame:
     while seen[0]:
         both = now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+        large = meet(both.where("v > u"), least, "u", 2 * seen[0]).select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
         least = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(least.select("u", F.col("m").alias("v")))
+        small = meet(large, least, "u", 2 * seen[0]).select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(least.select("u", F.col("m").alias("v")))
         now = cut(oriented(small))
         before, seen = seen, state(now)
         if before == seen:
