@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from larkspur.functions.shipping import ship
-from larkspur.operators.components import components
+from larkspur.operators.components import components, meet
 
 from .bpe import map_columns, slices
 from .common import cut
@@ -110,10 +110,10 @@ def forest(a: np.ndarray, b: np.ndarray, radius: int, tile: int = TILE) -> tuple
     parent = np.arange(len(values))
     if not len(a) or not len(b):
         return values[:0], values[:0]
-    gap = lambda k: np.maximum(0, np.maximum(of_a[k][:, None] - of_b[k + 1][None, :], of_b[k][None, :] - of_a[k + 1][:, None]))
-    near = gap(0) + gap(2) <= radius
+    gap = lambda s, k: np.maximum(0, np.maximum(of_a[k][s] - of_b[k + 1], of_b[k] - of_a[k + 1][s]))
+    near = lambda s: np.flatnonzero(gap(s, 0) + gap(s, 2) <= radius)
     held, n = [], 0
-    for s, t in zip(*np.nonzero(np.triu(near) if own else near), strict=True):
+    for s, t in ((s, t) for s in range(len(of_a[0])) for t in near(s).tolist() if not own or t >= s):
         x, y = a[s * tile : (s + 1) * tile], b[t * tile : (t + 1) * tile]
         hit = np.bitwise_count(x[:, None] ^ y[None, :]) <= radius
         if own and s == t:
@@ -154,7 +154,9 @@ def groups(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", r
     marked = cut(fingerprints(docs.select(F.col(id_col), F.col(text_col).alias("_text")), text_col="_text", size=size, seed=seed, name="_fp").drop("_text"))
     distinct = cut(marked.groupBy("_fp").agg(F.min(id_col).alias("_least")))
     root = components(links(distinct, radius=radius, name="_fp")).select(F.col("node").alias("_fp"), "root")
-    rooted = distinct.join(root, "_fp", "left").withColumn("root", F.coalesce("root", "_fp"))
-    least = rooted.groupBy("root").agg(F.min("_least").alias("component_id"))
-    named = rooted.join(least, "root").select("_fp", "component_id")
+    members = cut(root.unionByName(root.select(F.col("root").alias("_fp"), "root").distinct()))
+    bound = members.count()
+    least = members.join(distinct, "_fp").groupBy("root").agg(F.min("_least").alias("_of_all"))
+    named = meet(members, least, "root", bound).select("_fp", "_of_all")
+    named = cut(distinct.join(named, "_fp", "left").select("_fp", F.coalesce("_of_all", "_least").alias("component_id")))
     return marked.join(named, "_fp").select(id_col, F.lpad(F.lower(F.hex("_fp")), 16, "0").alias("fingerprint"), "component_id")
