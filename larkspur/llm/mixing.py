@@ -8,7 +8,7 @@ are sorted by position over a range partitioning.
 
 Scale: a stream is cut into buckets of a bounded number of rows by that same hash. Running sums go
 over the buckets' sums, and then over the rows of one bucket, so that a source of any size is spread
-over many tasks. The only table of a row per source is that of the targets.
+over many tasks; the hash is of id and size, so that rows without an id are spread as well. The only table of a row per source is that of the targets.
 
 Edge cases: a null source is a source of its own (last in order); null and empty texts have size 0
 and are never taken; rows that repeat are separate rows; documents of a source without words have
@@ -91,7 +91,7 @@ def assign(
     docs = plain(docs)
     base = docs.withColumn("_size", size.cast("long")).drop(*(c for c in MADE if c not in (id_col, source_col, text_col)))
     buckets = -(-base.count() // rows_each) or 1
-    hashed = F.md5(F.concat_ws(":", F.lit(seed), F.coalesce(F.col(id_col).cast("string"), F.lit(""))))
+    hashed = F.md5(F.concat_ws(":", F.lit(seed), F.coalesce(F.col(id_col).cast("string"), F.lit("")), F.col("_size").cast("string")))
     part = F.conv(F.substring("_h", 1, 8), 16, 10).cast("long") * buckets / F.lit(4294967296)
     base = base.withColumns({"_h": hashed, "_null": F.col(source_col).isNull(), "_source": F.coalesce(F.col(source_col).cast("string"), F.lit(""))})
     base = base.withColumn("_bucket", F.floor(part).cast("int"))
@@ -136,7 +136,7 @@ def mix(docs: DataFrame, **how) -> DataFrame:
 
 
 ORACLE_SQL = r"""
-WITH d AS (SELECT doc_id, source, source IS NULL AS nul, coalesce(source, '') AS src, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))::BIGINT AS size, md5(concat('mix:', coalesce(doc_id::VARCHAR, ''))) AS h FROM documents),
+WITH d AS (SELECT doc_id, source, source IS NULL AS nul, coalesce(source, '') AS src, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))::BIGINT AS size, md5(concat('mix:', coalesce(doc_id::VARCHAR, ''), ':', size)) AS h FROM documents),
 s AS (SELECT nul, src, sum(size)::BIGINT AS source_size FROM d GROUP BY ALL),
 c AS (SELECT *, ((row_number() OVER (ORDER BY nul, src)) - 1) % 3 AS cls FROM s),
 w AS (SELECT *, [5.0::DOUBLE, 2.0::DOUBLE, 1.0::DOUBLE][cls + 1] AS weight FROM c),
