@@ -729,19 +729,70 @@ def test_chat_messy(spark):
 # pipeline
 
 
+def plain_passes(rows):
+    """How often the mix takes each (id, source, text): a plain version of the mixing stage."""
+    size = [len(words(t)) for _, _, t in rows]
+    key = lambda s: (s is None, s or "")
+    sources = sorted({s for _, s, _ in rows}, key=key)
+    whole = {s: sum(n for n, r in zip(size, rows, strict=True) if r[1] == s) for s in sources}
+    weight = {s: (5, 2, 1)[k % 3] for k, s in enumerate(sources)}
+    target, rest, free = dict.fromkeys(sources, 0.0), float(sum(size)), {s for s in sources if whole[s]}
+    while rest > 1e-9 and free:
+        shares = {s: rest * weight[s] / sum(weight[x] for x in free) for s in free}
+        rest = 0.0
+        for s, x in shares.items():
+            target[s] += x
+            if target[s] >= 3 * whole[s]:
+                rest, target[s] = rest + target[s] - 3 * whole[s], 3.0 * whole[s]
+                free.discard(s)
+    taken = collections.Counter()
+    for s in sources:
+        stream = sorted((hashlib.md5(f"mix:{'' if i is None else i}:{n}".encode()).hexdigest(), n, i) for n, (i, src, _) in zip(size, rows, strict=True) if src == s)
+        left = round(target[s])
+        for _ in range(3):
+            for _, n, i in stream:
+                if left > 0 and n:
+                    taken[i] += 1
+                left -= n
+    return taken
+
+
 def test_pipeline(spark, docs, library):
     rows = spark.read.parquet(f"{SF}/documents.parquet")
     stages = dict(corpus_pipeline.STAGES)
     found = stages["language ID"](spark, rows, SF).toPandas()
     assert set(docs.doc_id[docs.text.str.contains(r"[^\W\d_]")]) == set(found.doc_id)
-    kept = {r.doc_id for r in quality_lm.classify(rows, quality_lm.trusted_ids(spark.read.parquet(f"{SF}/labels.parquet"))).collect() if r.kept}
-    assert {r.doc_id for r in stages["quality classifier"](spark, rows, SF).collect()} == kept
-    first = {r.component_id for r in simhash.groups(rows).collect()}
-    assert sorted(r.doc_id for r in stages["SimHash near-dedup"](spark, rows, SF).collect()) == sorted(first)
-    times = {r.doc_id: len(r.passes) for r in mixing.assign(rows).collect()}
-    assert collections.Counter(r.doc_id for r in stages["mixing sources"](spark, rows, SF).collect()) == {k: n for k, n in times.items() if n}
+    assert (found.merge(docs, on="doc_id").eval("lang_x == lang_y")).mean() > 0.97
+    labels = spark.read.parquet(f"{SF}/labels.parquet").toPandas().set_index("doc_id")
+    kept = {r.doc_id for r in stages["quality classifier"](spark, rows, SF).collect()}
+    assert kept <= set(docs.doc_id) and len(kept) > 0.8 * len(docs)
+    good = labels.index[(labels.quality == 1) & (labels.toxic == 0)]
+    assert np.mean([i in kept for i in good]) > 0.95 and np.mean([i in kept for i in labels.index[labels.quality == 0]]) < 0.5
+    assert sorted((False, r.doc_id) for r in stages["SimHash near-dedup"](spark, rows, SF).collect()) == one_of_each(list(zip(docs.doc_id, docs.text, strict=True)))
+    assert collections.Counter(r.doc_id for r in stages["mixing sources"](spark, rows, SF).collect()) == plain_passes(list(zip(docs.doc_id, docs.source, docs.text, strict=True)))
     out = corpus_pipeline.run(spark, SF).collect()
     text = dict(zip(docs.doc_id, docs.text, strict=True))
     assert out and all(r.token_ids == library.encode(text[r.doc_id], add_special_tokens=False).ids for r in out)
     for stage in list(stages.values())[:-1]:
         assert stage(spark, rows, SF).columns == rows.columns and stage(spark, rows.limit(0), SF).count() == 0
+
+
+def test_pipeline_clashing_columns(spark):
+    """Columns named as those of the steps come through every stage as they are."""
+    names = ("_batch", "size", "mix_pass", "score", "lang_pred", "_row", "_size", "passes", "words", "row", "a.b", "target", "_text", "kept")
+    rows = spark.read.parquet(f"{SF}/documents.parquet").where("doc_id <= 60")
+    rows = rows.select("*", *(F.concat(F.lit(f"{n} of "), F.col("doc_id")).alias(n) for n in names)).unionByName(rows.limit(0), allowMissingColumns=True)
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        got = stage(spark, rows, SF)
+        assert got.columns == rows.columns, name
+        some = got.collect()
+        assert some and all(r[n] == f"{n} of {r.doc_id}" for r in some for n in names), name
+
+
+def test_pipeline_rows_without_ids(spark):
+    """The quality stage judges such rows one by one."""
+    rows = spark.read.parquet(f"{SF}/documents.parquet").drop("doc_id").limit(40).withColumn("doc_id", F.lit(None).cast("long"))
+    bad = rows.limit(1).withColumn("text", F.lit("zq | xv | 0931 | #### | wk | " * 60))
+    mixed = spark.read.parquet(f"{SF}/documents.parquet").unionByName(rows).unionByName(bad)
+    got = corpus_pipeline.quality(spark, mixed, SF).where("doc_id IS NULL").collect()
+    assert 20 < len(got) <= 40 and not any("#### | wk" in r.text for r in got)
