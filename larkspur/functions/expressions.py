@@ -79,5 +79,6 @@ def cosine(a: Column, b: Column) -> Column:
 
 def bigrams(text: Column) -> Column:
     """Pairs of neighbouring characters; a single character stands for itself."""
-    n = F.length(text)
-    return F.when(n >= 2, F.transform(F.sequence(F.lit(1), n - 1), lambda i: F.substring(text, i, F.lit(2)))).when(n == 1, F.array(text)).otherwise(F.array().cast("array<string>"))
+    one = F.split(text, "")
+    pairs = F.zip_with(one, F.slice(one, 2, F.greatest(F.size(one) - 1, F.lit(0))), lambda a, b: F.concat(a, b))
+    return F.when(F.length(text) >= 2, F.slice(pairs, 1, F.size(one) - 1)).when(F.length(text) == 1, F.array(text)).otherwise(F.array().cast("array<string>"))

@@ -33,8 +33,13 @@ def multiset_diff(before: DataFrame, after: DataFrame) -> DataFrame:
 
 
 def upsert(target: DataFrame, source: DataFrame, key: list[str]) -> DataFrame:
-    """target with source's rows in place of those of the same key, and the new ones added."""
-    return target.join(source, key, "left_anti").unionByName(source)
+    """target with source's rows in place of those of the same key, and the new ones added. A null key is a key like
+    others; of a key that source repeats, the greatest row by its other columns stays."""
+    rest = [c for c in source.columns if c not in key]
+    once = source.groupBy(*key).agg(F.max(F.struct(*rest)).alias("_r")).select(*key, *(F.col(f"_r.{c}").alias(c) for c in rest)) if rest else source.distinct()
+    keys = once.select(*(F.col(k).alias(f"_k{i}") for i, k in enumerate(key)))
+    same = [F.col(k).eqNullSafe(F.col(f"_k{i}")) for i, k in enumerate(key)]
+    return target.join(keys, same, "left_anti").unionByName(once.select(*source.columns))
 
 
 def accumulate(target: DataFrame, batch: DataFrame, key: list[str], sums: list[str], latest_of: list[str] = ()) -> DataFrame:

@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from larkspur.functions.checkpoints import cut
+
 #: Mean radius of the earth in metres.
 RADIUS = 6371008.8
 
@@ -19,15 +23,48 @@ def wkt(lat: Column, lon: Column) -> Column:
     return F.format_string("POINT (%s %s)", lon, lat)
 
 
-def nearest(points: DataFrame, places: DataFrame, point_id: str, place_id: str, *, most_places: int = 200_000) -> DataFrame:
-    """points' id with the nearest place (lat, lon) and its metres; ties to the smaller id.
+def on_sphere(lat: Column, lon: Column) -> list[Column]:
+    """The point as x, y and z on the unit sphere, where neither a pole nor the date line is special."""
+    return [F.cos(F.radians(lat)) * F.cos(F.radians(lon)), F.cos(F.radians(lat)) * F.sin(F.radians(lon)), F.sin(F.radians(lat))]
+
+
+def cell(level: Column, xyz: list[Column], side: Column, shift: list[Column] | None = None) -> Column:
+    """Number of the cube of that side in which a point lies; two cubes with one number would only add candidates."""
+    return F.xxhash64(level, *((F.floor(c / side) + d).cast("long") for c, d in zip(xyz, shift or [F.lit(0)] * 3, strict=True)))
+
+
+def nearest(points: DataFrame, places: DataFrame, point_id: str, place_id: str, *, most_broadcast: int = 2_000_000) -> DataFrame:
+    """points' id with the nearest place (lat, lon) and its metres; ties, by the millimetre, to the smaller id.
+
+    Space is cut into cubes, by levels, each of eight times the side of the one before. At a level, a point meets
+    the places of its own cube and the 26 around it; the nearest of them is the nearest of all if it is within a
+    side, since whatever is not among them is farther. Other points go on to the next level; the last level's cubes
+    hold all places. Points are never paired with places that far away, and no number of either is too large.
 
-    Places are a list of the business's own (stores); up to most_places they are broadcast as one array
-    and each point scans it, with no pair of rows. Beyond that the caller should cut the map into cells.
+    Levels begin at half the mean spacing of the places. The lists of a level, 27 times the places, are broadcast
+    up to most_broadcast of them and joined by cube beyond. A point without lat or lon has no nearest place, nor
+    has any if there are no places; places without lat or lon are left out.
     """
-    if places.limit(most_places + 1).count() > most_places:
-        raise ValueError("too many places to broadcast")
-    every = places.agg(F.collect_list(F.struct(F.col(place_id).alias("id"), "lat", "lon")).alias("_places"))
+    held = places.where(F.col("lat").isNotNull() & F.col("lon").isNotNull()).select(F.col(place_id).alias("id"), "lat", "lon")
+    n = held.count()
+    sides = [math.sqrt(4 * math.pi / max(1, n)) / 2]
+    while sides[-1] < 2:
+        sides.append(8 * sides[-1])
+    xyz = on_sphere(F.col("lat"), F.col("lon"))
+    levels = F.array(*(F.struct(F.lit(k).alias("_level"), F.lit(side).alias("_side")) for k, side in enumerate(sides)))
+    cubes = held.select(F.struct("id", "lat", "lon").alias("_place"), *(c.alias(n) for c, n in zip(xyz, ("_x", "_y", "_z"), strict=True)), F.inline(levels))
+    for axis in ("_a", "_b", "_c"):
+        cubes = cubes.withColumn(axis, F.explode(F.array(*map(F.lit, (-1, 0, 1)))))
+    own = cell(F.col("_level"), [F.col(c) for c in ("_x", "_y", "_z")], F.col("_side"), [F.col(c) for c in ("_a", "_b", "_c")])
+    lists = cut(cubes.select("_level", own.alias("_cell"), "_place").groupBy("_level", "_cell").agg(F.collect_list("_place").alias("_places")))
     distance = lambda x: F.struct(F.round(haversine(F.col("lat"), F.col("lon"), x["lat"], x["lon"]), 3).alias("metres"), x["id"].alias("id"))
-    found = points.crossJoin(F.broadcast(every)).withColumn("_best", F.array_min(F.transform("_places", distance)))
-    return found.select(point_id, F.col("_best.id").alias(place_id), F.col("_best.metres").alias("metres"))
+    out = points.select(point_id, "lat", "lon").withColumn("_best", F.lit(None).cast(f"struct<metres: double, id: {held.schema['id'].dataType.simpleString()}>"))
+    for k, side in enumerate(sides):
+        within = 2 * RADIUS * math.asin(min(1.0, side / 2)) - 0.001
+        some = lists.where(F.col("_level") == k).select("_cell", "_places")
+        done = F.coalesce(F.col("_best.metres") < F.lit(within), F.lit(False))
+        keyed = out.withColumn("_cell", F.when(F.col("_best").isNull(), cell(F.lit(k), xyz, F.lit(side))))
+        found = keyed.join(F.broadcast(some) if 27 * n <= most_broadcast else some, "_cell", "left").withColumn("_best", F.coalesce("_best", F.array_min(F.transform("_places", distance))))
+        last = k == len(sides) - 1
+        out = found.select(point_id, "lat", "lon", F.when(done | F.lit(last), F.col("_best")).alias("_best"))
+    return out.select(point_id, F.col("_best.id").alias(place_id), F.col("_best.metres").alias("metres"))

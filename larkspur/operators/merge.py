@@ -28,6 +28,13 @@ def dedupe(rows: DataFrame, key: list[str], latest_by: str, batch: str, record:
     return latest(rows, key, [latest_by, batch, record])
 
 
+def mapping_difference(old: DataFrame, new: DataFrame) -> DataFrame:
+    """(mapping, field, change, old, new) where two versions of (mapping, field, expression) differ."""
+    a, b = (v.select("mapping", "field", F.col("expression").alias(n)) for v, n in ((old, "old"), (new, "new")))
+    change = F.when(F.col("old").isNull(), "added").when(F.col("new").isNull(), "removed").otherwise("changed")
+    return a.join(b, ["mapping", "field"], "full").where("NOT old <=> new").select("mapping", "field", change.alias("change"), "old", "new")
+
+
 def key_space(prefix: str, *columns: str) -> list[Column]:
     """Key columns with their space ahead, so that the keys of two sources never meet."""
     return [F.when(F.col(c).isNotNull(), F.concat(F.lit(f"{prefix}:"), F.col(c).cast("string"))).alias(c) for c in columns]

@@ -18,6 +18,13 @@ def top_rows(df: DataFrame, keys: list[str], order: list[Column], n: int) -> Dat
     return df.withColumn("_k", F.row_number().over(W.partitionBy(*keys).orderBy(*order))).where(F.col("_k") <= n).drop("_k")
 
 
+def capped(df: DataFrame, order: list[str], most: int) -> DataFrame:
+    """The first `most` rows by order, with truncated: whether there are more. One row beyond the cap is looked for."""
+    head = df.orderBy(*order).limit(most + 1)
+    more = head.agg((F.count("*") > most).alias("truncated"))
+    return head.orderBy(*order).limit(most).crossJoin(F.broadcast(more))
+
+
 def mode_by(df: DataFrame, keys: list[str], value: str) -> DataFrame:
     """Most frequent value of each key (ties to the least value) and its count: counts first, then one row a key."""
     counted = df.groupBy(*keys, value).agg(F.count("*").alias("n"))

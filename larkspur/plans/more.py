@@ -10,11 +10,12 @@ from pyspark.sql import functions as F
 
 from larkspur.functions import expressions as X
 from larkspur.functions.shipping import ship
-from larkspur.operators import changes, geo, metrics, quality, topn
+from larkspur.operators import changes, geo, metrics, quality, search, topn
 from larkspur.sources import readers
 
 from .crm import SESSIONS_SQL, sessionized
 from .domain import AS_OF, lake, shop
+from .files import folder
 from .registry import query
 from .relational import small, t
 
@@ -45,10 +46,10 @@ def p12_row_filter_counts(spark, sf_dir):
     return t(spark, sf_dir, "customer").agg(F.count_if(rule).alias("kept"), F.count_if(~rule).alias("filtered"))
 
 
-@query("SELECT * FROM (SELECT c_custkey, c_acctbal FROM customer ORDER BY c_custkey LIMIT 101)")
+@query("SELECT *, (SELECT count(*) FROM orders) > 10000 AS truncated FROM (SELECT o_orderkey, o_totalprice FROM orders ORDER BY o_orderkey LIMIT 10000)")
 def o4_result_cap(spark, sf_dir):
-    """A page of results and one row more, which tells that there are others."""
-    return t(spark, sf_dir, "customer").select("c_custkey", "c_acctbal").orderBy("c_custkey").limit(101)
+    """The first 10,000 rows of a result, and whether there are others."""
+    return topn.capped(t(spark, sf_dir, "orders").select("o_orderkey", "o_totalprice"), ["o_orderkey"], 10_000)
 
 
 # joins
@@ -102,9 +103,9 @@ def g6_any_and_bool(spark, sf_dir):
     return t(spark, sf_dir, "orders").groupBy("o_custkey").agg(F.min("o_orderpriority").alias("any_priority"), F.bool_or(F.col("o_totalprice") > 300000).alias("big"))
 
 
-@query("SELECT label, string_agg(vec_id::VARCHAR, ',' ORDER BY vec_id) AS ids FROM embeddings WHERE vec_id < 200 GROUP BY 1")
+@query("SELECT label, string_agg(vec_id::VARCHAR, ',' ORDER BY vec_id) AS ids FROM embeddings GROUP BY 1")
 def g7_ordered_list(spark, sf_dir):
-    return t(spark, sf_dir, "embeddings").where("vec_id < 200").groupBy("label").agg(F.concat_ws(",", F.transform(F.array_sort(F.collect_list("vec_id")), lambda x: x.cast("string"))).alias("ids"))
+    return t(spark, sf_dir, "embeddings").groupBy("label").agg(F.concat_ws(",", F.transform(F.array_sort(F.collect_list("vec_id")), lambda x: x.cast("string"))).alias("ids"))
 
 
 @query("SELECT event_type, user_id % 7 AS g, count(*) AS n FROM events GROUP BY ALL")
@@ -141,9 +142,9 @@ def w10_window_over_aggregate(spark, sf_dir):
 # sets, sinks and maintenance
 
 
-@query("SELECT event_type, user_id % 5 AS g FROM events WHERE event_id < 4000 EXCEPT ALL SELECT event_type, user_id % 5 FROM events WHERE event_id % 2 = 0 AND event_id < 4000")
+@query("SELECT event_type, user_id % 5 AS g FROM events EXCEPT ALL SELECT event_type, user_id % 5 FROM events WHERE event_id % 2 = 0")
 def o11_multiset_difference(spark, sf_dir):
-    e = t(spark, sf_dir, "events").where("event_id < 4000").select("event_type", (F.col("user_id") % 5).alias("g"), "event_id")
+    e = t(spark, sf_dir, "events").select("event_type", (F.col("user_id") % 5).alias("g"), "event_id")
     return e.drop("event_id").exceptAll(e.where("event_id % 2 = 0").drop("event_id"))
 
 
@@ -324,11 +325,14 @@ def d17_mean_vectors(spark, sf_dir):
     return e.select("label", F.concat_ws("|", *(F.format_string("%.4f", f"v{i}") for i in range(4))).alias("mean"))
 
 
-@query("WITH q AS (SELECT doc_id, lower(text) AS x FROM documents) SELECT doc_id, (length(x) - length(replace(x, 'the', ''))) // 3 AS hits FROM q WHERE x LIKE '%the%'")
+@query(
+    r"""WITH d AS (SELECT doc_id, source, list_count(list_filter(regexp_extract_all(lower(text), '[a-z]+'), lambda x: x IN ('the', 'that', 'from'))) AS hits FROM documents)
+    SELECT doc_id, hits::BIGINT AS hits, row_number() OVER (ORDER BY hits DESC, doc_id) AS place FROM d WHERE hits > 0 ORDER BY hits DESC, doc_id LIMIT 50"""
+)
 def v5_keyword_recall(spark, sf_dir):
-    low = F.lower("text")
-    hits = F.expr("cast((length(lower(text)) - length(replace(lower(text), 'the', ''))) div 3 AS BIGINT)")
-    return t(spark, sf_dir, "documents").where(low.contains("the")).select("doc_id", hits.alias("hits"))
+    """Recall by keywords: the 50 documents with the most hits, in their order."""
+    tokens = F.regexp_extract_all(F.lower("text"), F.lit("[a-z]+"), F.lit(0))
+    return search.keyword_recall(t(spark, sf_dir, "documents"), "doc_id", tokens, ["the", "that", "from"], 50)
 
 
 @query("SELECT user_id, event_type, ts, event_id FROM events WHERE event_id % 13 != 0 QUALIFY row_number() OVER (PARTITION BY user_id, event_type ORDER BY ts DESC, event_id DESC) = 1")
@@ -346,19 +350,21 @@ def r16_incremental_merge(spark, sf_dir):
 @query()
 def v4_cell_index_search(spark, sf_dir):
     """An index of k-means cells over all vectors; every row whose id is divisible by 20 asks for its ten nearest."""
-    from larkspur.operators import search
-
     e = t(spark, sf_dir, "embeddings").select("vec_id", "embedding")
     indexed, centres = search.cells(e, "embedding", 16)
     return search.probe(e.where("vec_id % 20 = 0"), indexed, centres, "vec_id", "embedding", 10, probes=12)
 
 
-@query("SELECT 'customer' AS name UNION ALL SELECT 'orders' UNION ALL SELECT 'events'")
+@query("SELECT unnest(string_split('region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations', ' ')) AS name")
 def s14_prefix_tables(spark, sf_dir):
-    found = readers.prefix_tables(spark, sf_dir)
-    return spark.createDataFrame([(n,) for n in found if n in ("customer", "orders", "events")], "name string")
+    """Every table below a prefix of the store."""
+    return spark.createDataFrame([(n,) for n in readers.prefix_tables(spark, sf_dir)], "name string")
 
 
-@query("SELECT count(*) AS rows FROM lineitem")
+@query("SELECT event_type AS part, count(*) AS rows, 1::BIGINT AS files, true AS sized FROM events GROUP BY 1")
 def s20_file_listing(spark, sf_dir):
-    return readers.files_of(readers.parquet(spark, f"{sf_dir}/lineitem.parquet")).agg(F.sum("rows").alias("rows"))
+    """The files of a partitioned folder with their rows and sizes, summed by partition."""
+    at = folder(spark, "listed")
+    t(spark, sf_dir, "events").repartition("event_type").write.partitionBy("event_type").parquet(at)
+    listed = readers.files_of(readers.parquet(spark, at)).withColumn("part", F.regexp_extract("path", "event_type=([^/]+)/", 1))
+    return listed.groupBy("part").agg(F.sum("rows").alias("rows"), F.count("*").alias("files"), F.bool_and(F.col("bytes") > 0).alias("sized"))

@@ -11,7 +11,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from larkspur.functions import expressions as X
-from larkspur.operators import asof, changes, identity, merge, metrics, search, topn
+from larkspur.operators import asof, changes, identity, merge, metrics, ranks, search, topn
 from larkspur.sources import readers, tables
 
 from .domain import AS_OF, RECORDS_SQL, TO_REGION, lake, records
@@ -22,15 +22,16 @@ from .relational import small, t
 # sources
 
 
-@query("SELECT c_custkey::VARCHAR AS id, c_name AS name FROM customer WHERE c_custkey < 50")
+@query("SELECT c_custkey::VARCHAR AS id, '客户' || c_name AS name FROM customer")
 def s7_sniffed_csv(spark, sf_dir):
-    """Written with semicolons in GBK; what a preview of the first bytes finds is what it is read with."""
+    """Written with semicolons in a Chinese encoding; what a preview of the first bytes finds is what it is read with."""
     at = folder(spark, "gbk")
-    readers.allow_encoding(spark, "GBK")
-    t(spark, sf_dir, "customer").where("c_custkey < 50").select(F.col("c_custkey").alias("id"), F.col("c_name").alias("name")).coalesce(1).write.options(header=True, sep=";", encoding="GBK").csv(at)
-    head = spark.read.format("binaryFile").option("pathGlobFilter", "*.csv").load(at).select(F.substring("content", 1, 4000).alias("c")).first()["c"]
+    readers.allow_encoding(spark, "GB18030")
+    named = t(spark, sf_dir, "customer").select(F.col("c_custkey").alias("id"), F.concat(F.lit("客户"), "c_name").alias("name"))
+    named.write.options(header=True, sep=";", encoding="GB18030").csv(at)
+    head = spark.read.format("binaryFile").option("pathGlobFilter", "*.csv").load(at).where("length > 0").select(F.substring("content", 1, 4000).alias("c")).first()["c"]
     found = readers.sniff(bytes(head))
-    return readers.csv_table(spark, at, encoding="GBK", delimiter=found["delimiter"], header=found["header"])
+    return readers.csv_table(spark, at, encoding=found["encoding"], delimiter=found["delimiter"], header=found["header"])
 
 
 @query("SELECT c_custkey, c_nationkey AS home_nation, c_mktsegment AS home_more_segment FROM customer")
@@ -127,14 +128,16 @@ def k16_partition_evolution(spark, sf_dir):
     return both.groupBy(F.col("y").cast("long").alias("y")).agg(F.count("*").alias("n"))
 
 
-@query("SELECT count(*) AS n, 2::BIGINT AS versions, 1::BIGINT AS files FROM orders")
+@query("SELECT count(*) AS n, 2::BIGINT AS versions, true AS fewer FROM orders")
 def k17_compaction_and_expiry(spark, sf_dir):
     table, o = tables.VersionedTable(spark, folder(spark, "small")), t(spark, sf_dir, "orders")
     for _ in range(3):
         table.write(o.repartition(5, "o_orderkey"))
     table.expire(1)
-    table.write(table.read().coalesce(1))
-    return table.read().agg(F.count("*").alias("n"), F.lit(len(table.versions())).cast("long").alias("versions"), F.countDistinct("_metadata.file_path").alias("files"))
+    before = table.read().select("_metadata.file_path").distinct().count()
+    size = tables.folder_bytes(spark, f"{table.path}/v={table.versions()[-1]}")
+    table.write(table.read().repartitionByRange(tables.files_for(size), "o_orderkey"))
+    return table.read().agg(F.count("*").alias("n"), F.lit(len(table.versions())).cast("long").alias("versions"), (F.countDistinct("_metadata.file_path") < before).alias("fewer"))
 
 
 @query("SELECT c_custkey, length(c_name) * 2 AS tokens FROM customer")
@@ -161,10 +164,12 @@ def k27_saved_result(spark, sf_dir):
 # order, joins, aggregates
 
 
-@query("SELECT c_custkey, row_number() OVER (ORDER BY nullif(c_nationkey, 3) DESC NULLS LAST, c_custkey) AS place FROM customer WHERE c_custkey < 300")
+@query("SELECT c_custkey, row_number() OVER (ORDER BY nullif(c_nationkey, 3) DESC NULLS LAST, c_custkey) AS place FROM customer")
 def o1_explicit_null_order(spark, sf_dir):
-    c = t(spark, sf_dir, "customer").where("c_custkey < 300").select("c_custkey", F.nullif("c_nationkey", F.lit(3)).alias("n"))
-    return c.select("c_custkey", F.row_number().over(W.partitionBy().orderBy(F.desc_nulls_last("n"), "c_custkey")).cast("long").alias("place"))
+    """Places over the whole table: the nulls' lead is below all others'."""
+    n = F.nullif("c_nationkey", F.lit(3))
+    c = t(spark, sf_dir, "customer").select("c_custkey", F.coalesce(-n.cast("double"), F.lit(float("inf"))).alias("lead"))
+    return ranks.ranked(c, "lead", "c_custkey").select("c_custkey", F.col("_row").cast("long").alias("place"))
 
 
 @query("SELECT r_name AS region, n_name AS nation, count(*) AS value FROM orders JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey GROUP BY ALL")
@@ -197,7 +202,9 @@ def g11_approximate_distinct(spark, sf_dir):
 @query("SELECT o_orderkey, round(sum(o_totalprice) OVER (w ROWS UNBOUNDED PRECEDING), 2) AS total, round(max(o_totalprice) OVER (w ROWS BETWEEN 2 PRECEDING AND CURRENT ROW), 2) AS recent FROM orders WINDOW w AS (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey)")
 def w14_named_window(spark, sf_dir):
     return spark.sql(
-        "SELECT o_orderkey, round(sum(o_totalprice) OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey ROWS UNBOUNDED PRECEDING), 2) AS total, round(max(o_totalprice) OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey ROWS BETWEEN 2 PRECEDING AND CURRENT ROW), 2) AS recent FROM {o}",
+        """SELECT o_orderkey, round(sum(o_totalprice) OVER sofar, 2) AS total, round(max(o_totalprice) OVER three, 2) AS recent FROM {o}
+        WINDOW sofar AS (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW),
+        three AS (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey ROWS BETWEEN 2 PRECEDING AND CURRENT ROW)""",
         o=t(spark, sf_dir, "orders"),
     )
 
@@ -316,13 +323,15 @@ def d64_schema_drift(spark, sf_dir):
     return spark.createDataFrame([(words[k], c) for c, k, _ in changes.schema_diff(declared, actual)], "drift string, column_name string")
 
 
-@query("SELECT 'changed' AS change, 'name' AS field UNION ALL SELECT 'added', 'city'")
+@query(
+    """WITH v AS (SELECT c_nationkey AS mapping, 'f' || c_custkey % 40 AS field, min(c_mktsegment) FILTER (c_custkey % 3 != 0) AS old, min(c_mktsegment) FILTER (c_custkey % 4 != 0) AS new FROM customer GROUP BY ALL)
+    SELECT mapping, field, CASE WHEN old IS NULL THEN 'added' WHEN new IS NULL THEN 'removed' ELSE 'changed' END AS change, old, new FROM v WHERE old IS DISTINCT FROM new"""
+)
 def d68_mapping_difference(spark, sf_dir):
-    """What differs between two versions of a mapping, declared as columns of expressions."""
-    old = {"id": "c_custkey", "name": "c_name"}
-    new = {"id": "c_custkey", "name": "trim(c_name)", "city": "c_nationkey"}
-    found = [("added", f) for f in new if f not in old] + [("removed", f) for f in old if f not in new] + [("changed", f) for f in old if f in new and old[f] != new[f]]
-    return spark.createDataFrame(found, "change string, field string")
+    """What differs between two versions of mappings, which are tables of (mapping, field, expression)."""
+    c = t(spark, sf_dir, "customer")
+    made = lambda kept: c.where(kept).groupBy(F.col("c_nationkey").alias("mapping"), F.concat(F.lit("f"), (F.col("c_custkey") % 40).cast("string")).alias("field")).agg(F.min("c_mktsegment").alias("expression"))
+    return merge.mapping_difference(made("c_custkey % 3 != 0"), made("c_custkey % 4 != 0"))
 
 
 @query("SELECT o_custkey AS k, 'orders' AS metric, count(*)::DOUBLE AS value FROM orders GROUP BY 1")

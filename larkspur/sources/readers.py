@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import codecs
 import csv
 import io
 from collections.abc import Callable, Iterator
@@ -62,8 +63,8 @@ def csv_with_rejects(spark: SparkSession, path: str, schema: T.StructType, **opt
 def sniff(sample: bytes, rows: int = 20) -> dict:
     """Encoding, delimiter, header and first rows of the beginning of a CSV file: a preview."""
     for encoding in ("utf-8-sig", "gb18030"):
-        try:
-            text = sample.decode(encoding)
+        try:  # the sample may end within a character
+            text = codecs.getincrementaldecoder(encoding)().decode(sample, final=False)
             break
         except UnicodeDecodeError:
             continue

@@ -76,9 +76,28 @@ def append_batch(df: DataFrame, path: str, batch: str) -> None:
     overwrite_partitions(df.withColumn("_batch", F.lit(batch)), path, ["_batch"])
 
 
-def compact(spark: SparkSession, source: str, target: str, files: int) -> None:
-    """Rewrite a folder's many files as a few."""
-    spark.read.parquet(source).coalesce(files).write.mode("overwrite").parquet(target)
+def folder_bytes(spark: SparkSession, path: str) -> int:
+    """Bytes of all files below a folder."""
+    root = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return root.getFileSystem(spark._jsc.hadoopConfiguration()).getContentSummary(root).getLength()
+
+
+def files_for(size: int, each: int = 256 << 20) -> int:
+    """Files of about so many bytes."""
+    return max(1, -(-size // each))
+
+
+def compact(spark: SparkSession, source: str, target: str, by: str, each: int = 256 << 20) -> None:
+    """Rewrite a folder's many files as ranges of a column, each of about so many bytes."""
+    spark.read.parquet(source).repartitionByRange(files_for(folder_bytes(spark, source), each), by).write.mode("overwrite").parquet(target)
+
+
+def drop_source(spark: SparkSession, path: str, dependents: dict[str, set[str]], name: str) -> bool:
+    """Remove a source's folder, unless a definition needs it; whether it is gone."""
+    if any(name in needs for needs in dependents.values()):
+        return False
+    root = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return root.getFileSystem(spark._jsc.hadoopConfiguration()).delete(root, True)
 
 
 def incremental_months(current: DataFrame, fresh: DataFrame, month: str, key: list[str], overlap: int = 1) -> DataFrame:
