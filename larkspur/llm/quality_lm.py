@@ -55,8 +55,8 @@ START = "\x01"
 GRAMS, CONTEXTS = [f"g{k}" for k in range(1, ORDER + 1)], [f"x{k}" for k in range(2, ORDER + 1)]
 
 
-def grams(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
-    """For each character of the texts a row of its n-grams (GRAMS) and their contexts (CONTEXTS), and whose it is.
+def grams(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Hashes of the n-grams of each order that end at each character of the texts with START ahead of them, where the texts' own characters are, and whose.
 
     The hash of an n-gram is made from its last character backwards, so that a context's is that of the
     n-gram that ends one character before.
@@ -64,48 +64,48 @@ def grams(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
     lead = START * (ORDER - 1)
     sizes = np.array([len(t or "") for t in texts], np.int64)
     code = np.frombuffer("".join(lead + (t or "") for t in texts).encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64)
-    hashes = np.zeros((2 * ORDER - 1, len(code)), np.uint64)
+    hashes = np.zeros((ORDER, len(code)), np.uint64)
     h = np.zeros(len(code), np.uint64)
     for k in range(ORDER):
         h[k:] = (h[k:] + code[: len(code) - k] + np.uint64(1)) * np.uint64(0x9E3779B97F4A7C15)
         h ^= h >> np.uint64(29)
         hashes[k] = h
-        if k < ORDER - 1:
-            hashes[ORDER + k, 1:] = h[:-1]
-    owner = np.repeat(np.arange(len(texts)), sizes + ORDER - 1)
-    begin = np.cumsum(sizes + ORDER - 1) - sizes - ORDER + 1
-    real = np.ones(len(code), bool)
-    for k in range(ORDER - 1):
-        real[begin + k] = False
-    return hashes[:, real].T.view(np.int64), owner[real]
+    owner = np.repeat(np.arange(len(texts)), sizes)
+    return hashes.view(np.int64), np.arange(len(owner)) + (owner + 1) * (ORDER - 1), owner
 
 
-def distinct(rows: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """The rows of each n-gram of the full order once, sorted by it, where each row is among them, and their number."""
-    _, first, at = np.unique(rows[:, ORDER - 1], return_index=True, return_inverse=True)
-    return rows[first], at, np.bincount(at, minlength=len(first))
+def distinct(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """A row (GRAMS, CONTEXTS) for each n-gram of the full order that the texts have, which of them ends at each character, and whose it is."""
+    hashes, at, owner = grams(texts)
+    which, full = pd.factorize(hashes[ORDER - 1][at])
+    first = np.empty(len(full), np.int64)
+    first[which[::-1]] = at[::-1]
+    return np.stack([*(h[first] for h in hashes), *(h[first - 1] for h in hashes[:-1])], 1), which, owner
+
+
+def combined(rows: list[np.ndarray], counts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """The rows of each n-gram once, and the sum of its counts."""
+    every = np.concatenate(rows)
+    which, full = pd.factorize(every[:, ORDER - 1])
+    first = np.empty(len(full), np.int64)
+    first[which[::-1]] = np.arange(len(every))[::-1]
+    return every[first], np.bincount(which, np.concatenate(counts), minlength=len(full)).astype(np.int64)
 
 
 def count(docs: DataFrame, text_col: str) -> DataFrame:
     """(GRAMS, CONTEXTS, n): occurrences of each n-gram of the full order."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rows, counts, waiting = np.zeros((0, 2 * ORDER - 1), np.int64), np.zeros(0, np.int64), []
-
-        def merge() -> tuple[np.ndarray, np.ndarray]:
-            every = np.concatenate([rows, *(w[0] for w in waiting)])
-            once, at, _ = distinct(every)
-            return once, np.bincount(at, np.concatenate([counts, *(w[1] for w in waiting)]), minlength=len(once)).astype(np.int64)
-
+        rows, counts = [np.zeros((0, 2 * ORDER - 1), np.int64)], [np.zeros(0, np.int64)]
         for batch in batches:
             texts = batch.column(0).to_pylist()
             for a, b in slices(texts, CHARS):
-                once, _, n = distinct(grams(texts[a:b])[0])
-                waiting.append((once, n))
-                if sum(len(w[0]) for w in waiting) > 500_000:
-                    rows, counts = merge()
-                    waiting = []
-        rows, counts = merge()
+                once, which, _ = distinct(texts[a:b])
+                rows.append(once)
+                counts.append(np.bincount(which, minlength=len(once)))
+                if sum(map(len, rows[1:])) > 500_000:
+                    rows, counts = ([x] for x in combined(rows, counts))
+        rows, counts = combined(rows, counts)
         release()
         for a in range(0, len(rows), 50_000):
             yield pa.RecordBatch.from_arrays([*(pa.array(c) for c in rows[a : a + 50_000].T), pa.array(counts[a : a + 50_000])], names=[*GRAMS, *CONTEXTS, "n"])
@@ -206,7 +206,7 @@ def score(docs: DataFrame, table: DataFrame, floor: float, *, id_col: str, text_
         for batch in opened(part, arrow):
             texts = batch.column(text_col).to_pylist()
             for a, b in slices(texts, CHARS):
-                wanted = pd.unique(np.concatenate([wanted, pd.unique(distinct(grams(texts[a:b])[0])[0].ravel())]))
+                wanted = pd.unique(np.concatenate([wanted, pd.unique(distinct(texts[a:b])[0].ravel())]))
         release()
         return pd.DataFrame({"_block": np.full(len(wanted), part["_block"].iloc[0], np.int32), "gram": wanted})
 
@@ -215,8 +215,7 @@ def score(docs: DataFrame, table: DataFrame, floor: float, *, id_col: str, text_
         for batch in opened(part, arrow):
             texts, bits, chars = batch.column(text_col).to_pylist(), [], []
             for a, b in slices(texts, CHARS):
-                each, owner = grams(texts[a:b])
-                once, at, _ = distinct(each)
+                once, at, owner = distinct(texts[a:b])
                 new = once if index is None else once[index.get_indexer(once[:, ORDER - 1]) < 0]
                 if len(new):
                     full, bits_of = np.concatenate([full, new[:, ORDER - 1]]), np.concatenate([bits_of, losses(new, known, floor)])
