@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from larkspur.functions import expressions as X
 from larkspur.functions.fuzzy import jaro_winkler
-from larkspur.operators import changes, identity, merge, metrics, quality, search, templates, topn
+from larkspur.operators import changes, identity, matching, merge, metrics, quality, search, templates, topn
 from larkspur.sources import readers
 
 from .registry import query
@@ -477,12 +477,58 @@ def v6_rank_fusion(spark, sf_dir):
     return search.fuse({"size": lane("p_size"), "price": lane("p_retailprice")}, "id", {"size": 2.0}).withColumn("score", F.round("score", 9))
 
 
-@query("SELECT a.c_custkey AS a, b.c_custkey AS b, round(jaro_winkler_similarity(a.c_name, b.c_name), 9) AS similarity FROM customer a JOIN customer b ON a.c_nationkey = b.c_nationkey AND a.c_mktsegment = b.c_mktsegment AND a.c_custkey < b.c_custkey WHERE jaro_winkler_similarity(a.c_name, b.c_name) >= 0.97")
+#: Two lists of contacts made from customers: b's have their telephone as it is, written otherwise, or none, and names with few, more or other letters changed; some of a's occur twice.
+CONTACTS_SQL = """p AS (SELECT c_custkey AS k, (13000000000 + (c_custkey * 7919) % 99999989)::VARCHAR AS phone, left(md5(c_custkey::VARCHAR), 10) AS name, c_nationkey AS city, 1950 + c_custkey % 40 AS birth FROM customer),
+    a AS (SELECT k AS a_id, phone, name, city, birth FROM p UNION ALL SELECT k + 1000000000, NULL, name, city, birth FROM p WHERE k % 33 = 0),
+    b AS (SELECT k + 2000000000 AS b_id, CASE k // 3 % 6 WHEN 0 THEN phone WHEN 1 THEN '+86 ' || left(phone, 3) || '-' || substr(phone, 4) END AS phone,
+      CASE k // 3 % 6 WHEN 2 THEN left(name, 4) || 'z' || substr(name, 6) WHEN 3 THEN left(name, 4) || substr(name, 6, 1) || substr(name, 5, 1) || substr(name, 7) WHEN 4 THEN left(name, 4) || 'zzz' || substr(name, 8) WHEN 5 THEN left(md5('x' || k), 10) ELSE name END AS name,
+      city, birth, CASE WHEN k // 3 % 6 != 5 THEN k END AS true_a_id FROM p WHERE k % 3 = 0)"""
+MATCH_SQL = """by_raw AS (SELECT b_id, a_id FROM b JOIN a USING (phone)), by_phone AS (SELECT b_id, a_id FROM b JOIN a ON right(regexp_replace(b.phone, '[^0-9]', '', 'g'), 11) = right(regexp_replace(a.phone, '[^0-9]', '', 'g'), 11)),
+    by_name AS (SELECT r.b_id, a.a_id, jaro_winkler_similarity(a.name, r.name) AS s FROM (SELECT * FROM b WHERE b_id NOT IN (SELECT b_id FROM by_phone)) r JOIN a ON a.city = r.city AND a.birth = r.birth WHERE jaro_winkler_similarity(a.name, r.name) >= 0.9
+      QUALIFY row_number() OVER (PARTITION BY r.b_id ORDER BY s DESC) = 1 AND count(*) OVER (PARTITION BY r.b_id, s) = 1)"""
+
+
+def contacts(spark, sf_dir):
+    k = F.col("c_custkey")
+    p = t(spark, sf_dir, "customer").select(
+        k.alias("k"), (13_000_000_000 + (k * 7919) % 99_999_989).cast("string").alias("phone"), F.substring(F.md5(k.cast("string")), 1, 10).alias("name"), F.col("c_nationkey").alias("city"), (1950 + k % 40).alias("birth")
+    )
+    own = p.select(F.col("k").alias("a_id"), "phone", "name", "city", "birth")
+    again = p.where("k % 33 = 0").select((F.col("k") + 1_000_000_000).alias("a_id"), F.lit(None).cast("string").alias("phone"), "name", "city", "birth")
+    b = p.where("k % 3 = 0").selectExpr(
+        "k + 2000000000 AS b_id",
+        "CASE k div 3 % 6 WHEN 0 THEN phone WHEN 1 THEN '+86 ' || left(phone, 3) || '-' || substr(phone, 4) END AS phone",
+        "CASE k div 3 % 6 WHEN 2 THEN left(name, 4) || 'z' || substr(name, 6) WHEN 3 THEN left(name, 4) || substr(name, 6, 1) || substr(name, 5, 1) || substr(name, 7) WHEN 4 THEN left(name, 4) || 'zzz' || substr(name, 8) WHEN 5 THEN left(md5('x' || k), 10) ELSE name END AS name",
+        "city", "birth", "CASE WHEN k div 3 % 6 != 5 THEN k END AS true_a_id",
+    )
+    return own.unionByName(again), b
+
+
+def bare_phone():
+    return F.expr("right(regexp_replace(phone, '[^0-9]', ''), 11)")
+
+
+@query(f"WITH {CONTACTS_SQL}, {MATCH_SQL} SELECT b_id, a_id, 'phone' AS how FROM by_phone UNION ALL SELECT b_id, a_id, 'name' FROM by_name")
 def d20_blocked_fuzzy_match(spark, sf_dir):
-    c = t(spark, sf_dir, "customer").select("c_custkey", "c_name", "c_nationkey", "c_mktsegment")
-    a, b = (c.select(F.col("c_custkey").alias(x), F.col("c_name").alias(f"{x}_name"), "c_nationkey", "c_mktsegment") for x in "ab")
-    pairs = a.join(b, ["c_nationkey", "c_mktsegment"]).where("a < b").withColumn("s", jaro_winkler("a_name", "b_name"))
-    return pairs.where("s >= 0.97").select("a", "b", F.round("s", 9).alias("similarity"))
+    """By normalised telephone, then by name within city and year of birth, equally good candidates dropped."""
+    a, b = contacts(spark, sf_dir)
+    return matching.match(a, b, bare_phone(), ["city", "birth"])
+
+
+@query(f"WITH {CONTACTS_SQL}, {MATCH_SQL}, m AS (SELECT 'raw phone' AS method, b_id, a_id FROM by_raw UNION ALL SELECT 'phone', b_id, a_id FROM by_phone UNION ALL SELECT 'phone, then name', b_id, a_id FROM by_phone UNION ALL SELECT 'phone, then name', b_id, a_id FROM by_name) SELECT method, count(*) AS pairs, count(*) FILTER (b.true_a_id = m.a_id) AS correct, (SELECT count(*) FROM b WHERE true_a_id IS NOT NULL) AS expected FROM m JOIN b USING (b_id) GROUP BY method")
+def d20_match_quality(spark, sf_dir):
+    """What each of the three stages finds, of what there is to be found."""
+    a, b = contacts(spark, sf_dir)
+    found = {"raw phone": matching.by_key(a, b, F.col("phone")), "phone": matching.by_key(a, b, bare_phone()), "phone, then name": matching.match(a, b, bare_phone(), ["city", "birth"])}
+    return matching.quality(found, b.select("b_id", "true_a_id"))
+
+
+@query("SELECT c_nationkey, count(*) AS n, round(max(jaro_winkler_similarity(c_name, 'Customer#000000042')), 9) AS nearest FROM customer GROUP BY 1")
+def j13_similarity_by_block(spark, sf_dir):
+    """Of each block, the greatest similarity to a name; distinct names are measured once."""
+    names = t(spark, sf_dir, "customer").groupBy("c_nationkey", "c_name").agg(F.count("*").alias("k"))
+    measured = names.withColumn("s", jaro_winkler("c_name", F.lit("Customer#000000042")))
+    return measured.groupBy("c_nationkey").agg(F.sum("k").alias("n"), F.round(F.max("s"), 9).alias("nearest"))
 
 
 @query("SELECT s_suppkey, levenshtein(s_name, 'Supplier#0042')::BIGINT AS edits, round(jaccard(s_name, 'Supplier#0042'), 9) AS chars FROM supplier")

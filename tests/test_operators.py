@@ -46,6 +46,107 @@ def test_global_ranks(spark, seed, n, alone):
         assert row.p == pytest.approx(sum(v < dict(data)[row.id] for _, v in data) / max(1, n - 1))
 
 
+@pytest.mark.parametrize("hot", [0.0, 0.4, 0.95])
+def test_ranks_of_hot_values(spark, hot):
+    """A value that most rows have spans several ranges, and keeps one rank."""
+    import random
+
+    r = random.Random(7)
+    data = [(k, 5 if r.random() < hot else r.randrange(12)) for k in range(900)]
+    got = ranks.ranked(spark.createDataFrame(data, "id long, v long"), "v", "id", ranges=16, alone=10).collect()
+    order = sorted(data, key=lambda x: (x[1], x[0]))
+    assert sorted((x["_row"], x.v, x.id) for x in got) == [(k + 1, v, i) for k, (i, v) in enumerate(order)]
+    first = {v: next(k for k, x in enumerate(order) if x[1] == v) + 1 for v in {v for _, v in data}}
+    assert all(x["_rank"] == first[x.v] and x["_n"] == 900 for x in got)
+    alone = ranks.ranked(spark.createDataFrame(data, "id long, v long"), "v", ranges=16, alone=10).collect()
+    assert all(x["_rank"] == first[x.v] for x in alone)
+
+
+def test_nearest_on_the_sphere(spark):
+    """Against every pair, with poles, the date line, one place, no place, ties and missing coordinates."""
+    import math
+    import random
+
+    from larkspur.operators import geo
+
+    r = random.Random(3)
+    at = lambda: (math.degrees(math.asin(r.uniform(-1, 1))), r.uniform(-180, 180))
+    points = [(k, *at()) for k in range(150)] + [(150, 90.0, 0.0), (151, -90.0, 12.0), (152, 10.0, 180.0), (153, 10.0, -179.99), (154, None, 1.0), (155, 0.0, 0.0)]
+    far = [(k, *at()) for k in range(60)] + [(60, 0.0, 1.0), (61, 0.0, -1.0), (62, None, None)]
+    near = [(k, 48 + r.random() / 50, 11 + r.random() / 50) for k in range(80)]
+
+    def metres(a, b):
+        h = math.sin(math.radians(b[1] - a[1]) / 2) ** 2 + math.cos(math.radians(a[1])) * math.cos(math.radians(b[1])) * math.sin(math.radians(b[2] - a[2]) / 2) ** 2
+        return round(2 * geo.RADIUS * math.asin(math.sqrt(min(1.0, h))), 3)
+
+    for places in (far, near, far[:1], far[-1:]):
+        got = {x.p: (x.s, x.metres) for x in geo.nearest(spark.createDataFrame(points, "p int, lat double, lon double"), spark.createDataFrame(places, "s int, lat double, lon double"), "p", "s", most_broadcast=0 if places is near else 10**6).collect()}
+        assert len(got) == len(points)
+        for p in points:
+            known = [x for x in places if x[1] is not None]
+            if p[1] is None or not known:
+                assert got[p[0]] == (None, None)
+            else:
+                assert got[p[0]][1] == pytest.approx(min(metres(p, x) for x in known), abs=0.002)
+
+
+def test_nearest_vectors_in_blocks(spark, monkeypatch):
+    import numpy as np
+
+    from larkspur.operators import search
+
+    monkeypatch.setattr(search, "QUERIES", 7)
+    r = np.random.default_rng(1)
+    rows = [(k, [float(x) for x in r.integers(-3, 4, 5)]) for k in range(90)] + [(90, None), (91, [0.0] * 5), (92, [1.0] * 5), (93, [2.0] * 5)]
+    items = spark.createDataFrame(rows, "id long, v array<float>")
+    got = search.k_nearest_of_each(items.where("id % 3 = 0"), items, "id", "v", 4).collect()
+    for q, v in rows[::3]:
+        if v is None or not any(v):
+            assert not [x for x in got if x["query"] == q]
+            continue
+        s = sorted((-round(float(np.dot(v, w) / np.linalg.norm(v) / np.linalg.norm(w)), 12), i) for i, w in rows if w is not None and any(w) and i != q)
+        assert [(x.place, x.id) for x in sorted(got, key=lambda x: x.place) if x["query"] == q] == [(k + 1, i) for k, (_, i) in enumerate(s[:4])]
+    assert search.k_nearest_of_each(items.limit(0), items, "id", "v", 4).count() == 0
+
+
+def test_names_matched_like_all_pairs(spark):
+    """Short, long, repeated, empty and missing names: no pair alike by 0.9 is lost."""
+    import itertools
+    import random
+
+    from larkspur.functions.fuzzy import similarity
+    from larkspur.operators import matching
+
+    r = random.Random(5)
+    base = ["".join(r.choice("abcdef") for _ in range(r.randrange(1, 14))) for _ in range(60)] + ["王小明", "王晓明", "aaaa", "aaab"]
+    names = base + [x[:k] + r.choice("abcxyz") + x[k + 1 :] for x in base for k in (len(x) // 2,)] + [x + "b" for x in base] + ["", None]
+    a = spark.createDataFrame([(k, n, k % 2) for k, n in enumerate(names)], "a_id int, name string, block int")
+    b = spark.createDataFrame([(k, n, k % 2) for k, n in enumerate(names)], "b_id int, name string, block int")
+    got = {(x.block, x.a_name, x.b_name) for x in matching.like_names(a.select("name", "block").distinct(), b.select("name", "block").distinct(), ["block"], 0.9).collect()}
+    want = {(g, x, y) for g in (0, 1) for x, y in itertools.product({n for k, n in enumerate(names) if k % 2 == g and n}, repeat=2) if similarity(x, y) >= 0.9}
+    assert got == want
+    best = {x.b_id: x.a_id for x in matching.by_name(a, b, ["block"]).collect()}
+    for k, n in enumerate(names):
+        s = sorted(((similarity(m, n), i) for i, m in enumerate(names) if m and n and i % 2 == k % 2), reverse=True)
+        assert best.get(k) == (s[0][1] if n and s[0][0] >= 0.9 and s[1][0] < s[0][0] else None)
+
+
+def test_sniff_at_any_cut():
+    from larkspur.sources import readers
+
+    for encoding, name in (("utf-8", "UTF-8"), ("gb18030", "GB18030")):
+        raw = "编号;姓名\n".encode(encoding) + "".join(f"{k};客户{k}\n" for k in range(40)).encode(encoding)
+        assert {readers.sniff(raw[:n])["encoding"] for n in range(60, 140)} == {name}
+        assert readers.sniff(raw[:101])["delimiter"] == ";"
+
+
+def test_upsert_of_null_and_repeated_keys(spark):
+    target = spark.createDataFrame([(1, "a"), (None, "b"), (3, "c")], "k int, v string")
+    batch = spark.createDataFrame([(None, "x"), (1, "y"), (1, "z"), (4, "n")], "k int, v string")
+    got = changes.upsert(target, batch, ["k"]).collect()
+    assert sorted(map(str, got)) == sorted(map(str, spark.createDataFrame([(None, "x"), (1, "z"), (3, "c"), (4, "n")], "k int, v string").collect()))
+
+
 def test_session_gap_is_strict(spark):
     e = spark.createDataFrame([(1, "2024-01-01 00:00:00"), (1, "2024-01-01 00:30:00"), (1, "2024-01-01 01:00:01")], "u int, t string").withColumn("ts", F.to_timestamp("t"))
     assert [r.session_no for r in sessions.sessionize(e, "u", "ts").orderBy("ts").collect()] == [1, 1, 2]
