@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from larkspur.functions.checkpoints import cut
 
-from .components import components
+from .components import components, meet
 from .topn import latest
 
 
@@ -42,12 +42,38 @@ def match_edges(records: DataFrame, node: str, fields: list[str]) -> DataFrame:
     return rows.join(stars.where("_n > 1 AND _a AND _b"), "key").select(F.col("n").alias("u"), F.col("_hub").alias("v")).where("u != v").distinct()
 
 
-def resolve(records: DataFrame, node: str, fields: list[str]) -> DataFrame:
-    """(node, consumer): the smallest record of each record's group."""
+def without(records: DataFrame, fields: list[str], excluded: DataFrame) -> DataFrame:
+    """records with the excluded values (field, value as text) of their fields made null, so that they match nothing."""
+    bound = excluded.count()
+    for field in fields:
+        own = excluded.where(F.col("field") == field).select(F.col("value").alias("_value"), F.lit(True).alias("_out")).distinct()
+        keyed = records.withColumn("_value", F.col(field).cast("string"))
+        records = meet(keyed, own, "_value", bound, "left").withColumn(field, F.when(F.col("_out").isNull(), F.col(field))).drop("_value", "_out")
+    return records
+
+
+def resolve(records: DataFrame, node: str, fields: list[str], excluded: DataFrame | None = None) -> DataFrame:
+    """(node, consumer): the smallest record of each record's group. excluded: (field, value) that link nobody, such as a shared telephone."""
+    if excluded is not None:
+        records = without(records, fields, excluded)
     roots = components(match_edges(records, node, fields))
     return records.select(F.col(node).alias("node")).join(roots, "node", "left").select(F.col("node").alias(node), F.coalesce("root", "node").alias("consumer"))
 
 
+def add_late(records: DataFrame, before: DataFrame, late: DataFrame, node: str, fields: list[str]) -> DataFrame:
+    """(node, consumer) of all records, of which the late ones (by node) have come after `before` was resolved.
+
+    Whom a late record can link shares a value with it. Only the groups of those are resolved again, as wholes,
+    together with the late records; all others stay as they are. The result is that of resolving everything.
+    """
+    arrived = records.join(late.select(node).distinct(), node, "left_semi")
+    values = lambda df: df.select(node, F.explode(F.array(*(F.struct(F.lit(f).alias("field"), F.col(f).cast("string").alias("value")) for f in fields))).alias("p")).select(node, "p.*").where("value IS NOT NULL")
+    hit = values(records).join(values(arrived).select("field", "value").distinct(), ["field", "value"], "left_semi").select(node).distinct()
+    groups = before.join(hit, node, "left_semi").select("consumer").distinct()
+    again = cut(before.join(groups, "consumer", "left_semi").select(node).unionByName(arrived.select(node)).distinct())
+    return before.join(again, node, "left_anti").select(node, "consumer").unionByName(resolve(records.join(again, node, "left_semi"), node, fields))
+
+
 def hot_values(records: DataFrame, fields: list[str], least: int = 10, most: int = 20) -> DataFrame:
     """(field, value, n) of the values that most records share."""
     pairs = records.select(F.explode(F.array(*(F.struct(F.lit(f).alias("field"), F.col(f).cast("string").alias("value")) for f in fields))).alias("p")).select("p.*")

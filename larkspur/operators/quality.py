@@ -49,7 +49,7 @@ def drop_against_mean(daily: DataFrame, day: str, n: str, days: int = 7, share:
 
 
 def profile(df: DataFrame) -> DataFrame:
-    """A row for each column: rows, nulls, exact distinct values, least and greatest as text, longest text. One pass."""
+    """A row for each column: rows, nulls, distinct values (approximate, by a sketch of 5 % standard error), least and greatest as text, longest text. One pass."""
     parts = []
     for f in df.schema.fields:
         c = F.col(f"`{f.name}`")

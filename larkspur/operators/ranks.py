@@ -48,6 +48,16 @@ def ranked(df: DataFrame, lead: str, *ties: str, ranges: int = 64, alone: int =
     return out.select(*df.columns, row, rank, F.lit(before).cast("long").alias("_n"))
 
 
+def percent_ranks(df: DataFrame, key: str, leads: dict[str, str], alone: int = 100_000) -> DataFrame:
+    """key with, under each name, the percent_rank of every row by a column. df is read several times."""
+    if df.limit(alone + 1).count() <= alone:
+        return df.select(key, *(F.percent_rank().over(W.orderBy(c)).alias(n) for n, c in leads.items()))
+    out = df.select(key)
+    for name, lead in leads.items():
+        out = out.join(ranked(df.select(key, lead), lead, key, alone=alone).select(key, percent_rank().alias(name)), key)
+    return out
+
+
 def ntile(n: int) -> Column:
     """Bucket 1 to n of a ranked row: the first buckets take one row more if they cannot be equal."""
     small, more = F.floor(F.col("_n") / n), F.col("_n") % n

@@ -186,15 +186,30 @@ def d10_churn(spark, sf_dir):
 
 
 @query(
-    f"""WITH {VALUE_SQL}, p AS (SELECT o_custkey, percent_rank() OVER (ORDER BY n) AS a, percent_rank() OVER (ORDER BY s) AS b, percent_rank() OVER (ORDER BY -recency) AS c, percent_rank() OVER (ORDER BY tenure) AS d FROM v)
-    SELECT o_custkey, round(100 * (0.35::DOUBLE * a + 0.35::DOUBLE * b + 0.2::DOUBLE * c + 0.1::DOUBLE * d), 4) AS score FROM p"""
+    f"""WITH {VALUE_SQL}, e AS (SELECT user_id AS k, count(*) AS x FROM events WHERE event_type != 'error' GROUP BY 1), i AS (SELECT c_custkey // 3 AS k, count(*) AS x FROM customer WHERE c_custkey // 3 != c_custkey GROUP BY 1),
+    b AS (SELECT o_custkey AS k, count(DISTINCT p_brand) AS x, count(*) FILTER (l_returnflag = 'R') AS r FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN part ON l_partkey = p_partkey GROUP BY 1),
+    m AS (SELECT o_custkey, n, s, recency, coalesce(e.x, 0) AS engaged, coalesce(b.x, 0) AS breadth, coalesce(i.x, 0) AS invited, coalesce(b.r, 0) AS returned FROM v LEFT JOIN e ON e.k = o_custkey LEFT JOIN b ON b.k = o_custkey LEFT JOIN i ON i.k = o_custkey),
+    p AS (SELECT o_custkey, 1 - percent_rank() OVER (ORDER BY recency) AS recent, percent_rank() OVER (ORDER BY n) AS often, percent_rank() OVER (ORDER BY s) AS money, percent_rank() OVER (ORDER BY engaged) AS engaged, percent_rank() OVER (ORDER BY breadth) AS breadth,
+      percent_rank() OVER (ORDER BY invited) AS invited, 1 - percent_rank() OVER (ORDER BY returned) AS kept FROM m)
+    SELECT o_custkey, round(100 * (0.25::DOUBLE * recent + 0.25::DOUBLE * often + 0.2::DOUBLE * money + 0.1::DOUBLE * engaged + 0.08::DOUBLE * breadth + 0.07::DOUBLE * invited + 0.05::DOUBLE * kept), 4) AS score FROM p"""
 )
 def d11_loyalty_score(spark, sf_dir):
-    v = cut(value(spark, sf_dir).withColumn("fresh", -F.col("recency")))
-    out = v.select("o_custkey")
-    for name, lead in (("a", "n"), ("b", "s"), ("c", "fresh"), ("d", "tenure")):
-        out = out.join(ranks.ranked(v.select("o_custkey", lead), lead).select("o_custkey", ranks.percent_rank().alias(name)), "o_custkey")
-    return out.select("o_custkey", F.round(100 * (0.35 * F.col("a") + 0.35 * F.col("b") + 0.2 * F.col("c") + 0.1 * F.col("d")), 4).alias("score"))
+    """Seven measures by their percent_rank, weighted: recency, frequency, money, engagement, variety, invitations and few returns."""
+    k = F.col("o_custkey")
+    engaged = t(spark, sf_dir, "events").where("event_type != 'error'").groupBy(F.col("user_id").alias("o_custkey")).agg(F.count("*").alias("engaged"))
+    invited = t(spark, sf_dir, "customer").select(F.expr("c_custkey div 3").alias("o_custkey"), "c_custkey").where("o_custkey != c_custkey").groupBy("o_custkey").agg(F.count("*").alias("invited"))
+    lines = t(spark, sf_dir, "lineitem").select("l_orderkey", "l_partkey", (F.col("l_returnflag") == "R").cast("int").alias("back"))
+    bought = lines.join(t(spark, sf_dir, "part").select("p_partkey", "p_brand"), F.expr("l_partkey = p_partkey")).join(t(spark, sf_dir, "orders").select("o_orderkey", "o_custkey"), F.expr("l_orderkey = o_orderkey"))
+    brands = bought.groupBy("o_custkey").agg(F.countDistinct("p_brand").alias("breadth"), F.sum("back").alias("returned"))
+    v = value(spark, sf_dir).select("o_custkey", "n", "s", "recency")
+    for part in (engaged, brands, invited):
+        v = v.join(part, "o_custkey", "left")
+    v = cut(v.na.fill(0, ["engaged", "breadth", "returned", "invited"]))
+    measures = ("recency", "n", "s", "engaged", "breadth", "invited", "returned")
+    p = ranks.percent_ranks(v, "o_custkey", {f"p_{m}": m for m in measures})
+    up, down = (lambda m: F.col(f"p_{m}")), (lambda m: 1 - F.col(f"p_{m}"))
+    score = 0.25 * down("recency") + 0.25 * up("n") + 0.2 * up("s") + 0.1 * up("engaged") + 0.08 * up("breadth") + 0.07 * up("invited") + 0.05 * down("returned")
+    return p.select(k, F.round(100 * score, 4).alias("score"))
 
 
 @query(

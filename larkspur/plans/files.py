@@ -142,7 +142,7 @@ def r1_stream_append(spark, sf_dir):
 @query("SELECT event_type, count(*) AS n, round(sum(value), 4) AS total, max(event_id) AS last_id FROM events GROUP BY 1")
 def r3_stream_merge_totals(spark, sf_dir):
     at = folder(spark, "totals")
-    table = tables.VersionedTable(spark, f"{at}/table")
+    table = tables.BucketedTable(spark, f"{at}/table", ["event_type"])
     incremental.merge_totals(streamed(spark, sf_dir), table, ["event_type"], {"n": "count(*)", "total": "sum(value)"}, ["event_id"], f"{at}/state").awaitTermination()
     return table.read().select("event_type", "n", F.round("total", 4).alias("total"), F.col("event_id").alias("last_id"))
 

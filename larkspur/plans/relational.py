@@ -310,12 +310,14 @@ def o6_pivot(spark, sf_dir):
 
 @query()
 def o7_bernoulli_sample(spark, sf_dir):
-    return t(spark, sf_dir, "events").sample(0.1, seed=42)
+    """A tenth of the rows, each by a hash of its key and a seed, so that any partitioning draws the same."""
+    return t(spark, sf_dir, "events").where(F.pmod(F.xxhash64(F.lit(42), "event_id"), F.lit(1_000_000)) < 100_000)
 
 
 @query()
 def o7_reservoir_sample(spark, sf_dir):
-    return t(spark, sf_dir, "events").orderBy(F.rand(42)).limit(100)
+    """A hundred rows: those of the least hashes of key and seed."""
+    return t(spark, sf_dir, "events").orderBy(F.xxhash64(F.lit(42), "event_id"), "event_id").limit(100)
 
 
 @query("SELECT * FROM events WHERE user_id % 10 = 3")

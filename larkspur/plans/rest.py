@@ -227,17 +227,6 @@ def r14_upserts_only(spark, sf_dir):
     return changes.upsert(target, diff, ["k"])
 
 
-def stale(entities: dict[str, set[str]], changed: set[str]) -> list[str]:
-    """Definitions of which an entity has changed, in name order: what a refresh has to compute."""
-    return sorted(name for name, needs in entities.items() if needs & changed)
-
-
-@query("SELECT 'basket' AS definition UNION ALL SELECT 'value'")
-def r20_scheduled_refresh(spark, sf_dir):
-    needs = {"value": {"orders", "customer"}, "funnel": {"events"}, "basket": {"lineitem", "orders"}}
-    return spark.createDataFrame([(n,) for n in stale(needs, {"orders"})], "definition string")
-
-
 # user-defined functions
 
 

@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from larkspur.operators.changes import keyed_diff
+from larkspur.functions.checkpoints import cut
+from larkspur.operators.changes import accumulate, keyed_diff
 
 
 class VersionedTable:
@@ -37,9 +40,15 @@ class VersionedTable:
             df = df.repartitionByRange(*sort_by).sortWithinPartitions(*sort_by)
         writer = df.write.mode("overwrite").option("compression", "zstd")
         (writer.partitionBy(*partition_by) if partition_by else writer).parquet(f"{self.path}/v={version}")
-        self._fs.create(self._at(f"pointers/{version}"), False).close()
+        self.point(version)
         return version
 
+    def point(self, version: int, contents: str = "") -> None:
+        """Make a version the current one: the one act by which readers see it."""
+        out = self._fs.create(self._at(f"pointers/{version}"), False)
+        out.writeBytes(contents)
+        out.close()
+
     def read(self, version: int | None = None) -> DataFrame:
         known = self.versions()
         version = known[-1] if version is None else version
@@ -66,6 +75,44 @@ class VersionedTable:
         return old
 
 
+class BucketedTable:
+    """Running totals by key in hash buckets, of which a merge rewrites only those that it touches.
+
+    Each merge writes its buckets beside and then, as its last act, one small pointer file that says in which
+    folder every bucket now is, and which batch was the last. A reader sees whole merges only; a batch that comes
+    again is known by its number.
+    """
+
+    def __init__(self, spark: SparkSession, path: str, keys: list[str], buckets: int = 64):
+        self.table, self.spark, self.keys, self.buckets = VersionedTable(spark, path), spark, keys, buckets
+
+    def state(self) -> dict:
+        known = self.table.versions()
+        if not known:
+            return {"batch": -1, "at": {}}
+        return json.loads("".join(r.value for r in self.spark.read.text(f"{self.table.path}/pointers/{known[-1]}").collect()))
+
+    def _folders(self, at: dict[str, int]) -> DataFrame:
+        return self.spark.read.parquet(*(f"{self.table.path}/v={v}/_bucket={b}" for b, v in sorted(at.items())))
+
+    def read(self) -> DataFrame:
+        return self._folders(self.state()["at"])
+
+    def merge(self, batch: DataFrame, sums: list[str], greatest: list[str], number: int) -> list[int]:
+        """Add a grouped batch; the buckets that were written, none if the table has the batch already."""
+        state, version = self.state(), max([0, *self.table.versions()]) + 1
+        if number <= state["batch"]:
+            return []
+        bucket = F.pmod(F.xxhash64(*self.keys), F.lit(self.buckets)).cast("int")
+        batch = cut(batch)
+        touched = [r.b for r in batch.select(bucket.alias("b")).distinct().collect()]
+        held = {str(b): state["at"][str(b)] for b in touched if str(b) in state["at"]}
+        total = accumulate(self._folders(held), batch, self.keys, sums, greatest) if held else accumulate(batch.limit(0), batch, self.keys, sums, greatest)
+        total.withColumn("_bucket", bucket).repartition("_bucket").write.mode("overwrite").option("compression", "zstd").partitionBy("_bucket").parquet(f"{self.table.path}/v={version}")
+        self.table.point(version, json.dumps({"batch": number, "at": state["at"] | {str(b): version for b in touched}}))
+        return sorted(touched)
+
+
 def overwrite_partitions(df: DataFrame, path: str, by: list[str]) -> None:
     """Replace only the partitions that df has rows of; running it again changes nothing."""
     df.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(*by).parquet(path)

@@ -8,8 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from larkspur.operators.changes import accumulate
-from larkspur.sources.tables import VersionedTable
+from larkspur.sources.tables import BucketedTable
 
 
 def files(spark: SparkSession, path: str, schema: str, fmt: str = "parquet", per_batch: int = 100) -> DataFrame:
@@ -38,21 +37,16 @@ def first_seen(stream: DataFrame, key: list[str], ts: str, late: str = "15 minut
     return stream.withWatermark(ts, late).dropDuplicatesWithinWatermark(key)
 
 
-def merge_totals(stream: DataFrame, table: VersionedTable, keys: list[str], sums: dict[str, str], greatest: list[str], state: str, on_batch: Callable[[int], None] = lambda n: None) -> StreamingQuery:
-    """Running totals by key in a versioned table: each micro-batch is grouped, added, and written as the next version.
+def merge_totals(stream: DataFrame, table: BucketedTable, keys: list[str], sums: dict[str, str], greatest: list[str], state: str, on_batch: Callable[[int], None] = lambda n: None) -> StreamingQuery:
+    """Running totals by key in a table of buckets: each micro-batch is grouped, added, and rewrites the buckets of its keys.
 
-    The number of the micro-batch is kept in the table, so that one that comes again after a failure is
+    The number of the micro-batch is kept with the table, so that one that comes again after a failure is
     not added twice.
     """
 
     def add(batch: DataFrame, number: int) -> None:
-        own = batch.groupBy(*keys).agg(*(F.expr(e).alias(c) for c, e in sums.items()), *(F.max(c).alias(c) for c in greatest)).withColumn("_batch", F.lit(number))
-        if table.versions():
-            before = table.read()
-            if before.where(F.col("_batch") >= number).limit(1).count():
-                return  # it is in the table already
-            own = accumulate(before, own, keys, list(sums), [*greatest, "_batch"])
-        table.write(own)
+        own = batch.groupBy(*keys).agg(*(F.expr(e).alias(c) for c, e in sums.items()), *(F.max(c).alias(c) for c in greatest))
+        table.merge(own, list(sums), greatest, number)
         on_batch(number)
 
     return stream.writeStream.foreachBatch(add).option("checkpointLocation", state).trigger(availableNow=True).start()

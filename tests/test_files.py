@@ -78,7 +78,7 @@ def test_stream_totals_once(spark, tmp_path):
     for k in range(3):
         spark.createDataFrame([("a", k), ("b", 1)], "key string, v long").coalesce(1).write.parquet(str(tmp_path / f"in/{k}"))
     stream = lambda: incremental.files(spark, str(tmp_path / "in/*"), "key string, v long", per_batch=1)
-    table = tables.VersionedTable(spark, str(tmp_path / "t"))
+    table = tables.BucketedTable(spark, str(tmp_path / "t"), ["key"], 8)
     for _ in range(2):  # the second run finds nothing new
         incremental.merge_totals(stream(), table, ["key"], {"n": "count(*)", "s": "sum(v)"}, ["v"], str(tmp_path / "state")).awaitTermination()
     again = incremental.merge_totals(stream(), table, ["key"], {"n": "count(*)", "s": "sum(v)"}, ["v"], str(tmp_path / "lost"))
@@ -86,6 +86,21 @@ def test_stream_totals_once(spark, tmp_path):
     assert sorted(tuple(r)[:4] for r in table.read().select("key", "n", "s", "v").collect()) == [("a", 3, 3, 2), ("b", 3, 3, 1)]
 
 
+def test_buckets_touched(spark, tmp_path):
+    """A merge writes the buckets of its keys only; a reader of an earlier version is not disturbed; a batch counts once."""
+    table = tables.BucketedTable(spark, str(tmp_path / "t"), ["k"], 8)
+    batch = lambda *rows: spark.createDataFrame(rows, "k long, n long, at long")
+    assert len(table.merge(batch(*((k, 1, 0) for k in range(100))), ["n"], ["at"], 0)) == 8
+    before = table.read()
+    one = table.merge(batch((5, 2, 9), (1000, 7, 9)), ["n"], ["at"], 1)
+    assert 1 <= len(one) <= 2 and table.merge(batch((5, 2, 9)), ["n"], ["at"], 1) == []
+    got = {r.k: (r.n, r["at"]) for r in table.read().collect()}
+    assert len(got) == 101 and got[5] == (3, 9) and got[1000] == (7, 9) and got[6] == (1, 0)
+    assert before.count() == 100
+    written = [p for p in (tmp_path / "t/v=2").iterdir() if p.name.startswith("_bucket=")]
+    assert sorted(int(p.name.split("=")[1]) for p in written) == one
+
+
 def test_export(spark):
     tag = lambda *keys: spark.createDataFrame([(k, "yes") for k in keys] + [("z", "no")], "id string, tag string")
     got = tables.export_cohort({"one": (tag("b", "a", "a"), "yes"), "two": (tag("a", "b", "z"), "yes")}, "id")

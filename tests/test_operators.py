@@ -1,7 +1,7 @@
 """Operators on small rows with answers worked out by hand, or by a plain version."""
 
 import random
-from datetime import date, datetime
+from datetime import date, datetime, timedelta
 
 import pytest
 from hypothesis import given, settings
@@ -147,6 +147,18 @@ def test_upsert_of_null_and_repeated_keys(spark):
     assert sorted(map(str, got)) == sorted(map(str, spark.createDataFrame([(None, "x"), (1, "z"), (3, "c"), (4, "n")], "k int, v string").collect()))
 
 
+@pytest.mark.parametrize("slice_seconds", [600, 3600, 10**7])
+def test_sessions_in_slices(spark, slice_seconds):
+    """Slices shorter and longer than the gap change no session, also of a user who has most events."""
+    import random as rnd
+
+    r = rnd.Random(2)
+    data = [(k, 1 if r.random() < 0.7 else r.randrange(2, 6), T("2024-01-01") + timedelta(seconds=r.randrange(400_000))) for k in range(1500)]
+    events = spark.createDataFrame(data, "id long, user long, ts timestamp_ntz")
+    got, want = (sessions.sessionize(events, "user", "ts", tie="id", slice_seconds=s) for s in (slice_seconds, None))
+    assert rows(got, "id", "session_no", "session_id") == rows(want, "id", "session_no", "session_id")
+
+
 def test_session_gap_is_strict(spark):
     e = spark.createDataFrame([(1, "2024-01-01 00:00:00"), (1, "2024-01-01 00:30:00"), (1, "2024-01-01 01:00:01")], "u int, t string").withColumn("ts", F.to_timestamp("t"))
     assert [r.session_no for r in sessions.sessionize(e, "u", "ts").orderBy("ts").collect()] == [1, 1, 2]
