@@ -66,17 +66,17 @@ def r15_current_state(spark, sf_dir):
     return changes.current_state(log, ["user_id"], ["ts", "event_id"])
 
 
-@query("SELECT event_id, ts FROM events WHERE ts > (SELECT max(ts) FROM events WHERE event_id < 5000) - INTERVAL 15 MINUTE")
+@query("SELECT event_id, ts FROM events WHERE ts > (SELECT max(ts) FROM events WHERE event_id % 7 != 0) - INTERVAL 15 MINUTE")
 def r7_watermark_read(spark, sf_dir):
     e = t(spark, sf_dir, "events").select("event_id", "ts")
-    mark = e.where("event_id < 5000").agg(F.max("ts").alias("m")).first()["m"]
+    mark = e.where("event_id % 7 != 0").agg(F.max("ts").alias("m")).first()["m"]
     return changes.after_watermark(e, "ts", mark, F.expr("INTERVAL 15 MINUTE"))
 
 
-@query("SELECT c_custkey, c_name, c_mktsegment FROM customer WHERE c_custkey % 5 = 0 OR c_custkey >= 1000")
+@query("SELECT c_custkey, c_name, c_mktsegment FROM customer WHERE c_custkey % 5 = 0 OR c_custkey % 4 = 0")
 def r8_late_rows_unseen(spark, sf_dir):
     rows = t(spark, sf_dir, "customer").select("c_custkey", "c_name", "c_mktsegment")
-    old = rows.withColumn("c_mktsegment", F.when(F.col("c_custkey") % 5 == 0, "old").otherwise(F.col("c_mktsegment"))).where("c_custkey < 1000")
+    old = rows.withColumn("c_mktsegment", F.when(F.col("c_custkey") % 5 == 0, "old").otherwise(F.col("c_mktsegment"))).where("c_custkey % 4 != 0")
     state = old.withColumn("_hash", changes.row_hash(["c_name", "c_mktsegment"])).select("c_custkey", "_hash")
     return changes.unseen(rows, state, ["c_custkey"])
 
