@@ -7,8 +7,6 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from larkspur.functions.checkpoints import cut
-
 #: Mean radius of the earth in metres.
 RADIUS = 6371008.8
 
@@ -51,20 +49,24 @@ def nearest(points: DataFrame, places: DataFrame, point_id: str, place_id: str,
     while sides[-1] < 2:
         sides.append(8 * sides[-1])
     xyz = on_sphere(F.col("lat"), F.col("lon"))
-    levels = F.array(*(F.struct(F.lit(k).alias("_level"), F.lit(side).alias("_side")) for k, side in enumerate(sides)))
-    cubes = held.select(F.struct("id", "lat", "lon").alias("_place"), *(c.alias(n) for c, n in zip(xyz, ("_x", "_y", "_z"), strict=True)), F.inline(levels))
+    around = held.select(F.struct("id", "lat", "lon").alias("_place"), *(c.alias(n) for c, n in zip(xyz, ("_x", "_y", "_z"), strict=True)))
     for axis in ("_a", "_b", "_c"):
-        cubes = cubes.withColumn(axis, F.explode(F.array(*map(F.lit, (-1, 0, 1)))))
-    own = cell(F.col("_level"), [F.col(c) for c in ("_x", "_y", "_z")], F.col("_side"), [F.col(c) for c in ("_a", "_b", "_c")])
-    lists = cut(cubes.select("_level", own.alias("_cell"), "_place").groupBy("_level", "_cell").agg(F.collect_list("_place").alias("_places")))
+        around = around.withColumn(axis, F.explode(F.array(*map(F.lit, (-1, 0, 1)))))
+
+    def lists(level: int, side: float) -> DataFrame:
+        own = cell(F.lit(level), [F.col(c) for c in ("_x", "_y", "_z")], F.lit(side), [F.col(c) for c in ("_a", "_b", "_c")])
+        return around.select(own.alias("_cell"), "_place").groupBy("_cell").agg(F.collect_list("_place").alias("_places"))
+
     distance = lambda x: F.struct(F.round(haversine(F.col("lat"), F.col("lon"), x["lat"], x["lon"]), 3).alias("metres"), x["id"].alias("id"))
     out = points.select(point_id, "lat", "lon").withColumn("_best", F.lit(None).cast(f"struct<metres: double, id: {held.schema['id'].dataType.simpleString()}>"))
     for k, side in enumerate(sides):
         within = 2 * RADIUS * math.asin(min(1.0, side / 2)) - 0.001
-        some = lists.where(F.col("_level") == k).select("_cell", "_places")
-        done = F.coalesce(F.col("_best.metres") < F.lit(within), F.lit(False))
+        some = lists(k, side)
         keyed = out.withColumn("_cell", F.when(F.col("_best").isNull(), cell(F.lit(k), xyz, F.lit(side))))
-        found = keyed.join(F.broadcast(some) if 27 * n <= most_broadcast else some, "_cell", "left").withColumn("_best", F.coalesce("_best", F.array_min(F.transform("_places", distance))))
-        last = k == len(sides) - 1
-        out = found.select(point_id, "lat", "lon", F.when(done | F.lit(last), F.col("_best")).alias("_best"))
+        met = keyed.join(F.broadcast(some) if 27 * n <= most_broadcast else some, "_cell", "left")
+        best = F.array(F.array_min(F.transform("_places", distance)))  # measured once, then looked at
+        if k < len(sides) - 1:
+            best = F.filter(best, lambda b: b["metres"] < F.lit(within))  # noqa: B023  used at once
+        best = F.get(best, F.lit(0))
+        out = met.select(point_id, "lat", "lon", F.coalesce("_best", best).alias("_best"))
     return out.select(point_id, F.col("_best.id").alias(place_id), F.col("_best.metres").alias("metres"))

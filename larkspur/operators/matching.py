@@ -22,36 +22,34 @@ def numbered(name: Column) -> Column:
     return F.array_sort(F.transform(chars, lambda c, i: F.xxhash64(c, nth(c, i))))
 
 
-def like_names(a: DataFrame, b: DataFrame, block: list[str], least: float) -> DataFrame:
-    """(block, a_name, b_name, similarity) of the distinct names of a block that are alike by Jaro-Winkler.
+def like_names(a: DataFrame, b: DataFrame, block: list[str], least: float, every_b: DataFrame | None = None) -> DataFrame:
+    """(block, a_name, b_name, similarity) of the distinct names of a block that are alike by Jaro-Winkler; least from 0.4.
 
     A block's pairs are not all formed. A likeness of at least `least` needs a Jaro similarity of (least - 0.4) / 0.6,
     and so, for two lengths, a number of common characters; hence two such names share one of the first few of
     their numbered characters in any fixed order, and meet by it, and by the two lengths. They are measured
-    once, at the first that they share.
+    once, at the first that they share. every_b: cheaper rows than b with at least the lengths of its names.
     """
     jaro = (least - 0.4) / 0.6
     length, need = F.length("name"), F.ceil(F.lit(3 * jaro - 1) * F.col("_la") * F.col("_lb") / (F.col("_la") + F.col("_lb")) - 1e-9)
-    lengths = lambda df: [r.n for r in df.select(length.alias("n")).distinct().collect()]
+    lengths = lambda df: F.broadcast(df.agg(F.collect_set(length).alias("_lengths")))  # noqa: E731  a number for each length
 
-    def keyed(df: DataFrame, own: str, partner: str, partners: list[int], to: str) -> DataFrame:
-        rows = df.where("name != ''").select(*block, F.col("name").alias(to), length.alias(own), numbered(F.col("name")).alias("_all"), F.explode(F.array(*map(F.lit, partners))).alias(partner))
+    def keyed(df: DataFrame, own: str, partner: str, others: DataFrame, to: str) -> DataFrame:
+        named = df.where("name != ''").crossJoin(lengths(others))
+        rows = named.select(*block, F.col("name").alias(to), length.alias(own), numbered(F.col("name")).alias("_all"), F.explode("_lengths").alias(partner))
         rows = rows.where(need <= F.least("_la", "_lb")).withColumn(f"{to}_first", F.slice("_all", 1, (F.col(own) - need + 1).cast("int")))
         return rows.select(*block, "_la", "_lb", to, f"{to}_first", F.explode(f"{to}_first").alias("_token"))
 
-    of_a, of_b = lengths(a), lengths(b)
-    if not of_a or not of_b:
-        return a.select(*block, F.col("name").alias("a_name"), F.col("name").alias("b_name"), F.lit(0.0).alias("similarity")).limit(0)
-    met = keyed(a, "_la", "_lb", of_b, "a_name").join(keyed(b, "_lb", "_la", of_a, "b_name"), [*block, "_la", "_lb", "_token"])
+    met = keyed(a, "_la", "_lb", b if every_b is None else every_b, "a_name").join(keyed(b, "_lb", "_la", a, "b_name"), [*block, "_la", "_lb", "_token"])
     once = met.where(F.col("_token") == F.array_min(F.array_intersect("a_name_first", "b_name_first")))
     return once.select(*block, "a_name", "b_name", jaro_winkler("a_name", "b_name").alias("similarity")).where(F.col("similarity") >= least)
 
 
-def by_name(a: DataFrame, b: DataFrame, block: list[str], least: float = 0.9) -> DataFrame:
+def by_name(a: DataFrame, b: DataFrame, block: list[str], least: float = 0.9, every_b: DataFrame | None = None) -> DataFrame:
     """(b_id, a_id, similarity): the most alike name of the same block, left out where two contacts are equally alike."""
     held = a.groupBy(*block, "name").agg(F.min("a_id").alias("a_id"), F.count("*").alias("_n")).where(F.col("name").isNotNull())
     asked = b.select(*block, "name").where(F.col("name").isNotNull()).distinct()
-    found = like_names(held, asked, block, least)
+    found = like_names(held, asked, block, least, every_b)
     first = W.partitionBy(*block, "b_name").orderBy(F.desc("similarity"), "a_name")
     best = found.withColumns({"_k": F.row_number().over(first), "_next": F.lead("similarity").over(first)}).where("_k = 1 AND (_next IS NULL OR _next < similarity)")
     alone = best.join(held.withColumnRenamed("name", "a_name").where("_n = 1"), [*block, "a_name"]).select(*block, F.col("b_name").alias("name"), "a_id", "similarity")
@@ -62,7 +60,7 @@ def match(a: DataFrame, b: DataFrame, phone: Column, block: list[str], least: fl
     """(b_id, a_id, how): by telephone; for the contacts of b without such a match, by name."""
     found = by_key(a, b, phone)
     rest = b.join(found.select("b_id").distinct(), "b_id", "left_anti")
-    return found.withColumn("how", F.lit("phone")).unionByName(by_name(a, rest, block, least).select("b_id", "a_id", F.lit("name").alias("how")))
+    return found.withColumn("how", F.lit("phone")).unionByName(by_name(a, rest, block, least, b).select("b_id", "a_id", F.lit("name").alias("how")))
 
 
 def quality(matches: dict[str, DataFrame], truth: DataFrame) -> DataFrame:
