@@ -70,8 +70,9 @@ def test_partition_overwrite(spark, tmp_path):
     tables.overwrite_partitions(spark.createDataFrame([(1, "a"), (2, "b")], "v int, d string"), at, ["d"])
     tables.overwrite_partitions(spark.createDataFrame([(3, "b")], "v int, d string"), at, ["d"])
     assert sorted(map(tuple, spark.read.parquet(at).collect())) == [(1, "a"), (3, "b")]
-    tables.compact(spark, at, str(tmp_path / "c"), 1)
-    assert spark.read.parquet(str(tmp_path / "c")).count() == 2
+    tables.compact(spark, at, str(tmp_path / "c"), "v")
+    compacted = spark.read.parquet(str(tmp_path / "c"))
+    assert compacted.count() == 2 and compacted.select("_metadata.file_path").distinct().count() == 1
 
 
 def test_stream_totals_once(spark, tmp_path):
