@@ -459,7 +459,7 @@ def v2_bm25(spark, sf_dir):
     return search.bm25(t(spark, sf_dir, "documents"), "doc_id", tokens, ["the", "that", "avec"]).withColumn("score", F.round("score", 6))
 
 
-@query("SELECT gram, count(*) AS n, count(DISTINCT doc_id) AS docs FROM (SELECT doc_id, substr(text, i::INT, 2) AS gram FROM documents, range(1, length(text)) r(i)) GROUP BY gram")
+@query("WITH c AS (SELECT doc_id, string_split(text, '') AS cs FROM documents) SELECT gram, count(*) AS n, count(DISTINCT doc_id) AS docs FROM (SELECT doc_id, unnest(list_transform(range(1, len(cs)), lambda i: cs[i] || cs[i + 1])) AS gram FROM c) GROUP BY gram")
 def v1_bigrams(spark, sf_dir):
     """Document frequencies of the bigrams of whole texts, counted within each document first."""
     d = t(spark, sf_dir, "documents").select("doc_id", F.explode(X.bigrams(F.col("text"))).alias("gram"))
