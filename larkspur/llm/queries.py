@@ -1,4 +1,4 @@
-"""The queries op1 to op10: each operator over its whole table, with production parameters."""
+"""The queries op1 to op13: each operator over its whole table, with production parameters."""
 
 from __future__ import annotations
 
@@ -8,11 +8,12 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, chat, html_extract, langid, line_rules, minhash, mixing, quality_lm, simhash, token_counts
+from . import align, bpe, chat, html_extract, langid, line_rules, minhash, mixing, quality_lm, simhash, token_counts
 from .common import cut, n_words, read
 
 #: The vocabulary file of the queries.
 VOCABULARY = public_tokenizers.path("byte_bpe_50k.json")
+PIECES = public_tokenizers.path("piece_bpe_32k.model")
 
 
 def op1_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -65,6 +66,10 @@ def op10_minhash_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.compare_with_next(read(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
+def op11_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return align.link_tokens(read(spark, sf_dir, "documents").select("doc_id", "text"), VOCABULARY, PIECES)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_mix_sources": op1_mix_sources,
     "op2_main_text": op2_main_text,
@@ -76,6 +81,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_line_rules": op8_line_rules,
     "op9_chat_format": op9_chat_format,
     "op10_minhash_fingerprints": op10_minhash_fingerprints,
+    "op11_token_alignment": op11_token_alignment,
 }
 ORACLES: dict[str, str] = {
     "op1_mix_sources": mixing.ORACLE_SQL,
