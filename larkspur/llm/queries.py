@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import align, bpe, chat, html_extract, langid, line_rules, minhash, mixing, quality_lm, simhash, token_counts
+from . import align, bpe, chat, divergence, html_extract, langid, line_rules, minhash, mixing, quality_lm, simhash, token_counts
 from .common import cut, n_words, read
 
 #: The vocabulary file of the queries.
@@ -70,6 +70,10 @@ def op11_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
     return align.link_tokens(read(spark, sf_dir, "documents").select("doc_id", "text"), VOCABULARY, PIECES)
 
 
+def op12_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence.audit(read(spark, sf_dir, "documents").select("text", "lang", "source"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_mix_sources": op1_mix_sources,
     "op2_main_text": op2_main_text,
@@ -82,8 +86,10 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_chat_format": op9_chat_format,
     "op10_minhash_fingerprints": op10_minhash_fingerprints,
     "op11_token_alignment": op11_token_alignment,
+    "op12_source_divergence": op12_source_divergence,
 }
 ORACLES: dict[str, str] = {
     "op1_mix_sources": mixing.ORACLE_SQL,
     "op8_line_rules": line_rules.ORACLE_SQL,
+    "op12_source_divergence": divergence.ORACLE_SQL,
 }
