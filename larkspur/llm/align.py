@@ -47,9 +47,9 @@ CUT = re.compile(rf"(?=[{OTHER}])(?:(?<=[{LETTER}])|(?<=\S)(?= ))")
 SPACES = " \t\n\r\x0b\x0c\x1c\x1d\x1e\x1f"
 DOUBLE, ODD = [x + " " for x in SPACES], re.compile(r"[^\S\x00-\x7f] ")
 #: Characters of texts in one row, and rows in one file of the written table (a reader holds a file's rows at once).
-ROW_CHARS, FILE_ROWS = 4_000_000, 8
+ROW_CHARS, FILE_ROWS = 2_000_000, 16
 #: Words whose tokens a worker keeps; pairs whose counts are broadcast, at 40 bytes each.
-KEPT_WORDS, HEAVY = 400_000, 500_000
+KEPT_WORDS, HEAVY = 150_000, 500_000
 #: What B writes for a space, and a text of one token that keeps B from writing a space ahead of a chunk.
 SPACE, AHEAD = "▁", "a"
 #: An id pair as one number: A's id times this, plus B's. An offset and a number go together in the same way.
@@ -165,13 +165,13 @@ def whole(values: pa.Array) -> pa.ListArray:
 
 
 def tokenise(docs: DataFrame, byte_bpe: str, piece_model: str, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Rows of some texts each: texts (id, n_a, n_b, chunks), and the distinct chunks' a, a_ends, b, b_ends and own ends."""
+    """Rows of some texts each: texts (id, n_a, n_b, chunks), and of the distinct chunks a and b, their ends, those with their number from 1, and the chunks' own ends."""
     sc = docs.sparkSession.sparkContext
     with open(byte_bpe, encoding="utf-8") as f, open(piece_model, "rb") as g:
         held = sc.broadcast((f.read(), g.read()))  # the two files' fixed few megabytes
-    ints = T.ArrayType(T.IntegerType())
+    ints, longs = T.ArrayType(T.IntegerType()), T.ArrayType(T.LongType())
     text = T.StructType([T.StructField("id", docs.schema[id_col].dataType), T.StructField("n_a", T.LongType()), T.StructField("n_b", T.LongType()), T.StructField("chunks", ints)])
-    schema = T.StructType([T.StructField("texts", T.ArrayType(text)), *(T.StructField(x, ints) for x in ("a", "a_ends", "b", "b_ends", "ends"))])
+    schema = T.StructType([T.StructField("texts", T.ArrayType(text)), *(T.StructField(x, ints) for x in ("a", "a_ends", "b", "b_ends", "ends")), T.StructField("a_keys", longs), T.StructField("b_keys", longs)])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = tokenisers(*held.value)
@@ -182,7 +182,8 @@ def tokenise(docs: DataFrame, byte_bpe: str, piece_model: str, *, id_col: str =
                 seq = lists(np.concatenate(numbers), np.array([len(x) for x in numbers]))
                 ids = batch.column(0).slice(i, j - i)
                 made = pa.StructArray.from_arrays([ids, pa.array(of_a, pa.int64()), pa.array(of_b, pa.int64()), seq], names=text.names)
-                yield pa.RecordBatch.from_arrays([whole(made), *(whole(pa.array(x, pa.int32())) for x in flat)], names=schema.names)
+                keys = [x.astype(np.int64) * SHIFT + np.arange(1, len(x) + 1) for x in (flat[1], flat[3])]
+                yield pa.RecordBatch.from_arrays([whole(made), *(whole(pa.array(x, pa.int32())) for x in flat), *map(whole, map(pa.array, keys))], names=schema.names)
         own.forget()
         release()
 
@@ -194,9 +195,9 @@ def keyed(offset: Column, number: Column | int = 0) -> Column:
     return F.shiftleft(offset.cast("long"), 32) + number
 
 
-def merged(offsets: str, some: str) -> Column:
-    """Offsets with their numbers from 1, and right ahead of each of those that are among some, its number 0. Both are sorted, so that this is a merge."""
-    return F.sort_array(F.concat(F.transform(some, lambda e: keyed(e)), F.transform(offsets, lambda e, k: keyed(e, k + 1))))
+def merged(keys: Column | str, some: str) -> Column:
+    """Keys of offsets and their numbers from 1, and right ahead of each of those that are among some, its number 0. Both are sorted, so that this is a merge."""
+    return F.sort_array(F.concat(F.transform(some, lambda e: keyed(e)), keys))
 
 
 def numbers(both: str) -> Column:
@@ -258,7 +259,8 @@ def over(chunks: Column, values: Column) -> Column:
 def align(docs: DataFrame, byte_bpe: str, piece_model: str, **columns) -> DataFrame:
     """Rows of some texts each: texts (id, n_a, n_b, n_groups, n_links, groups_sha256, chunks), and of each distinct chunk its pairs and their numbers."""
     rows = settled(tokenise(docs, byte_bpe, piece_model, **columns).withColumn("common", F.array_intersect("a_ends", "b_ends")))
-    rows = settled(rows.select("texts", "a", "b", merged("a_ends", "common").alias("a_both"), merged("b_ends", "common").alias("b_both"), merged("common", "ends").alias("chunk_both")))
+    common = F.transform("common", lambda e, k: keyed(e, k + 1))
+    rows = settled(rows.select("texts", "a", "b", merged("a_keys", "common").alias("a_both"), merged("b_keys", "common").alias("b_both"), merged(common, "ends").alias("chunk_both")))
     rows = settled(rows.select("texts", "a", "b", *(numbers(f"{x}_both").alias(f"{x}_at") for x in ("a", "b", "chunk"))))
     rows = settled(rows.select("texts", "chunk_at", of_groups(group_text).alias("written"), of_groups(group_links).alias("links")))
     each = lambda g0, g1, name: F.transform(F.sequence(g0, g1 - 1), lambda g: F.get(name, g))
