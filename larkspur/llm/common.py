@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from larkspur.functions.checkpoints import cut, shared_dir
 
-__all__ = ["WORD", "cut", "n_words", "plain", "read", "shared_dir", "words"]
+__all__ = ["WORD", "cut", "n_words", "plain", "read", "remove", "shared_dir", "words"]
 
 #: A word is a run without ASCII white space.
 WORD = r"[^\x20\x09-\x0D]+"
@@ -29,3 +29,9 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
 def plain(docs: DataFrame) -> DataFrame:
     """docs without the columns whose names begin with an underscore, as those of an operator's own steps do."""
     return docs.select(*(F.col(f"`{c}`") for c in docs.columns if not c.startswith("_")))
+
+
+def remove(spark: SparkSession, folder: str) -> None:
+    """A folder of the shared one that no one reads any more."""
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)

@@ -8,11 +8,12 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import align, bpe, chat, divergence, html_extract, langid, line_rules, minhash, mixing, quality_lm, simhash, token_counts
+from . import align, bpe, chat, divergence, html_extract, langid, line_rules, minhash, mixing, quality_lm, simhash, token_counts, token_files
 from .common import cut, n_words, read
 
 #: The vocabulary file of the queries.
 VOCABULARY = public_tokenizers.path("byte_bpe_50k.json")
+WORDS = public_tokenizers.path("word_bpe_49k.json")
 PIECES = public_tokenizers.path("piece_bpe_32k.model")
 
 
@@ -74,6 +75,12 @@ def op12_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
     return divergence.audit(read(spark, sf_dir, "documents").select("text", "lang", "source"))
 
 
+def op13_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    at = token_files.folder(spark)
+    token_files.write(read(spark, sf_dir, "documents").select("doc_id", "text"), WORDS, at)
+    return token_files.read(spark, at, digest=True, ids=False).withColumnRenamed("id", "doc_id")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_mix_sources": op1_mix_sources,
     "op2_main_text": op2_main_text,
@@ -87,6 +94,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_minhash_fingerprints": op10_minhash_fingerprints,
     "op11_token_alignment": op11_token_alignment,
     "op12_source_divergence": op12_source_divergence,
+    "op13_token_files": op13_token_files,
 }
 ORACLES: dict[str, str] = {
     "op1_mix_sources": mixing.ORACLE_SQL,
