@@ -254,7 +254,7 @@ def counted(rows: DataFrame, size: int) -> np.ndarray:
     return out
 
 
-def blocks(rows: DataFrame, lengths: bytes, size: int) -> DataFrame:
+def blocks(rows: DataFrame, lengths: bytes, size: int, ids_each: int = BLOCK) -> DataFrame:
     """part, number, at (ids of the part ahead), documents (id, n), payload; rows are in order within their partition."""
     kind, of_id = kind_of(size), rows.schema["id"].dataType
     document = T.StructType([T.StructField("id", of_id), T.StructField("n", T.LongType())])
@@ -276,7 +276,7 @@ def blocks(rows: DataFrame, lengths: bytes, size: int) -> DataFrame:
                 keys.append(key)
                 raw.append(ids)
                 waiting += n
-                if waiting >= BLOCK:
+                if waiting >= ids_each:
                     yield block()
                     number, at = number + 1, at + waiting
                     keys, raw, waiting = [], [], 0
@@ -288,7 +288,7 @@ def blocks(rows: DataFrame, lengths: bytes, size: int) -> DataFrame:
     return rows.select(F.spark_partition_id().cast("long").alias("part"), "id", "n", "ids").mapInArrow(run, schema)
 
 
-def write(docs: DataFrame, vocab_path: str, at: str, *, end: int = 1, id_col: str = "doc_id", text_col: str = "text") -> None:
+def write(docs: DataFrame, vocab_path: str, at: str, *, end: int = 1, block: int = BLOCK, id_col: str = "doc_id", text_col: str = "text") -> None:
     """All documents' ids, each with the end id, as files in a folder that all executors reach."""
     spark = docs.sparkSession
     made, size = tokens(docs, vocab_path, end, id_col=id_col, text_col=text_col)
@@ -301,7 +301,7 @@ def write(docs: DataFrame, vocab_path: str, at: str, *, end: int = 1, id_col: st
     parts = min(PARTS, max(1, -(-int(counts.sum()) // PART)))
     key = [F.col("id").isNull(), F.col("id"), F.xxhash64("ids"), F.col("row")]
     ordered = rows.repartitionByRange(parts, *key).sortWithinPartitions(*key[:2], F.col("ids"), F.col("row"))
-    blocks(ordered, lengths, size).write.option("compression", "uncompressed").option("parquet.block.size.row.check.min", 8).parquet(f"{at}/blocks")
+    blocks(ordered, lengths, size, block).write.option("compression", "uncompressed").option("parquet.block.size.row.check.min", 8).parquet(f"{at}/blocks")
     remove(spark, aside)
 
 
