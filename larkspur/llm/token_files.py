@@ -48,7 +48,8 @@ BLOCK, STEP, PART, PARTS = 1 << 18, 256, 8_000_000, 100_000
 MAX_BITS, LONGEST = 18, 24
 #: A block's first bytes: name, bits of the longest code, ids, ids between checkpoints, bits.
 HEAD, NAME = struct.Struct("<4sIQIQ"), b"LKH1"
-KEPT_WORDS = 150_000
+#: Words and pieces whose ids a worker keeps, from task to task.
+KEPT_WORDS = 600_000
 #: Latin letters that Unicode's composed normal form leaves alone, and whose lower case is one of them.
 LATIN = "À-ÖØ-öø-ÿ"
 SIMPLE = re.compile(rf"[\x21-\x7e{LATIN}]+")
@@ -89,10 +90,12 @@ class Words:
 
     def add(self, new: list[str]) -> None:
         ids: list[list[int]] = []
-        odd = [k for k, x in enumerate(new) if not SIMPLE.fullmatch(x) or any(s in x for s in self.specials)]
+        special = any(s in x for x in ("\n".join(new),) for s in self.specials)
+        odd = [k for k, x in enumerate(new) if not SIMPLE.fullmatch(x) or special and any(s in x for s in self.specials)]
         others = {k: x.ids for k, x in zip(odd, self.whole.encode_batch([new[k] for k in odd], add_special_tokens=False), strict=True)}
         for k, x in enumerate(new):
-            ids.append(others[k] if k in others else list(chain.from_iterable(map(self.piece, PATTERN.findall(x.lower())))))
+            pieces = () if k in others else PATTERN.findall(x.lower())
+            ids.append(others[k] if k in others else self.piece(pieces[0]) if len(pieces) == 1 else list(chain.from_iterable(map(self.piece, pieces))))
         counts = np.array(list(map(len, ids)), np.int64)
         self.first = np.concatenate([self.first, np.cumsum(counts) - counts + len(self.flat)])
         self.counts = np.concatenate([self.counts, counts])
@@ -229,7 +232,6 @@ def tokens(docs: DataFrame, vocab_path: str, end: int, *, id_col: str = "doc_id"
             for i, j in slices(texts):
                 found = own.encode(texts[i:j], end)
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, j - i), pa.array(map(len, found), pa.int64()), pa.array([x.astype(kind).tobytes() for x in found], pa.binary())], names=schema.names)
-        own.forget()
         release()
 
     ship(docs.sparkSession)
