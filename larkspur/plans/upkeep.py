@@ -4,7 +4,8 @@ from __future__ import annotations
 
 from datetime import date
 
-from pyspark.sql import DataFrame
+from pyspark.errors import AnalysisException
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -215,10 +216,22 @@ def pass_through(df: DataFrame) -> dict[str, str]:
 
 
 def apply_mapping(df: DataFrame, fields: dict[str, str], prefix: str = "") -> DataFrame:
-    """df's rows as fields of expressions, in which {p} stands for the prefix; one over a column that df lacks is null text."""
-    made = {f: e.replace("{p}", prefix) for f, e in fields.items()}
-    there = lambda e: not prefix or any(c in e for c in df.columns)
-    return df.select(*((F.expr(e) if there(e) else F.lit(None).cast("string")).alias(f) for f, e in made.items()))
+    """df's rows as fields of expressions, in which {p} stands for the prefix; one over a column that df lacks is null text.
+
+    Which columns an expression names is for Spark's analysis to say, and not for a search in its text.
+    """
+
+    def made(expression: str) -> Column:
+        column = F.expr(expression)
+        try:
+            df.select(column)
+        except AnalysisException as e:
+            if not prefix or not (e.getCondition() or "").startswith("UNRESOLVED_COLUMN"):
+                raise
+            return F.lit(None).cast("string")
+        return column
+
+    return df.select(*(made(e.replace("{p}", prefix)).alias(f) for f, e in fields.items()))
 
 
 @query(

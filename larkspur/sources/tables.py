@@ -86,11 +86,12 @@ class BucketedTable:
     def __init__(self, spark: SparkSession, path: str, keys: list[str], buckets: int = 64):
         self.table, self.spark, self.keys, self.buckets = VersionedTable(spark, path), spark, keys, buckets
 
-    def state(self) -> dict:
+    def state(self, version: int | None = None) -> dict:
+        """What a pointer says, the last one if none is named."""
         known = self.table.versions()
         if not known:
             return {"batch": -1, "at": {}}
-        return json.loads("".join(r.value for r in self.spark.read.text(f"{self.table.path}/pointers/{known[-1]}").collect()))
+        return json.loads("".join(r.value for r in self.spark.read.text(f"{self.table.path}/pointers/{version or known[-1]}").collect()))
 
     def _folders(self, at: dict[str, int]) -> DataFrame:
         return self.spark.read.parquet(*(f"{self.table.path}/v={v}/_bucket={b}" for b, v in sorted(at.items())))
@@ -112,6 +113,22 @@ class BucketedTable:
         self.table.point(version, json.dumps({"batch": number, "at": state["at"] | {str(b): version for b in touched}}))
         return sorted(touched)
 
+    def expire(self, keep: int = 2) -> list[str]:
+        """Remove all but the last pointers, and the buckets that none of those names any more; what was removed."""
+        known = self.table.versions()
+        for v in known[:-keep]:
+            self.table._fs.delete(self.table._at(f"pointers/{v}"), False)
+        named = {f"v={v}/_bucket={b}" for p in known[-keep:] for b, v in self.state(p)["at"].items()}
+        gone = []
+        for version in self.table._fs.listStatus(self.table._root):
+            if not (name := version.getPath().getName()).startswith("v="):
+                continue
+            there = [f"{name}/{s.getPath().getName()}" for s in self.table._fs.listStatus(version.getPath()) if s.getPath().getName().startswith("_bucket=")]
+            gone += (old := [b for b in there if b not in named])
+            for b in [name] if len(old) == len(there) else old:
+                self.table._fs.delete(self.table._at(b), True)
+        return sorted(gone)
+
 
 def overwrite_partitions(df: DataFrame, path: str, by: list[str]) -> None:
     """Replace only the partitions that df has rows of; running it again changes nothing."""
