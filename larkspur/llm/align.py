@@ -49,7 +49,7 @@ DOUBLE, ODD = [x + " " for x in SPACES], re.compile(r"[^\S\x00-\x7f] ")
 #: Characters of texts in one row, and rows in one file of the written table (a reader holds a file's rows at once).
 ROW_CHARS, FILE_ROWS = 2_000_000, 16
 #: Words whose tokens a worker keeps; pairs whose counts are broadcast, at 40 bytes each.
-KEPT_WORDS, HEAVY = 150_000, 500_000
+KEPT_WORDS, HEAVY = 300_000, 500_000
 #: What B writes for a space, and a text of one token that keeps B from writing a space ahead of a chunk.
 SPACE, AHEAD = "▁", "a"
 #: An id pair as one number: A's id times this, plus B's. An offset and a number go together in the same way.
@@ -195,12 +195,12 @@ def keyed(offset: Column, number: Column | int = 0) -> Column:
     return F.shiftleft(offset.cast("long"), 32) + number
 
 
-def merged(keys: Column | str, some: str) -> Column:
+def merged(keys: Column, some: Column) -> Column:
     """Keys of offsets and their numbers from 1, and right ahead of each of those that are among some, its number 0. Both are sorted, so that this is a merge."""
     return F.sort_array(F.concat(F.transform(some, lambda e: keyed(e)), keys))
 
 
-def numbers(both: str) -> Column:
+def numbers(both: Column) -> Column:
     """0, and the numbers of those right behind a 0."""
     high, low = F.lit(-SHIFT), F.lit(SHIFT - 1)
     found = F.filter(both, lambda x, j: F.get(both, j - 1) == x.bitwiseAND(high))
@@ -218,38 +218,40 @@ def pairs(a: Column, b: Column) -> Column:
     return F.flatten(F.transform(a, one))
 
 
-def within(ids: str, after: Column, upto: Column) -> Column:
+def within(ids: Column, after: Column, upto: Column) -> Column:
     """The ids from number after + 1 to upto; there is one at least."""
     return F.transform(F.sequence(after, upto - 1), lambda k: F.get(ids, k))
 
 
-def of_groups(make) -> Column:
+def of_groups(r: Column, make) -> Column:
     """make(a after, a upto, b after, b upto) for each group."""
-    upto = F.slice("a_at", 2, F.size("a_at"))
-    return F.transform(upto, lambda i, g: make(F.get("a_at", g), i, F.get("b_at", g), F.get("b_at", g + 1)))
+    upto = F.slice(r["a_at"], 2, F.size(r["a_at"]))
+    return F.transform(upto, lambda i, g: make(F.get(r["a_at"], g), i, F.get(r["b_at"], g), F.get(r["b_at"], g + 1)))
 
 
-def group_text(a0: Column, a1: Column, b0: Column, b1: Column) -> Column:
-    ids = lambda name, x, y: F.when(y - x == 1, F.get(name, x).cast("string")).otherwise(F.array_join(within(name, x, y).cast("array<string>"), ","))
+def group_text(r: Column, a0: Column, a1: Column, b0: Column, b1: Column) -> Column:
+    def ids(side: str, x: Column, y: Column) -> Column:
+        return F.when(y - x == 1, F.get(r[side], x).cast("string")).otherwise(F.array_join(within(r[side], x, y).cast("array<string>"), ","))
+
     return F.concat(ids("a", a0, a1), F.lit("|"), ids("b", b0, b1))
 
 
-def group_links(a0: Column, a1: Column, b0: Column, b1: Column) -> Column:
+def group_links(r: Column, a0: Column, a1: Column, b0: Column, b1: Column) -> Column:
     """The distinct pairs of a group and their numbers; mostly there is one."""
-    one = F.array(F.struct(keyed(F.get("a", a0), F.get("b", b0)).alias("pair"), F.lit(1).cast("long").alias("n")))
-    both = F.struct(tally(within("a", a0, a1)).alias("a"), tally(within("b", b0, b1)).alias("b"))
+    one = F.array(F.struct(keyed(F.get(r["a"], a0), F.get(r["b"], b0)).alias("pair"), F.lit(1).cast("long").alias("n")))
+    both = F.struct(tally(within(r["a"], a0, a1)).alias("a"), tally(within(r["b"], b0, b1)).alias("b"))
     more = F.get(F.transform(F.array(both), lambda x: pairs(x["a"], x["b"])), F.lit(0))
     return F.when(a1 - a0 + b1 - b0 == 2, one).otherwise(more)
 
 
-def of_chunks(make) -> Column:
+def of_chunks(r: Column, make) -> Column:
     """make(first group, group behind the last) for each chunk."""
-    return F.transform(F.slice("chunk_at", 2, F.size("chunk_at")), lambda upto, c: make(F.get("chunk_at", c), upto))
+    return F.transform(F.slice(r["chunk_at"], 2, F.size(r["chunk_at"])), lambda upto, c: make(F.get(r["chunk_at"], c), upto))
 
 
-def settled(rows: DataFrame) -> DataFrame:
-    """rows as they are, computed: a lambda of the next step that names a column would else compute it for each element."""
-    return rows.select(F.inline(F.array(F.struct(*(F.col(c) for c in rows.columns)))))
+def listed(ids: Column) -> Column:
+    """The same array, as objects: an expression that takes elements from it finds them faster there than in a row's bytes."""
+    return F.transform(ids, lambda x: x)
 
 
 def over(chunks: Column, values: Column) -> Column:
@@ -258,26 +260,42 @@ def over(chunks: Column, values: Column) -> Column:
 
 def align(docs: DataFrame, byte_bpe: str, piece_model: str, **columns) -> DataFrame:
     """Rows of some texts each: texts (id, n_a, n_b, n_groups, n_links, groups_sha256, chunks), and of each distinct chunk its pairs and their numbers."""
-    rows = settled(tokenise(docs, byte_bpe, piece_model, **columns).withColumn("common", F.array_intersect("a_ends", "b_ends")))
-    common = F.transform("common", lambda e, k: keyed(e, k + 1))
-    rows = settled(rows.select("texts", "a", "b", merged("a_keys", "common").alias("a_both"), merged("b_keys", "common").alias("b_both"), merged(common, "ends").alias("chunk_both")))
-    rows = settled(rows.select("texts", "a", "b", *(numbers(f"{x}_both").alias(f"{x}_at") for x in ("a", "b", "chunk"))))
-    rows = settled(rows.select("texts", "chunk_at", of_groups(group_text).alias("written"), of_groups(group_links).alias("links")))
-    each = lambda g0, g1, name: F.transform(F.sequence(g0, g1 - 1), lambda g: F.get(name, g))
-    written = lambda g0, g1: F.when(g1 - g0 == 1, F.get("written", g0)).otherwise(F.array_join(each(g0, g1, "written"), ";"))
-    links = lambda g0, g1: F.when(g1 - g0 == 1, F.get("links", g0)).otherwise(F.flatten(each(g0, g1, "links")))
-    sizes = lambda g0, g1: (g1 - g0).cast("long")
-    rows = settled(rows.select("texts", of_chunks(written).alias("written"), of_chunks(sizes).alias("sizes"), of_chunks(links).alias("links")))
-    rows = settled(rows.select("*", F.transform("links", lambda c: F.aggregate(c, F.lit(0).cast("long"), lambda acc, x: acc + x["n"])).alias("n_links")))
-
-    def text(t: Column) -> Column:
-        whole = F.array_join(F.transform(t["chunks"], lambda k: F.get(F.col("written"), k)), ";")
+    rows = tokenise(docs, byte_bpe, piece_model, **columns)
+    #: One structure a row goes through the steps: what a step has made is computed once, however often the next one looks into it.
+    first = F.struct("texts", listed(F.col("a")).alias("a"), listed(F.col("b")).alias("b"), F.array_intersect("a_ends", "b_ends").alias("common"), "ends", "a_keys", "b_keys")
+    one = F.array(first)
+
+    def step(make) -> None:
+        nonlocal one
+        one = F.transform(one, lambda r: F.struct(*(c.alias(name) for name, c in make(r).items())))
+
+    def both(r: Column) -> dict[str, Column]:
+        groups = F.transform(r["common"], lambda e, k: keyed(e, k + 1))
+        return {"texts": r["texts"], "a": r["a"], "b": r["b"], "a_at": merged(r["a_keys"], r["common"]), "b_at": merged(r["b_keys"], r["common"]), "chunk_at": merged(groups, r["ends"])}
+
+    def text(r: Column, t: Column) -> Column:
+        whole = F.array_join(F.transform(t["chunks"], lambda k: F.get(r["written"], k)), ";")
         sha = F.when(F.size(t["chunks"]) == 0, F.lit("")).otherwise(F.sha2(whole, 256))
-        numbers = (over(t["chunks"], F.col("sizes")).alias("n_groups"), over(t["chunks"], F.col("n_links")).alias("n_links"))
+        numbers = (over(t["chunks"], r["sizes"]).alias("n_groups"), over(t["chunks"], r["n_links"]).alias("n_links"))
         return F.struct(t["id"].alias("id"), t["n_a"].alias("n_a"), t["n_b"].alias("n_b"), *numbers, sha.alias("groups_sha256"), t["chunks"].alias("chunks"))
 
+    def chunks(r: Column) -> dict[str, Column]:
+        each = lambda g0, g1, name: F.transform(F.sequence(g0, g1 - 1), lambda g: F.get(r[name], g))
+        written = lambda g0, g1: F.when(g1 - g0 == 1, F.get(r["written"], g0)).otherwise(F.array_join(each(g0, g1, "written"), ";"))
+        links = lambda g0, g1: F.when(g1 - g0 == 1, F.get(r["links"], g0)).otherwise(F.flatten(each(g0, g1, "links")))
+        sizes = of_chunks(r, lambda g0, g1: (g1 - g0).cast("long"))
+        return {"texts": r["texts"], "written": of_chunks(r, written), "sizes": sizes, "links": of_chunks(r, links)}
+
+    total = lambda c: F.aggregate(c, F.lit(0).cast("long"), lambda acc, x: acc + x["n"])
+    step(both)
+    step(lambda r: {"texts": r["texts"], "a": r["a"], "b": r["b"], **{x: numbers(r[x]) for x in ("a_at", "b_at", "chunk_at")}})
+    step(lambda r: {"texts": r["texts"], "chunk_at": r["chunk_at"], "written": of_groups(r, lambda *at: group_text(r, *at)), "links": of_groups(r, lambda *at: group_links(r, *at))})
+    step(chunks)
+    step(lambda r: {"texts": r["texts"], "written": r["written"], "sizes": r["sizes"], "links": r["links"], "n_links": F.transform(r["links"], total)})
+    step(lambda r: {"texts": F.transform(r["texts"], lambda t: text(r, t)), "links": r["links"]})
+    rows = rows.select(F.inline(one))
     part = lambda name: F.transform("links", lambda c: c[name])
-    return rows.select(F.monotonically_increasing_id().alias("row"), F.transform("texts", text).alias("texts"), part("pair").alias("pairs"), part("n").alias("numbers"))
+    return rows.select(F.monotonically_increasing_id().alias("row"), "texts", part("pair").alias("pairs"), part("n").alias("numbers"))
 
 
 def pair_counts(rows: DataFrame) -> DataFrame:
