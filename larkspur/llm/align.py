@@ -23,9 +23,10 @@ from __future__ import annotations
 import json
 import re
 import uuid
+from collections import defaultdict
 from collections.abc import Iterator
 from functools import lru_cache
-from itertools import chain
+from itertools import chain, count
 
 import numpy as np
 import pyarrow as pa
@@ -93,7 +94,7 @@ class Pair:
         self.forget()
 
     def forget(self) -> None:
-        self.words: dict[str, int] = {}
+        self.words: dict[str, int] = defaultdict(count().__next__)  # a new word gets the next number
         #: Each word's chunks one behind another, its first place and number.
         self.parts = (np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64))
         self.index: dict[str, int] = {}
@@ -106,7 +107,7 @@ class Pair:
         if len(self.words) > KEPT_WORDS:
             self.forget()
         words, known = self.words, len(self.words)
-        found = [[words.setdefault(w, len(words)) for w in split(x)] if x else [] for x in texts]
+        found = [list(map(words.__getitem__, split(x))) if x else [] for x in texts]
         if new := list(words)[known:]:
             before, index = len(self.index), self.index
             parts = [[index.setdefault(c, len(index)) for c in CUT.split(w)] for w in new]

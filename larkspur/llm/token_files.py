@@ -26,9 +26,10 @@ import re
 import struct
 import uuid
 import zlib
+from collections import defaultdict
 from collections.abc import Iterator
 from functools import lru_cache
-from itertools import chain
+from itertools import chain, count
 
 import numpy as np
 import pyarrow as pa
@@ -77,7 +78,7 @@ class Words:
         self.forget()
 
     def forget(self) -> None:
-        self.words: dict[str, int] = {}
+        self.words: dict[str, int] = defaultdict(count().__next__)  # a new word gets the next number
         self.pieces: dict[str, list[int]] = {}
         self.flat, self.first, self.counts = np.zeros(0, np.int32), np.zeros(0, np.int64), np.zeros(0, np.int64)
 
@@ -106,7 +107,7 @@ class Words:
         if len(self.words) > KEPT_WORDS:
             self.forget()
         known, words = len(self.words), self.words
-        found = [[words.setdefault(w, len(words)) for w in x.replace("\n", " ").replace("\t", " ").replace("\r", " ").split(" ")] if x else [] for x in texts]
+        found = [list(map(words.__getitem__, x.replace("\n", " ").replace("\t", " ").replace("\r", " ").split(" "))) if x else [] for x in texts]
         if len(words) > known:
             self.add(list(words)[known:])
         out = []
