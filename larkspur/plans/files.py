@@ -68,13 +68,13 @@ def s6_csv_rejects(spark, sf_dir):
 
 @query("SELECT c_custkey AS id, c_custkey * 2 AS points FROM customer")
 def s15_paged_service(spark, sf_dir):
-    """A stand-in for a service that gives pages of 100 by key, asked up to the table's greatest one."""
-    last = int(t(spark, sf_dir, "customer").agg(F.max("c_custkey")).first()[0] or 0)
+    """A stand-in for a service that gives pages of 100 by key, asked from the table's least to its greatest one."""
+    first, last = t(spark, sf_dir, "customer").agg(F.coalesce(F.min("c_custkey"), F.lit(0)), F.coalesce(F.max("c_custkey"), F.lit(-1))).first()
 
     def fetch(after: int, until: int, size: int) -> list[dict]:
         return [{"id": k, "points": 2 * k} for k in range(after + 1, min(until, after + size, last) + 1)]
 
-    return readers.paged(spark, fetch, "id long, points long", lower=0, upper=last, parts=4, size=100)
+    return readers.paged(spark, fetch, "id long, points long", lower=first - 1, upper=last, parts=4, size=100)
 
 
 @query("SELECT k, k // 2 AS half FROM range(0, 1000) r(k)")
@@ -147,17 +147,25 @@ def r3_stream_merge_totals(spark, sf_dir):
     return table.read().select("event_type", "n", F.round("total", 4).alias("total"), F.col("event_id").alias("last_id"))
 
 
+def ended(spark, sf_dir):
+    """The events as a stream, and behind them, in a file of its own, a row without a user of twenty years on, by which the watermark closes all that is open."""
+    at, e = folder(spark, "stream"), t(spark, sf_dir, "events")
+    e.repartition(4, "event_id").write.parquet(at)
+    e.agg(F.max("ts").alias("ts")).select(F.lit(None).cast("long").alias("event_id"), (F.col("ts") + F.expr("INTERVAL 20 YEARS")).alias("ts"), *(F.lit(None).cast(k).alias(c) for c, k in (("user_id", "long"), ("event_type", "string"), ("value", "double"), ("props", "string")))).write.mode("append").parquet(at)
+    return incremental.files(spark, at, EVENTS, per_batch=2).withColumn("ts", F.col("ts").cast("timestamp"))
+
+
 def finished(frame, spark, name: str):
-    """What a streaming aggregate holds when its input is read."""
-    at = f"{name}_{uuid.uuid4().hex}"
-    frame.writeStream.format("memory").queryName(at).outputMode("complete").option("checkpointLocation", folder(spark, name)).trigger(availableNow=True).start().awaitTermination()
-    return spark.table(at)
+    """What a streaming aggregate puts out for good, in files: each row once, when the watermark has passed it."""
+    at = folder(spark, name)
+    incremental.append(frame, f"{at}/data", f"{at}/state").awaitTermination()
+    return spark.read.parquet(f"{at}/data")
 
 
 @query("SELECT date_trunc('hour', ts)::TIMESTAMP AS start, event_type, count(*) AS n, round(sum(value), 4) AS total FROM events GROUP BY ALL")
 def r6_stream_windows(spark, sf_dir):
-    at = streamed(spark, sf_dir).withColumn("ts", F.col("ts").cast("timestamp"))
-    out = finished(incremental.window_totals(at, "ts", ["event_type"], "value", late="3650 days"), spark, "windows")
+    at = ended(spark, sf_dir)
+    out = finished(incremental.window_totals(at, "ts", ["event_type"], "value", late="3650 days"), spark, "windows").where("event_type IS NOT NULL")
     return out.select(F.col("start").cast("timestamp_ntz").alias("start"), "event_type", "n", F.round("total", 4).alias("total"))
 
 
@@ -166,8 +174,8 @@ def r6_stream_windows(spark, sf_dir):
     SELECT user_id, min(ts) AS began, count(*) AS events FROM s GROUP BY user_id, k"""
 )
 def r5_stream_sessions(spark, sf_dir):
-    at = streamed(spark, sf_dir).withColumn("ts", F.col("ts").cast("timestamp"))
-    out = finished(incremental.session_totals(at, "ts", "user_id", late="3650 days"), spark, "sessions")
+    at = ended(spark, sf_dir)
+    out = finished(incremental.session_totals(at, "ts", "user_id", late="3650 days"), spark, "sessions").where("user_id IS NOT NULL")
     return out.select("user_id", F.col("began").cast("timestamp_ntz").alias("began"), "events")
 
 

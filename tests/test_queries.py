@@ -6,7 +6,7 @@ import duckdb
 import pandas as pd
 import pytest
 
-from larkspur.plans import crm, domain, files, more, registry, relational, rest, stored, upkeep  # noqa: F401
+from larkspur.plans import crm, domain, files, indexes, more, registry, relational, rest, stored, upkeep  # noqa: F401
 
 SF = "/root/testdata/sf0.001"
 TYPES = {"bigint": "BIGINT", "int": "INTEGER", "string": "VARCHAR", "double": "DOUBLE", "boolean": "BOOLEAN", "date": "DATE", "timestamp_ntz": "TIMESTAMP", "float": "FLOAT"}

@@ -180,3 +180,52 @@ def test_vectors_of_two_widths(spark, monkeypatch):
     monkeypatch.setattr(search, "QUERIES", 2)
     monkeypatch.setattr(search, "STEP", 3)
     assert sorted(map(tuple, search.k_nearest_of_each(queries, items, "id", "v", 2).collect())) == want
+
+
+def log(spark, tmp_path, batches, **how):
+    """What a log of updates holds after some micro-batches of rows (key, value, minute, number)."""
+    from larkspur.streaming import incremental, state
+
+    for k, rows in enumerate(batches):
+        df = spark.createDataFrame(rows, "k long, v string, minute long, number long").withColumn("at", F.timestamp_seconds(F.col("minute") * 60 + 10_000_000)).drop("minute")
+        df.coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+        stream = incremental.files(spark, str(tmp_path / "in"), "k long, v string, number long, at timestamp", per_batch=1)
+        incremental.append(state.update_log(stream, "k", "v", "at", "number", **how), str(tmp_path / "log"), str(tmp_path / "state")).awaitTermination()
+    return sorted([(r.key, r.old, r.new, r.change) for r in spark.read.parquet(str(tmp_path / "log")).collect()], key=repr)
+
+
+def test_updates_come_with_their_old_value(spark, tmp_path):
+    """Over batches and within one; late and repeated rows change nothing, null is a value, as is a null key."""
+    one = [(1, "a", 0, 0), (1, "b", 5, 1), (2, "x", 0, 2), (None, "n", 0, 3), (3, None, 0, 4)]
+    two = [(1, "b", 9, 5), (1, "late", 2, 6), (2, None, 3, 7), (2, "y", 3, 8), (3, None, 4, 9), (None, "m", 1, 10)]
+    want = [(1, None, "a", "insert"), (1, "a", "b", "update"), (2, None, "x", "insert"), (2, "x", None, "update"), (2, None, "y", "update"), (3, None, None, "insert"), (None, None, "n", "insert"), (None, "n", "m", "update")]
+    assert log(spark, tmp_path, [one, two]) == sorted(want, key=repr)
+
+
+def test_forgotten_keys(spark, tmp_path):
+    """A key without a row for an hour is put out and forgotten; one that comes again is new."""
+    batches = [[(1, "a", 0, 0), (2, "b", 0, 1)], [(2, "c", 50, 2)], [(3, "z", 100, 3)], [(1, "d", 101, 4), (2, "c", 101, 5)]]
+    got = log(spark, tmp_path, batches, expiry="60 minutes", late="1 minute")
+    assert (1, "a", None, "expired") in got and (1, None, "d", "insert") in got and (2, "b", "c", "update") in got
+    assert not [x for x in got if x[0] == 2 and x[3] == "expired"]
+
+
+def test_text_index(spark, tmp_path, monkeypatch):
+    """Scores over segments are those of one scan; the best come from few blocks; a segment without totals is not read."""
+    from larkspur.operators.text_index import TextIndex
+
+    docs = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text")
+    tokens = F.regexp_extract_all(F.lower("text"), F.lit("[a-z]+"), F.lit(0))
+    index = TextIndex(spark, str(tmp_path / "i"), buckets=4)
+    assert index.top(["the"], 3).collect() == []
+    for k in range(3):
+        index.append(docs.where(f"pmod(doc_id, 3) = {k}"), "doc_id", tokens, block=8)
+    for words in (["the", "that", "avec"], ["the", "the"], ["zzzz"], ["der", "zzzz"], []):
+        want = sorted([(-round(r.score, 9), r.doc_id) for r in search.bm25(docs, "doc_id", tokens, words).collect()]) if words else []
+        assert sorted((-round(r.score, 9), r.id) for r in index.scores(words).collect()) == want
+        assert [(-round(r.score, 9), r.id) for r in index.top(words, 7).collect()] == want[:7]
+    before = index.segments()
+    (tmp_path / "i/segment=9/postings").mkdir(parents=True)
+    assert index.segments() == before
+    index.append(docs.where("false"), "doc_id", tokens)
+    assert index.scores(["the"]).count() == search.bm25(docs, "doc_id", tokens, ["the"]).count()
