@@ -229,3 +229,80 @@ def test_text_index(spark, tmp_path, monkeypatch):
     assert index.segments() == before
     index.append(docs.where("false"), "doc_id", tokens)
     assert index.scores(["the"]).count() == search.bm25(docs, "doc_id", tokens, ["the"]).count()
+
+
+def plain_rolling(rows, widths):
+    out = {}
+    for i, key, at, _ in rows:
+        inside = lambda w: [v for _, k, x, v in rows if k == key and x is not None and at is not None and at - w <= x <= at and v is not None]  # noqa: B023, E731
+        out[i] = tuple(y for w in widths.values() for y in ((sum(inside(w)) if inside(w) else None, len(inside(w))) if at is not None else (None, None)))
+    return out
+
+
+@pytest.mark.parametrize("kind", ["long", "double", "decimal(12,2)"])
+def test_rolling_by_slices(spark, kind):
+    """Against a plain loop: a key with most rows, ties, times before 1970, nulls; windows wider and narrower than a slice."""
+    import random
+    from decimal import Decimal
+
+    from larkspur.operators import rolling
+
+    rng = random.Random(3)
+    value = {"long": lambda: rng.randrange(-50, 50), "double": lambda: rng.randrange(100) / 4, "decimal(12,2)": lambda: Decimal(rng.randrange(-900, 900)) / 100}[kind]
+    rows = [(i, rng.choice([1, 1, 1, 2, None]), rng.choice([None, *range(-60, 60)] if i % 9 == 0 else range(-60, 60)), rng.choice([None, value(), value()])) for i in range(160)]
+    df = spark.createDataFrame(rows, f"id long, k long, at long, v {kind}")
+    widths = {"a": 0, "b": 3, "c": 25, "d": 500}
+    got = {r.id: tuple(r)[1:] for r in rolling.rolling(df, "id", "k", "at", "v", widths, slice_us=10).collect()}
+    assert got == plain_rolling(rows, widths)
+    assert rolling.rolling(df.where("false"), "id", "k", "at", "v", widths).count() == 0
+
+
+def test_rolling_parts_a_hot_key(spark):
+    """One user has a third of all rows, and no slice of it more than three times what the median task has."""
+    from larkspur.operators import rolling
+
+    df = spark.range(30_000).select("id", F.when(F.col("id") % 3 == 0, F.lit(0)).otherwise(F.col("id") % 200).alias("k"), (F.col("id") * 1_000).alias("at"), F.lit(1).alias("v"))
+    slices = df.groupBy("k", F.floor(F.col("at") / 500_000).alias("s")).count()
+    assert slices.agg(F.max("count")).first()[0] <= 200
+    spread = slices.repartition(16, "k", "s").groupBy(F.spark_partition_id()).agg(F.sum("count").alias("n")).toPandas()["n"]
+    assert spread.max() <= 3 * spread.median()
+    got = rolling.rolling(df, "id", "k", "at", "v", {"w": 2_999_999}, slice_us=500_000).where("id = 29997").first()
+    assert got.w_n == sum(1 for i in range(26_998, 29_998) if i % 3 == 0 or i % 200 == 0)
+
+
+def test_relations_are_found_in_data(spark):
+    """Not by a name alone, nor by values alone; a key has a value once; texts and numbers do not meet; no pair is named here."""
+    from larkspur.operators import relations
+
+    shops = spark.range(500).select(F.col("id").alias("shop_id"), F.concat(F.lit("s"), F.col("id")).alias("code"), (F.col("id") % 7).alias("city_id"))
+    sales = spark.range(4000).select(F.col("id").alias("x_sale_id"), (F.col("id") % 500).alias("x_shop_id"), F.concat(F.lit("s"), F.col("id") % 500).alias("code"), (F.col("id") % 9).alias("city_id"))
+    cities = spark.range(8).select(F.col("id").alias("city_id"), F.col("id").cast("string").alias("shop_id"))
+    found = relations.suggest({"shops": shops, "sales": sales, "cities": cities})
+    assert [x[:4] for x in found] == [("sales", "code", "shops", "code"), ("sales", "x_shop_id", "shops", "shop_id"), ("shops", "city_id", "cities", "city_id")]
+    assert all(x[5] == 1 for x in found)
+    loose = relations.suggest({"shops": shops, "sales": sales, "cities": cities}, 0.85, by_name=False)
+    assert ("sales", "city_id", "cities", "city_id", 9, 8 / 9) in loose and ("shops", "shop_id", "sales", "x_sale_id", 500, 1.0) in loose
+    assert relations.suggest({"shops": shops, "none": spark.createDataFrame([], "code string, shop_id long")}) == []
+
+
+def test_profiles_merge(spark):
+    """Two halves make the whole: exactly where counts are exact, within the sketches' bounds elsewhere; a half without rows adds nothing."""
+    from larkspur.operators import quality
+
+    df = spark.range(20_000).select(
+        "id", (F.col("id") * 37 % 1000).cast("double").alias("x"), F.when(F.col("id") % 10 != 0, F.concat(F.lit("k"), F.col("id") % 30)).alias("kind"), F.concat(F.lit("v"), F.col("id")).alias("many"),
+        F.concat(F.lit("13"), F.col("id") + 100_000_000).alias("code"), F.lit("secret").alias("home_addr"), F.uuid().alias("key"), F.lit(None).cast("string").alias("nothing"), F.array("id").alias("listed"),
+    ).cache()
+    halves = [quality.profile_batch(df.where(p)) for p in ("id < 5000", "id >= 5000", "id < 0")]
+    merged = quality.merge_profiles(halves[0].unionByName(halves[1]).unionByName(halves[2]))
+    got, whole = ({r.column: r.asDict() for r in quality.read_profile(p).collect()} for p in (merged, quality.profile_batch(df)))
+    for c in df.columns:
+        a, b = got[c], whole[c]
+        assert {k: v for k, v in a.items() if k not in ("values", "median")} == {k: v for k, v in b.items() if k not in ("values", "median")}
+        assert abs(a["values"] - b["values"]) <= 0.05 * b["values"] and (a["median"] is None) == (b["median"] is None)
+    assert abs(got["x"]["median"] - 500) < 30 and abs(got["many"]["values"] - 20_000) < 1_000
+    assert got["kind"]["null_rate"] == 0.1 and len(got["kind"]["top"]) == 27 and got["kind"]["top"][0].n >= got["kind"]["top"][-1].n
+    assert (got["key"]["format"], got["code"]["format"], got["nothing"]["format"]) == ("uuid", "phone", None) or got["code"]["format"] == "whole"
+    assert got["many"]["top"] is None and got["home_addr"]["top"] is None and got["nothing"]["null_rate"] == 1
+    twice = quality.merge_profiles(merged.unionByName(halves[2]))
+    assert {r.column: r.rows for r in twice.collect()} == {c: 20_000 for c in df.columns}
