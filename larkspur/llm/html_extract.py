@@ -19,7 +19,8 @@ from __future__ import annotations
 import html as entities
 import re
 import zlib
-from collections.abc import Iterator
+from bisect import bisect_left
+from collections.abc import Generator, Iterator
 from functools import lru_cache
 
 import numpy as np
@@ -30,6 +31,8 @@ from pyspark.sql import types as T
 from .bpe import map_columns, slices
 
 TAG = re.compile(r"""<!--.*?(?:-->|\Z)|<[!?][^>]*+>|<(/?)([a-zA-Z][^\s/>]*+)((?:[^>"']|"[^"]*+"|'[^']*+')*+)>|<(/?)([a-zA-Z][^\s/>]*+)([^>]*+)>""", re.S)
+#: Where markup begins, and the characters that decide where a tag ends.
+START, MARK = re.compile(r"<!--|<[!?]|<(/?)([a-zA-Z][^\s/>]*+)"), re.compile("[\"'>]")
 ATTRIBUTE = re.compile(r"""(?:^|\s)(?:class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
 #: HTML's elements without an end tag, whose content is no markup and no text of the page, and inside of lines.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -50,18 +53,82 @@ def hashed(token: str, size: int) -> int:
 
 
 @lru_cache(200_000)
-def path_tokens(tag: str, attributes: str) -> tuple[int, ...]:
-    found = [hashed(tag, PATHS)]
+def path_bits(tag: str, attributes: str) -> int:
+    """The hashed tag and words of an element as bits of a number."""
+    out = 1 << hashed(tag, PATHS)
     for m in ATTRIBUTE.finditer(attributes):
-        found += [hashed("." + w, PATHS) for w in re.findall(r"[a-z]+", (m[1] or m[2] or m[3] or "").lower())]
-    return tuple(found)
+        for w in re.findall(r"[a-z]+", (m[1] or m[2] or m[3] or "").lower()):
+            out |= 1 << hashed("." + w, PATHS)
+    return out
 
 
-def blocks(page: str | None) -> list[tuple[tuple[int, ...], str, int]]:
-    """Leaf blocks in page order: hashed path, text with single spaces, and characters inside links."""
+def tags(page: str) -> Generator[tuple[int, int, bool, str | None, str], int | None, None]:
+    """(begin, end, whether an end tag, name in lower case or None for what is none, attributes) of the page's markup.
+
+    Every character is looked at a bounded number of times: no tag is looked for behind the last ">", and where a quote
+    is not closed as it should be, the ends of all tags behind are found at once, from the last one backwards. The
+    caller may send the place to go on from.
+    """
+    last = page.rfind(">") + 1
+    pos, marks, close = 0, None, None
+    while True:
+        if marks is None:
+            m = TAG.search(page, pos, last)
+            if not m:
+                break
+            begin, end = m.span()
+            if m[5] is not None:  # no end outside of quotes
+                marks, close = tag_ends(page, last)
+            found = (bool(m[1]), m[2], m[3]) if m[2] else (bool(m[4]), m[5], m[6])
+        else:
+            m = START.search(page, pos, last)
+            if not m:
+                break
+            begin = m.start()
+            if m[2]:
+                k = bisect_left(marks, m.end())
+                end = close[k] if k < len(marks) and close[k] >= 0 else page.find(">", m.end())
+                found = bool(m[1]), m[2], page[m.end() : end]
+                end += 1
+            else:
+                end = last if m[0] == "<!--" else page.find(">", m.end()) + 1
+                if m[0] == "<!--" and (k := page.find("-->", m.end(), last)) >= 0:
+                    end = k + 3
+                found = False, None, ""
+        if found[1] is None and page.startswith("<!--", begin) and not page.endswith("-->", begin + 4, end):
+            end = len(page)  # a comment without an end
+        sent = yield begin, end, found[0], found[1].lower() if found[1] else None, found[2] or ""
+        pos = end if sent is None else sent
+        if sent is not None:
+            yield  # type: ignore[misc]
+    if (rest := page.find("<!--", max(pos, last))) >= 0:
+        yield rest, len(page), False, None, ""
+
+
+def tag_ends(page: str, last: int) -> tuple[list[int], list[int]]:
+    """Places of quotes and ">", and for each where a tag ends that is outside of quotes there, or -1."""
+    marks = [m.start() for m in MARK.finditer(page, 0, last)]
+    close, later = [-1] * (len(marks) + 1), {}
+    for k in range(len(marks) - 1, -1, -1):
+        c = page[marks[k]]
+        if c == ">":
+            close[k] = marks[k]
+        else:
+            close[k] = close[later[c] + 1] if c in later else -1
+            later[c] = k
+    return marks, close
+
+
+def blocks(page: str | None) -> list[tuple[int, str, int]]:
+    """Leaf blocks in page order: the bits of the path, text with single spaces, and characters inside links.
+
+    An element has the bits of its path with it, so that a block costs the same however many elements are open.
+    """
     page = page or ""
-    out: list[tuple[tuple[int, ...], str, int]] = []
-    open_: list[tuple[str, tuple[int, ...]]] = []
+    out: list[tuple[int, str, int]] = []
+    open_: list[tuple[str, int]] = []
+    places: dict[str, list[int]] = {}
+    scopes: list[int] = []
     held: list[str] = []
     linked = at = in_link = 0
 
@@ -69,8 +136,8 @@ def blocks(page: str | None) -> list[tuple[tuple[int, ...], str, int]]:
         nonlocal linked
         if held:
             text = " ".join("".join(held).split())
-            if text and all(t != HIDDEN_TAG for t, _ in open_):
-                out.append((tuple(x for _, e in open_ for x in e), text, linked))
+            if text and not places.get(HIDDEN_TAG):
+                out.append((open_[-1][1] if open_ else 0, text, linked))
             held.clear()
         linked = 0
 
@@ -81,14 +148,20 @@ def blocks(page: str | None) -> list[tuple[tuple[int, ...], str, int]]:
             held.append(text)
             linked += len(text) * (in_link > 0)
 
-    pos = 0
-    while m := TAG.search(page, pos):
-        say(at, m.start())
-        at = pos = m.end()
-        end, tag, attributes = (m[1], m[2], m[3]) if m[2] else (m[4], m[5], m[6])
+    def leave(k: int) -> None:
+        """Close all elements from the k-th on."""
+        while len(open_) > k:
+            tag = open_.pop()[0]
+            places[tag].pop()
+            if tag in SCOPE:
+                scopes.pop()
+
+    markup = tags(page)
+    for begin, stop, end, tag, attributes in markup:
+        say(at, begin)
+        at = stop
         if not tag:
             continue
-        tag = tag.lower()
         if tag in INLINE:
             if tag == "br":
                 held.append(" ")
@@ -96,48 +169,52 @@ def blocks(page: str | None) -> list[tuple[tuple[int, ...], str, int]]:
                 in_link = 0 if end else 1
             continue
         if end:
-            if any(t == tag for t, _ in open_):
+            if places.get(tag):
                 flush()
-                while open_.pop()[0] != tag:
-                    pass
+                leave(places[tag][-1])
             continue
         flush()
         in_link = 0
         if tag in RAW:
-            close = RAW[tag].search(page, pos)
-            at = pos = close.start() if close else len(page)
+            close = RAW[tag].search(page, stop)
+            at = close.start() if close else len(page)
+            markup.send(at)
             continue
         if tag in VOID:
             continue
         if tag in ENDS or tag in SCOPE or tag[0] == "h" and tag[1:].isdigit():
-            kinds = ENDS.get(tag, {"p"})
-            for k in range(len(open_) - 1, -1, -1):
-                if open_[k][0] in kinds:
-                    del open_[k:]
-                    break
-                if open_[k][0] in SCOPE:
-                    break
-        open_.append((tag, path_tokens(tag, attributes)))
+            last = max((places[t][-1] for t in ENDS.get(tag, {"p"}) if places.get(t)), default=-1)
+            if last > (scopes[-1] if scopes else -1):
+                leave(last)
+        places.setdefault(tag, []).append(len(open_))
+        if tag in SCOPE:
+            scopes.append(len(open_))
+        open_.append((tag, (open_[-1][1] if open_ else 0) | path_bits(tag, attributes)))
     say(at, len(page))
     flush()
     return out
 
 
-def features(leaves: list[tuple[tuple[int, ...], str, int]], from_start: bool = True, to_end: bool = True) -> np.ndarray:
+def features(leaves: list[tuple[int, str, int]], from_start: bool = True, to_end: bool = True) -> np.ndarray:
     """A row for each block of a page, or of a part of it."""
     x = np.zeros((len(leaves), WIDTH), np.float32)
-    for k, (path, text, linked) in enumerate(leaves):
-        x[k, list(path)] = 1
-        words = text.split(" ")
-        found = np.fromiter((hashed(w.lower(), WORDS) for w in words), np.int64, len(words))
-        x[k, PATHS : PATHS + WORDS] = np.bincount(found, minlength=WORDS) / len(words)
-        n = len(text)
-        x[k, PATHS + WORDS :] = (np.log1p(n) / 8, np.log1p(len(words)) / 6, linked / n, text[-1] in ".!?…\"'”»", len(words) < 4, from_start and k == 0, to_end and k == len(leaves) - 1, 1)
+    if leaves:
+        raw = np.frombuffer(b"".join(path.to_bytes(PATHS // 8, "little") for path, _, _ in leaves), np.uint8)
+        x[:, :PATHS] = np.unpackbits(raw.reshape(len(leaves), -1), axis=1, bitorder="little")
+        split = [text.split(" ") for _, text, _ in leaves]
+        n_words, n = np.array(list(map(len, split))), np.array([len(text) for _, text, _ in leaves])
+        found = np.fromiter((hashed(w.lower(), WORDS) for words in split for w in words), np.int64, n_words.sum())
+        counts = np.bincount(np.repeat(np.arange(len(leaves)), n_words) * WORDS + found, minlength=len(leaves) * WORDS)
+        x[:, PATHS : PATHS + WORDS] = counts.reshape(len(leaves), WORDS) / n_words[:, None]
+        ends, linked = [text[-1] in ".!?…\"'”»" for _, text, _ in leaves], np.array([y for _, _, y in leaves])
+        for k, numbers in enumerate((np.log1p(n) / 8, np.log1p(n_words) / 6, linked / n, ends, n_words < 4, 0, 0, 1)):
+            x[:, PATHS + WORDS + k] = numbers
+        x[0, PATHS + WORDS + 5], x[-1, PATHS + WORDS + 6] = from_start, to_end
     return x
 
 
 def sigmoid(x: np.ndarray) -> np.ndarray:
-    return 1 / (1 + np.exp(-np.clip(x, -30, 30)))
+    return 1 / (1 + np.exp(-np.minimum(np.maximum(x, -30), 30)))
 
 
 class Labeller:
@@ -164,7 +241,7 @@ class Labeller:
         """Probabilities of the blocks of pages (features, or what project makes), all of a batch at once, by step. With keep, also what learning needs."""
         size = lambda a: len(a[0]) if isinstance(a, tuple) else len(a)
         lengths = np.array([size(a) for a in x])
-        steps, n = int(lengths.max(initial=0)), len(x)
+        steps, shortest, n = int(lengths.max(initial=0)), int(lengths.min(initial=1 << 62)), len(x)
         trace, hidden = [], []
         for d in range(2):
             wx, wh, b = self.p[3 * d : 3 * d + 3]
@@ -176,12 +253,17 @@ class Labeller:
             hs, kept = np.zeros((steps, n, HIDDEN), np.float32), []
             for t in range(steps):
                 z = z_in[t] + h @ wh
-                i, f, o = (sigmoid(z[:, k * HIDDEN : (k + 1) * HIDDEN]) for k in range(3))
+                gates = sigmoid(z[:, : 3 * HIDDEN])
+                i, f, o = (gates[:, k * HIDDEN : (k + 1) * HIDDEN] for k in range(3))
                 g = np.tanh(z[:, 3 * HIDDEN :])
-                on = (t < lengths)[:, None]
                 before = (h, c)
-                c = np.where(on, f * c + i * g, c)
-                h = np.where(on, o * np.tanh(c), h)
+                if keep or t >= shortest:
+                    on = (t < lengths)[:, None]
+                    c = np.where(on, f * c + i * g, c)
+                    h = np.where(on, o * np.tanh(c), h)
+                else:  # all pages go on
+                    c = f * c + i * g
+                    h = o * np.tanh(c)
                 hs[t] = h
                 if keep:
                     kept.append((i, f, o, g, c, *before, on))
