@@ -102,23 +102,24 @@ class Words:
         self.counts = np.concatenate([self.counts, counts])
         self.flat = np.concatenate([self.flat, np.fromiter(chain.from_iterable(ids), np.int32)])
 
-    def encode(self, texts: list[str | None], end: int) -> list[np.ndarray]:
-        """Ids of each text, the end id behind them."""
+    def encode(self, texts: list[str | None], end: int) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of the texts one behind another, the end id behind each, and the number of each text's."""
         if len(self.words) > KEPT_WORDS:
             self.forget()
         known, words = len(self.words), self.words
         found = [list(map(words.__getitem__, x.replace("\n", " ").replace("\t", " ").replace("\r", " ").split(" "))) if x else [] for x in texts]
         if len(words) > known:
             self.add(list(words)[known:])
-        out = []
-        for x in found:
-            at = np.array(x, np.int64)
-            n = self.counts[at]
-            ids = np.empty(n.sum() + 1, np.int32)
-            ids[:-1] = self.flat[np.repeat(self.first[at] - (np.cumsum(n) - n), n) + np.arange(len(ids) - 1)]
-            ids[-1] = end
-            out.append(ids)
-        return out
+        upto = np.cumsum([len(x) for x in found])
+        at = np.fromiter(chain.from_iterable(found), np.int64, upto[-1] if len(upto) else 0)
+        n = self.counts[at]
+        ahead = np.concatenate([[0], np.cumsum(n)])
+        ends = ahead[upto] + np.arange(len(texts)) if len(texts) else np.zeros(0, np.int64)
+        ids = np.full(ahead[-1] + len(texts), end, np.int32)
+        own = np.ones(len(ids), bool)
+        own[ends] = False
+        ids[own] = self.flat[np.repeat(self.first[at] - ahead[:-1], n) + np.arange(ahead[-1])]
+        return ids, np.diff(ends, prepend=-1)
 
 
 @lru_cache(1)
@@ -231,8 +232,10 @@ def tokens(docs: DataFrame, vocab_path: str, end: int, *, id_col: str = "doc_id"
         for batch in batches:
             texts = batch.column(1).to_pylist()
             for i, j in slices(texts):
-                found = own.encode(texts[i:j], end)
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, j - i), pa.array(map(len, found), pa.int64()), pa.array([x.astype(kind).tobytes() for x in found], pa.binary())], names=schema.names)
+                found, n = own.encode(texts[i:j], end)
+                offsets = np.concatenate([[0], np.cumsum(n)]) * np.dtype(kind).itemsize
+                raw = pa.Array.from_buffers(pa.binary(), len(n), [None, pa.py_buffer(offsets.astype(np.int32)), pa.py_buffer(found.astype(kind))])
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, j - i), pa.array(n, pa.int64()), raw], names=schema.names)
         release()
 
     ship(docs.sparkSession)

@@ -212,7 +212,8 @@ def test_token_files_of_no_rows(spark, docs):
 @given(st.text(max_size=80))
 def test_words_have_the_ids_of_the_whole(text):
     own = token_files.words(open(queries.WORDS, encoding="utf-8").read())
-    assert own.encode([text], 1)[0].tolist() == [*own.whole.encode(text, add_special_tokens=False).ids, 1]
+    ids, n = own.encode(["", text, None], 1)
+    assert n.tolist() == [1, len(ids) - 2, 1] and ids.tolist()[1:-1] == [*own.whole.encode(text, add_special_tokens=False).ids, 1]
 
 
 def huffman_cost(counts):
