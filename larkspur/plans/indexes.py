@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from larkspur.operators import quality, relations, rolling, topn
+from larkspur.operators import graph_index, quality, relations, rolling, topn
 from larkspur.operators.text_index import TextIndex
 
 from . import crm, domain, relational  # noqa: F401, whose SQL is used here
@@ -95,3 +95,11 @@ def g21_merged_profile(spark, sf_dir):
     found = quality.read_profile(whole).where(F.col("column").isin("segment", "contact", "since"))
     top = F.array_join(F.transform("top", lambda x: F.concat(x["value"], F.lit("="), x["n"].cast("string"))), ",")
     return found.select("column", "rows", F.round(F.col("null_rate") * F.col("rows")).cast("long").alias("nulls"), "shortest", "longest", "format", top.alias("top"))
+
+
+@query()
+def v4_graph_search(spark, sf_dir):
+    """Ten neighbours of every vector whose id is divisible by 20, along a stored graph; no SQL, since it is approximate: the test holds its recall."""
+    at, e = folder(spark, "graph"), t(spark, sf_dir, "embeddings").select("vec_id", "embedding")
+    graph_index.build(e, "vec_id", "embedding").write.parquet(at)
+    return graph_index.nearest(spark.read.parquet(at), e.where("vec_id % 20 = 0"), "vec_id", "embedding", 10).select("query", F.col("id").alias("vec_id"), "similarity", "place")

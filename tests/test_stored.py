@@ -306,3 +306,38 @@ def test_profiles_merge(spark):
     assert got["many"]["top"] is None and got["home_addr"]["top"] is None and got["nothing"]["null_rate"] == 1
     twice = quality.merge_profiles(merged.unionByName(halves[2]))
     assert {r.column: r.rows for r in twice.collect()} == {c: 20_000 for c in df.columns}
+
+
+def test_graph_search(spark):
+    """Recall of at least 0.9 against all vectors, for under a fifth of the comparisons; odd vectors are left alone."""
+    import numpy as np
+
+    from larkspur.operators import graph_index
+
+    e = spark.read.parquet("/root/testdata/sf0.1/embeddings.parquet").select("vec_id", "embedding")
+    odd = spark.createDataFrame([(90_000, None), (90_020, [0.0] * 64), (90_040, [1.0, 2.0]), (None, [1.0] * 64)], "vec_id long, embedding array<float>")
+    index = graph_index.build(e.unionByName(odd.where("vec_id IS NULL OR vec_id != 90040")), "vec_id", "embedding").cache()
+    assert index.count() == 2000
+    found = graph_index.nearest(index, e.unionByName(odd).where("vec_id % 20 = 0"), "vec_id", "embedding", 10).toPandas()
+    rows = e.orderBy("vec_id").toPandas()
+    ids, unit = rows["vec_id"].to_numpy(), np.stack(rows["embedding"].to_numpy()).astype(np.float64)
+    unit /= np.linalg.norm(unit, axis=1, keepdims=True)
+    hits = total = 0
+    for query, own in found.groupby("query"):
+        s = unit @ unit[ids == query][0]
+        s[ids == query] = -2
+        best = set(ids[np.argsort(-s)[:10]])
+        hits, total = hits + len(best & set(own["id"])), total + 10
+        assert np.allclose(own["similarity"], [s[ids == i][0] for i in own["id"]], atol=1e-5) and sorted(own["place"]) == list(range(1, len(own) + 1))
+    assert total == 1000 and hits / total >= 0.9
+    assert found.groupby("query")["compared"].max().mean() < 0.2 * 2000
+
+
+def test_graph_of_few_vectors(spark):
+    from larkspur.operators import graph_index
+
+    for n in (0, 1, 2, 30):
+        e = spark.range(n).select(F.col("id").alias("vec_id"), F.array(F.lit(1.0).cast("float"), F.col("id").cast("float")).alias("embedding"))
+        index = graph_index.build(e, "vec_id", "embedding", part=8)
+        got = graph_index.nearest(index, e, "vec_id", "embedding", 3, block=7)
+        assert got.count() == n * min(3, max(0, n - 1))
