@@ -54,8 +54,22 @@ KEPT_WORDS = 600_000
 #: Latin letters that Unicode's composed normal form leaves alone, and whose lower case is one of them.
 LATIN = "À-ÖØ-öø-ÿ"
 SIMPLE = re.compile(rf"[\x21-\x7e{LATIN}]+")
-#: Fixed value: the vocabulary's own pattern, for such words in lower case.
-PATTERN = re.compile(rf"'s|'t|'re|'ve|'m|'ll|'d|[a-z{LATIN}]+|[0-9]|[^a-z0-9{LATIN}]+")
+ODD = re.compile(rf"[^\x21-\x7e{LATIN}\n]")
+#: Fixed value: the vocabulary's own pattern, for such words in lower case, a line each.
+PATTERN = re.compile(rf"'s|'t|'re|'ve|'m|'ll|'d|[a-z{LATIN}]+|[0-9]|[^a-z0-9{LATIN}\n]+|\n")
+
+
+class Pieces(dict):
+    """The ids of what the pattern cuts, found when they are first asked for; of a line's end, -1."""
+
+    def __init__(self, model):
+        super().__init__({"\n": [-1]})
+        self.model, self.stand_in = model, {b: c for c, b in byte_alphabet().items()}
+
+    def __missing__(self, x: str) -> list[int]:
+        mapped = x if x.isascii() else "".join(map(self.stand_in.__getitem__, x.encode()))
+        found = self[x] = [t.id for t in self.model.tokenize(mapped)]
+        return found
 
 
 class Words:
@@ -74,33 +88,36 @@ class Words:
             raise ValueError("the vocabulary does not work word by word")
         self.model = self.whole.model
         self.size = self.whole.get_vocab_size(with_added_tokens=True)
-        self.stand_in = {b: c for c, b in byte_alphabet().items()}
         self.forget()
 
     def forget(self) -> None:
         self.words: dict[str, int] = defaultdict(count().__next__)  # a new word gets the next number
-        self.pieces: dict[str, list[int]] = {}
+        self.pieces = Pieces(self.model)
         self.flat, self.first, self.counts = np.zeros(0, np.int32), np.zeros(0, np.int64), np.zeros(0, np.int64)
 
-    def piece(self, x: str) -> list[int]:
-        found = self.pieces.get(x)
-        if found is None:
-            mapped = x if x.isascii() else "".join(map(self.stand_in.__getitem__, x.encode()))
-            found = self.pieces[x] = [t.id for t in self.model.tokenize(mapped)]
-        return found
-
     def add(self, new: list[str]) -> None:
-        ids: list[list[int]] = []
-        special = any(s in x for x in ("\n".join(new),) for s in self.specials)
-        odd = [k for k, x in enumerate(new) if not SIMPLE.fullmatch(x) or special and any(s in x for s in self.specials)]
-        others = {k: x.ids for k, x in zip(odd, self.whole.encode_batch([new[k] for k in odd], add_special_tokens=False), strict=True)}
-        for k, x in enumerate(new):
-            pieces = () if k in others else PATTERN.findall(x.lower())
-            ids.append(others[k] if k in others else self.piece(pieces[0]) if len(pieces) == 1 else list(chain.from_iterable(map(self.piece, pieces))))
-        counts = np.array(list(map(len, ids)), np.int64)
-        self.first = np.concatenate([self.first, np.cumsum(counts) - counts + len(self.flat)])
-        self.counts = np.concatenate([self.counts, counts])
-        self.flat = np.concatenate([self.flat, np.fromiter(chain.from_iterable(ids), np.int32)])
+        whole = "\n".join(new)
+        special = any(s in whole for s in self.specials)
+        plain, odd = np.arange(len(new)), np.zeros(0, np.int64)
+        if special or ODD.search(whole):
+            simple = np.array([not x or SIMPLE.fullmatch(x) is not None and not (special and any(s in x for s in self.specials)) for x in new])
+            plain, odd = np.flatnonzero(simple), np.flatnonzero(~simple)
+            whole = "\n".join([new[k] for k in plain.tolist()])
+        first, counts, at = np.zeros(len(new), np.int64), np.zeros(len(new), np.int64), len(self.flat)
+        parts = [self.flat]
+        if len(plain):
+            ids = np.fromiter(chain.from_iterable(map(self.pieces.__getitem__, PATTERN.findall(whole.lower() + "\n"))), np.int32)
+            ends = np.flatnonzero(ids < 0)
+            counts[plain] = np.diff(ends, prepend=-1) - 1
+            first[plain] = at + ends - counts[plain]
+            parts.append(ids)
+            at += len(ids)
+        if len(odd):
+            others = [x.ids for x in self.whole.encode_batch([new[k] for k in odd.tolist()], add_special_tokens=False)]
+            counts[odd] = list(map(len, others))
+            first[odd] = at + np.cumsum(counts[odd]) - counts[odd]
+            parts.append(np.fromiter(chain.from_iterable(others), np.int32))
+        self.first, self.counts, self.flat = np.concatenate([self.first, first]), np.concatenate([self.counts, counts]), np.concatenate(parts)
 
     def encode(self, texts: list[str | None], end: int) -> tuple[np.ndarray, np.ndarray]:
         """Ids of the texts one behind another, the end id behind each, and the number of each text's."""
