@@ -26,9 +26,11 @@ def rolling(df: DataFrame, id_col: str, key: str, time: str, value: str, widths:
 
     time is in microseconds, as a whole number. Widths end at the row, both ends belong to the window.
     """
-    number = T.DecimalType(38, 4) if isinstance(df.schema[value].dataType, T.DecimalType) else T.LongType() if isinstance(df.schema[value].dataType, T.IntegralType) else T.DoubleType()
+    kind = df.schema[value].dataType
+    number = T.DecimalType(38, 4) if isinstance(kind, T.DecimalType) else T.LongType() if isinstance(kind, T.IntegralType) else T.DoubleType()
     one = F.col(value).cast(number)
-    rows = df.where(F.col(time).isNotNull()).select(F.col(id_col).alias("id"), F.col(key).alias("key"), F.col(time).cast("long").alias("at"), F.coalesce(one, F.lit(0).cast(number)).alias("v"), F.col(value).isNotNull().cast("long").alias("n"))
+    own = F.coalesce(one, F.lit(0).cast(number)).alias("v"), F.col(value).isNotNull().cast("long").alias("n")
+    rows = df.where(F.col(time).isNotNull()).select(F.col(id_col).alias("id"), F.col(key).alias("key"), F.col(time).cast("long").alias("at"), *own)
     zero, none = F.lit(0).cast(number), F.lit(0).cast("long")
     # a moment's place is 2 at + 1 for a row, whose own time counts, and 2 at for a beginning, whose own time does not
     asks = [F.struct(F.lit(-1).alias("which"), F.col("at").alias("at"), (2 * F.col("at") + 1).alias("place"), F.col("v").alias("v"), F.col("n").alias("n"))]
@@ -36,7 +38,10 @@ def rolling(df: DataFrame, id_col: str, key: str, time: str, value: str, widths:
     moments = rows.select("id", "key", F.inline(F.array(*asks))).withColumn("slice", F.floor(F.col("at") / slice_us))
     sums = moments.groupBy("key", "slice").agg(F.sum("v").alias("v"), F.sum("n").alias("n"))
     before = W.partitionBy("key").orderBy("slice").rowsBetween(W.unboundedPreceding, -1)
-    ahead = sums.select(F.col("key").alias("_key"), F.col("slice").alias("_slice"), F.coalesce(F.sum("v").over(before), zero).alias("before_v"), F.coalesce(F.sum("n").over(before), none).alias("before_n"))
+    ahead = sums.select(
+        F.col("key").alias("_key"), F.col("slice").alias("_slice"),
+        F.coalesce(F.sum("v").over(before), zero).alias("before_v"), F.coalesce(F.sum("n").over(before), none).alias("before_n"),
+    )
     inside = W.partitionBy("key", "slice").orderBy("place").rangeBetween(W.unboundedPreceding, W.currentRow)
     upto = moments.withColumns({"upto_v": F.sum("v").over(inside), "upto_n": F.sum("n").over(inside)})
     upto = upto.join(ahead, F.col("key").eqNullSafe(F.col("_key")) & F.col("slice").eqNullSafe(F.col("_slice")))

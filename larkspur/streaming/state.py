@@ -70,7 +70,8 @@ class Updates(StatefulProcessor):
 def update_log(stream: DataFrame, key: str, column: str, time: str, number: str, *, expiry: str | None = None, late: str = "15 minutes") -> DataFrame:
     """(key, old, new, change, at) of a stream of rows: insert, update, and expired for keys without a row for so long."""
     prepare(stream.sparkSession)
-    schema = T.StructType([T.StructField("key", stream.schema[key].dataType), T.StructField("old", T.StringType()), T.StructField("new", T.StringType()), T.StructField("change", T.StringType()), T.StructField("at", T.TimestampType())])
+    texts = [T.StructField(c, T.StringType()) for c in ("old", "new", "change")]
+    schema = T.StructType([T.StructField("key", stream.schema[key].dataType), *texts, T.StructField("at", T.TimestampType())])
     wait = None if expiry is None else int(pd.Timedelta(expiry).total_seconds() * 1000)
     rows = stream.select(key, F.col(column).cast("string").alias(column), F.col(time).cast("timestamp").alias(time), number)
     rows = rows if expiry is None else rows.withWatermark(time, late)
