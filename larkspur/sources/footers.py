@@ -11,7 +11,6 @@ from collections.abc import Iterator
 import pyarrow as pa
 import pyarrow.fs as pafs
 import pyarrow.parquet as pq
-import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -98,6 +97,8 @@ def bloom_places(file: pa.NativeFile) -> dict[tuple[int, str], int]:
 
 def may_hold(file: pa.NativeFile, at: int, raw: bytes) -> bool:
     """Whether a Bloom filter (split blocks, XXH64) lets a value through, given as the bytes that Parquet stores."""
+    import xxhash  # only here, so that all else works without it
+
     file.seek(at)
     head = file.read(64)
     fields, used = compact(memoryview(head), 0)
