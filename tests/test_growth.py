@@ -23,3 +23,13 @@ def test_referrals_beyond_the_limit_of_recursion(spark):
     db = duckdb.connect()
     db.execute(f"CREATE VIEW customer AS SELECT * FROM '{SF}/customer.parquet'")
     assert rows == {r: (n, k) for r, n, k in db.execute(registry.ORACLES["j15_recursive_referrals"]).fetchall()}
+
+
+def test_arg_max_of_equal_prices_is_the_first_order(spark, tmp_path):
+    rows = [(k, k % 2, None if k == 8 else float(k // 4)) for k in range(1, 12)]
+    at = tables(tmp_path, spark, orders=spark.createDataFrame(rows, "o_orderkey long, o_custkey long, o_totalprice double"))
+    db = duckdb.connect()
+    db.execute("SET threads = 1")
+    db.execute(f"CREATE VIEW orders AS SELECT * FROM '{at}/orders.parquet/*.parquet'")
+    got = sorted(map(tuple, relational.g4_arg_max(spark, at).collect()))
+    assert got == sorted(db.execute(registry.ORACLES["g4_arg_max"]).fetchall()) == [(0, 10, 2), (1, 9, 1)]
