@@ -141,13 +141,15 @@ def stored(value: object, kind: str) -> bytes:
     return value.encode() if kind == "string" else struct.pack(forms[kind], value)
 
 
-def groups_left(spark: SparkSession, path: str, column: str, value: object) -> DataFrame:
-    """(path, row_group, rows, by_range, by_bloom): for a lookup of one value, whether a row group's range and Bloom filter leave it."""
+def groups_left(spark: SparkSession, path: str, column: str, value: object, *, bloom: bool = True) -> DataFrame:
+    """(path, row_group, rows, by_range, by_bloom): for a lookup of one value, whether a row group's range and Bloom filter leave it; without bloom, the range alone."""
     kind = spark.read.parquet(path).schema[column].dataType.simpleString()
     of = F.col("least").try_cast(kind), F.col("greatest").try_cast(kind)
     wanted = F.lit(value).cast(kind)
     found = footers(spark, path).where(F.col("column") == column)
     inside: Column = F.coalesce((of[0] <= wanted) & (wanted <= of[1]), F.coalesce(F.col("nulls") < F.col("rows"), F.lit(True)))
+    if not bloom:
+        return found.select("path", "row_group", "rows", inside.alias("by_range"))
     raw = stored(value, kind)
 
     def probe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

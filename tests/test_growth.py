@@ -2,9 +2,15 @@
 
 import duckdb
 import numpy as np
+import pyarrow as pa
+import pyarrow.parquet as pq
+from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
-from larkspur.operators import search
-from larkspur.plans import registry, relational
+from larkspur.operators import geo, search
+from larkspur.plans import registry, relational, rest, stored
+from larkspur.sources import service
+from larkspur.sources import tables as sources
 
 SF = "/root/testdata/sf0.001"
 
@@ -47,3 +53,11 @@ def test_probing_makes_no_pairs(spark):
     want = [(q, i, k) for q, cells in of.items() for k, (_, i) in enumerate(sorted((-round(float(rows[q][0] @ v), 12), i) for i, (v, c) in rows.items() if i != q and c in cells)[:3], 1)]
     assert sorted((r["query"], r.vec_id, r.place) for r in found.collect()) == sorted(want)
     assert found.where("similarity IS NULL").count() == 0
+
+
+def test_lookup_of_a_least_key_among_many(spark, tmp_path):
+    """With many orders few row groups reach down to key 5, though the other copy's ranges are of no use."""
+    o = spark.range(1, 20_001).select(F.col("id").alias("o_orderkey"), (F.col("id") % 7).alias("o_custkey"), (F.xxhash64("id") % 1000).cast("double").alias("o_totalprice"))
+    at = tables(tmp_path, spark, orders=o)
+    got = {r.copy: (r.matches, r.whole, r.by_range_alone, r.by_bloom) for r in stored.s21_lookup_row_groups(spark, at).collect()}
+    assert got == {"sorted": (1, True, True, True), "unsorted": (1, True, False, True)}
