@@ -7,6 +7,8 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from larkspur.functions.checkpoints import cut
+
 #: Mean radius of the earth in metres.
 RADIUS = 6371008.8
 
@@ -39,11 +41,13 @@ def nearest(points: DataFrame, places: DataFrame, point_id: str, place_id: str,
     side, since whatever is not among them is farther. Other points go on to the next level; the last level's cubes
     hold all places. Points are never paired with places that far away, and no number of either is too large.
 
+    Places of one position count once, by their smallest id, and points of one position are measured once.
     Levels begin at half the mean spacing of the places. The lists of a level, 27 times the places, are broadcast
     up to most_broadcast of them and joined by cube beyond. A point without lat or lon has no nearest place, nor
     has any if there are no places; places without lat or lon are left out.
     """
-    held = places.where(F.col("lat").isNotNull() & F.col("lon").isNotNull()).select(F.col(place_id).alias("id"), "lat", "lon")
+    there = F.col("lat").isNotNull() & F.col("lon").isNotNull()
+    held = cut(places.where(there).groupBy("lat", "lon").agg(F.min(place_id).alias("id")).select("id", "lat", "lon"))
     n = held.count()
     sides = [math.sqrt(4 * math.pi / max(1, n)) / 2]
     while sides[-1] < 2:
@@ -58,15 +62,17 @@ def nearest(points: DataFrame, places: DataFrame, point_id: str, place_id: str,
         return around.select(own.alias("_cell"), "_place").groupBy("_cell").agg(F.collect_list("_place").alias("_places"))
 
     distance = lambda x: F.struct(F.round(haversine(F.col("lat"), F.col("lon"), x["lat"], x["lon"]), 3).alias("metres"), x["id"].alias("id"))
-    out = points.select(point_id, "lat", "lon").withColumn("_best", F.lit(None).cast(f"struct<metres: double, id: {held.schema['id'].dataType.simpleString()}>"))
+    out = points.where(there).select("lat", "lon").distinct().withColumn("_best", F.lit(None).cast(f"struct<metres: double, id: {held.schema['id'].dataType.simpleString()}>"))
     for k, side in enumerate(sides):
         within = 2 * RADIUS * math.asin(min(1.0, side / 2)) - 0.001
         some = lists(k, side)
-        keyed = out.withColumn("_cell", F.when(F.col("_best").isNull(), cell(F.lit(k), xyz, F.lit(side))))
+        settled = F.xxhash64(F.lit(-1 - k), "lat", "lon")  # spread, where null would bring all of them to one task
+        keyed = out.withColumn("_cell", F.when(F.col("_best").isNull(), cell(F.lit(k), xyz, F.lit(side))).otherwise(settled))
         met = keyed.join(F.broadcast(some) if 27 * n <= most_broadcast else some, "_cell", "left")
         best = F.array(F.array_min(F.transform("_places", distance)))  # measured once, then looked at
         if k < len(sides) - 1:
             best = F.filter(best, lambda b: b["metres"] < F.lit(within))  # noqa: B023  used at once
         best = F.get(best, F.lit(0))
-        out = met.select(point_id, "lat", "lon", F.coalesce("_best", best).alias("_best"))
+        out = met.select("lat", "lon", F.coalesce("_best", best).alias("_best"))
+    out = points.select(point_id, "lat", "lon").join(out, ["lat", "lon"], "left")
     return out.select(point_id, F.col("_best.id").alias(place_id), F.col("_best.metres").alias("metres"))

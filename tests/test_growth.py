@@ -61,3 +61,13 @@ def test_lookup_of_a_least_key_among_many(spark, tmp_path):
     at = tables(tmp_path, spark, orders=o)
     got = {r.copy: (r.matches, r.whole, r.by_range_alone, r.by_bloom) for r in stored.s21_lookup_row_groups(spark, at).collect()}
     assert got == {"sorted": (1, True, True, True), "unsorted": (1, True, False, True)}
+
+
+def test_many_places_and_points_of_one_position(spark):
+    """Places of one position are one candidate; points that are settled do not meet in one task."""
+    places = spark.range(4_000).select("id", (F.col("id") % 4).cast("double").alias("lat"), F.lit(1.0).alias("lon"))
+    points = spark.range(100).select(F.col("id").alias("p"), F.when(F.col("id") != 7, F.col("id") % 4 + 0.1).alias("lat"), F.lit(1.0).alias("lon"))
+    for most in (0, 2_000_000):
+        found = geo.nearest(points, places, "p", "id", most_broadcast=most)
+        assert sorted((r.p, r.id) for r in found.collect()) == [(k, None if k == 7 else k % 4) for k in range(100)]
+        assert "CASE WHEN isnull(_best" not in found._jdf.queryExecution().toString() or "ELSE xxhash64" in found._jdf.queryExecution().toString()
