@@ -131,12 +131,13 @@ def k16_partition_evolution(spark, sf_dir):
 @query("SELECT count(*) AS n, 2::BIGINT AS versions, true AS fewer FROM orders")
 def k17_compaction_and_expiry(spark, sf_dir):
     table, o = tables.VersionedTable(spark, folder(spark, "small")), t(spark, sf_dir, "orders")
+    each = 32 << 20  # of a file, so that the rows that a task takes for it, which are several times as large, stay bounded
     for _ in range(3):
-        table.write(o.repartition(5, "o_orderkey"))
+        table.write(o.repartition(5 * tables.files_for(tables.folder_bytes(spark, f"{sf_dir}/orders.parquet"), each), "o_orderkey"))
     table.expire(1)
     before = table.read().select("_metadata.file_path").distinct().count()
     size = tables.folder_bytes(spark, f"{table.path}/v={table.versions()[-1]}")
-    table.write(table.read().repartitionByRange(tables.files_for(size), "o_orderkey"))
+    table.write(table.read().repartitionByRange(tables.files_for(size, each), "o_orderkey"))
     return table.read().agg(F.count("*").alias("n"), F.lit(len(table.versions())).cast("long").alias("versions"), (F.countDistinct("_metadata.file_path") < before).alias("fewer"))
 
 

@@ -71,3 +71,13 @@ def test_many_places_and_points_of_one_position(spark):
         found = geo.nearest(points, places, "p", "id", most_broadcast=most)
         assert sorted((r.p, r.id) for r in found.collect()) == [(k, None if k == 7 else k % 4) for k in range(100)]
         assert "CASE WHEN isnull(_best" not in found._jdf.queryExecution().toString() or "ELSE xxhash64" in found._jdf.queryExecution().toString()
+
+
+def test_small_files_of_larger_tables(spark, monkeypatch):
+    """Files and tasks grow with the table."""
+    monkeypatch.setattr(sources, "folder_bytes", lambda spark, path: 100 << 20)
+    written = []
+    write = sources.VersionedTable.write
+    monkeypatch.setattr(sources.VersionedTable, "write", lambda self, df, **o: written.append(df.rdd.getNumPartitions()) or write(self, df, **o))
+    assert tuple(rest.k17_compaction_and_expiry(spark, SF).first()) == (1500, 2, True)
+    assert written == [20, 20, 20, 4]
