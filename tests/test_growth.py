@@ -63,6 +63,26 @@ def test_lookup_of_a_least_key_among_many(spark, tmp_path):
     assert got == {"sorted": (1, True, True, True), "unsorted": (1, True, False, True)}
 
 
+def test_pages_do_not_scan_their_range_each(spark, tmp_path, monkeypatch):
+    keys = [*range(5_000), 10**12, 10**12 + 1]
+    pq.write_table(pa.table({"k": keys[::-1], "v": [str(k) for k in keys[::-1]]}), at := str(tmp_path / "t.parquet"))
+    reads = []
+    dataset = service.pads.dataset
+    monkeypatch.setattr(service.pads, "dataset", lambda *a, **b: Counted(dataset(*a, **b), reads))
+    pages = service.Pages(StructType.fromDDL("k long, v string"), {"client": "parquet", "table": at, "key": "k", "size": "100"})
+    got = [k for batch in pages.read(service.Range(-1, 10**13)) for k in batch.column(0).to_pylist()]
+    assert got == keys and len(reads) < 30
+
+
+class Counted:
+    def __init__(self, data, reads):
+        self.data, self.reads = data, reads
+
+    def to_table(self, **options):
+        self.reads.append(options)
+        return self.data.to_table(**options)
+
+
 def test_many_places_and_points_of_one_position(spark):
     """Places of one position are one candidate; points that are settled do not meet in one task."""
     places = spark.range(4_000).select("id", (F.col("id") % 4).cast("double").alias("lat"), F.lit(1.0).alias("lon"))
