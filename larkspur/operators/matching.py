@@ -22,13 +22,25 @@ def numbered(name: Column) -> Column:
     return F.array_sort(F.transform(chars, lambda c, i: F.xxhash64(c, nth(c, i))))
 
 
+def enough(least: float) -> Column:
+    """Common characters without which two names are less alike than least; a common beginning of one to four raises a likeness, and so asks for fewer."""
+    begin = lambda k: F.substring("a_name", 1, k) == F.substring("b_name", 1, k)
+    out = None
+    for k in (4, 3, 2, 1, 0):
+        jaro = (least - 0.1 * k) / (1 - 0.1 * k)
+        need = F.ceil(F.lit(3 * jaro - 1) * F.col("_la") * F.col("_lb") / (F.col("_la") + F.col("_lb")) - 1e-9)
+        out = F.when(begin(k), need) if out is None else out.when(begin(k), need) if k else out.otherwise(need)
+    return out
+
+
 def like_names(a: DataFrame, b: DataFrame, block: list[str], least: float, every_b: DataFrame | None = None) -> DataFrame:
     """(block, a_name, b_name, similarity) of the distinct names of a block that are alike by Jaro-Winkler; least from 0.4.
 
     A block's pairs are not all formed. A likeness of at least `least` needs a Jaro similarity of (least - 0.4) / 0.6,
     and so, for two lengths, a number of common characters; hence two such names share one of the first few of
-    their numbered characters in any fixed order, and meet by it, and by the two lengths. They are measured
-    once, at the first that they share. every_b: cheaper rows than b with at least the lengths of its names.
+    their numbered characters in any fixed order, and meet by it, and by the two lengths. They are looked at
+    once, at the first that they share, and measured only if they have as many characters in common as names
+    with their common beginning need. every_b: cheaper rows than b with at least the lengths of its names.
     """
     jaro = (least - 0.4) / 0.6
     length, need = F.length("name"), F.ceil(F.lit(3 * jaro - 1) * F.col("_la") * F.col("_lb") / (F.col("_la") + F.col("_lb")) - 1e-9)
@@ -38,10 +50,11 @@ def like_names(a: DataFrame, b: DataFrame, block: list[str], least: float, every
         named = df.where("name != ''").crossJoin(lengths(others))
         rows = named.select(*block, F.col("name").alias(to), length.alias(own), numbered(F.col("name")).alias("_all"), F.explode("_lengths").alias(partner))
         rows = rows.where(need <= F.least("_la", "_lb")).withColumn(f"{to}_first", F.slice("_all", 1, (F.col(own) - need + 1).cast("int")))
-        return rows.select(*block, "_la", "_lb", to, f"{to}_first", F.explode(f"{to}_first").alias("_token"))
+        return rows.select(*block, "_la", "_lb", to, f"{to}_first", F.col("_all").alias(f"{to}_all"), F.explode(f"{to}_first").alias("_token"))
 
     met = keyed(a, "_la", "_lb", b if every_b is None else every_b, "a_name").join(keyed(b, "_lb", "_la", a, "b_name"), [*block, "_la", "_lb", "_token"])
     once = met.where(F.col("_token") == F.array_min(F.array_intersect("a_name_first", "b_name_first")))
+    once = once.where(F.size(F.array_intersect("a_name_all", "b_name_all")) >= enough(least))
     return once.select(*block, "a_name", "b_name", jaro_winkler("a_name", "b_name").alias("similarity")).where(F.col("similarity") >= least)
 
 

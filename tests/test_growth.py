@@ -7,7 +7,8 @@ import pyarrow.parquet as pq
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from larkspur.operators import geo, search
+from larkspur.functions.fuzzy import similarity
+from larkspur.operators import geo, matching, search
 from larkspur.plans import registry, relational, rest, stored
 from larkspur.sources import service
 from larkspur.sources import tables as sources
@@ -101,3 +102,15 @@ def test_small_files_of_larger_tables(spark, monkeypatch):
     monkeypatch.setattr(sources.VersionedTable, "write", lambda self, df, **o: written.append(df.rdd.getNumPartitions()) or write(self, df, **o))
     assert tuple(rest.k17_compaction_and_expiry(spark, SF).first()) == (1500, 2, True)
     assert written == [20, 20, 20, 4]
+
+
+def test_names_are_measured_only_with_enough_in_common(spark, monkeypatch):
+    """Of the names of a block, all that are alike are found, and few others are measured."""
+    measured = []
+    monkeypatch.setattr(matching, "jaro_winkler", lambda a, b: measured.append(1) or F.lit(0.95))
+    names = [(0, f"{k * 7919 % 99_991:05d}{k * 104_729 % 99_991:05d}") for k in range(300)]
+    df = spark.createDataFrame(names, "block int, name string")
+    got = {tuple(sorted(r)) for r in matching.like_names(df, df, ["block"], 0.9).select("a_name", "b_name").collect()}
+    monkeypatch.undo()
+    alike = {tuple(sorted((a, b))) for _, a in names for _, b in names if similarity(a, b) >= 0.9}
+    assert measured and alike <= got and len(got) < 0.2 * len(names) ** 2 / 2
