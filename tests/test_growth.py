@@ -58,7 +58,7 @@ def test_probing_makes_no_pairs(spark):
 
 def test_lookup_of_a_least_key_among_many(spark, tmp_path):
     """With many orders few row groups reach down to key 5, though the other copy's ranges are of no use."""
-    o = spark.range(1, 20_001).select(F.col("id").alias("o_orderkey"), (F.col("id") % 7).alias("o_custkey"), (F.xxhash64("id") % 1000).cast("double").alias("o_totalprice"))
+    o = spark.range(1, 200_001).select(F.col("id").alias("o_orderkey"), (F.col("id") % 7).alias("o_custkey"), (F.xxhash64("id") % 1000).cast("double").alias("o_totalprice"))
     at = tables(tmp_path, spark, orders=o)
     got = {r.copy: (r.matches, r.whole, r.by_range_alone, r.by_bloom) for r in stored.s21_lookup_row_groups(spark, at).collect()}
     assert got == {"sorted": (1, True, True, True), "unsorted": (1, True, False, True)}
