@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
@@ -14,6 +14,8 @@ from larkspur.functions.shipping import ship
 
 #: The state store that keeps keys on disk beside memory, which state of this kind needs.
 STORE = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+#: A row of a log of updates, with its time in microseconds; and the time or number of a row that has none.
+LOGGED, NEVER = Row("key", "old", "new", "change", "at"), -(1 << 63)
 
 
 def prepare(spark: SparkSession) -> None:
@@ -30,24 +32,21 @@ class Updates(StatefulProcessor):
     late and change nothing. A key of which nothing has come for `expiry` of event time is forgotten by a timer.
     """
 
-    def __init__(self, key: str, column: str, time: str, number: str, expiry_ms: int | None):
-        self.key, self.column, self.time, self.number, self.expiry = key, column, time, number, expiry_ms
+    def __init__(self, column: str, time: str, number: str, expiry_ms: int | None):
+        self.column, self.time, self.number, self.expiry = column, time, number, expiry_ms
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
         self.last = handle.getValueState("last", "value string, at long, number long, timer long")
 
-    def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        found = pd.concat([r[[self.column, self.time, self.number]] for r in rows])
-        at = (found[self.time].astype("datetime64[us]").astype("int64")).tolist()
-        values = [None if pd.isna(v) else v for v in found[self.column]]
-        held = self.last.get() if self.last.exists() else None
-        state, timer, out = (held[0], held[1], held[2]) if held else None, held[3] if held else None, []
-        for moment, number, value in sorted(zip(at, found[self.number].tolist(), values, strict=True), key=lambda x: x[:2]):
+    def handleInputRows(self, key: tuple, rows: Iterator[Row], timerValues) -> Iterator[Row]:
+        held = self.last.get()  # None for a new key; each call asks the JVM
+        state, timer = (held[:3], held[3]) if held else (None, None)
+        for moment, number, value in sorted(((r[self.time], r[self.number], r[self.column]) for r in rows), key=lambda x: x[:2]):
             if state is not None and (moment, number) <= state[1:]:
                 continue
             if state is None or value != state[0]:
-                out.append((key[0], None if state is None else state[0], value, "insert" if state is None else "update", pd.Timestamp(moment, unit="us")))
+                yield LOGGED(key[0], None if state is None else state[0], value, "insert" if state is None else "update", moment)
             state = (value, moment, number)
         if self.expiry is not None and state is not None:
             if timer is not None:
@@ -56,12 +55,12 @@ class Updates(StatefulProcessor):
             self.handle.registerTimer(timer)
         if state is not None:
             self.last.update((*state, timer))
-        yield pd.DataFrame(out, columns=["key", "old", "new", "change", "at"])
 
-    def handleExpiredTimer(self, key: tuple, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        old, moment = self.last.get()[:2] if self.last.exists() else (None, None)
+    def handleExpiredTimer(self, key: tuple, timerValues, expiredTimerInfo) -> Iterator[Row]:
+        held = self.last.get()
         self.last.clear()
-        yield pd.DataFrame([(key[0], old, None, "expired", pd.Timestamp(moment, unit="us"))] if moment is not None else [], columns=["key", "old", "new", "change", "at"])
+        if held:
+            yield LOGGED(key[0], held[0], None, "expired", held[1])
 
     def close(self) -> None:
         pass
@@ -71,11 +70,14 @@ def update_log(stream: DataFrame, key: str, column: str, time: str, number: str,
     """(key, old, new, change, at) of a stream of rows: insert, update, and expired for keys without a row for so long."""
     prepare(stream.sparkSession)
     texts = [T.StructField(c, T.StringType()) for c in ("old", "new", "change")]
-    schema = T.StructType([T.StructField("key", stream.schema[key].dataType), *texts, T.StructField("at", T.TimestampType())])
+    schema = T.StructType([T.StructField("key", stream.schema[key].dataType), *texts, T.StructField("at", T.LongType())])
     wait = None if expiry is None else int(pd.Timedelta(expiry).total_seconds() * 1000)
-    rows = stream.select(key, F.col(column).cast("string").alias(column), F.col(time).cast("timestamp").alias(time), number)
+    rows = stream.withColumn(time, F.col(time).cast("timestamp"))
     rows = rows if expiry is None else rows.withWatermark(time, late)
-    return rows.groupBy(key).transformWithStateInPandas(Updates(key, column, time, number, wait), schema, "Append", "None" if expiry is None else "EventTime")
+    number_of = lambda c: F.coalesce(c.cast("long"), F.lit(NEVER))
+    rows = rows.select(key, F.col(column).cast("string").alias("_value"), number_of(F.unix_micros(time)).alias("_at"), number_of(F.col(number)).alias("_number"), *([] if expiry is None else [time]))
+    out = rows.groupBy(key).transformWithState(Updates("_value", "_at", "_number", wait), schema, "Append", "None" if expiry is None else "EventTime")
+    return out.withColumn("at", F.timestamp_micros(F.nullif("at", F.lit(NEVER))))
 
 
 class Totals(StatefulProcessor):

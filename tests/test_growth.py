@@ -4,6 +4,7 @@ import duckdb
 import numpy as np
 import pyarrow as pa
 import pyarrow.parquet as pq
+from pyspark.sql import Row
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
@@ -12,6 +13,7 @@ from larkspur.operators import geo, matching, search
 from larkspur.plans import registry, relational, rest, stored
 from larkspur.sources import service
 from larkspur.sources import tables as sources
+from larkspur.streaming import state
 
 SF = "/root/testdata/sf0.001"
 
@@ -114,3 +116,32 @@ def test_names_are_measured_only_with_enough_in_common(spark, monkeypatch):
     monkeypatch.undo()
     alike = {tuple(sorted((a, b))) for _, a in names for _, b in names if similarity(a, b) >= 0.9}
     assert measured and alike <= got and len(got) < 0.2 * len(names) ** 2 / 2
+
+
+def test_a_key_of_a_stream_asks_its_state_once():
+    """A key costs two calls to the JVM, and no data frame."""
+    calls, held = [], {}
+
+    class Value:
+        def get(self):
+            calls.append("get")
+            return held.get("last")
+
+        def exists(self):
+            calls.append("exists")
+            return "last" in held
+
+        def update(self, value):
+            calls.append("update")
+            held["last"] = value
+
+    class Handle:
+        def getValueState(self, *_):  # noqa: N802
+            return Value()
+
+    own = state.Updates("v", "at", "number", None)
+    own.init(Handle())
+    say = Row("v", "at", "number")
+    assert [tuple(r) for r in own.handleInputRows((1,), iter([say("b", 5, 1), say("a", 0, 0)]), None)] == [(1, None, "a", "insert", 0), (1, "a", "b", "update", 5)]
+    assert [tuple(r) for r in own.handleInputRows((1,), iter([say(None, 6, 2), say("late", 5, 0)]), None)] == [(1, "b", None, "update", 6)]
+    assert calls == ["get", "update"] * 2
