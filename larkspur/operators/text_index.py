@@ -13,19 +13,48 @@ bound is below the k-th score found are never opened.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from math import log
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from larkspur.functions.checkpoints import cut
+from larkspur.functions.shipping import ship
 
 #: Documents of a block, on average; folders of terms; blocks that are scored first, for each document wanted.
 BLOCK, BUCKETS, FIRST = 1_024, 64, 2
+#: Postings of a batch that goes back to Spark.
+ROWS = 100_000
 #: A segment and a block as one number.
 SEGMENT = 1 << 32
 
 
+def counted(listed: DataFrame) -> DataFrame:
+    """(id, length, term, tf) of rows (id, _t): each row's distinct terms, counted where the row is."""
+    schema = T.StructType([T.StructField("id", listed.schema["id"].dataType), *(T.StructField(c, k) for c, k in (("length", T.IntegerType()), ("term", T.StringType()), ("tf", T.LongType())))])
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            texts = batch.column(1)
+            words = texts.flatten().dictionary_encode()
+            known = len(words.dictionary) + 1
+            code = pc.fill_null(words.indices, known - 1).to_numpy(zero_copy_only=False).astype(np.int64)
+            pairs, tf = np.unique(pc.list_parent_indices(texts).to_numpy().astype(np.int64) * known + code, return_counts=True)
+            tf, pairs = tf[pairs % known < known - 1], pairs[pairs % known < known - 1]  # a null is no term
+            row = pa.array(pairs // known)
+            length = pc.list_value_length(texts).take(row).cast(pa.int32())
+            for a in range(0, len(pairs), ROWS):
+                part = [batch.column(0).take(row[a : a + ROWS]), length[a : a + ROWS], words.dictionary.take(pa.array(pairs[a : a + ROWS] % known)), pa.array(tf[a : a + ROWS].astype(np.int64))]
+                yield pa.RecordBatch.from_arrays(part, names=schema.names)
+
+    ship(listed.sparkSession)
+    return listed.where(F.size("_t") > 0).mapInArrow(count, schema)
+
+
 class TextIndex:
     """An index in a folder. A segment is whole when its totals, written last, are there; one without them is not read."""
 
@@ -48,19 +77,20 @@ class TextIndex:
         number = max([0, *self.segments()]) + 1
         at = f"{self.path}/segment={number}"
         listed = docs.select(F.col(id_col).alias("id"), tokens.alias("_t"))
-        listed = listed.select("id", F.coalesce(F.size("_t"), F.lit(0)).alias("length"), F.coalesce("_t", F.array().cast("array<string>")).alias("_t"), F.monotonically_increasing_id().alias("_row"))
-        held = cut(listed.select("_row", "id", "length", F.explode_outer("_t").alias("term")).groupBy("_row", "id", "length", "term").agg(F.count("*").alias("tf")))
-        total = held.dropDuplicates(["_row"]).agg(F.count("*").alias("docs"), F.coalesce(F.sum("length"), F.lit(0)).alias("length")).first()
+        total = listed.agg(F.count("*").alias("docs"), F.coalesce(F.sum(F.size("_t").cast("long")), F.lit(0)).alias("length")).first()
         blocks = max(1, -(-total["docs"] // block))
-        posting = held.where("term IS NOT NULL").withColumns({"block": F.pmod(F.xxhash64("id", F.lit(number)), F.lit(blocks)).cast("int"), "bucket": F.pmod(F.xxhash64("term"), F.lit(self.buckets)).cast("int")})
-        rows = posting.groupBy("bucket", "term", "block").agg(
+        tasks = max(1, min(4 * self.buckets, blocks * 2))
+        posting = counted(listed).withColumn("block", F.pmod(F.xxhash64("id", F.lit(number)), F.lit(blocks)).cast("int"))
+        # a bucket's blocks go to four tasks, and a term's documents of a block meet there without a shuffle of their own
+        posting = posting.withColumn("to", F.pmod(F.xxhash64("term"), F.lit(self.buckets)).cast("int") * 4 + F.pmod("block", F.lit(4))).repartition(tasks, "to")
+        rows = posting.groupBy("to", "term", "block").agg(
             F.collect_list(F.struct("id", "tf", "length")).alias("_d"), F.max("tf").alias("most"), F.min("length").alias("shortest")
         )  # of one block's documents
-        rows = rows.select("bucket", "term", "block", "most", "shortest", *(F.col(f"_d.{c}").alias(f"{c}s") for c in ("id", "tf", "length")))
-        tasks = max(1, min(4 * self.buckets, blocks * 2))
+        rows = rows.select(F.shiftright("to", 2).alias("bucket"), "term", "block", "most", "shortest", *(F.col(f"_d.{c}").alias(f"{c}s") for c in ("id", "tf", "length")))
         writer = lambda df: df.write.mode("overwrite").option("compression", "zstd").option("parquet.block.size", 8 << 20).partitionBy("bucket")
-        writer(rows.repartition(tasks, "bucket", F.pmod("block", F.lit(4))).sortWithinPartitions("bucket", "term", "block")).parquet(f"{at}/postings")
-        terms = posting.groupBy("bucket", "term").agg(F.count("*").alias("df"))
+        writer(rows.sortWithinPartitions("bucket", "term", "block")).parquet(f"{at}/postings")
+        held = self.spark.read.schema("term string, tfs array<long>, bucket int").parquet(f"{at}/postings")
+        terms = held.groupBy("bucket", "term").agg(F.sum(F.size("tfs").cast("long")).alias("df"))
         writer(terms.repartition(min(tasks, self.buckets), "bucket").sortWithinPartitions("bucket", "term")).parquet(f"{at}/terms")
         self.spark.createDataFrame([tuple(total)], "docs long, length long").coalesce(1).write.mode("overwrite").parquet(f"{at}/totals")
         return number

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 from larkspur.functions.fuzzy import similarity
-from larkspur.operators import geo, matching, search
+from larkspur.operators import geo, matching, search, text_index
 from larkspur.plans import registry, relational, rest, stored
 from larkspur.sources import service
 from larkspur.sources import tables as sources
@@ -145,3 +145,21 @@ def test_a_key_of_a_stream_asks_its_state_once():
     assert [tuple(r) for r in own.handleInputRows((1,), iter([say("b", 5, 1), say("a", 0, 0)]), None)] == [(1, None, "a", "insert", 0), (1, "a", "b", "update", 5)]
     assert [tuple(r) for r in own.handleInputRows((1,), iter([say(None, 6, 2), say("late", 5, 0)]), None)] == [(1, "b", None, "update", 6)]
     assert calls == ["get", "update"] * 2
+
+
+def test_index_counts_terms_where_texts_are(spark, tmp_path, monkeypatch):
+    """Terms are counted without a shuffle or a stored copy of them; null texts, null terms and empty texts are documents like any other."""
+    rows = [(1, ["a", "b", "a"]), (2, None), (3, []), (4, ["b", None, "ä"]), (None, ["a"]), (1, ["a"])]
+    df = spark.createDataFrame(rows, "id long, words array<string>").coalesce(1)
+
+    def stored_copy(*_):
+        raise AssertionError("terms are stored aside")
+
+    monkeypatch.setattr(type(df), "checkpoint", stored_copy)
+    index = text_index.TextIndex(spark, str(tmp_path / "index"), buckets=2)
+    index.append(df, "id", F.col("words"), block=2)
+    got = spark.read.parquet(str(tmp_path / "index/segment=1/postings")).select("term", F.inline(F.arrays_zip("ids", "tfs", "lengths")))
+    want = [("a", 1, 1, 1), ("a", 1, 2, 3), ("a", None, 1, 1), ("b", 1, 1, 3), ("b", 4, 1, 3), ("ä", 4, 1, 3)]
+    assert sorted(map(tuple, got.collect()), key=repr) == sorted(want, key=repr)
+    assert tuple(spark.read.parquet(str(tmp_path / "index/segment=1/totals")).first()) == (6, 8)
+    assert {(r.term, r.df) for r in spark.read.parquet(str(tmp_path / "index/segment=1/terms")).collect()} == {("a", 3), ("b", 2), ("ä", 1)}
