@@ -6,12 +6,12 @@ sorted, are walked as the paths of a trie: the forward score of a node (the best
 to it, and the fewest tokens that reach that score) is computed once for all pre-tokens that share the
 prefix, and the counts are stored where pre-tokens end.
 
-The probabilities are fitted by expectation and maximisation: forward and backward scores over the trie of a
-sample's distinct pre-tokens give the times that each token is expected to occur. Zipf-Mandelbrot's law over
-the vocabulary's order (token k in proportion to 1 / (k + OFFSET)) begins, and stays as a prior of PRIOR
-occurrences, so that tokens of which the sample has none keep a probability. The bound of the sample is
-a parameter: documents drawn by a hash of their texts, of about SAMPLE_CHARS characters together, whose
-counts of distinct pre-tokens alone reach the driver. Tables up to that size are taken whole.
+The probabilities are fitted by expectation and maximisation to all texts: their distinct pre-tokens, counted by
+Spark, are stored, and each round goes over them in parallel. The edges of a batch's lattices (the tokens that begin at
+each byte) come from one walk of all bytes at once down the vocabulary's trie; forward scores by end, and the expected
+occurrences that flow back along them, are arrays over the batch. A round brings to the driver one sum a token.
+Zipf-Mandelbrot's law over the vocabulary's order (token k in proportion to 1 / (k + OFFSET)) begins, and stays as a
+prior of PRIOR occurrences, so that tokens that never occur keep a probability. `fitted_scores` is the same, plainly.
 
 Edge cases: null and empty texts have no tokens; a text is never cut; special tokens' strings are plain
 text here; repeated rows are counted each; an empty table gives an empty result; input columns named as
@@ -21,6 +21,7 @@ a result column are replaced by it.
 from __future__ import annotations
 
 import math
+import uuid
 from collections import Counter as Tally
 from collections.abc import Iterator
 from functools import lru_cache
@@ -32,14 +33,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from larkspur.functions.shipping import ship
+from larkspur.functions.shipping import release, ship
 
 from .bpe import Codec, codec, map_columns, slices, vocabulary
+from .common import remove, shared_dir
 
 OFFSET = 256
 KEPT_WORDS = 150_000
-#: Characters of the sample that the probabilities are fitted to, occurrences of the prior, and rounds.
-SAMPLE_CHARS, PRIOR, ROUNDS = 1_000_000, 20_000, 3
+#: Occurrences of the prior, and rounds.
+PRIOR, ROUNDS = 20_000, 3
 
 
 def ordinary(own: Codec) -> list[bytes]:
@@ -91,21 +93,138 @@ def fitted_scores(own: Codec, words: dict[str, int], *, prior: float = PRIOR, ro
     return scores
 
 
-def sampled_words(docs: DataFrame, vocab_path: str, *, text_col: str = "text", chars: int = SAMPLE_CHARS) -> dict[str, int]:
-    """Distinct pre-tokens of the drawn documents and how often they occur."""
-    total = docs.agg(F.sum(F.length(text_col)).alias("n")).first()["n"] or 0
-    share = min(1.0, chars / max(1, total))
-    drawn = docs.select(F.col(text_col).alias("_text")).where(F.pmod(F.xxhash64(F.lit("sample"), "_text"), F.lit(1 << 40)) < share * (1 << 40))
+class Lattice:
+    """The segmentations of many words at once, over a trie of tokens. Node k of the trie has the children whose keys, 256 k + byte, are in order."""
+
+    def __init__(self, tokens: list[bytes]):
+        nodes: dict[tuple[int, int], int] = {}
+        ends = {}
+        for k, token in enumerate(tokens):
+            at = 0
+            for byte in token:
+                at = nodes.setdefault((at, byte), len(nodes) + 1)
+            ends[at] = k
+        keys = np.array([256 * a + b for a, b in nodes], np.int64)
+        order = np.argsort(keys)
+        self.keys, self.child = keys[order], np.array(list(nodes.values()), np.int64)[order]
+        self.token = np.full(len(nodes) + 1, -1, np.int64)
+        self.token[list(ends)] = list(ends.values())
+        self.n = len(tokens)
+
+    def edges(self, words: list[bytes]) -> tuple[np.ndarray, ...]:
+        """Places of the words' beginnings and ends (a word of n bytes has n + 1 places), and start, end, token and bytes ahead of the end of each edge, in order of these."""
+        sizes = np.fromiter(map(len, words), np.int64, len(words))
+        first = np.cumsum(sizes + 1) - sizes - 1
+        letters = np.frombuffer(b"\0".join(words) + b"\0", np.uint8).astype(np.int64)
+        ahead = np.arange(len(letters)) - np.repeat(first, sizes + 1)
+        left = np.repeat(sizes, sizes + 1) - ahead
+        start, node, depth, found = np.flatnonzero(left > 0), np.zeros(int(sizes.sum()), np.int64), 0, []
+        while len(start):
+            key = 256 * node + letters[start + depth]
+            at = np.minimum(np.searchsorted(self.keys, key), len(self.keys) - 1)
+            there = self.keys[at] == key
+            start, node, depth = start[there], self.child[at[there]], depth + 1
+            token = self.token[node]
+            ends = token >= 0
+            found.append((start[ends], start[ends] + depth, token[ends]))
+            more = left[start] > depth
+            start, node = start[more], node[more]
+        start, end, token = (np.concatenate(x) for x in zip(*found, strict=True)) if found else (np.zeros(0, np.int64),) * 3
+        order = np.lexsort((end, ahead[end]))
+        return first, first + sizes, start[order], end[order], token[order], ahead[end[order]]
+
+    def expected(self, scores: np.ndarray, words: list[bytes], times: np.ndarray) -> np.ndarray:
+        """Expected occurrences of each token in distinct words that occur so often."""
+        first, last, start, end, token, ahead = self.edges(words)
+        cuts = np.flatnonzero(np.diff(ahead, prepend=-1, append=-1))
+        forward = np.full(int(last[-1]) + 1 if len(last) else 0, -np.inf)
+        forward[first] = 0.0
+        share = scores[token]
+        with np.errstate(divide="ignore", invalid="ignore"):
+            for a, b in zip(cuts[:-1], cuts[1:], strict=True):  # all that end behind so many bytes
+                ways, ends = forward[start[a:b]] + share[a:b], end[a:b]
+                heads = np.flatnonzero(np.diff(ends, prepend=-1))
+                each = np.diff(np.append(heads, b - a))
+                top = np.maximum.reduceat(ways, heads)
+                ways = np.exp(ways - np.repeat(top, each))
+                sums = np.add.reduceat(ways, heads)
+                forward[ends[heads]] = top + np.log(sums)
+                share[a:b] = ways / np.repeat(sums, each)  # of what reaches this place
+        share[np.isnan(share)] = 0.0  # places that no tokens reach
+        flow = np.zeros(len(forward))
+        flow[last] = times
+        for a, b in zip(cuts[-2::-1], cuts[:0:-1], strict=True):
+            share[a:b] *= flow[end[a:b]]
+            np.add.at(flow, start[a:b], share[a:b])
+        return np.bincount(token, share, self.n)
+
+
+@lru_cache(1)
+def lattice(contents: str) -> Lattice:
+    return Lattice(ordinary(codec(contents)))
+
+
+def pretokens(docs: DataFrame, vocab_path: str, *, text_col: str = "text") -> DataFrame:
+    """(word, n): the distinct pre-tokens of all texts and how often they occur."""
     held = vocabulary(docs.sparkSession, vocab_path)
 
     def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        find = codec(held.value).pattern.findall
+        find, found = codec(held.value).pattern.findall, Tally()
+        put = lambda: pa.RecordBatch.from_arrays([pa.array(found.keys(), pa.string()), pa.array(found.values(), pa.int64())], names=["word", "n"])
         for batch in batches:
-            found = Tally(w for t in batch.column(0).to_pylist() if t for w in find(t))
-            yield pa.RecordBatch.from_arrays([pa.array(found.keys(), pa.string()), pa.array(found.values(), pa.int64())], names=["word", "n"])
+            for t in batch.column(0).to_pylist():
+                if t:
+                    found.update(find(t))
+                if len(found) > KEPT_WORDS:
+                    yield put()
+                    found.clear()
+        yield put()
+        found.clear()
+        release()
 
     ship(docs.sparkSession)
-    return {r.word: r.n for r in drawn.mapInArrow(make, "word string, n long").groupBy("word").agg(F.sum("n").alias("n")).collect()}
+    return docs.select(F.col(f"`{text_col}`").alias("_text")).mapInArrow(make, "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
+
+
+def sampled_words(docs: DataFrame, vocab_path: str, *, text_col: str = "text") -> dict[str, int]:
+    """All pre-tokens of a small table in the driver, for the plain fit that the one by Spark is held against."""
+    return {r.word: r.n for r in pretokens(docs, vocab_path, text_col=text_col).collect()}
+
+
+def fit(docs: DataFrame, vocab_path: str, *, text_col: str = "text", prior: float = PRIOR, rounds: int = ROUNDS) -> np.ndarray:
+    """Log probabilities of the ordinary tokens, in order, fitted to all texts."""
+    spark = docs.sparkSession
+    held = vocabulary(spark, vocab_path)
+    own = codec(held.value)
+    tokens, law = ordinary(own), zipf_scores(own)
+    start = scores = np.array([law[b] for b in tokens])
+    at = f"{shared_dir(spark)}/pretokens-{uuid.uuid4().hex}"
+    pretokens(docs, vocab_path, text_col=text_col).sortWithinPartitions("word").write.parquet(at)  # in order, so that sums do not depend on the run
+    words = spark.read.schema("word string, n long").parquet(at)
+    for _ in range(rounds):
+        model = spark.sparkContext.broadcast(scores.tobytes())
+
+        def make(batches: Iterator[pa.RecordBatch], model=model) -> Iterator[pa.RecordBatch]:
+            own, now = lattice(held.value), np.frombuffer(model.value)
+            total = np.zeros(own.n)
+            for batch in batches:
+                if batch.num_rows:
+                    total += own.expected(now, batch.column(0).cast(pa.binary()).to_pylist(), batch.column(1).to_numpy())
+            some = np.flatnonzero(total)
+            yield pa.RecordBatch.from_arrays([pa.array(some), pa.array(total[some])], names=["token", "n"])
+            release()
+
+        # as decimals, whose sum does not depend on the order
+        sums = words.mapInArrow(make, "token long, n double").groupBy("token").agg(F.sum(F.col("n").cast("decimal(38,18)")).alias("n"))
+        counts = np.zeros(len(tokens))
+        for r in sums.collect():  # one a token of the vocabulary
+            counts[r["token"]] = r["n"]
+        if not counts.any():
+            break
+        scores = np.log(counts + prior * np.exp(start)) - math.log(math.fsum(counts) + prior)
+        model.unpersist()
+    remove(spark, at)
+    return scores
 
 
 class Counter:
@@ -158,13 +277,11 @@ def counter(contents: str, scores: bytes) -> Counter:
     return Counter(dict(zip(ordinary(own), np.frombuffer(scores).tolist(), strict=True)), own.pattern)
 
 
-def count_tokens(docs: DataFrame, vocab_path: str, *, text_col: str = "text", scores: dict[bytes, float] | None = None, sample_chars: int = SAMPLE_CHARS) -> DataFrame:
-    """docs with n_tokens and n_pretokens, under scores or else under those fitted to a sample of docs."""
+def count_tokens(docs: DataFrame, vocab_path: str, *, text_col: str = "text", scores: dict[bytes, float] | None = None) -> DataFrame:
+    """docs with n_tokens and n_pretokens, under scores or else under those fitted to docs."""
     held = vocabulary(docs.sparkSession, vocab_path)
-    own = codec(held.value)
-    if scores is None:
-        scores = fitted_scores(own, sampled_words(docs, vocab_path, text_col=text_col, chars=sample_chars))
-    model = docs.sparkSession.sparkContext.broadcast(np.array([scores[b] for b in ordinary(own)]).tobytes())
+    fitted = fit(docs, vocab_path, text_col=text_col) if scores is None else np.array([scores[b] for b in ordinary(codec(held.value))])
+    model = docs.sparkSession.sparkContext.broadcast(fitted.tobytes())
 
     def make(batch: pa.RecordBatch) -> Iterator:
         own = counter(held.value, model.value)

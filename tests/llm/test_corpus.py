@@ -461,6 +461,20 @@ def test_counts_fit(docs):
     assert token_counts.expected(token_counts.fitted_scores(own, words), other)[1] > token_counts.expected(law, other)[1]
 
 
+def test_counts_fit_to_all_texts(spark):
+    """Beyond a million characters, and on odd and long words, the fit by Spark is the plain one over all words; null and empty tables keep the law."""
+    own = bpe.codec(open(queries.VOCABULARY).read())
+    rows = [(k, f" w{k}x" * 1_200) for k in range(250)] + [(900, "a" * 3_000), (901, "日本語 ñandú"), (902, None), (903, "")]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    assert sum(len(t or "") for _, t in rows) > 1_500_000
+    words = collections.Counter(w for _, t in rows if t for w in own.pattern.findall(t))
+    want, tokens = token_counts.fitted_scores(own, words), token_counts.ordinary(own)
+    np.testing.assert_allclose(token_counts.fit(df, queries.VOCABULARY), [want[b] for b in tokens], rtol=1e-9, atol=1e-9)
+    law = token_counts.zipf_scores(own)
+    for none in (df.limit(0), df.where("doc_id > 901")):
+        assert token_counts.fit(none, queries.VOCABULARY).tolist() == [law[b] for b in tokens]
+
+
 def test_counts_expected():
     """Forward and backward scores against all segmentations."""
     scores = {b"a": -1.0, b"b": -2.0, b"ab": -1.5, b"ba": -2.5, b"aba": -3.0}
