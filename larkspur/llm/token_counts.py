@@ -39,7 +39,8 @@ from .bpe import Codec, codec, map_columns, slices, vocabulary
 from .common import remove, shared_dir
 
 OFFSET = 256
-KEPT_WORDS = 150_000
+#: Words that a worker keeps, at some 150 bytes each.
+KEPT_WORDS = 400_000
 #: Occurrences of the prior, and rounds.
 PRIOR, ROUNDS = 20_000, 3
 
