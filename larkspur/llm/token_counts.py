@@ -1,10 +1,9 @@
 """Token counts under a unigram model, over a trie of the distinct pre-tokens.
 
 The model gives every token of a public byte-level vocabulary a log probability. A text's count is that
-of the most probable segmentation of each of its pre-tokens. The distinct pre-tokens of a partition,
-sorted, are walked as the paths of a trie: the forward score of a node (the best score of the bytes up
-to it, and the fewest tokens that reach that score) is computed once for all pre-tokens that share the
-prefix, and the counts are stored where pre-tokens end.
+of the most probable segmentation of each of its pre-tokens. The pre-tokens that a worker has not met
+are walked down the vocabulary's trie together, all bytes at once: the best score of the bytes up to each place, and the
+fewest tokens that reach that score, come from arrays over all of them.
 
 The probabilities are fitted by expectation and maximisation to all texts: their distinct pre-tokens, counted by
 Spark, are stored, and each round goes over them in parallel. The edges of a batch's lattices (the tokens that begin at
@@ -41,6 +40,8 @@ from .common import remove, shared_dir
 OFFSET = 256
 #: Words that a worker keeps, at some 150 bytes each.
 KEPT_WORDS = 400_000
+#: Bytes of words in one lattice, and more than a word has tokens.
+AT_ONCE, MANY = 200_000, 1 << 62
 #: Occurrences of the prior, and rounds.
 PRIOR, ROUNDS = 20_000, 3
 
@@ -160,6 +161,22 @@ class Lattice:
         return np.bincount(token, share, self.n)
 
 
+    def fewest(self, scores: np.ndarray, words: list[bytes]) -> np.ndarray:
+        """Tokens of the most probable segmentation of each word, of equally probable ones the fewest; 0 if there is none."""
+        first, last, start, end, token, ahead = self.edges(words)
+        cuts = np.flatnonzero(np.diff(ahead, prepend=-1, append=-1))
+        best, n = np.full(int(last[-1]) + 1 if len(last) else 0, -np.inf), np.zeros(int(last[-1]) + 1 if len(last) else 0, np.int64)
+        best[first] = 0.0
+        for a, b in zip(cuts[:-1], cuts[1:], strict=True):  # all that end behind so many bytes
+            ways, ends = best[start[a:b]] + scores[token[a:b]], end[a:b]
+            heads = np.flatnonzero(np.diff(ends, prepend=-1))
+            top = np.maximum.reduceat(ways, heads)
+            equal = ways == np.repeat(top, np.diff(np.append(heads, b - a)))
+            n[ends[heads]] = np.where(top > -np.inf, np.minimum.reduceat(np.where(equal, n[start[a:b]], MANY), heads) + 1, 0)
+            best[ends[heads]] = top
+        return n[last]
+
+
 @lru_cache(1)
 def lattice(contents: str) -> Lattice:
     return Lattice(ordinary(codec(contents)))
@@ -231,32 +248,18 @@ def fit(docs: DataFrame, vocab_path: str, *, text_col: str = "text", prior: floa
 class Counter:
     """Counts of pre-tokens, kept between batches up to a number of words."""
 
-    def __init__(self, scores: dict[bytes, float], pattern):
-        self.scores, self.longest, self.find = scores, max(map(len, scores)), pattern.findall
+    def __init__(self, lattice: Lattice, scores: np.ndarray, pattern):
+        self.lattice, self.scores, self.find = lattice, scores, pattern.findall
         self.counts: dict[str, int] = {}
 
-    def walk(self, words: list[bytes]) -> list[int]:
-        """Tokens of each of the sorted distinct words."""
-        score, fewest, path, out = [0.0], [0], b"", []
-        get, longest = self.scores.get, self.longest
-        for word in words:
-            shared = 0
-            for a, b in zip(path, word, strict=False):
-                if a != b:
-                    break
-                shared += 1
-            del score[shared + 1 :], fewest[shared + 1 :]
-            for end in range(shared + 1, len(word) + 1):
-                best, n = -math.inf, 0
-                for start in range(max(0, end - longest), end):
-                    p = get(word[start:end])
-                    if p is not None and ((s := score[start] + p) > best or s == best and fewest[start] < n - 1):
-                        best, n = s, fewest[start] + 1
-                score.append(best)
-                fewest.append(n)
-            path = word
-            out.append(fewest[-1])
-        return out
+    def tokens(self, words: list[bytes]) -> Iterator[int]:
+        """Of each word, a bounded number of bytes at once."""
+        at = total = 0
+        for k, word in enumerate(words, 1):
+            total += len(word)
+            if total >= AT_ONCE or k == len(words):
+                yield from self.lattice.fewest(self.scores, words[at:k]).tolist()
+                at, total = k, 0
 
     def count(self, texts: list[str | None]) -> tuple[list[int], list[int]]:
         """Tokens and pre-tokens of each text."""
@@ -265,8 +268,8 @@ class Counter:
         found = [self.find(t) if t else [] for t in texts]
         new = {w for words in found for w in words if w not in self.counts}
         if new:
-            raw = sorted((w.encode("utf-8", "surrogatepass"), w) for w in new)
-            self.counts.update(zip((w for _, w in raw), self.walk([b for b, _ in raw]), strict=True))
+            some = list(new)
+            self.counts.update(zip(some, self.tokens([w.encode("utf-8", "surrogatepass") for w in some]), strict=True))
         get = self.counts.__getitem__
         return [sum(map(get, words)) for words in found], list(map(len, found))
 
@@ -274,8 +277,7 @@ class Counter:
 @lru_cache(2)
 def counter(contents: str, scores: bytes) -> Counter:
     """Of a vocabulary file's contents and the log probabilities of its ordinary tokens, in order."""
-    own = codec(contents)
-    return Counter(dict(zip(ordinary(own), np.frombuffer(scores).tolist(), strict=True)), own.pattern)
+    return Counter(lattice(contents), np.frombuffer(scores), codec(contents).pattern)
 
 
 def count_tokens(docs: DataFrame, vocab_path: str, *, text_col: str = "text", scores: dict[bytes, float] | None = None) -> DataFrame:

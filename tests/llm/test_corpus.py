@@ -475,6 +475,15 @@ def test_counts_fit_to_all_texts(spark):
         assert token_counts.fit(none, queries.VOCABULARY).tolist() == [law[b] for b in tokens]
 
 
+def test_counts_of_many_words_at_once():
+    """The fewest tokens of the best score, on words of any length, of equal scores and without a segmentation."""
+    scores = {b"a": -1.0, b"b": -2.0, b"ab": -3.0, b"ba": -2.5, b"aba": -4.0, b"bb": -4.0}
+    words = [bytes(w) for n in range(1, 8) for w in itertools.product(b"ab", repeat=n)] + [b"ab" * 700]
+    lattice, values = token_counts.Lattice(list(scores)), np.array(list(scores.values()))
+    assert lattice.fewest(values, words).tolist() == [token_counts.brute_count(w, scores) for w in words]
+    assert lattice.fewest(values, [b"", b"c", b"ab"]).tolist() == [0, 0, 1] and lattice.fewest(values, []).tolist() == []
+
+
 def test_counts_expected():
     """Forward and backward scores against all segmentations."""
     scores = {b"a": -1.0, b"b": -2.0, b"ab": -1.5, b"ba": -2.5, b"aba": -3.0}
