@@ -2,15 +2,16 @@
 
 Tokeniser A is a byte-level vocabulary of the public library, B a piece model with byte fallback. Both always end
 before a space behind other than white space, and between a Latin letter and an ASCII character that is none, so
-that a text (behind one space) is the sequence of its chunks between such cuts. A Python worker only tokenises: it
-turns some texts into one row, of the ids and byte ends of the distinct chunks under A and B, one chunk behind
-another, and of each text's chunks by number. From there on all is Spark's higher-order functions: array_intersect
+that a text (behind one space) is the sequence of its chunks between such cuts. A first Python worker turns some texts
+into one row, of the row's distinct chunks and of each text's chunks by number. Spark brings equal chunks of all rows
+together, and a second worker tokenises each once for the whole corpus, some thousands to a row: ids and byte ends
+under A and B, one chunk behind another. From there on all is Spark's higher-order functions: array_intersect
 of the two arrays of ends gives the offsets where both end, sequence and transform cut the ids into groups and pair
 the ids of a group, aggregate sums over a text's chunks. Each function goes over a row's arrays once.
 
-A pair's count is the number of documents that hold it linked. Counts come back to the chunks of a row: those of the
+A pair's count is the number of documents that hold it linked. Counts come to the distinct chunks: those of the
 most frequent pairs (HEAVY at most, whatever the corpus) as a broadcast, all others by a join, so that no hot pair
-goes through the shuffle. Sums of a chunk are made once for all its occurrences in a row.
+goes through the shuffle. What a chunk adds to a text is made once for the corpus, and goes to the rows that hold it.
 
 Edge cases: a text that is null or empty, or whose bytes under A or B differ from space + text (those with U+2581,
 which B reads as a space) has no tokens, zeros and an empty groups_sha256; special tokens' strings are plain text; a
@@ -30,7 +31,7 @@ from itertools import chain, count
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, DataFrameWriter, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql import Window as W
@@ -47,10 +48,10 @@ CUT = re.compile(rf"(?=[{OTHER}])(?:(?<=[{LETTER}])|(?<=\S)(?= ))")
 #: White space of any tokeniser; with a space behind, it is no place to cut.
 SPACES = " \t\n\r\x0b\x0c\x1c\x1d\x1e\x1f"
 DOUBLE, ODD = [x + " " for x in SPACES], re.compile(r"[^\S\x00-\x7f] ")
-#: Characters of texts in one row, and rows in one file of the written table (a reader holds a file's rows at once).
-ROW_CHARS, FILE_ROWS = 2_000_000, 16
-#: Words whose tokens a worker keeps; pairs whose counts are broadcast, at 40 bytes each.
-KEPT_WORDS, HEAVY = 300_000, 500_000
+#: Characters of texts in one row, and chunks tokenised to a row.
+ROW_CHARS, CHUNKS = 8_000_000, 4096
+#: Pairs whose counts are broadcast, at 40 bytes each.
+HEAVY = 500_000
 #: What B writes for a space, and a text of one token that keeps B from writing a space ahead of a chunk.
 SPACE, AHEAD = "▁", "a"
 #: An id pair as one number: A's id times this, plus B's. An offset and a number go together in the same way.
@@ -70,8 +71,19 @@ def gathered(flat: np.ndarray, first: np.ndarray, counts: np.ndarray) -> tuple[n
     return flat[at], at
 
 
+def numbered(texts: list[str | None]) -> tuple[list[str], list[np.ndarray]]:
+    """The distinct chunks of some texts, and each text's chunks by number. A word is what stands between two spaces, with the one ahead."""
+    words: dict[str, int] = defaultdict(count().__next__)  # a new word gets the next number
+    found = [np.array(list(map(words.__getitem__, split(x))), np.int32) if x else np.zeros(0, np.int32) for x in texts]
+    index: dict[str, int] = defaultdict(count().__next__)
+    parts = [list(map(index.__getitem__, CUT.split(w))) for w in words]
+    counts = np.fromiter(map(len, parts), np.int64, len(parts))
+    flat, first = np.fromiter(chain.from_iterable(parts), np.int32), np.cumsum(counts) - counts
+    return list(index), [gathered(flat, first[x], counts[x])[0] if len(x) else x for x in found]
+
+
 class Pair:
-    """Both tokenisers, and the tokens of the words and chunks seen. A word is what stands between two spaces, with the one ahead."""
+    """Both tokenisers, and the tokens of the chunks given last."""
 
     def __init__(self, byte_bpe: str, piece_model: bytes):
         import sentencepiece
@@ -91,64 +103,43 @@ class Pair:
         self.widths = np.zeros(max(ranks.values()) + 1, np.int64), np.array([len(x) for x in self.b_bytes], np.int64)
         for x, k in ranks.items():
             self.widths[0][k] = len(x)
-        self.forget()
-
-    def forget(self) -> None:
-        self.words: dict[str, int] = defaultdict(count().__next__)  # a new word gets the next number
-        #: Each word's chunks one behind another, its first place and number.
-        self.parts = (np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64))
-        self.index: dict[str, int] = {}
-        self.sound = np.zeros(0, bool)
-        #: For A and B: ids and byte ends one behind another, each chunk's first place and number.
-        self.flat = [(np.zeros(0, np.int32), np.zeros(0, np.int32), np.zeros(0, np.int64), np.zeros(0, np.int64)) for _ in "ab"]
 
     def chunks(self, texts: list[str | None]) -> list[np.ndarray]:
-        """Numbers of each text's chunks; those of unknown ones are added."""
-        if len(self.words) > KEPT_WORDS:
-            self.forget()
-        words, known = self.words, len(self.words)
-        found = [list(map(words.__getitem__, split(x))) if x else [] for x in texts]
-        if new := list(words)[known:]:
-            before, index = len(self.index), self.index
-            parts = [[index.setdefault(c, len(index)) for c in CUT.split(w)] for w in new]
-            counts = np.array([len(x) for x in parts], np.int64)
-            own = (np.fromiter(chain.from_iterable(parts), np.int64), np.cumsum(counts) - counts + len(self.parts[0]), counts)
-            self.parts = tuple(np.concatenate(x) for x in zip(self.parts, own, strict=True))
-            if len(index) > before:
-                self.add(list(index)[before:])
-        flat, first, counts = self.parts
-        return [gathered(flat, first[x], counts[x])[0] for x in (np.array(y, np.int64) for y in found)] if len(flat) else [np.zeros(0, np.int64) for _ in texts]
+        """Numbers of each text's chunks, whose tokens are flat then."""
+        new, found = numbered(texts)
+        self.add(new)
+        return found
 
     def add(self, new: list[str]) -> None:
+        """flat: for A and B, ids and byte ends one behind another, each chunk's first place and number. sound: whether B's bytes are the chunk's."""
         a = list(map(self.a.encode_ordinary, new))
         b = [x[1:] for x in self.b.encode([AHEAD + x for x in new], num_threads=1)]
         of = self.b_bytes.__getitem__  # A's bytes are always those of the text
-        self.sound = np.concatenate([self.sound, np.array([b"".join(map(of, x)) == y.encode() for x, y in zip(b, new, strict=True)], bool)])
+        self.sound = np.array([b"".join(map(of, x)) == y.encode() for x, y in zip(b, new, strict=True)], bool)
+        self.flat = []
         for k, ids in enumerate((a, b)):
             counts = np.array(list(map(len, ids)), np.int64)
             flat = np.fromiter(chain.from_iterable(ids), np.int32)
             total = np.concatenate([[0], np.cumsum(self.widths[k][flat])])
             first = np.cumsum(counts) - counts
-            ends = (total[1:] - np.repeat(total[first], counts)).astype(np.int32)
-            self.flat[k] = tuple(np.concatenate(x) for x in zip(self.flat[k], (flat, ends, first + len(self.flat[k][0]), counts), strict=True))
-
-    def row(self, texts: list[str | None]) -> tuple[list[np.ndarray], list[np.ndarray], list[list[int]]]:
-        """Chunks of each text as numbers of the distinct ones; those' ids and ends under A, under B, and their own ends; tokens of each text."""
-        found = [x if self.sound[x].all() else x[:0] for x in self.chunks(texts)]
-        distinct, numbers = np.unique(np.concatenate(found), return_inverse=True) if found else (np.zeros(0, np.int64), np.zeros(0, np.int64))
-        numbers = np.split(numbers, np.cumsum([len(x) for x in found])[:-1])
+            self.flat.append((flat, (total[1:] - np.repeat(total[first], counts)).astype(np.int32), first, counts))
+
+    def row(self, chunks: list[str]) -> tuple[np.ndarray, list[np.ndarray], list[np.ndarray]]:
+        """The chunks' order, sound ones first; of the sound ones ids and ends under A, under B, and their own ends; their tokens under A and B."""
+        self.add(chunks)
+        sound = np.flatnonzero(self.sound)
         sides, tokens = [], []
         for ids, ends, first, counts in self.flat:
-            (n, start), upto = (counts[distinct], first[distinct]), np.zeros(0, np.int64)
-            if len(distinct):
+            n, start, upto = counts[sound], first[sound], np.zeros(0, np.int64)
+            if len(sound):
                 widths = ends[start + n - 1].astype(np.int64)
                 upto = np.cumsum(widths)
                 ids, at = gathered(ids, start, n)
                 sides += [ids, ends[at] + np.repeat(upto - widths, n)]
             else:
                 sides += [ids[:0], ends[:0]]
-            tokens.append([int(counts[x].sum()) for x in found])
-        return numbers, [*sides, upto], tokens
+            tokens.append(n)
+        return np.concatenate([sound, np.flatnonzero(~self.sound)]), [*sides, upto], tokens
 
 
 @lru_cache(1)
@@ -165,31 +156,61 @@ def whole(values: pa.Array) -> pa.ListArray:
     return pa.ListArray.from_arrays(pa.array([0, len(values)], pa.int32()), values)
 
 
-def tokenise(docs: DataFrame, byte_bpe: str, piece_model: str, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Rows of some texts each: texts (id, n_a, n_b, chunks), and of the distinct chunks a and b, their ends, those with their number from 1, and the chunks' own ends."""
-    sc = docs.sparkSession.sparkContext
+INTS, LONGS = T.ArrayType(T.IntegerType()), T.ArrayType(T.LongType())
+
+
+def texts_in_chunks(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """Rows of some texts each: texts (id, chunks by number), and the row's distinct chunks."""
+    text = T.StructType([T.StructField("id", docs.schema[id_col].dataType), T.StructField("chunks", INTS)])
+    schema = T.StructType([T.StructField("texts", T.ArrayType(text)), T.StructField("names", T.ArrayType(T.StringType()))])
+
+    def made(ids: list[pa.Array], texts: list[str | None]) -> pa.RecordBatch:
+        names, numbers = numbered(texts)
+        seq = lists(np.concatenate(numbers), np.array(list(map(len, numbers))))
+        some = pa.StructArray.from_arrays([pa.concat_arrays(ids), seq], names=text.names)
+        return pa.RecordBatch.from_arrays([whole(some), whole(pa.array(names, pa.string()))], names=schema.names)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        ids, texts, total = [], [], 0
+        for batch in batches:
+            own = batch.column(1).to_pylist()
+            for i, j in slices(own, ROW_CHARS):
+                ids.append(batch.column(0).slice(i, j - i))
+                texts += own[i:j]
+                total += sum(len(x or "") for x in own[i:j])
+                if total >= ROW_CHARS:
+                    yield made(ids, texts)
+                    ids, texts, total = [], [], 0
+        if texts:
+            yield made(ids, texts)
+        release()
+
+    ship(docs.sparkSession)
+    return docs.select(F.col(f"`{id_col}`"), F.col(f"`{text_col}`").cast("string")).mapInArrow(run, schema)
+
+
+def tokenise(names: DataFrame, byte_bpe: str, piece_model: str) -> DataFrame:
+    """From (name, places), rows of some chunks each: their places, tokens, a and b, their ends, those with their number from 1, and the chunks' own ends.
+
+    Unsound chunks come last, and have places alone.
+    """
+    sc = names.sparkSession.sparkContext
     with open(byte_bpe, encoding="utf-8") as f, open(piece_model, "rb") as g:
         held = sc.broadcast((f.read(), g.read()))  # the two files' fixed few megabytes
-    ints, longs = T.ArrayType(T.IntegerType()), T.ArrayType(T.LongType())
-    text = T.StructType([T.StructField("id", docs.schema[id_col].dataType), T.StructField("n_a", T.LongType()), T.StructField("n_b", T.LongType()), T.StructField("chunks", ints)])
-    schema = T.StructType([T.StructField("texts", T.ArrayType(text)), *(T.StructField(x, ints) for x in ("a", "a_ends", "b", "b_ends", "ends")), T.StructField("a_keys", longs), T.StructField("b_keys", longs)])
+    schema = T.StructType([T.StructField("places", T.ArrayType(names.schema["places"].dataType)), *(T.StructField(x, INTS) for x in ("n_a", "n_b", "a", "a_ends", "b", "b_ends", "ends")), T.StructField("a_keys", LONGS), T.StructField("b_keys", LONGS)])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = tokenisers(*held.value)
         for batch in batches:
-            texts = batch.column(1).to_pylist()
-            for i, j in slices(texts, ROW_CHARS):
-                numbers, flat, (of_a, of_b) = own.row(texts[i:j])
-                seq = lists(np.concatenate(numbers), np.array([len(x) for x in numbers]))
-                ids = batch.column(0).slice(i, j - i)
-                made = pa.StructArray.from_arrays([ids, pa.array(of_a, pa.int64()), pa.array(of_b, pa.int64()), seq], names=text.names)
+            for k in range(0, batch.num_rows, CHUNKS):
+                some = batch.slice(k, CHUNKS)
+                order, flat, tokens = own.row(some.column(0).to_pylist())
                 keys = [x.astype(np.int64) * SHIFT + np.arange(1, len(x) + 1) for x in (flat[1], flat[3])]
-                yield pa.RecordBatch.from_arrays([whole(made), *(whole(pa.array(x, pa.int32())) for x in flat), *map(whole, map(pa.array, keys))], names=schema.names)
-        own.forget()
+                yield pa.RecordBatch.from_arrays([whole(some.column(1).take(pa.array(order))), *(whole(pa.array(x, pa.int32())) for x in (*tokens, *flat)), *map(whole, map(pa.array, keys))], names=schema.names)
         release()
 
-    ship(docs.sparkSession)
-    return docs.select(F.col(f"`{id_col}`"), F.col(f"`{text_col}`").cast("string")).mapInArrow(run, schema)
+    ship(names.sparkSession)
+    return names.select("name", "places").mapInArrow(run, schema)
 
 
 def keyed(offset: Column, number: Column | int = 0) -> Column:
@@ -259,50 +280,52 @@ def over(chunks: Column, values: Column) -> Column:
     return F.aggregate(chunks, F.lit(0).cast("long"), lambda acc, k: acc + F.get(values, k))
 
 
-def align(docs: DataFrame, byte_bpe: str, piece_model: str, **columns) -> DataFrame:
-    """Rows of some texts each: texts (id, n_a, n_b, n_groups, n_links, groups_sha256, chunks), and of each distinct chunk its pairs and their numbers."""
-    rows = tokenise(docs, byte_bpe, piece_model, **columns)
+def align(names: DataFrame, byte_bpe: str, piece_model: str) -> DataFrame:
+    """From (name, places), each distinct chunk's key, places, n_a, n_b, n_groups, n_links, its groups as written, its pairs and their numbers; of an unsound one key and places alone."""
+    rows = tokenise(names, byte_bpe, piece_model)
     #: One structure a row goes through the steps: what a step has made is computed once, however often the next one looks into it.
-    first = F.struct("texts", listed(F.col("a")).alias("a"), listed(F.col("b")).alias("b"), F.array_intersect("a_ends", "b_ends").alias("common"), "ends", "a_keys", "b_keys")
+    kept = ("places", "n_a", "n_b")
+    first = F.struct(*kept, listed(F.col("a")).alias("a"), listed(F.col("b")).alias("b"), F.array_intersect("a_ends", "b_ends").alias("common"), "ends", "a_keys", "b_keys")
     one = F.array(first)
 
     def step(make) -> None:
         nonlocal one
-        one = F.transform(one, lambda r: F.struct(*(c.alias(name) for name, c in make(r).items())))
+        one = F.transform(one, lambda r: F.struct(*(c.alias(name) for name, c in ({x: r[x] for x in kept} | make(r)).items())))
 
     def both(r: Column) -> dict[str, Column]:
         groups = F.transform(r["common"], lambda e, k: keyed(e, k + 1))
-        return {"texts": r["texts"], "a": r["a"], "b": r["b"], "a_at": merged(r["a_keys"], r["common"]), "b_at": merged(r["b_keys"], r["common"]), "chunk_at": merged(groups, r["ends"])}
-
-    def text(r: Column, t: Column) -> Column:
-        whole = F.array_join(F.transform(t["chunks"], lambda k: F.get(r["written"], k)), ";")
-        sha = F.when(F.size(t["chunks"]) == 0, F.lit("")).otherwise(F.sha2(whole, 256))
-        numbers = (over(t["chunks"], r["sizes"]).alias("n_groups"), over(t["chunks"], r["n_links"]).alias("n_links"))
-        return F.struct(t["id"].alias("id"), t["n_a"].alias("n_a"), t["n_b"].alias("n_b"), *numbers, sha.alias("groups_sha256"), t["chunks"].alias("chunks"))
+        return {"a": r["a"], "b": r["b"], "a_at": merged(r["a_keys"], r["common"]), "b_at": merged(r["b_keys"], r["common"]), "chunk_at": merged(groups, r["ends"])}
 
     def chunks(r: Column) -> dict[str, Column]:
         each = lambda g0, g1, name: F.transform(F.sequence(g0, g1 - 1), lambda g: F.get(r[name], g))
         written = lambda g0, g1: F.when(g1 - g0 == 1, F.get(r["written"], g0)).otherwise(F.array_join(each(g0, g1, "written"), ";"))
         links = lambda g0, g1: F.when(g1 - g0 == 1, F.get(r["links"], g0)).otherwise(F.flatten(each(g0, g1, "links")))
-        sizes = of_chunks(r, lambda g0, g1: (g1 - g0).cast("long"))
-        return {"texts": r["texts"], "written": of_chunks(r, written), "sizes": sizes, "links": of_chunks(r, links)}
+        return {"n_groups": of_chunks(r, lambda g0, g1: g1 - g0), "written": of_chunks(r, written), "links": of_chunks(r, links)}
 
     total = lambda c: F.aggregate(c, F.lit(0).cast("long"), lambda acc, x: acc + x["n"])
     step(both)
-    step(lambda r: {"texts": r["texts"], "a": r["a"], "b": r["b"], **{x: numbers(r[x]) for x in ("a_at", "b_at", "chunk_at")}})
-    step(lambda r: {"texts": r["texts"], "chunk_at": r["chunk_at"], "written": of_groups(r, lambda *at: group_text(r, *at)), "links": of_groups(r, lambda *at: group_links(r, *at))})
+    step(lambda r: {"a": r["a"], "b": r["b"], **{x: numbers(r[x]) for x in ("a_at", "b_at", "chunk_at")}})
+    step(lambda r: {"chunk_at": r["chunk_at"], "written": of_groups(r, lambda *at: group_text(r, *at)), "links": of_groups(r, lambda *at: group_links(r, *at))})
     step(chunks)
-    step(lambda r: {"texts": r["texts"], "written": r["written"], "sizes": r["sizes"], "links": r["links"], "n_links": F.transform(r["links"], total)})
-    step(lambda r: {"texts": F.transform(r["texts"], lambda t: text(r, t)), "links": r["links"]})
+    step(lambda r: {"n_groups": r["n_groups"], "n_links": F.transform(r["links"], total), "written": r["written"], "links": r["links"]})
     rows = rows.select(F.inline(one))
-    part = lambda name: F.transform("links", lambda c: c[name])
-    return rows.select(F.monotonically_increasing_id().alias("row"), "texts", part("pair").alias("pairs"), part("n").alias("numbers"))
+    of_each = ("places", "n_a", "n_b", "n_groups", "n_links", "written", "links")
+    rows = rows.select(F.inline(F.arrays_zip(*of_each)))  # null where an array is shorter, as for unsound chunks
+    return rows.select(F.monotonically_increasing_id().alias("key"), *of_each[:-1], F.col("links.pair").alias("pairs"), F.col("links.n").alias("numbers"))
+
 
+def of_rows(chunks: DataFrame, *columns: str) -> DataFrame:
+    """For each row, what its distinct chunks have, in their order."""
+    placed = chunks.select(F.explode("places").alias("place"), *columns).select("place.row", F.struct("place.chunk", *columns).alias("one"))
+    ordered = placed.groupBy("row").agg(F.sort_array(F.collect_list("one")).alias("of"))  # a row's distinct chunks
+    return ordered.select("row", *(F.col(f"of.{c}").alias(c) for c in columns))
 
-def pair_counts(rows: DataFrame) -> DataFrame:
+
+def pair_counts(texts: DataFrame, chunks: DataFrame) -> DataFrame:
     """pair, the number of documents that hold it linked, and whether that is the highest of its A id (of which B's vocabulary bounds the pairs)."""
-    of_text = lambda t: F.array_distinct(F.flatten(F.transform(F.array_distinct(t["chunks"]), lambda k: F.get(F.col("pairs"), k))))
-    held = rows.select(F.explode(F.flatten(F.transform("texts", of_text))).alias("pair"))
+    none = F.array().cast("array<bigint>")
+    of_text = lambda t: F.coalesce(F.array_distinct(F.flatten(F.transform(F.array_distinct(t["chunks"]), lambda k: F.get(F.col("pairs"), k)))), none)
+    held = texts.join(of_rows(chunks, "pairs"), "row").select(F.explode(F.flatten(F.transform("texts", of_text))).alias("pair"))
     counts = held.groupBy("pair").agg(F.count("*").alias("count"))
     of_a = W.partitionBy(F.shiftright("pair", 32))
     return counts.select("pair", "count", (F.col("count") == F.max("count").over(of_a)).alias("best"))
@@ -320,32 +343,47 @@ def heavy_from(counts: DataFrame, most: int) -> float:
     return 0
 
 
-def scores(rows: DataFrame, counts: DataFrame, most: int = HEAVY) -> DataFrame:
-    """For each row, the sums of its chunks: of the counts of their links, and of the links whose count is the best."""
+def scores(chunks: DataFrame, counts: DataFrame, most: int = HEAVY) -> DataFrame:
+    """For each chunk, the sums of the counts of its links, and of its links whose count is the best."""
     least = heavy_from(counts, most) if most else float("inf")
-    parts = rows.select("row", F.posexplode(F.arrays_zip("pairs", "numbers")).alias("chunk", "_links"))
-    parts = parts.select("row", "chunk", F.inline(F.arrays_zip(F.col("_links.pairs"), F.col("_links.numbers"))).alias("pair", "n"))
+    parts = chunks.select("key", F.inline(F.arrays_zip("pairs", "numbers"))).toDF("key", "pair", "n")
     top = F.broadcast(counts.where(F.col("count") >= least))
     met = [parts.join(top, "pair")]
     if least:
         met.append(parts.join(top, "pair", "left_anti").join(counts.where(F.col("count") < least), "pair"))
-    sums = [x.groupBy("row", "chunk").agg(F.sum(F.col("n") * F.col("count")).alias("sum"), F.sum(F.when(F.col("best"), F.col("n")).otherwise(0)).alias("best")) for x in met]
-    all_ = sums[0] if len(sums) == 1 else sums[0].unionByName(sums[1]).groupBy("row", "chunk").agg(F.sum("sum").alias("sum"), F.sum("best").alias("best"))
-    ordered = all_.groupBy("row").agg(F.array_sort(F.collect_list(F.struct("chunk", "sum", "best"))).alias("of"))  # a row's distinct chunks
-    return ordered.select("row", F.col("of.sum").alias("sums"), F.col("of.best").alias("bests"))
+    sums = [x.groupBy("key").agg(F.sum(F.col("n") * F.col("count")).alias("count_sum"), F.sum(F.when(F.col("best"), F.col("n")).otherwise(0)).alias("n_best")) for x in met]
+    return sums[0] if len(sums) == 1 else sums[0].unionByName(sums[1]).groupBy("key").agg(F.sum("count_sum").alias("count_sum"), F.sum("n_best").alias("n_best"))
 
 
 def link_tokens(docs: DataFrame, byte_bpe: str, piece_model: str, *, id_col: str = "doc_id", text_col: str = "text", most: int = HEAVY) -> DataFrame:
     """Per document: n_a, n_b, n_groups, n_links, n_best, count_sum, groups_sha256."""
     spark: SparkSession = docs.sparkSession
     at = f"{shared_dir(spark)}/align-{uuid.uuid4().hex}"
-    found = align(docs, byte_bpe, piece_model, id_col=id_col, text_col=text_col)
-    found.write.option("maxRecordsPerFile", FILE_ROWS).option("parquet.page.size.row.check.min", 1).option("parquet.block.size.row.check.min", 8).parquet(at)
-    rows = spark.read.schema(found.schema).parquet(at)
-    counts = cut(pair_counts(rows))
-    both = rows.select("row", "texts").join(scores(rows, counts, most), "row", "left")
-    text = lambda t: F.struct(
-        t["id"].alias(id_col), *(t[c].alias(c) for c in ("n_a", "n_b", "n_groups", "n_links")),
-        over(t["chunks"], F.col("bests")).alias("n_best"), over(t["chunks"], F.col("sums")).alias("count_sum"), t["groups_sha256"].alias("groups_sha256"),
-    )
-    return both.select(F.inline(F.transform("texts", text)))
+
+    def writer(df: DataFrame) -> DataFrameWriter:
+        return df.write.option("compression", "zstd").option("parquet.page.size.row.check.min", 1).option("parquet.block.size.row.check.min", 8)
+
+    # rows stay in buckets, so that they need no shuffle when what their chunks have comes to them
+    table = f"align_{uuid.uuid4().hex}"
+    rows = texts_in_chunks(docs, id_col=id_col, text_col=text_col).select(F.monotonically_increasing_id().alias("row"), "texts", "names")
+    writer(rows).bucketBy(int(spark.conf.get("spark.sql.shuffle.partitions")), "row").format("parquet").option("path", f"{at}/texts").saveAsTable(table)
+    rows = spark.table(table)
+    spark.sql(f"DROP TABLE {table}")  # its name; the files stay
+    names = rows.select("row", F.posexplode("names").alias("chunk", "name")).groupBy("name").agg(F.collect_list(F.struct("row", "chunk")).alias("places"))
+    chunks = align(names, byte_bpe, piece_model)
+    writer(chunks).parquet(f"{at}/chunks")
+    chunks = spark.read.schema(chunks.schema).parquet(f"{at}/chunks")
+    texts = rows.select("row", "texts")
+    counts = cut(pair_counts(texts, chunks))
+    sums = ("n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum")
+    both = texts.join(of_rows(chunks.join(scores(chunks, counts, most), "key", "left"), *sums, "written"), "row", "left")
+
+    def text(t: Column) -> Column:
+        groups = F.array_join(F.transform(t["chunks"], lambda k: F.get(F.col("written"), k)), ";")
+        return F.struct(t["id"].alias("id"), *(over(t["chunks"], F.col(c)).alias(c) for c in sums), groups.alias("groups"))
+
+    def result(t: Column) -> Column:  # with an unsound chunk, sums are null
+        sha = F.when(t["n_groups"] > 0, F.sha2(t["groups"], 256)).otherwise("")
+        return F.struct(t["id"].alias(id_col), *(F.coalesce(t[c], F.lit(0).cast("long")).alias(c) for c in sums), sha.alias("groups_sha256"))
+
+    return both.select(F.inline(F.transform(F.transform("texts", text), result)))

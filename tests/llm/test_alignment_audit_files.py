@@ -88,6 +88,16 @@ def test_alignment_of_the_table(spark, monkeypatch):
     assert got == plain_alignment([tuple(r) for r in spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text").collect()])
 
 
+def test_chunks_are_aligned_once(spark, monkeypatch):
+    """However many rows of texts hold them."""
+    real, made = align.align, []
+    monkeypatch.setattr(align, "ROW_CHARS", 10)
+    monkeypatch.setattr(align, "align", lambda *args, **more: made.append(real(*args, **more)) or made[0])
+    rows = [(k, "the cat, the dog") for k in range(40)]
+    assert rows_of(align.link_tokens(spark.createDataFrame(rows, "doc_id long, text string"), queries.VOCABULARY, queries.PIECES)) == plain_alignment(rows)
+    assert made[0].count() == 4
+
+
 def test_alignment_of_no_rows(docs):
     assert align.link_tokens(docs.where("false"), queries.VOCABULARY, queries.PIECES).collect() == []
 
