@@ -5,6 +5,7 @@ A task reads the footers of its files, not their rows. Files are listed on the d
 
 from __future__ import annotations
 
+import math
 import struct
 from collections.abc import Iterator
 
@@ -19,6 +20,8 @@ from larkspur.functions.shipping import ship
 FOOTERS = "path string, row_group int, column string, rows long, nulls long, least string, greatest string, codec string, bytes long, raw_bytes long, bloom_at long"
 #: What the Parquet format multiplies a hash by for the eight bits of a Bloom filter's block.
 SALT = (0x47B6137B, 0x44974D91, 0x8824AD5B, 0xA2B7289D, 0x705495C7, 0x2DF1424B, 0x9EFC4947, 0x5C6BFB31)
+#: What Spark puts into the names of the files of each write, besides their numbers.
+MADE_UP = "-[0-9a-f]{8}(-[0-9a-f]{4}){3}-[0-9a-f]{12}"
 
 
 def opened(path: str) -> pa.NativeFile:
@@ -167,10 +170,16 @@ def groups_left(spark: SparkSession, path: str, column: str, value: object, *, b
 
 
 def system_sample(spark: SparkSession, path: str, share: float, seed: int = 0) -> DataFrame:
-    """The rows of about that share of the row groups, drawn by a hash of seed, file and number; nothing else is read."""
+    """The rows of that share of the row groups, rounded up: those with the least hashes of seed, file and number. Nothing else is read.
+
+    A file counts by its name without the letters and figures that a writer makes up anew, so that the same table written again gives the same sample.
+    """
     schema = spark.read.parquet(path).schema
-    drawn = F.pmod(F.xxhash64(F.lit(seed), F.element_at(F.split("path", "/"), -1), "row_group"), F.lit(1 << 40)) < int(share * (1 << 40))
-    groups = footers(spark, path).select("path", "row_group").distinct().where(drawn)
+    file = F.regexp_replace(F.element_at(F.split("path", "/"), -1), MADE_UP, "")
+    groups = footers(spark, path).select("path", "row_group").distinct().withColumn("drawn", F.xxhash64(F.lit(seed), file, "row_group"))
+    most = math.ceil(share * groups.count())
+    last = groups.orderBy("drawn").limit(most).agg(F.max("drawn")).first()[0]
+    groups = groups.where(F.col("drawn") <= last if most else F.lit(False)).select("path", "row_group")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

@@ -97,6 +97,15 @@ def test_system_sample(spark, tmp_path):
     assert len(one) >= min(groups)
 
 
+def test_system_sample_of_a_table_written_again(spark, tmp_path):
+    small = {"parquet.block.size": "4096", "parquet.page.size": "1024", "parquet.block.size.row.check.min": "100", "parquet.page.size.row.check.min": "100"}
+    draws = []
+    for k in range(2):
+        spark.range(0, 20_000, 1, 4).write.options(**small).parquet(str(tmp_path / f"t{k}"))
+        draws.append(sorted(r.id for r in footers.system_sample(spark, str(tmp_path / f"t{k}"), 0.4, 1).collect()))
+    assert draws[0] == draws[1] and 0 < len(draws[0]) < 20_000
+
+
 def test_paged_filters_narrow_the_ranges():
     from pyspark.sql.datasource import EqualTo, GreaterThan, In, LessThanOrEqual
 
