@@ -1,9 +1,11 @@
 """Token counts under a unigram model, over a trie of the distinct pre-tokens.
 
 The model gives every token of a public byte-level vocabulary a log probability. A text's count is that
-of the most probable segmentation of each of its pre-tokens. The pre-tokens that a worker has not met
-are walked down the vocabulary's trie together, all bytes at once: the best score of the bytes up to each place, and the
-fewest tokens that reach that score, come from arrays over all of them.
+of the most probable segmentation of each of its pre-tokens. No pre-token goes on behind a space that stands behind
+other than white space, so that a text's pre-tokens are those of its chunks between such spaces, and a worker looks for them
+in each distinct chunk once. Those that it has not met are walked down the vocabulary's trie together, all bytes at
+once: the best score of the bytes up to each place, and the fewest tokens that reach that score, come from arrays over
+all of them.
 
 The probabilities are fitted by expectation and maximisation to all texts: their distinct pre-tokens, counted by
 Spark, are stored, and each round goes over them in parallel. The edges of a batch's lattices (the tokens that begin at
@@ -21,9 +23,10 @@ from __future__ import annotations
 
 import math
 import uuid
-from collections import Counter as Tally
-from collections.abc import Iterator
+from collections import defaultdict
+from collections.abc import Callable, Iterable, Iterator
 from functools import lru_cache
+from itertools import chain, count, islice
 from os.path import commonprefix
 
 import numpy as np
@@ -38,10 +41,10 @@ from .bpe import Codec, codec, map_columns, slices, vocabulary
 from .common import remove, shared_dir
 
 OFFSET = 256
-#: Words that a worker keeps, at some 150 bytes each.
+#: Pre-tokens that a worker keeps, and chunks, at some 150 bytes each.
 KEPT_WORDS = 400_000
 #: Bytes of words in one lattice, and more than a word has tokens.
-AT_ONCE, MANY = 200_000, 1 << 62
+AT_ONCE, MANY = 40_000, 1 << 62
 #: Occurrences of the prior, and rounds.
 PRIOR, ROUNDS = 20_000, 3
 
@@ -96,7 +99,7 @@ def fitted_scores(own: Codec, words: dict[str, int], *, prior: float = PRIOR, ro
 
 
 class Lattice:
-    """The segmentations of many words at once, over a trie of tokens. Node k of the trie has the children whose keys, 256 k + byte, are in order."""
+    """The segmentations of many words at once, over a trie of tokens. Nodes that have children come first, each with a row of 256 children; there is none where a child is 0."""
 
     def __init__(self, tokens: list[bytes]):
         nodes: dict[tuple[int, int], int] = {}
@@ -106,11 +109,16 @@ class Lattice:
             for byte in token:
                 at = nodes.setdefault((at, byte), len(nodes) + 1)
             ends[at] = k
-        keys = np.array([256 * a + b for a, b in nodes], np.int64)
-        order = np.argsort(keys)
-        self.keys, self.child = keys[order], np.array(list(nodes.values()), np.int64)[order]
+        above, byte = (np.array(x, np.int64) for x in zip(*nodes, strict=True)) if nodes else (np.zeros(0, np.int64),) * 2
+        inner = np.zeros(len(nodes) + 1, bool)
+        inner[0] = inner[above] = True
+        number = np.empty(len(nodes) + 1, np.int64)
+        number[np.concatenate([np.flatnonzero(inner), np.flatnonzero(~inner)])] = np.arange(len(nodes) + 1)
+        self.inner = int(inner.sum())
+        self.child = np.zeros(256 * self.inner, np.int32)
+        self.child[256 * number[above] + byte] = number[1:]
         self.token = np.full(len(nodes) + 1, -1, np.int64)
-        self.token[list(ends)] = list(ends.values())
+        self.token[number[list(ends)]] = list(ends.values())
         self.n = len(tokens)
 
     def edges(self, words: list[bytes]) -> tuple[np.ndarray, ...]:
@@ -122,17 +130,19 @@ class Lattice:
         left = np.repeat(sizes, sizes + 1) - ahead
         start, node, depth, found = np.flatnonzero(left > 0), np.zeros(int(sizes.sum()), np.int64), 0, []
         while len(start):
-            key = 256 * node + letters[start + depth]
-            at = np.minimum(np.searchsorted(self.keys, key), len(self.keys) - 1)
-            there = self.keys[at] == key
-            start, node, depth = start[there], self.child[at[there]], depth + 1
+            node = self.child[256 * node + letters[start + depth]].astype(np.int64)
+            there = np.flatnonzero(node)
+            start, node, depth = start[there], node[there], depth + 1
             token = self.token[node]
-            ends = token >= 0
+            ends = np.flatnonzero(token >= 0)
             found.append((start[ends], start[ends] + depth, token[ends]))
-            more = left[start] > depth
+            more = np.flatnonzero((node < self.inner) & (left[start] > depth))
             start, node = start[more], node[more]
         start, end, token = (np.concatenate(x) for x in zip(*found, strict=True)) if found else (np.zeros(0, np.int64),) * 3
-        order = np.lexsort((end, ahead[end]))
+        small = np.uint16 if len(letters) < 1 << 16 else np.int64  # of which numpy sorts the first by counting
+        place = np.empty(len(letters), small)
+        place[np.argsort(ahead.astype(small), kind="stable")] = np.arange(len(letters))
+        order = np.argsort(place[end], kind="stable")
         return first, first + sizes, start[order], end[order], token[order], ahead[end[order]]
 
     def expected(self, scores: np.ndarray, words: list[bytes], times: np.ndarray) -> np.ndarray:
@@ -182,22 +192,98 @@ def lattice(contents: str) -> Lattice:
     return Lattice(ordinary(codec(contents)))
 
 
+class Numbers(defaultdict):
+    """Distinct strings by number, as they are met."""
+
+    def __init__(self):
+        super().__init__(count().__next__)
+
+    def of(self, words: Iterable[str]) -> np.ndarray:
+        return np.fromiter(map(self.__getitem__, words), np.int64)
+
+    def since(self, known: int) -> list[str]:
+        """Those from that number on."""
+        return list(islice(reversed(self), len(self) - known))[::-1]
+
+
+class Chunks:
+    """The distinct chunks of texts by number, without the space ahead of them."""
+
+    def __init__(self):
+        self.index, self.odd = Numbers(), np.zeros(0, bool)
+
+    def of(self, texts: list[str | None]) -> tuple[list[str], np.ndarray, np.ndarray]:
+        """What each text begins with up to its first chunk, all texts' chunks by number, and how many each has. A text with a space behind white space has none, and begins with all it is."""
+        found = [(t or "").split(" ") for t in texts]
+        heads, sizes = [x[0] for x in found], np.fromiter(map(len, found), np.int64, len(found)) - 1
+        at = self.index.of(chain.from_iterable(x[1:] for x in found))
+        self.odd = np.concatenate([self.odd, np.fromiter((not w or w[-1].isspace() for w in self.index.since(len(self.odd))), bool)])
+        upto = np.cumsum(sizes)
+        odd = np.flatnonzero(self.odd[at])
+        text = np.searchsorted(upto, odd, "right")
+        whole = {*text[odd < upto[text] - 1].tolist(), *(k for k, x in enumerate(heads) if x and x[-1].isspace())}  # the last may end with white space
+        if whole:
+            some = list(whole)
+            kept = np.ones(len(found), bool)
+            kept[some] = False
+            at, sizes = at[np.repeat(kept, sizes)], sizes * kept
+            for k in some:
+                heads[k] = texts[k]
+        return heads, at, sizes
+
+
+def parts(find: Callable[[str], list[str]], some: list[str]) -> tuple[list[str], np.ndarray]:
+    """The pre-tokens of distinct chunks one behind another, and the number of each."""
+    joined = find("".join(f" {c}" for c in some if c and not c[-1].isspace()))  # in these, the first pre-token alone begins with a space
+    counts = np.diff(np.flatnonzero(np.fromiter((p[0] == " " for p in joined), bool, len(joined))), append=len(joined))
+    odd = [k for k, c in enumerate(some) if not c or c[-1].isspace()]
+    if not odd:
+        return joined, counts
+    others = [find(" " + some[k]) for k in odd]
+    each, plain = np.zeros(len(some), np.int64), np.ones(len(some), bool)
+    each[odd], plain[odd] = list(map(len, others)), False
+    each[plain] = counts
+    out, rest, of = [], iter(joined), iter(others)
+    for n, own in zip(each.tolist(), plain.tolist(), strict=True):
+        out += islice(rest, n) if own else next(of)
+    return out, each
+
+
 def pretokens(docs: DataFrame, vocab_path: str, *, text_col: str = "text") -> DataFrame:
     """(word, n): the distinct pre-tokens of all texts and how often they occur."""
     held = vocabulary(docs.sparkSession, vocab_path)
 
     def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        find, found = codec(held.value).pattern.findall, Tally()
-        put = lambda: pa.RecordBatch.from_arrays([pa.array(found.keys(), pa.string()), pa.array(found.values(), pa.int64())], names=["word", "n"])
+        find, met, found = codec(held.value).pattern.findall, Chunks(), Numbers()
+        n, total = np.zeros(0, np.int64), np.zeros(0, np.int64)  # of each chunk met, and each pre-token found
+
+        def more(sums: np.ndarray, at: np.ndarray, times: np.ndarray | None, size: int) -> np.ndarray:
+            out = np.bincount(at, times, size).astype(np.int64)
+            out[: len(sums)] += sums
+            return out
+
+        def put(some: Numbers, sums: np.ndarray) -> pa.RecordBatch:
+            there = pa.array(np.flatnonzero(sums))  # chunks of texts that are parted as a whole are met without occurring
+            return pa.RecordBatch.from_arrays([pa.array(some, pa.string()).take(there), pa.array(sums).take(there)], names=["word", "n"])
+
+        def parted() -> np.ndarray:
+            words, each = parts(find, list(met.index))
+            return more(total, found.of(words), np.repeat(n, each), len(found))
+
         for batch in batches:
-            for t in batch.column(0).to_pylist():
-                if t:
-                    found.update(find(t))
-                if len(found) > KEPT_WORDS:
-                    yield put()
-                    found.clear()
-        yield put()
-        found.clear()
+            own = batch.column(0).to_pylist()
+            for a, b in slices(own):
+                heads, at, _ = met.of(own[a:b])
+                n = more(n, at, None, len(met.index))
+                total = more(total, found.of(chain.from_iterable(map(find, heads))), None, len(found))
+                if len(n) > KEPT_WORDS:
+                    total, met, n = parted(), Chunks(), n[:0]
+                if len(total) > KEPT_WORDS:
+                    yield put(found, total)
+                    found, total = Numbers(), total[:0]
+        total = parted()
+        yield put(found, total)
+        del met, found
         release()
 
     ship(docs.sparkSession)
@@ -245,33 +331,51 @@ def fit(docs: DataFrame, vocab_path: str, *, text_col: str = "text", prior: floa
     return scores
 
 
+def totals(values: np.ndarray, each: np.ndarray) -> np.ndarray:
+    """Sums of so many of the values each."""
+    upto, sums = np.cumsum(each), np.concatenate([[0], np.cumsum(values)])
+    return sums[upto] - sums[upto - each]
+
+
 class Counter:
-    """Counts of pre-tokens, kept between batches up to a number of words."""
+    """Counts of pre-tokens and of chunks, kept between batches up to a number of each."""
 
     def __init__(self, lattice: Lattice, scores: np.ndarray, pattern):
         self.lattice, self.scores, self.find = lattice, scores, pattern.findall
-        self.counts: dict[str, int] = {}
+        self.clear()
 
-    def tokens(self, words: list[bytes]) -> Iterator[int]:
+    def clear(self) -> None:
+        self.words, self.counts = Numbers(), np.zeros(0, np.int64)  # tokens of each pre-token
+        self.chunks, self.both = Chunks(), np.zeros((0, 2), np.int64)  # tokens and pre-tokens of each chunk
+
+    def tokens(self, words: list[bytes]) -> Iterator[np.ndarray]:
         """Of each word, a bounded number of bytes at once."""
         at = total = 0
         for k, word in enumerate(words, 1):
             total += len(word)
             if total >= AT_ONCE or k == len(words):
-                yield from self.lattice.fewest(self.scores, words[at:k]).tolist()
+                yield self.lattice.fewest(self.scores, words[at:k])
                 at, total = k, 0
 
+    def sums(self, words: list[str], each: np.ndarray) -> np.ndarray:
+        """Tokens and pre-tokens of so many of the words each."""
+        at = self.words.of(words)
+        new = [w.encode("utf-8", "surrogatepass") for w in self.words.since(len(self.counts))]
+        self.counts = np.concatenate([self.counts, *self.tokens(new)])
+        return np.stack([totals(self.counts[at], each), each], axis=1)
+
     def count(self, texts: list[str | None]) -> tuple[list[int], list[int]]:
         """Tokens and pre-tokens of each text."""
         if len(self.counts) > KEPT_WORDS:
-            self.counts.clear()
-        found = [self.find(t) if t else [] for t in texts]
-        new = {w for words in found for w in words if w not in self.counts}
-        if new:
-            some = list(new)
-            self.counts.update(zip(some, self.tokens([w.encode("utf-8", "surrogatepass") for w in some]), strict=True))
-        get = self.counts.__getitem__
-        return [sum(map(get, words)) for words in found], list(map(len, found))
+            self.words, self.counts = Numbers(), self.counts[:0]
+        if len(self.both) > KEPT_WORDS:
+            self.chunks, self.both = Chunks(), self.both[:0]
+        heads, at, sizes = self.chunks.of(texts)
+        self.both = np.concatenate([self.both, self.sums(*parts(self.find, self.chunks.index.since(len(self.both))))])
+        found = list(map(self.find, heads))
+        out = self.sums(list(chain.from_iterable(found)), np.fromiter(map(len, found), np.int64, len(found)))
+        out += np.stack([totals(x, sizes) for x in self.both[at].T], axis=1)
+        return out[:, 0].tolist(), out[:, 1].tolist()
 
 
 @lru_cache(2)
@@ -292,7 +396,7 @@ def count_tokens(docs: DataFrame, vocab_path: str, *, text_col: str = "text", sc
         for a, b in slices(texts):
             yield (a, b), list(own.count(texts[a:b]))
 
-    return map_columns(docs, T.StructType([T.StructField("n_tokens", T.LongType()), T.StructField("n_pretokens", T.LongType())]), make, lambda: counter(held.value, model.value).counts.clear())
+    return map_columns(docs, T.StructType([T.StructField("n_tokens", T.LongType()), T.StructField("n_pretokens", T.LongType())]), make, lambda: counter(held.value, model.value).clear())
 
 
 def brute_count(word: bytes, scores: dict[bytes, float]) -> int:

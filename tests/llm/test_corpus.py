@@ -484,6 +484,40 @@ def test_counts_of_many_words_at_once():
     assert lattice.fewest(values, [b"", b"c", b"ab"]).tolist() == [0, 0, 1] and lattice.fewest(values, []).tolist() == []
 
 
+def test_counts_by_chunks(spark, monkeypatch):
+    """Chunks give the pre-tokens of whole texts wherever white space stands, and the pattern is sought in each distinct one once."""
+    import random
+
+    own, draw = bpe.codec(open(queries.VOCABULARY).read()), random.Random(4)
+    signs = [" ", " ", "  ", "\n", "\t", "a", "é", "1", "!", "'s", "\x1c", "\x85", "\u3000", "語", "_"]
+    texts = [None, "", " ", "  ", "a ", " a", "\n x", "x\n y", "x\n", "a  b", "\x1c a", *("".join(draw.choices(signs, k=draw.randrange(25))) for _ in range(3000))]
+    found = [own.pattern.findall(t or "") for t in texts]
+    scores = np.array(list(token_counts.zipf_scores(own).values()))
+    law = dict(zip(token_counts.ordinary(own), scores.tolist(), strict=True))
+    counts = {w: token_counts.brute_count(w.encode(), law) for words in found for w in words}
+    want = [sum(map(counts.get, words)) for words in found], list(map(len, found))
+    lattice = token_counts.Lattice(token_counts.ordinary(own))
+    counter = token_counts.Counter(lattice, scores, own.pattern)
+    assert counter.count(texts) == want and counter.count(texts) == want
+    monkeypatch.setattr(token_counts, "KEPT_WORDS", 50)
+    some = token_counts.Counter(lattice, scores, own.pattern)
+    assert [some.count([t]) for t in texts[:300]] == [([a], [b]) for a, b in zip(*(x[:300] for x in want), strict=True)]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    assert token_counts.sampled_words(df, queries.VOCABULARY) == collections.Counter(w for words in found for w in words)
+
+    class Pattern:
+        seen = 0
+
+        def findall(self, text):
+            self.seen += len(text)
+            return own.pattern.findall(text)
+
+    pattern = Pattern()
+    monkeypatch.setattr(token_counts, "KEPT_WORDS", 400_000)
+    assert token_counts.Counter(lattice, scores, pattern).count(["one two three " * 1000 + "end"] * 5)[1] == [3001] * 5
+    assert pattern.seen < 100
+
+
 def test_counts_expected():
     """Forward and backward scores against all segmentations."""
     scores = {b"a": -1.0, b"b": -2.0, b"ab": -1.5, b"ba": -2.5, b"aba": -3.0}
