@@ -7,11 +7,12 @@ into one row, of the row's distinct chunks and of each text's chunks by number.
 together, and a second worker tokenises each once for the whole corpus, some thousands to a row: ids and byte ends
 under A and B, one chunk behind another. From there on all is Spark's higher-order functions: array_intersect
 of the two arrays of ends gives the offsets where both end, sequence and transform cut the ids into groups and pair
-the ids of a group, aggregate sums over a text's chunks. Each function goes over a row's arrays once.
+the ids of a group. Each function goes over a row's arrays once.
 
 A pair's count is the number of documents that hold it linked. Counts come to the distinct chunks: those of the
 most frequent pairs (HEAVY at most, whatever the corpus) as a broadcast, all others by a join, so that no hot pair
-goes through the shuffle. What a chunk adds to a text is made once for the corpus, and goes to the rows that hold it.
+goes through the shuffle. What a chunk adds to a text is made once for the corpus, and goes to the rows that hold it, as a
+list a column. There arrays over all chunks of a row's texts count the texts that hold each pair, and sum what chunks add.
 
 Edge cases: a text that is null or empty, or whose bytes under A or B differ from space + text (those with U+2581,
 which B reads as a space) has no tokens, zeros and an empty groups_sha256; special tokens' strings are plain text; a
@@ -25,8 +26,9 @@ import json
 import re
 import uuid
 from collections import defaultdict
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import lru_cache
+from hashlib import sha256
 from itertools import chain, count
 
 import numpy as np
@@ -39,7 +41,7 @@ from pyspark.sql import Window as W
 from larkspur.functions.shipping import release, ship
 
 from .bpe import PATTERN, byte_alphabet, slices
-from .common import cut, shared_dir
+from .common import shared_dir
 
 #: Latin letters, and ASCII characters that are none.
 LETTER, OTHER = "A-Za-zÀ-ÖØ-öø-ɏ", r"\x00-@\[-`{-\x7f"
@@ -50,6 +52,8 @@ SPACES = " \t\n\r\x0b\x0c\x1c\x1d\x1e\x1f"
 DOUBLE, ODD = [x + " " for x in SPACES], re.compile(r"[^\S\x00-\x7f] ")
 #: Characters of texts in one row, and chunks tokenised to a row.
 ROW_CHARS, CHUNKS = 8_000_000, 4096
+#: Chunks of a row's texts that are looked at together.
+AT_ONCE = 200_000
 #: Pairs whose counts are broadcast, at 40 bytes each.
 HEAVY = 500_000
 #: What B writes for a space, and a text of one token that keeps B from writing a space ahead of a chunk.
@@ -76,7 +80,7 @@ def numbered(texts: list[str | None]) -> tuple[list[str], list[np.ndarray]]:
     words: dict[str, int] = defaultdict(count().__next__)  # a new word gets the next number
     found = [np.array(list(map(words.__getitem__, split(x))), np.int32) if x else np.zeros(0, np.int32) for x in texts]
     index: dict[str, int] = defaultdict(count().__next__)
-    parts = [list(map(index.__getitem__, CUT.split(w))) for w in words]
+    parts = [[index[w]] if w[1:].isalpha() else list(map(index.__getitem__, CUT.split(w))) for w in words]  # letters behind a space have no cut
     counts = np.fromiter(map(len, parts), np.int64, len(parts))
     flat, first = np.fromiter(chain.from_iterable(parts), np.int32), np.cumsum(counts) - counts
     return list(index), [gathered(flat, first[x], counts[x])[0] if len(x) else x for x in found]
@@ -124,11 +128,11 @@ class Pair:
             first = np.cumsum(counts) - counts
             self.flat.append((flat, (total[1:] - np.repeat(total[first], counts)).astype(np.int32), first, counts))
 
-    def row(self, chunks: list[str]) -> tuple[np.ndarray, list[np.ndarray], list[np.ndarray]]:
-        """The chunks' order, sound ones first; of the sound ones ids and ends under A, under B, and their own ends; their tokens under A and B."""
+    def row(self, chunks: list[str]) -> tuple[np.ndarray, list[np.ndarray]]:
+        """The chunks' order, sound ones first; of the sound ones ids and ends under A, under B, and their own ends."""
         self.add(chunks)
         sound = np.flatnonzero(self.sound)
-        sides, tokens = [], []
+        sides = []
         for ids, ends, first, counts in self.flat:
             n, start, upto = counts[sound], first[sound], np.zeros(0, np.int64)
             if len(sound):
@@ -138,8 +142,7 @@ class Pair:
                 sides += [ids, ends[at] + np.repeat(upto - widths, n)]
             else:
                 sides += [ids[:0], ends[:0]]
-            tokens.append(n)
-        return np.concatenate([sound, np.flatnonzero(~self.sound)]), [*sides, upto], tokens
+        return np.concatenate([sound, np.flatnonzero(~self.sound)]), [*sides, upto]
 
 
 @lru_cache(1)
@@ -190,23 +193,23 @@ def texts_in_chunks(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
 
 
 def tokenise(names: DataFrame, byte_bpe: str, piece_model: str) -> DataFrame:
-    """From (name, places), rows of some chunks each: their places, tokens, a and b, their ends, those with their number from 1, and the chunks' own ends.
+    """From (name, places), rows of some chunks each: their places, a and b, their ends, those with their number from 1, and the chunks' own ends.
 
     Unsound chunks come last, and have places alone.
     """
     sc = names.sparkSession.sparkContext
     with open(byte_bpe, encoding="utf-8") as f, open(piece_model, "rb") as g:
         held = sc.broadcast((f.read(), g.read()))  # the two files' fixed few megabytes
-    schema = T.StructType([T.StructField("places", T.ArrayType(names.schema["places"].dataType)), *(T.StructField(x, INTS) for x in ("n_a", "n_b", "a", "a_ends", "b", "b_ends", "ends")), T.StructField("a_keys", LONGS), T.StructField("b_keys", LONGS)])
+    schema = T.StructType([T.StructField("places", T.ArrayType(names.schema["places"].dataType)), *(T.StructField(x, INTS) for x in ("a", "a_ends", "b", "b_ends", "ends")), T.StructField("a_keys", LONGS), T.StructField("b_keys", LONGS)])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = tokenisers(*held.value)
         for batch in batches:
             for k in range(0, batch.num_rows, CHUNKS):
                 some = batch.slice(k, CHUNKS)
-                order, flat, tokens = own.row(some.column(0).to_pylist())
+                order, flat = own.row(some.column(0).to_pylist())
                 keys = [x.astype(np.int64) * SHIFT + np.arange(1, len(x) + 1) for x in (flat[1], flat[3])]
-                yield pa.RecordBatch.from_arrays([whole(some.column(1).take(pa.array(order))), *(whole(pa.array(x, pa.int32())) for x in (*tokens, *flat)), *map(whole, map(pa.array, keys))], names=schema.names)
+                yield pa.RecordBatch.from_arrays([whole(some.column(1).take(pa.array(order))), *(whole(pa.array(x, pa.int32())) for x in flat), *map(whole, map(pa.array, keys))], names=schema.names)
         release()
 
     ship(names.sparkSession)
@@ -276,21 +279,16 @@ def listed(ids: Column) -> Column:
     return F.transform(ids, lambda x: x)
 
 
-def over(chunks: Column, values: Column) -> Column:
-    return F.aggregate(chunks, F.lit(0).cast("long"), lambda acc, k: acc + F.get(values, k))
-
-
 def align(names: DataFrame, byte_bpe: str, piece_model: str) -> DataFrame:
-    """From (name, places), each distinct chunk's key, places, n_a, n_b, n_groups, n_links, its groups as written, its pairs and their numbers; of an unsound one key and places alone."""
+    """From (name, places), each distinct chunk's key, places, its groups as written, its pairs and their numbers; of an unsound one key and places alone."""
     rows = tokenise(names, byte_bpe, piece_model)
     #: One structure a row goes through the steps: what a step has made is computed once, however often the next one looks into it.
-    kept = ("places", "n_a", "n_b")
-    first = F.struct(*kept, listed(F.col("a")).alias("a"), listed(F.col("b")).alias("b"), F.array_intersect("a_ends", "b_ends").alias("common"), "ends", "a_keys", "b_keys")
+    first = F.struct("places", listed(F.col("a")).alias("a"), listed(F.col("b")).alias("b"), F.array_intersect("a_ends", "b_ends").alias("common"), "ends", "a_keys", "b_keys")
     one = F.array(first)
 
     def step(make) -> None:
         nonlocal one
-        one = F.transform(one, lambda r: F.struct(*(c.alias(name) for name, c in ({x: r[x] for x in kept} | make(r)).items())))
+        one = F.transform(one, lambda r: F.struct(*(c.alias(name) for name, c in ({"places": r["places"]} | make(r)).items())))
 
     def both(r: Column) -> dict[str, Column]:
         groups = F.transform(r["common"], lambda e, k: keyed(e, k + 1))
@@ -300,33 +298,101 @@ def align(names: DataFrame, byte_bpe: str, piece_model: str) -> DataFrame:
         each = lambda g0, g1, name: F.transform(F.sequence(g0, g1 - 1), lambda g: F.get(r[name], g))
         written = lambda g0, g1: F.when(g1 - g0 == 1, F.get(r["written"], g0)).otherwise(F.array_join(each(g0, g1, "written"), ";"))
         links = lambda g0, g1: F.when(g1 - g0 == 1, F.get(r["links"], g0)).otherwise(F.flatten(each(g0, g1, "links")))
-        return {"n_groups": of_chunks(r, lambda g0, g1: g1 - g0), "written": of_chunks(r, written), "links": of_chunks(r, links)}
+        return {"written": of_chunks(r, written), "links": of_chunks(r, links)}
 
-    total = lambda c: F.aggregate(c, F.lit(0).cast("long"), lambda acc, x: acc + x["n"])
     step(both)
     step(lambda r: {"a": r["a"], "b": r["b"], **{x: numbers(r[x]) for x in ("a_at", "b_at", "chunk_at")}})
     step(lambda r: {"chunk_at": r["chunk_at"], "written": of_groups(r, lambda *at: group_text(r, *at)), "links": of_groups(r, lambda *at: group_links(r, *at))})
     step(chunks)
-    step(lambda r: {"n_groups": r["n_groups"], "n_links": F.transform(r["links"], total), "written": r["written"], "links": r["links"]})
     rows = rows.select(F.inline(one))
-    of_each = ("places", "n_a", "n_b", "n_groups", "n_links", "written", "links")
+    of_each = ("places", "written", "links")
     rows = rows.select(F.inline(F.arrays_zip(*of_each)))  # null where an array is shorter, as for unsound chunks
     return rows.select(F.monotonically_increasing_id().alias("key"), *of_each[:-1], F.col("links.pair").alias("pairs"), F.col("links.n").alias("numbers"))
 
 
-def of_rows(chunks: DataFrame, *columns: str) -> DataFrame:
-    """For each row, what its distinct chunks have, in their order."""
-    placed = chunks.select(F.explode("places").alias("place"), *columns).select("place.row", F.struct("place.chunk", *columns).alias("one"))
-    ordered = placed.groupBy("row").agg(F.sort_array(F.collect_list("one")).alias("of"))  # a row's distinct chunks
-    return ordered.select("row", *(F.col(f"of.{c}").alias(c) for c in columns))
+def of_rows(chunks: DataFrame, **columns: Column) -> DataFrame:
+    """For each row, the numbers of its distinct chunks, whether they are sound and what they have, never null, in the same order: lists of one grouping are filled together."""
+    columns = {"sound": F.col("written").isNotNull(), **columns}
+    placed = chunks.select(F.explode("places").alias("place"), *(c.alias(name) for name, c in columns.items())).select("place.row", "place.chunk", *columns)
+    return placed.groupBy("row").agg(*(F.collect_list(c).alias(c) for c in ("chunk", *columns)))  # column by column, which shuffles less than structures
+
+
+class Row:
+    """A row's texts, and for each of their chunks the place of what it has in the row's lists."""
+
+    def __init__(self, batch: pa.RecordBatch, k: int):
+        self.batch, self.k = batch, k
+        self.ids, chunks = self.list("texts").flatten()
+        number = self.list("chunk").to_numpy()
+        place = np.zeros(len(number), np.int32)
+        place[number] = np.arange(len(number))
+        self.at, self.sizes = place[chunks.flatten().to_numpy()], chunks.value_lengths().to_numpy().astype(np.int64)
+
+    def list(self, column: str) -> pa.Array:
+        """A row without chunks has none."""
+        one = self.batch.column(column)[self.k]
+        return one.values if one.is_valid else pa.array([], one.type.value_type)
+
+    def totals(self, values: np.ndarray) -> np.ndarray:
+        """Each text's sum of its chunks' values."""
+        upto, sums = np.cumsum(self.sizes), np.concatenate([[0], np.cumsum(values[self.at])])
+        return sums[upto] - sums[upto - self.sizes]
+
+    def sound(self) -> np.ndarray:
+        """Whether all chunks of each text are."""
+        return self.totals(~self.list("sound").to_numpy(zero_copy_only=False)) == 0
+
+
+def by_row(rows: DataFrame, make: Callable[[Row], list[pa.Array]], schema: T.StructType) -> DataFrame:
+    """What make gives for each row: columns of arrays."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        tokenisers.cache_clear()  # which a worker may still hold
+        release()
+        for batch in batches:
+            for k in range(batch.num_rows):
+                yield pa.RecordBatch.from_arrays(make(Row(batch, k)), names=schema.names)
+        release()
+
+    ship(rows.sparkSession)
+    return rows.mapInArrow(run, schema)
+
+
+def held_pairs(row: Row) -> list[pa.Array]:
+    """A row's distinct pairs, and how many of its sound texts hold each."""
+    pairs = row.list("pairs")
+    counts = pairs.value_lengths().to_numpy().astype(np.int64)
+    names, number = np.unique(pairs.flatten().to_numpy(), return_inverse=True)
+    first, sound, held = np.cumsum(counts) - counts, row.sound(), np.zeros(len(names), np.int64)
+    upto = np.cumsum(row.sizes)
+    for some in np.split(np.arange(len(upto)), np.flatnonzero(np.diff(upto // AT_ONCE)) + 1):  # texts of so many chunks
+        some = some[sound[some] & (row.sizes[some] > 0)]
+        if len(some):
+            at, _ = gathered(row.at, upto[some] - row.sizes[some], row.sizes[some])
+            own, _ = gathered(number, first[at], counts[at])
+            found = np.repeat(np.repeat(np.arange(len(some)), row.sizes[some]), counts[at]) * len(names) + own
+            found.sort()
+            held += np.bincount(found[np.flatnonzero(np.diff(found, prepend=-1))] % len(names), minlength=len(names))
+    return [pa.array(names, pa.int64()), pa.array(held, pa.int64())]
+
+
+def numbers_of(written: pa.Array) -> list[np.ndarray]:
+    """Tokens under A and B, groups and links of chunks whose groups are written one behind another."""
+    upto = np.frombuffer(written.buffers()[1], np.int32)[written.offset : written.offset + len(written) + 1].astype(np.int64)
+    raw = np.frombuffer(written.buffers()[2] or b"", np.uint8)[upto[0] : upto[-1]]
+    ends = upto[1:] - upto[0]
+    middle, behind = np.flatnonzero(raw == ord("|")), np.sort(np.concatenate([np.flatnonzero(raw == ord(";")), ends[np.diff(upto) > 0]]))
+    commas = np.concatenate([[0], np.cumsum(raw == ord(","))])
+    a, b = commas[middle] - commas[np.concatenate([[0], behind])[:-1]] + 1, commas[behind] - commas[middle] + 1
+    chunk = np.searchsorted(ends, middle, "right")
+    return [np.bincount(chunk, x, len(written)).astype(np.int64) for x in (a, b, np.ones(len(a)), a * b)]
 
 
 def pair_counts(texts: DataFrame, chunks: DataFrame) -> DataFrame:
     """pair, the number of documents that hold it linked, and whether that is the highest of its A id (of which B's vocabulary bounds the pairs)."""
-    none = F.array().cast("array<bigint>")
-    of_text = lambda t: F.coalesce(F.array_distinct(F.flatten(F.transform(F.array_distinct(t["chunks"]), lambda k: F.get(F.col("pairs"), k)))), none)
-    held = texts.join(of_rows(chunks, "pairs"), "row").select(F.explode(F.flatten(F.transform("texts", of_text))).alias("pair"))
-    counts = held.groupBy("pair").agg(F.count("*").alias("count"))
+    pairs = F.coalesce("pairs", F.array().cast("array<bigint>"))
+    schema = T.StructType([T.StructField("pair", T.LongType()), T.StructField("n", T.LongType())])
+    counts = by_row(texts.join(of_rows(chunks, pairs=pairs), "row"), held_pairs, schema).groupBy("pair").agg(F.sum("n").alias("count"))
     of_a = W.partitionBy(F.shiftright("pair", 32))
     return counts.select("pair", "count", (F.col("count") == F.max("count").over(of_a)).alias("best"))
 
@@ -374,16 +440,20 @@ def link_tokens(docs: DataFrame, byte_bpe: str, piece_model: str, *, id_col: str
     writer(chunks).parquet(f"{at}/chunks")
     chunks = spark.read.schema(chunks.schema).parquet(f"{at}/chunks")
     texts = rows.select("row", "texts")
-    counts = cut(pair_counts(texts, chunks))
-    sums = ("n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum")
-    both = texts.join(of_rows(chunks.join(scores(chunks, counts, most), "key", "left"), *sums, "written"), "row", "left")
-
-    def text(t: Column) -> Column:
-        groups = F.array_join(F.transform(t["chunks"], lambda k: F.get(F.col("written"), k)), ";")
-        return F.struct(t["id"].alias("id"), *(over(t["chunks"], F.col(c)).alias(c) for c in sums), groups.alias("groups"))
-
-    def result(t: Column) -> Column:  # with an unsound chunk, sums are null
-        sha = F.when(t["n_groups"] > 0, F.sha2(t["groups"], 256)).otherwise("")
-        return F.struct(t["id"].alias(id_col), *(F.coalesce(t[c], F.lit(0).cast("long")).alias(c) for c in sums), sha.alias("groups_sha256"))
-
-    return both.select(F.inline(F.transform(F.transform("texts", text), result)))
+    writer(pair_counts(texts, chunks)).parquet(f"{at}/counts")
+    counts = spark.read.schema("pair long, count long, best boolean").parquet(f"{at}/counts")
+    scored = ("n_best", "count_sum")
+    sums = {c: F.coalesce(c, F.lit(0).cast("long")) for c in scored}
+    both = chunks.select("key", "places", "written").join(scores(chunks, counts, most), "key", "left")
+    spark.sparkContext._jvm.System.gc()  # the shuffles of chunks and counts leave the disk when the driver's JVM finds that nothing reads them any more
+    both = texts.join(of_rows(both, **sums, written=F.coalesce("written", F.lit("")).cast("binary")), "row", "left")
+
+    def result(row: Row) -> list[pa.Array]:
+        sound, written = row.sound(), row.list("written")
+        values = [pa.array(row.totals(x) * sound, pa.int64()) for x in (*numbers_of(written), *(row.list(c).to_numpy() for c in scored))]
+        written, upto = written.to_pylist(), np.cumsum(row.sizes)
+        own = (b";".join(map(written.__getitem__, row.at[i:j].tolist())) if good else b"" for good, i, j in zip(sound.tolist(), (upto - row.sizes).tolist(), upto.tolist(), strict=True))
+        return [row.ids, *values, pa.array([sha256(x).hexdigest() if x else "" for x in own], pa.string())]
+
+    schema = T.StructType([T.StructField(id_col, docs.schema[id_col].dataType), *(T.StructField(c, T.LongType()) for c in ("n_a", "n_b", "n_groups", "n_links", *scored)), T.StructField("groups_sha256", T.StringType())])
+    return by_row(both, result, schema)

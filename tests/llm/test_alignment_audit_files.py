@@ -8,6 +8,7 @@ import zlib
 
 import duckdb
 import numpy as np
+import pyarrow as pa
 import pytest
 import sentencepiece
 from hypothesis import given, settings
@@ -88,6 +89,21 @@ def test_alignment_of_the_table(spark, monkeypatch):
     assert got == plain_alignment([tuple(r) for r in spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text").collect()])
 
 
+def test_texts_of_a_row_in_parts(docs, monkeypatch):
+    """However few chunks are looked at together, below the longest text as well."""
+    want = plain_alignment([(r.doc_id, r.text) for r in docs.select("doc_id", "text").collect()])
+    monkeypatch.setattr(align, "AT_ONCE", 5)
+    assert rows_of(align.link_tokens(docs, queries.VOCABULARY, queries.PIECES)) == want
+
+
+def test_written_groups_tell_their_numbers():
+    """So that only they go to the rows: tokens under A and B, groups and links, of slices and of chunks without any as well."""
+    written = pa.array([b"0|0", b"1,22|3;4|5,6,7", b"", b"8,9|10,11;12|13;14,15,16|17", b""], pa.binary())
+    want = [(1, 1, 1, 1), (3, 4, 2, 5), (0, 0, 0, 0), (6, 4, 3, 8), (0, 0, 0, 0)]
+    for i, j in ((0, 5), (1, 4), (2, 3), (3, 5), (4, 4)):
+        assert list(zip(*(x.tolist() for x in align.numbers_of(written[i:j])), strict=True)) == want[i:j]
+
+
 def test_chunks_are_aligned_once(spark, monkeypatch):
     """However many rows of texts hold them."""
     real, made = align.align, []
